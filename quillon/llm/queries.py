@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import language, packing, quality, simhash, token_files
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -21,6 +21,14 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), length=1024, end_id=0)
 
 
+def op2_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_documents(spark, sf_dir))
+
+
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_documents(spark, sf_dir))
+
+
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2)
 
@@ -34,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hilbert_packing,
+        op2_language_masks,
+        op4_robust_outliers,
         op7_direct_codes,
         op9_simhash_components,
     )
