@@ -154,7 +154,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = DirectCodes(row["levels"], row["bitmaps"], row["ranks"])
             ends = np.cumsum(row["doc_tokens"], dtype=np.int64)
             starts = ends - np.array(row["doc_tokens"], np.int64)
-            crcs = [zlib.crc32(codes.range(int(a), int(b)).tobytes()) for a, b in zip(starts, ends, strict=True)]
+            ids = codes.range(0, int(ends[-1])) if len(ends) else ends
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(crcs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(row["doc_tokens"], pa.int64()), pa.array(crcs, pa.int64())],
@@ -164,7 +165,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of the ids as little-endian unsigned
-    32-bit integers) of every document in the files, each read by its range alone."""
+    32-bit integers) of every document in the files, read shard by shard."""
     files = spark.read.schema(SHARDS).parquet(path)
     found = files.mapInArrow(_documents, "part int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     sizes = files.select("part", "shard", "n_tokens")

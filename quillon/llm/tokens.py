@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that one worker remembers; the memo starts anew beyond it (about 200 bytes each).
-MEMO_PIECES = 500_000
+MEMO_PIECES = 400_000
 #: Texts whose pieces are looked up together.
 BATCH_TEXTS = 500
 #: Marks that may follow a word of letters; a run of them is one pre-token of either pattern.
@@ -28,6 +28,16 @@ SPACE_SYMBOL = "\u0120"
 BYTE_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def _lowered(text: str) -> str:
+    """Lower case where that cannot depend on neighbours (Latin-1), so that fewer pieces differ; else the text."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
 
@@ -70,6 +80,10 @@ class PieceEncoder:
                 continue
             if not spaced:
                 word = word.lower()
+            ids = memo.get(word) if len(word) == len(core) else None
+            if ids is not None:  # the word is known without its marks
+                memo[p] = ids + tails[tail] if tail else ids
+                continue
             symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
             if spaced and len(word) == len(core):
                 symbols = SPACE_SYMBOL + symbols
@@ -100,7 +114,10 @@ class PieceEncoder:
         if self.mode == "whole":
             return [self._library([t])[0] if t else b"" for t in texts]
         spaced = self.mode == "spaced"
-        cuts = [(t or "").replace("\n", " \n" if spaced else " ").split(" ") for t in texts]
+        if spaced:
+            cuts = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        else:
+            cuts = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         firsts = [c.pop(0) if spaced else "" for c in cuts]
         new = set().union(*cuts) - self.memo.keys()
         if len(self.memo) + len(new) > MEMO_PIECES:
