@@ -27,23 +27,25 @@ SEED = 20_240_601
 
 
 @lru_cache(maxsize=2)
-def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each id, those of negative sign BUCKETS further on, and the projection of buckets."""
     ids = np.arange(vocabulary, dtype=np.uint64)
     mixed = ids * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    bucket = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
-    sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
-    return bucket, sign, np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
+    bucket = (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS + np.where(mixed >> np.uint64(63), 0, BUCKETS)
+    return bucket.astype(np.intp), np.random.default_rng(SEED).standard_normal((BUCKETS, DIMENSIONS))
 
 
 def cells(all_ids: list[np.ndarray], vocabulary: int = 1 << 16) -> np.ndarray:
-    """A row of DIMENSIONS cell numbers below 2 ** BITS for each list of ids."""
-    bucket, sign, matrix = _projection(vocabulary)
+    """A row of DIMENSIONS cell numbers below 2 ** BITS for each array of unsigned ids."""
+    bucket, matrix = _projection(vocabulary)
     vectors = np.zeros((len(all_ids), BUCKETS))
     for vector, ids in zip(vectors, all_ids, strict=True):
-        ids = ids % vocabulary
-        vector[:] = np.bincount(bucket[ids], weights=sign[ids], minlength=BUCKETS)
+        if ids.itemsize > 2:
+            ids = ids % vocabulary
+        seen = np.bincount(bucket[ids], minlength=2 * BUCKETS)
+        vector[:] = seen[:BUCKETS] - seen[BUCKETS:]
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     at = vectors @ matrix / np.where(length, length, 1)
     share = 1 / (1 + np.exp(-1.702 * at))  # near the normal distribution's, so cells are used evenly
@@ -87,7 +89,7 @@ def _placed(path: str, end_id: int):
                 some = batch.slice(at, tokens.BATCH_TEXTS)
                 ids = [x + end for x in enc.encode(some.column(2).to_pylist())]
                 arrays = [np.frombuffer(x, enc.dtype) for x in ids]
-                key = hilbert(cells([x.astype(np.int64) for x in arrays]))
+                key = hilbert(cells(arrays))
                 n = np.array([len(x) for x in arrays], np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(key), pa.array(n), pa.array(ids, pa.binary())], names=["row", "doc_id", "key", "n", "ids"])
 
@@ -108,12 +110,12 @@ def _pieces(width: int, length: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, at, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                total, start = len(wide), 0
+                wide = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+                total, start = len(wide) // 4, 0
                 while start < total:
                     offset = (at + start) % length
                     n = min(length - offset, total - start)
-                    out.append((doc_id, start, n, zlib.crc32(wide[start : start + n].tobytes()), total, (at + start) // length, offset))
+                    out.append((doc_id, start, n, zlib.crc32(memoryview(wide)[4 * start : 4 * (start + n)]), total, (at + start) // length, offset))
                     start += n
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, names=names)
