@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash, token_files
+from . import language, packing, quality, simhash, token_files, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -29,6 +29,10 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_documents(spark, sf_dir))
 
 
+def op5_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2)
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_hilbert_packing,
         op2_language_masks,
         op4_robust_outliers,
+        op5_warc_chains,
         op7_direct_codes,
         op9_simhash_components,
     )
