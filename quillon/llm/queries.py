@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash, token_files, warc
+from . import decontamination, language, packing, quality, simhash, token_files, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -37,6 +37,10 @@ def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2)
 
 
+def op8_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir), words=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_robust_outliers,
         op5_warc_chains,
         op7_direct_codes,
+        op8_qgram_leaks,
         op9_simhash_components,
     )
 }
