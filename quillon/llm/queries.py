@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, packing, quality, simhash, token_files, warc
+from . import decontamination, html_text, language, licenses, line_dedup, packing, quality, simhash, token_files, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -25,6 +25,10 @@ def op2_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_documents(spark, sf_dir))
 
 
+def op3_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_documents(spark, sf_dir))
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_documents(spark, sf_dir))
 
@@ -33,6 +37,10 @@ def op5_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op7_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), end_id=2)
 
@@ -55,8 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_hilbert_packing,
         op2_language_masks,
+        op3_segment_edit_join,
         op4_robust_outliers,
         op5_warc_chains,
+        op6_sentence_rules,
         op7_direct_codes,
         op8_qgram_leaks,
         op9_simhash_components,
@@ -65,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL by query; the others' results can't be expressed there and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_sentence_rules": licenses.oracle_sql()}
