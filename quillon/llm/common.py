@@ -42,6 +42,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are broadcast at most: a hash table of so many ids has some 64 MB.
+MAX_BROADCAST_IDS = 2_000_000
+
+
+def joined_by_id(docs: DataFrame, other: DataFrame, how: str, weight: int = 1) -> DataFrame:
+    """docs joined to a written table by doc_id: broadcast if the table is small, so texts stay where they are, else shuffled.
+
+    ``weight``: how many ids' room a row takes on average at most.
+    """
+    small = other.count() * weight <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(other) if small else other, "doc_id", how)
+
+
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 

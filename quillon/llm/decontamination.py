@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import joined_by_id, written
+
 #: Length of q-grams, of windows and the step between them, edits for each window, all in characters of the canonical text.
 Q, WIDTH, STEP, EDITS = 8, 64, 32, 4
 #: Characters of benchmark text in one index (some 40 bytes each); a larger benchmark is searched in blocks of so many.
@@ -215,3 +217,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
         out.append(asked.mapInArrow(_search(shared), "doc_id long, item_id long, start long, end long, windows long, edits long"))
     return reduce(DataFrame.unionAll, out)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents without a passage of the benchmark, with all their columns; see leaks(). Rows without a doc_id are looked at by their text alone."""
+    found = written(leaks(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct(), "leaks")
+    kept = joined_by_id(docs, found, "left_anti")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    own = nameless.withColumn("doc_id", F.monotonically_increasing_id())
+    own = written(own, "nameless")
+    bad = written(leaks(own, benchmark).select("doc_id").distinct(), "leaks")
+    clean = joined_by_id(own, bad, "left_anti").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    return kept.where("doc_id is not null").unionByName(clean.select(*docs.columns))

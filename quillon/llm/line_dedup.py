@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, written
+from .common import WORD, connected, joined_by_id, written
 
 #: Edits between near-equal lines, and characters below which only equal lines belong together.
 THRESHOLD, MIN_CHARS = 2, 24
@@ -130,3 +130,25 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("class_id")).join(degrees, "id")
     out = line_rows(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"), "id")
     return out.join(known, "id", "left").select("doc_id", "line_no", "n_chars", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Documents without lines whose class has stood before, in ascending order of (doc_id, line).
+
+    Lines under ``min_chars`` characters stay. A document that loses its last word goes; one that loses no line is unchanged, null and empty
+    texts among them. n_chars, if there is such a column, follows the text. Rows without a doc_id stay as they are, and rows that
+    repeat one are changed alike.
+    """
+    told = line_classes(docs, threshold, min_chars).where((F.col("n_chars") >= min_chars) & F.col("doc_id").isNotNull())
+    places = written(told.select("class_id", "doc_id", "line_no"), "line-places")
+    first = places.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = places.join(first.select("class_id", "first"), "class_id").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no")))
+    drops = written(again.groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("_drops")), "line-drops")
+    weight = drops.agg(F.avg(F.size("_drops"))).first()[0] or 0
+    names = docs.columns
+    kept = "array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(_drops, i)), '\n')"
+    told = joined_by_id(docs, drops, "left", 2 + int(weight / 4)).withColumn("_kept", F.when(F.col("_drops").isNotNull(), F.expr(kept)))
+    some = told.where(F.col("_drops").isNull() | F.col("_kept").rlike(WORD))
+    text = F.coalesce("_kept", "text")
+    columns = [text.alias(c) if c == "text" else F.coalesce(F.length("_kept").cast("long"), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in names]
+    return some.select(*columns)

@@ -164,6 +164,43 @@ def _key(level: int) -> Column:
     return F.concat_ws("\x1f", F.lit(str(level)), *parts)
 
 
+#: Prefix of statistics beside a table's own columns.
+OWN = "_quality_"
+
+
+def _rules(min_words: int, max_repeat_percent: int, prefix: str = "") -> Column:
+    n = F.col(f"{prefix}n_words")
+    return (n < min_words) | (100 * F.col(f"{prefix}n_repeat_words") > max_repeat_percent * n)
+
+
+def estimated(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Estimates of all cells with enough rows, and whether they are few enough to broadcast; ``stats`` has passed the base rules."""
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), _key(n).alias("key")) for n in range(3)])
+    rows = stats.select(F.explode(levels).alias("at"), *STATS).select("at.key", *STATS)
+    sizes = written(rows.groupBy("key").count().where(f"count >= {MIN_ROWS}"), "quality-cells")
+    few = sizes.count() <= MAX_BROADCAST
+    cells = sizes.select("key")
+    return robust_estimates(rows.join(F.broadcast(cells) if few else cells, "key", "left_semi"), few), few
+
+
+def _verdict(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """Rows with distance and kept; they have lang, source and the statistics."""
+    for n in range(3):
+        own = _near(rows.withColumn("key", _key(n)), estimates, few)
+        rows = own.withColumn(f"d{n}", _distance() / F.greatest(F.col("scale"), F.lit(1e-9))).drop("key", "mean", "inverse", "scale")
+    rows = rows.withColumn("distance", F.round(F.coalesce("d0", "d1", "d2"), 6)).drop("d0", "d1", "d2")
+    return rows.withColumn("kept", F.coalesce(F.col("distance") <= CHI2_CUT, F.lit(True)))
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    schema = ", ".join(["doc_id long, lang string, source string", *(f"{c} long" for c in (*BASE, *STATS))])
+    return _asked(docs).mapInArrow(_counted, schema)
+
+
 def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Base counts, base_failed, distance and kept of every document.
 
@@ -173,21 +210,26 @@ def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -
     sources are cells of their own. Where not even all rows together reach MIN_ROWS there is no verdict, distance is null
     and the base rules decide. Repeated rows are judged alike; other columns are left out.
     """
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    schema = ", ".join(["doc_id long, lang string, source string", *(f"{c} long" for c in (*BASE, *STATS))])
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    stats = written(asked.mapInArrow(_counted, schema).withColumn("base_failed", failed), "quality-stats")
+    stats = written(_statistics(docs).withColumn("base_failed", _rules(min_words, max_repeat_percent)), "quality-stats")
     good = stats.where("not base_failed")
-    levels = F.array(*[F.struct(F.lit(n).alias("level"), _key(n).alias("key")) for n in range(3)])
-    rows = good.select(F.explode(levels).alias("at"), *STATS).select("at.key", *STATS)
-    sizes = written(rows.groupBy("key").count().where(f"count >= {MIN_ROWS}"), "quality-cells")
-    few = sizes.count() <= MAX_BROADCAST
-    estimates = robust_estimates(rows.join(F.broadcast(sizes.select("key")) if few else sizes.select("key"), "key", "left_semi"), few)
-    out = good
-    for n in range(3):
-        own = _near(out.withColumn("key", _key(n)), estimates, few)
-        out = own.withColumn(f"d{n}", _distance() / F.greatest(F.col("scale"), F.lit(1e-9))).drop("key", "mean", "inverse", "scale")
-    out = out.withColumn("distance", F.round(F.coalesce("d0", "d1", "d2"), 6)).drop("d0", "d1", "d2")
-    out = out.withColumn("kept", F.coalesce(F.col("distance") <= CHI2_CUT, F.lit(True)))
+    estimates, few = estimated(good)
     bad = stats.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return out.unionByName(bad).select("doc_id", *BASE, "base_failed", "distance", "kept")
+    return _verdict(good, estimates, few).unionByName(bad).select("doc_id", *BASE, "base_failed", "distance", "kept")
+
+
+def kept_rows(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+    """The rows that judged() keeps, with their own columns. Texts are counted twice and never move."""
+    stats = _statistics(docs).where(~_rules(min_words, max_repeat_percent))
+    estimates, few = estimated(written(stats, "quality-stats"))
+    names = docs.columns
+    whole = docs.select(*[F.col(c).alias(f"{OWN}{i}") for i, c in enumerate(names)], F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    own = [f for f in whole.schema.fields if f.name.startswith(OWN)]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own), "lang string, source string", *(f"{c} long" for c in (*BASE, *STATS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = np.array([counts(t.as_py()) for t in batch.column(len(own) + 2)], np.int64).reshape(len(batch), -1).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own) + 2)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=[*batch.schema.names[: len(own) + 2], *BASE, *STATS])
+
+    told = _verdict(whole.mapInArrow(run, schema).where(~_rules(min_words, max_repeat_percent)), estimates, few)
+    return told.where("kept").select(*[F.col(f"{OWN}{i}").alias(c) for i, c in enumerate(names)])
