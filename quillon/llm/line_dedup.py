@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, connected, joined_by_id, written
@@ -19,7 +19,11 @@ from .common import WORD, connected, joined_by_id, written
 #: Edits between near-equal lines, and characters below which only equal lines belong together.
 THRESHOLD, MIN_CHARS = 2, 24
 #: Letters whose counts are compared: an edit changes two of them by one at most.
-COUNTED = "enaritso"
+COUNTED = "enta"
+#: All letters that are counted where a bucket is crowded, eight to a number.
+COUNTED_ALL = ("enaritso", "dhlcumfg", "pbwyvkxj")
+#: Lines in one bucket of the index beyond which pairs are tested inside the join, their texts beside them, so that links alone leave it.
+CROWD = 8
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -28,15 +32,19 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def different_lines(rows: DataFrame) -> DataFrame:
-    """id and line of each different line; equal lines are brought together before and after the shuffle by id."""
-    return rows.select("id", "line").groupBy("id").agg(F.collect_set("line").alias("lines")).select("id", F.explode("lines").alias("line"))
+def _packed_counts(letters: str = COUNTED) -> Column:
+    """Counts of up to eight letters modulo 256 in one number."""
+    size = F.length("line")
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft((size - F.length(F.replace(F.col("line"), F.lit(c)))).cast("long").bitwiseAND(F.lit(255)), 8 * i) for i, c in enumerate(letters)])
 
 
-def _packed_counts() -> Column:
-    """Counts of eight letters modulo 256 in one long."""
-    size = F.length("line")
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(((size - F.length(F.replace(F.col("line"), F.lit(c)))) % 256).cast("long"), 8 * i) for i, c in enumerate(COUNTED)])
+def different_lines(rows: DataFrame) -> DataFrame:
+    """id, counts and line of each different line; equal lines are brought together before and after the shuffle by id.
+
+    Of lines with equal ids and counts the first and the last by text are kept, which are one but for a collision.
+    """
+    each = rows.select("id", _packed_counts().alias("counts"), "line").groupBy("id", "counts").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    return each.select("id", "counts", F.explode(F.array_distinct(F.array("low", "high"))).alias("line"))
 
 
 def _key(length: str, number: int, place: str, size: str) -> str:
@@ -65,17 +73,32 @@ def probe_keys(threshold: int) -> list[str]:
     return out
 
 
+def _counts_apart(one: str = "counts", other: str = "p_counts", letters: str = COUNTED) -> Column:
+    """Differences of the letter counts added up; lines within T edits have 2 T at most."""
+    apart: Column = F.lit(0)
+    for i in range(len(letters)):
+        off = (F.shiftright(one, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(other, 8 * i).bitwiseAND(F.lit(255))).bitwiseAND(F.lit(255))
+        apart = apart + F.least(off, 256 - off)
+    return apart
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
+
+
 def candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b) of ids of different lines that share a segment and have near letter counts, once each."""
-    long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("counts", _packed_counts())
+    """Two kinds of rows: (a, b) of ids of different lines that share a segment and have near letter counts; and, of crowded buckets, their
+    members (key, id, counts, probe). All come from one shuffle of the index and one of the probes."""
+    long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     index = long.select("id", "counts", F.explode(F.expr(f"array({', '.join(index_keys(threshold))})")).alias("key"))
     probe = long.select(F.col("id").alias("p_id"), F.col("counts").alias("p_counts"), F.explode(F.expr(f"array({', '.join(probe_keys(threshold))})")).alias("key"))
-    apart: Column = F.lit(0)
-    for i in range(len(COUNTED)):
-        one = (F.shiftright("counts", 8 * i).bitwiseAND(F.lit(255)) - F.shiftright("p_counts", 8 * i).bitwiseAND(F.lit(255))).bitwiseAND(F.lit(255))
-        apart = apart + F.least(one, 256 - one)
-    met = probe.join(index, (probe.key == index.key) & (F.col("id") != F.col("p_id")) & (apart <= 2 * threshold))
-    return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+    sized = index.withColumn("crowd", F.count("*").over(Window.partitionBy("key")) > CROWD)
+    near = (F.col("id") != F.col("p_id")) & (_counts_apart() <= 2 * threshold)
+    sparse = _pairs(probe.join(sized.where("not crowd"), "key").where(near))
+    crowded = sized.where("crowd")
+    there = crowded.select("key", "id", "counts", F.lit(False).alias("probe"))
+    asked = probe.join(crowded.select("key").distinct(), "key", "left_semi").select("key", F.col("p_id").alias("id"), F.col("p_counts").alias("counts"), F.lit(True).alias("probe"))
+    return sparse.unionByName(there, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
 
 
 def banded_distance(left: str, right: str, threshold: int) -> Column:
@@ -108,8 +131,16 @@ def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
         raise ValueError("the threshold must be positive and shorter than the shortest line")
     rows = line_rows(docs)
     found = written(candidates(different_lines(rows), threshold, min_chars), "line-candidates")
-    ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-    texts = written(different_lines(rows.join(written(ids, "line-ids"), "id", "left_semi")).where(F.length("line") >= min_chars), "line-texts")
+    sparse, crowd = found.where("a is not null").select("a", "b").distinct(), found.where("id is not null").select("key", "id", "counts", "probe").distinct()
+    ids = written(sparse.select(F.col("a").alias("id")).union(sparse.select("b")).union(crowd.select("id")).distinct(), "line-ids")
+    texts = written(different_lines(rows.join(ids, "id", "left_semi")).where(F.length("line") >= min_chars), "line-texts").select("id", "line")
+    # crowded buckets are tested where they stand, so that links alone leave the join
+    counted = texts.select("*", *[_packed_counts(c).alias(f"c{i}") for i, c in enumerate(COUNTED_ALL)])
+    there = crowd.where("not probe").select("key", "id").join(counted, "id")
+    asked = crowd.where("probe").select("key", F.col("id").alias("p_id")).join(counted.select(*[F.col(c).alias(f"p_{c}") for c in counted.columns]), "p_id")
+    apart = reduce(lambda x, y: x + y, [_counts_apart(f"c{i}", f"p_c{i}", c) for i, c in enumerate(COUNTED_ALL)])
+    close = (there.key == asked.key) & (F.col("id") != F.col("p_id")) & (apart <= 2 * threshold) & (F.expr(f"levenshtein(line, p_line, {threshold})") >= 0)
+    found = written(sparse.unionByName(_pairs(asked.join(there, close))).distinct(), "line-pairs")
     pairs = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
     near = pairs.where(F.abs(F.length("left") - F.length("right")) <= threshold).where(banded_distance("left", "right", threshold) <= threshold)
     return near.select("a", "b").distinct()
