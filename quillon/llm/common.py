@@ -35,6 +35,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows in one batch between the JVM and Python: whole texts make rows large.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; from now on its session's Arrow batches have at most BATCH_ROWS rows, so buffers on both sides stay small."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: lineage ends here and a lost executor costs no more than a read."""
     path = new_path(df.sparkSession, tag)

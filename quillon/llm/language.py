@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 #: Characters of an n-gram (a blank marks a word's edge), slots of the filter, slots of an n-gram.
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [own.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import written
+from .common import small_batches, written
 
 #: Buckets of the hashed vectors, dimensions of the curve, bits of each.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -
     """
     if length < 1:
         raise ValueError("length must be positive")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = written(rows.mapInArrow(_placed(tokenizer, end_id), "row long, doc_id long, key long, n long, ids binary"), "pack-ids")
     order = ["key", "doc_id", "row"]
     narrow = placed.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, small_batches, written
 
 _WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -193,7 +193,7 @@ def _verdict(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
 
 
 def _asked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
 
 
 def _statistics(docs: DataFrame) -> DataFrame:

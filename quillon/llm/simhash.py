@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, joined_by_id, written
+from .common import WORD, connected, joined_by_id, small_batches, written
 
 _WORDS = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, words: int = 4, longs: int = 1) -> DataFrame:
             cols = np.array(rows, np.uint64).reshape(-1, longs).view(np.int64).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["doc_id", *names])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 

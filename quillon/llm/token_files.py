@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import new_path
+from .common import new_path, small_batches
 
 FORMAT = "quillon-dac-1"
 #: Bits for each entry of a rank directory.
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     all written, side by side. Other columns are left out. An empty table gives a table without shards.
     Range partitioning deals documents out by doc_id, so no task holds more than its range.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(_shards(tokenizer, end_id, shard_tokens), SHARDS).write.parquet(path)
 
 
