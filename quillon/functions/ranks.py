@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,16 +49,25 @@ def nearest_index(n: int, fraction: float) -> int:
     return round((n - 1) * fraction)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, read from the checkpoint folder that the session names, or from one of our own where it names none."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Rows with their 0-based place in a total order: range-sorted, numbered in each partition, shifted by those before."""
-    sortable = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    keys = [F.col(f"_o{i}") for i in range(len(order))]
-    dealt = sortable.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Rows with their 0-based place in a total order: range-sorted, numbered in each partition, shifted by those before.
+
+    The dealt rows are checkpointed: range bounds are sampled, and a second sampling could deal rows otherwise.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = cut(dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    placed = local.join(F.broadcast(before), "_part")  # a row for each partition
-    return placed.withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before", *[f"_o{i}" for i in range(len(order))])
+    shifted = placed.join(F.broadcast(before), "_part")  # a row for each partition
+    return shifted.withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, name: str = "rank") -> DataFrame:
