@@ -62,14 +62,15 @@ def index_keys(threshold: int) -> list[str]:
     return [_key("n", i, *_segment("n", i, parts)) for i in range(parts)]
 
 
-def probe_keys(threshold: int) -> list[str]:
-    """Substrings that may equal a segment of a line up to ``threshold`` shorter: only those that leave few enough edits on either side."""
+def probe_keys(threshold: int) -> list[tuple[str, bool]]:
+    """Substrings that may equal a segment of a line up to ``threshold`` shorter: only those that leave few enough edits on either side.
+    With each, whether it is the line's own segment."""
     parts, out = threshold + 1, []
     for shorter in range(threshold + 1):
         for i in range(parts):
             place, size = _segment(f"n - {shorter}", i, parts)
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            out += [_key(f"n - {shorter}", i, f"{place} + ({off})", size) for off in range(low, high + 1)]
+            out += [(_key(f"n - {shorter}", i, f"{place} + ({off})", size), not shorter and not off) for off in range(low, high + 1)]
     return out
 
 
@@ -82,23 +83,20 @@ def _counts_apart(one: str = "counts", other: str = "p_counts", letters: str = C
     return apart
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
-
-
 def candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Two kinds of rows: (a, b) of ids of different lines that share a segment and have near letter counts; and, of crowded buckets, their
-    members (key, id, counts, probe). All come from one shuffle of the index and one of the probes."""
+    """Two kinds of rows from one join of probes and index: (a, b) of ids of different lines that share a segment and have near letter
+    counts; and, where a bucket of the index is crowded, key and id of each line that probes it and whether it stands there itself."""
     long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
     index = long.select("id", "counts", F.explode(F.expr(f"array({', '.join(index_keys(threshold))})")).alias("key"))
-    probe = long.select(F.col("id").alias("p_id"), F.col("counts").alias("p_counts"), F.explode(F.expr(f"array({', '.join(probe_keys(threshold))})")).alias("key"))
-    sized = index.withColumn("crowd", F.count("*").over(Window.partitionBy("key")) > CROWD)
+    probes = ", ".join(f"named_struct('key', {key}, 'own', {str(own).lower()})" for key, own in probe_keys(threshold))
+    probe = long.select(F.col("id").alias("p_id"), F.col("counts").alias("p_counts"), F.explode(F.expr(f"array({probes})")).alias("at")).select("p_id", "p_counts", "at.key", "at.own")
+    bucket = Window.partitionBy("key")
+    sized = index.withColumns({"crowd": F.count("*").over(bucket) > CROWD, "nth": F.row_number().over(bucket.orderBy("id"))})
     near = (F.col("id") != F.col("p_id")) & (_counts_apart() <= 2 * threshold)
-    sparse = _pairs(probe.join(sized.where("not crowd"), "key").where(near))
-    crowded = sized.where("crowd")
-    there = crowded.select("key", "id", "counts", F.lit(False).alias("probe"))
-    asked = probe.join(crowded.select("key").distinct(), "key", "left_semi").select("key", F.col("p_id").alias("id"), F.col("p_counts").alias("counts"), F.lit(True).alias("probe"))
-    return sparse.unionByName(there, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    met = probe.join(sized, (probe.key == sized.key) & F.when(F.col("crowd"), F.col("nth") == 1).otherwise(near))
+    pair = lambda c: F.when(~F.col("crowd"), c("id", "p_id"))
+    crowd = lambda c: F.when(F.col("crowd"), c)
+    return met.select(pair(F.least).alias("a"), pair(F.greatest).alias("b"), crowd(probe.key).alias("key"), crowd(F.col("p_id")).alias("id"), crowd(F.col("own")).alias("own"))
 
 
 def banded_distance(left: str, right: str, threshold: int) -> Column:
@@ -131,16 +129,16 @@ def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
         raise ValueError("the threshold must be positive and shorter than the shortest line")
     rows = line_rows(docs)
     found = written(candidates(different_lines(rows), threshold, min_chars), "line-candidates")
-    sparse, crowd = found.where("a is not null").select("a", "b").distinct(), found.where("id is not null").select("key", "id", "counts", "probe").distinct()
+    sparse, crowd = found.where("a is not null").select("a", "b").distinct(), found.where("id is not null").groupBy("key", "id").agg(F.bool_or("own").alias("own"))
     ids = written(sparse.select(F.col("a").alias("id")).union(sparse.select("b")).union(crowd.select("id")).distinct(), "line-ids")
     texts = written(different_lines(rows.join(ids, "id", "left_semi")).where(F.length("line") >= min_chars), "line-texts").select("id", "line")
     # crowded buckets are tested where they stand, so that links alone leave the join
     counted = texts.select("*", *[_packed_counts(c).alias(f"c{i}") for i, c in enumerate(COUNTED_ALL)])
-    there = crowd.where("not probe").select("key", "id").join(counted, "id")
-    asked = crowd.where("probe").select("key", F.col("id").alias("p_id")).join(counted.select(*[F.col(c).alias(f"p_{c}") for c in counted.columns]), "p_id")
+    there = crowd.where("own").select("key", "id").join(counted, "id")
+    asked = crowd.select("key", F.col("id").alias("p_id")).join(counted.select(*[F.col(c).alias(f"p_{c}") for c in counted.columns]), "p_id")
     apart = reduce(lambda x, y: x + y, [_counts_apart(f"c{i}", f"p_c{i}", c) for i, c in enumerate(COUNTED_ALL)])
     close = (there.key == asked.key) & (F.col("id") != F.col("p_id")) & (apart <= 2 * threshold) & (F.expr(f"levenshtein(line, p_line, {threshold})") >= 0)
-    found = written(sparse.unionByName(_pairs(asked.join(there, close))).distinct(), "line-pairs")
+    found = written(sparse.unionByName(asked.join(there, close).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))).distinct(), "line-pairs")
     pairs = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
     near = pairs.where(F.abs(F.length("left") - F.length("right")) <= threshold).where(banded_distance("left", "right", threshold) <= threshold)
     return near.select("a", "b").distinct()
