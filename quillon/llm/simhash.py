@@ -9,7 +9,6 @@ sum of (r_i + 1) exceeds the distance asked for, no link can be missed.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,11 +41,13 @@ class Segment:
 #: 64 bits in two halves: (1 + 1) + 1 and (0 + 1) + 1 make 5, over a distance of 4.
 HALVES = (Segment(0, 32, 32, 1, 1), Segment(0, 0, 32, 0, 1))
 
-#: Six segments of 24 bits in three of four words; the fourth word takes part in verification alone.
-#: Of texts whose five-word shingles have a Jaccard similarity of 0.8, some 15 % of the bits differ; a segment then has at most two
-#: differing bits, as its two balls allow, with probability 0.28, one of six with 0.86 (0.98 at a similarity of 0.85).
-WIDE = tuple(Segment(i // 2, 24 * (i % 2), 24, 1, 1) for i in range(6))
-WIDE_LONGS, WIDE_WORDS, WIDE_DISTANCE = 4, 5, 48
+#: Six segments of 21 bits in two words. Of texts whose five-word shingles have a Jaccard similarity of 0.8, some 15 % of the
+#: bits differ; a segment then has at most two differing bits, as its two balls allow, with probability 0.37, one of six with 0.94
+#: (0.99 at a similarity of 0.85); 28 of 128 bits or fewer differ with 0.98. Unrelated texts differ in half of the bits, six standard deviations away.
+WIDE = tuple(Segment(i // 3, 21 * (i % 3), 21, 1, 1) for i in range(6))
+WIDE_LONGS, WIDE_WORDS, WIDE_DISTANCE = 2, 5, 28
+#: Buckets up to this size are compared at all places at once, larger ones from row to row.
+LAGS = 32
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -120,28 +121,93 @@ def _keys(prints: DataFrame, segments: tuple[Segment, ...], side: str) -> DataFr
     return reduce(DataFrame.unionAll, rows)
 
 
-def _apart(words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}"))) for c in words])
+def links(prints: DataFrame, segments: tuple[Segment, ...], distance: int) -> DataFrame:
+    """(u, v) of different fingerprints within the distance; ``prints`` has node and f0 with a row for each fingerprint."""
+    table = _keys(prints.select("node", "f0"), segments, "table").select("key", F.col("node").alias("t_node"), F.col("f0").alias("t_f0"))
+    query = _keys(prints.select("node", "f0"), segments, "query")
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("t_f0")))
+    met = query.join(table, (query.key == table.key) & (F.col("node") < F.col("t_node")) & (apart <= distance))
+    return met.select(F.col("node").alias("u"), F.col("t_node").alias("v")).distinct()
+
+
+def _spanning(keys: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows in each bucket of sorted keys, so few that they still connect what all its links connect."""
+    near = lambda i, j: np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int64) <= distance
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    left, right = [], []
+    small = np.repeat(sizes <= LAGS, sizes)
+    place = np.arange(len(keys)) - np.repeat(starts, sizes)
+    nearest = np.full(len(keys), -1)
+    for lag in range(1, LAGS):
+        at = np.flatnonzero(small & (place >= lag))
+        if not len(at):
+            break
+        at = at[near(at, at - lag)]
+        known = nearest[at] >= 0
+        # a row that is linked to a nearer one needs no second link to what that one is linked to
+        again = at[known]
+        again = again[~near(again - lag, nearest[again])]
+        new = at[~known]
+        nearest[new] = new - lag
+        for x in (new, again):
+            left.append(x - lag)
+            right.append(x)
+    for start, size in zip(starts[sizes > LAGS].tolist(), sizes[sizes > LAGS].tolist(), strict=True):
+        rest = np.arange(start, start + size)
+        todo: list[int] = []
+        while len(rest):
+            if not todo:
+                todo, rest = [int(rest[0])], rest[1:]
+            at = todo.pop()
+            on = near(np.full(len(rest), at), rest)
+            found, rest = rest[on], rest[~on]
+            left.append(np.full(len(found), at))
+            right.append(found)
+            todo += found.tolist()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _bucket_links(longs: int, distance: int):
+    names = [f"{side}{i}" for side in "fg" for i in range(longs)]
+
+    def edges(keys: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        a, b = _spanning(keys, words, distance)
+        both = np.concatenate([words[:, a], words[:, b]]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held = np.zeros(0, np.int64), np.zeros((longs, 0), np.uint64)
+        for batch in batches:
+            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
+            words = np.concatenate([held, np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(longs)])], axis=1)
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+            if whole and len(keys) >= 20_000:
+                yield edges(keys[:whole], words[:, :whole])
+                held_keys, held = keys[whole:], words[:, whole:]
+            else:
+                held_keys, held = keys, words
+        if len(held_keys):
+            yield edges(held_keys, held)
 
+    return run, ", ".join(f"{n} long" for n in names)
 
-def links(prints: DataFrame, segments: tuple[Segment, ...], distance: int) -> DataFrame:
-    """(u, v) of different fingerprints within the distance; ``prints`` has node, f0, f1, ... with a row for each fingerprint.
 
-    Long fingerprints take their last word alone through the search: pairs go on if it differs by no more than five
-    standard deviations over its share of the distance, and the complete distance is verified then.
+def wide_links(prints: DataFrame, segments: tuple[Segment, ...], distance: int) -> DataFrame:
+    """(u, v) of fingerprints of several words within the distance that share a bucket: enough of them to connect all such.
+
+    Rows carry the complete fingerprint, so distances are verified where buckets stand; the two balls of a segment must be alike.
+    A dense group gives a link or so for each row, not all its pairs.
     """
     names = [c for c in prints.columns if c != "node"]
-    carried = names[-1:]
-    share = distance / len(names)
-    bound = distance if len(names) == 1 else math.ceil(share + 5 * math.sqrt(share * (1 - share / 64) / 2))
-    table = _keys(prints.select("node", *names), segments, "table").select("key", *[F.col(c).alias(f"t_{c}") for c in ["node", *carried]])
-    query = _keys(prints.select("node", *names), segments, "query").select("key", "node", *carried)
-    met = query.join(table, (query.key == table.key) & (F.col("node") < F.col("t_node")) & (_apart(carried) <= bound))
-    pairs = met.select("node", "t_node").distinct()
-    if len(names) > 1:
-        ends = prints.select(F.col("node").alias("t_node"), *[F.col(c).alias(f"t_{c}") for c in names])
-        pairs = pairs.join(prints, "node").join(ends, "t_node").where(_apart(names) <= distance)
-    return pairs.select(F.col("node").alias("u"), F.col("t_node").alias("v"))
+    if any(s.table_radius != s.query_radius for s in segments):
+        raise ValueError("both balls of a segment must have the same radius")
+    dealt = _keys(prints.select(*names), segments, "table").select("key", *names).repartition("key").sortWithinPartitions("key")
+    run, schema = _bucket_links(len(names), distance)
+    found = dealt.mapInArrow(run, schema)
+    node = lambda side: F.xxhash64(*[f"{side}{i}" for i in range(len(names))])
+    return found.select(node("f").alias("u"), node("g").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, longs: int = 1, segments: tuple[Segment, ...] = HALVES, distance: int = 4) -> DataFrame:
@@ -158,7 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, longs: int = 1, segments: t
     different = found.groupBy(*names).agg(F.min("doc_id").alias("first_doc"))
     node = F.col("f0") if longs == 1 else F.xxhash64(*names)
     nodes = written(different.withColumn("node", node), "fingerprint-nodes")
-    roots = connected(links(nodes.select("node", *names), segments, distance), "fingerprint-links")
+    search = links if longs == 1 else wide_links
+    roots = connected(search(nodes.select("node", *names), segments, distance), "fingerprint-links")
     first = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = roots.join(first, "root").select("node", "component_id")
     own = nodes.join(linked, "node", "left").select(*names, F.coalesce("component_id", "first_doc").alias("component_id"))
