@@ -14,16 +14,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, joined_by_id, written
+from .common import MAX_BROADCAST_IDS, WORD, connected, joined_by_id, written
 
 #: Edits between near-equal lines, and characters below which only equal lines belong together.
 THRESHOLD, MIN_CHARS = 2, 24
 #: Letters whose counts are compared: an edit changes two of them by one at most.
-COUNTED = "enta"
+COUNTED = "en"
 #: All letters that are counted where a bucket is crowded, eight to a number.
 COUNTED_ALL = ("enaritso", "dhlcumfg", "pbwyvkxj")
 #: Lines in one bucket of the index beyond which pairs are tested inside the join, their texts beside them, so that links alone leave it.
 CROWD = 8
+#: What marks a line's own segments among its probes, beside the letter counts.
+OWN = 1 << 32
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,13 @@ def different_lines(rows: DataFrame) -> DataFrame:
 
 
 def _key(length: str, number: int, place: str, size: str) -> str:
-    return f"xxhash64({length}, {number}, substring(line, {place} + 1, {size}))"
+    return f"xxhash64({length}, {number}, substring(TEXT, {place} + 1, {size}))"
+
+
+def _keys(keys: list[str]) -> Column:
+    """The keys of a line. Where all characters are bytes, substrings are taken of bytes, which need no search for their start."""
+    bytes_, chars = (f"array({', '.join(keys)})".replace("TEXT", t) for t in ("cast(line as binary)", "line"))
+    return F.expr(f"if(octet_length(line) = n, {bytes_}, {chars})")
 
 
 def _segment(length: str, number: int, parts: int) -> tuple[str, str]:
@@ -87,16 +95,18 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """Two kinds of rows from one join of probes and index: (a, b) of ids of different lines that share a segment and have near letter
     counts; and, where a bucket of the index is crowded, key and id of each line that probes it and whether it stands there itself."""
     long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    index = long.select("id", "counts", F.explode(F.expr(f"array({', '.join(index_keys(threshold))})")).alias("key"))
-    probes = ", ".join(f"named_struct('key', {key}, 'own', {str(own).lower()})" for key, own in probe_keys(threshold))
-    probe = long.select(F.col("id").alias("p_id"), F.col("counts").alias("p_counts"), F.explode(F.expr(f"array({probes})")).alias("at")).select("p_id", "p_counts", "at.key", "at.own")
+    index = long.select("id", "counts", F.explode(_keys(index_keys(threshold))).alias("key"))
+    probes = probe_keys(threshold)
+    at = long.select(F.col("id").alias("p_id"), "counts", F.posexplode(_keys([key for key, _ in probes])).alias("at", "key"))
+    own = F.when(F.col("at").isin([i for i, (_, own) in enumerate(probes) if own]), F.lit(OWN)).otherwise(F.lit(0)).cast("long")
+    probe = at.select("p_id", F.col("counts").bitwiseOR(own).alias("p_counts"), "key")
     bucket = Window.partitionBy("key")
     sized = index.withColumns({"crowd": F.count("*").over(bucket) > CROWD, "nth": F.row_number().over(bucket.orderBy("id"))})
     near = (F.col("id") != F.col("p_id")) & (_counts_apart() <= 2 * threshold)
     met = probe.join(sized, (probe.key == sized.key) & F.when(F.col("crowd"), F.col("nth") == 1).otherwise(near))
     pair = lambda c: F.when(~F.col("crowd"), c("id", "p_id"))
     crowd = lambda c: F.when(F.col("crowd"), c)
-    return met.select(pair(F.least).alias("a"), pair(F.greatest).alias("b"), crowd(probe.key).alias("key"), crowd(F.col("p_id")).alias("id"), crowd(F.col("own")).alias("own"))
+    return met.select(pair(F.least).alias("a"), pair(F.greatest).alias("b"), crowd(probe.key).alias("key"), crowd(F.col("p_id")).alias("id"), crowd(F.col("p_counts") >= OWN).alias("own"))
 
 
 def banded_distance(left: str, right: str, threshold: int) -> Column:
@@ -131,7 +141,7 @@ def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     found = written(candidates(different_lines(rows), threshold, min_chars), "line-candidates")
     sparse, crowd = found.where("a is not null").select("a", "b").distinct(), found.where("id is not null").groupBy("key", "id").agg(F.bool_or("own").alias("own"))
     ids = written(sparse.select(F.col("a").alias("id")).union(sparse.select("b")).union(crowd.select("id")).distinct(), "line-ids")
-    texts = written(different_lines(rows.join(ids, "id", "left_semi")).where(F.length("line") >= min_chars), "line-texts").select("id", "line")
+    texts = written(different_lines(rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")).where(F.length("line") >= min_chars), "line-texts").select("id", "line")
     # crowded buckets are tested where they stand, so that links alone leave the join
     counted = texts.select("*", *[_packed_counts(c).alias(f"c{i}") for i, c in enumerate(COUNTED_ALL)])
     there = crowd.where("own").select("key", "id").join(counted, "id")
@@ -140,7 +150,8 @@ def links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
     close = (there.key == asked.key) & (F.col("id") != F.col("p_id")) & (apart <= 2 * threshold) & (F.expr(f"levenshtein(line, p_line, {threshold})") >= 0)
     found = written(sparse.unionByName(asked.join(there, close).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))).distinct(), "line-pairs")
     pairs = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
-    near = pairs.where(F.abs(F.length("left") - F.length("right")) <= threshold).where(banded_distance("left", "right", threshold) <= threshold)
+    # a bounded distance of the engine screens pairs, the bit-parallel one decides
+    near = pairs.where(F.expr(f"levenshtein(left, right, {threshold})") >= 0).where(banded_distance("left", "right", threshold) <= threshold)
     return near.select("a", "b").distinct()
 
 
