@@ -90,18 +90,32 @@ def completed(ranked: DataFrame, queries: DataFrame, fallback: DataFrame, k: int
     return first_n(each, keys, [F.asc("at.tier"), F.asc("at.rank"), F.asc("itemid")], k).drop("at")
 
 
-def fused(candidates: DataFrame, components: Sequence[str], depth: int, offset: float, k: int, labels: Sequence[str] = ()) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of 1 / (offset + rank) over components, in their order; ties by best rank, then item."""
+def fused_variants(candidates: DataFrame, variants: dict[str, Sequence[str]], depth: int, offset: float, k: int, labels: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal-rank fusion by several sets of components in one pass: variant, itemid, score, rank.
+
+    An item's score is the sum of 1 / (offset + rank) over the variant's components, added in their order; ties go by best rank, then item.
+    """
     require_at_least(k, "k", source_depth=depth)
     require_at_least(0, "0", rrf_offset=offset)
     keys = [*[c for c in ("split", "query_id", "stage") if c in candidates.columns], *labels]
-    kept = candidates.where(F.col("source").isin(*components) & (F.col("rank") <= depth))
-    ranks = kept.groupBy(*keys, "itemid").agg(*[F.min(F.when(F.col("source") == c, F.col("rank"))).alias(f"r_{c}") for c in components])
+    every = list(dict.fromkeys(c for parts in variants.values() for c in parts))
+    kept = candidates.where(F.col("source").isin(*every) & (F.col("rank") <= depth))
+    ranks = kept.groupBy(*keys, "itemid").agg(*[F.min(F.when(F.col("source") == c, F.col("rank"))).alias(f"r_{c}") for c in every])
     share = lambda c: F.coalesce(1.0 / (F.lit(float(offset)) + F.col(f"r_{c}")), F.lit(0.0))
-    score = reduce(lambda a, b: a + b, [share(c) for c in components])
-    best = F.least(*[F.col(f"r_{c}") for c in components]) if len(components) > 1 else F.col(f"r_{components[0]}")
-    scored = ranks.select(*keys, "itemid", score.alias("score"), best.alias("best"))
-    return first_n(scored, keys, [F.desc("score"), F.asc("best"), F.asc("itemid")], k).drop("best")
+
+    def one(name: str, parts: Sequence[str]) -> Column:
+        best = F.least(*[F.col(f"r_{c}") for c in parts]) if len(parts) > 1 else F.col(f"r_{parts[0]}")
+        return F.struct(F.lit(name).alias("variant"), reduce(lambda x, y: x + y, [share(c) for c in parts]).alias("score"), best.alias("best"))
+
+    each = ranks.select(*keys, "itemid", F.explode(F.array(*[one(n, p) for n, p in variants.items()])).alias("at")).select(*keys, "itemid", "at.*")
+    return first_n(each.where("best is not null"), [*keys, "variant"], [F.desc("score"), F.asc("best"), F.asc("itemid")], k).drop("best")
+
+
+def fused(candidates: DataFrame, components: Sequence[str], depth: int, offset: float, k: int, labels: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal-rank fusion by one set of components, see fused_variants."""
+    renamed = {c: f"_{c}" for c in labels}
+    one = fused_variants(candidates.withColumnsRenamed(renamed), {"": components}, depth, offset, k, list(renamed.values()))
+    return one.drop("variant").withColumnsRenamed({v: c for c, v in renamed.items()})
 
 
 def features(candidates: DataFrame, depths: dict[str, int], offset: float) -> DataFrame:

@@ -120,10 +120,9 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
 
 def fused_rankings(candidates: DataFrame, queries: DataFrame, fallback: DataFrame, variants: dict[str, list[str]], depth: int, offset: float, k: int) -> DataFrame:
     """Completed fusions of several sets of components."""
-    keys = fusion.keys_of(queries)
-    each = [fusion.fused(candidates, parts, depth, offset, k).select(*keys, F.lit(v).alias("variant"), "itemid", "rank") for v, parts in variants.items()]
+    ranked = fusion.fused_variants(candidates, variants, depth, offset, k)
     asked = queries.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
-    return fusion.completed(reduce(DataFrame.unionByName, each), asked, fallback, k, ["variant"])
+    return fusion.completed(ranked, asked, fallback, k, ["variant"])
 
 
 def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, source_depth: int = 100, rrf_offset: float = 60.0, half_life_days: float = 7.0, max_sessions_per_split: int | None = 50_000, seed: int = 365) -> dict[str, Any]:
@@ -211,12 +210,12 @@ def evaluate_learned(data: Dataset, manifest: dict[str, Any], source: str = "",
 
 def _variant_candidates(found: DataFrame, depths: dict[str, int]) -> DataFrame:
     """Candidates of each retrieval variant, from one look-up at the expanded depth."""
-    parts = []
+    reached = []
     for name, (category, behavioral, parent) in RETRIEVALS.items():
         limit = {"category": depths[category], "parent": depths[parent] if parent else 0} | {c: depths[behavioral] for c in COMPONENTS[1:]}
         bound = reduce(lambda a, c: F.when(F.col("source") == c[0], c[1]) if a is None else a.when(F.col("source") == c[0], c[1]), limit.items(), None)
-        parts.append(found.where(F.col("rank") <= bound).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+        reached.append(F.when(F.col("rank") <= bound, F.lit(name)))
+    return found.withColumn("variant", F.explode(F.array_compact(F.array(*reached))))
 
 
 def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, base_depth: int = 100, expanded_depth: int = 300, half_life_days: float = 7.0, max_sessions_per_split: int | None = 50_000, seed: int = 365) -> dict[str, Any]:

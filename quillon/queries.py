@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.guards import EVENT_TYPES
-from .functions.ranks import nearest_index, values_at
+from .functions.ranks import cut, nearest_index, values_at
 from .operators import audit, fusion, learning, metrics, rankings, sessions, temporal
 from .operators.fusion import COMPONENTS
 from .plans import decisions, evaluations
@@ -138,9 +138,10 @@ class _Base:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.data: Dataset = star_dataset(spark, folder)
-        self.events = deduplicated(self.data.events)
+        self.events = cut(deduplicated(self.data.events))
         self.train_end, self.validation_end = temporal.temporal_cutoffs(self.events)
-        self.split = temporal.with_split(self.events, self.train_end, self.validation_end)
+        # read by every list and by the queries: laid down once
+        self.split = cut(temporal.with_split(self.events, self.train_end, self.validation_end))
         self.train = self.split.where("split = 'train'")
 
     def asked(self) -> sessions.Queries:
