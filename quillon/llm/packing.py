@@ -144,4 +144,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0) -
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     at = local.join(base, "part").select("row", (F.col("base") + F.col("local")).alias("at"))
     joined = placed.select("row", "doc_id", "ids").join(at, "row").select("doc_id", "at", "ids")
-    return joined.mapInArrow(_pieces(tokens.encoder(tokenizer).width, length), PIECES)
+    pieces = joined.mapInArrow(_pieces(tokens.encoder(tokenizer).width, length), PIECES)
+    # a piece is a few numbers: fewer tasks, else what is written are very small files
+    return pieces.coalesce(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
