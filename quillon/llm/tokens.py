@@ -75,7 +75,8 @@ class PieceEncoder:
             core = p.rstrip(MARKS)
             word = core[1:] if spaced and core[:1] == "\n" else core
             tail = p[len(core) :]
-            if not word.isalpha() or max(word) > LAST_PLAIN or "\u0130" in word or (tail and tail not in tails):
+            plain = word.isascii()
+            if not word.isalpha() or (tail and tail not in tails) or not plain and (max(word) > LAST_PLAIN or "\u0130" in word):
                 rest.append(p)
                 continue
             if not spaced:
@@ -84,7 +85,7 @@ class PieceEncoder:
             if ids is not None:  # the word is known without its marks
                 memo[p] = ids + tails[tail] if tail else ids
                 continue
-            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            symbols = word if plain else word.encode().decode("latin-1").translate(BYTE_SYMBOLS)
             if spaced and len(word) == len(core):
                 symbols = SPACE_SYMBOL + symbols
             ids = array(self.typecode, [t.id for t in model(symbols)]).tobytes()
