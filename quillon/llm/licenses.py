@@ -67,8 +67,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4-deed"]),
     ("All-rights-reserved", ["reserved"]),
 ]
-#: Every known sentence has one of these; other texts need no second look.
-ANCHORS = ("licen", "copyright", "permission", "warrant", "rights reserved", "redistribut", "free software")
+#: Every known sentence has one of these, which hold no white space that a text may have otherwise; other texts need no second look.
+ANCHORS = ("licen", "copyright", "permission", "warrant", "reserved", "redistribut", "software")
 #: Unknown sentences that may stand between two sentences of a rule.
 MAX_GAP = 2
 

@@ -34,6 +34,15 @@ def test_license_sql(spark, sf, odd):
         assert sorted((norm(r) for r in want), key=key) == sorted((tuple(r) for r in licenses.scan(docs).collect()), key=key)
 
 
+def test_license_anchors_span_no_white_space(spark):
+    documents = spark.createDataFrame([(1, "All rights\nreserved."), (2, "All rights  reserved."), (3, "All rights\treserved.")], "doc_id long, text string")
+    found = sorted(tuple(r) for r in licenses.scan(documents).collect())
+    assert [r[1] for r in found] == ["All-rights-reserved"] * 3
+    documents = documents.toPandas()
+    assert sorted(duckdb.sql(licenses.oracle_sql()).fetchall()) == found
+    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values()) and not any(" " in a for a in licenses.ANCHORS)
+
+
 def plain_fewest(window, text):
     row = list(range(len(window) + 1))
     best = row[-1]
