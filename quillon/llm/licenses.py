@@ -2,8 +2,9 @@
 
 A text is cut into sentences, each is normalised and mapped to the identifier of a known license sentence; the
 sequence of identifiers is matched against ordered rules, longer rules first, so that a part of a license that a
-longer rule has used is not reported again. Texts are read twice: with line ends as sentence ends (short notices on lines
-of their own) and without (license texts wrapped over lines). Everything is one projection: no row moves.
+longer rule has used is not reported again. Texts are read three times: with line ends as sentence ends (short notices on lines
+of their own), without (license texts wrapped over lines), and with blank lines alone as ends (license files under a title and
+a copyright line). Everything is one projection: no row moves.
 """
 
 from __future__ import annotations
@@ -69,30 +70,51 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: Every known sentence has one of these, which hold no white space that a text may have otherwise; other texts need no second look.
 ANCHORS = ("licen", "copyright", "permission", "warrant", "reserved", "redistribut", "software")
+#: Sentences and rules of the reading by paragraphs alone, which sees a text in the pieces that blank lines leave.
+PARTS: dict[str, str] = {
+    "mit-permission": SENTENCES["mit-grant"].partition(" the above copyright notice")[0],
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "apache-2-title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache-2-title-s": "apache license version 2 0 january 2004 https www apache org licenses",
+    "bsd-met": SENTENCES["bsd-redistribution"].removesuffix(" 1"),
+    "bsd-met-source": SENTENCES["bsd-redistribution"].removesuffix("1") + SENTENCES["bsd-source"],
+}
+_BSD = [["bsd-met", "bsd-source"], ["bsd-met-source"]]
+PART_RULES: list[tuple[str, list[str]]] = [
+    *[("BSD-3-Clause", [*start, "bsd-binary", "bsd-endorse", "bsd-as-is"]) for start in _BSD],
+    *[("BSD-2-Clause", [*start, "bsd-binary", "bsd-as-is"]) for start in _BSD],
+    ("MIT", ["mit-permission", "mit-notice"]),
+    ("Apache-2.0", ["apache-2-title"]),
+    ("Apache-2.0", ["apache-2-title-s"]),
+]
 #: Unknown sentences that may stand between two sentences of a rule.
 MAX_GAP = 2
 
 
-def sequence_sql(duckdb: bool, lines: bool) -> str:
-    """SQL of a text's sequence of known sentences: <id> for each, | for more unknown ones than MAX_GAP."""
+def sequence_sql(duckdb: bool, lines: bool, paragraphs: bool = False) -> str:
+    """SQL of a text's sequence of known sentences: <id> for each, | for more unknown ones than MAX_GAP.
+
+    Of ``paragraphs``, lines without a letter or digit (blank ones, or of comment marks) end sentences too, and PARTS are known.
+    """
     every = ", 'g'" if duckdb else ""
     low = "lower(coalesce(text, ''))"
-    ends = "[.!?]+[ \t\r\n]" + ("|[\n]" if lines else "")
+    ends = "[.!?]+[ \t\r\n]" + ("|[\n]" if lines else "") + ("|[\n][^a-z0-9\n]*[\n]" if paragraphs else "")
     cut = f"regexp_replace({low} || chr(10), '{ends}', chr(1){every})"
+    sentences = SENTENCES | PARTS if paragraphs else SENTENCES
     plain = f"regexp_replace({cut}, '[^a-z0-9' || chr(1) || ']+', ' '{every})"
     if duckdb:
-        cases = " ".join(f"WHEN '{s}' THEN '<{i}>'" for i, s in SENTENCES.items())
+        cases = " ".join(f"WHEN '{s}' THEN '<{i}>'" for i, s in sentences.items())
         marks = f"array_to_string(list_transform(string_split({plain}, chr(1)), lambda s: CASE trim(s) {cases} WHEN '' THEN '' ELSE '.' END), '')"
     else:
-        known = ", ".join(f"'{s}', '<{i}>'" for i, s in SENTENCES.items())
+        known = ", ".join(f"'{s}', '<{i}>'" for i, s in sentences.items())
         marks = f"array_join(transform(split({plain}, chr(1)), s -> if(trim(s) = '', '', coalesce(try_element_at(map({known}), trim(s)), '.'))), '')"
     gap = f"regexp_replace({marks}, '[.]{{{MAX_GAP + 1},}}', '|'{every})"
     return f"replace({gap}, '.', '')"
 
 
-def _hits(sequence: str) -> str:
+def _hits(sequence: str, paragraphs: bool = False) -> str:
     out = sequence
-    for name, ids in RULES:
+    for name, ids in (PART_RULES + RULES if paragraphs else RULES):
         out = f"replace({out}, '{''.join(f'<{i}>' for i in ids)}', '={name};')"
     return out
 
@@ -101,21 +123,23 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (names in order, comma between), sentences (known identifiers of the reading by lines) and wrapped (of the other) of every document.
 
     Empty strings where nothing is known: null and empty texts too. Repeated rows are scanned each; other
-    columns are left out. Text of any length is one row's expression.
+    columns are left out. Text of any length is one row's expression. licenses has those of the reading by paragraphs too, which has no column.
     """
     low = F.lower(F.col("text"))
     possible = F.lit(False)
     for a in ANCHORS:
         possible = possible | low.contains(a)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(possible, F.col("text").cast("string")).alias("text"))
-    told = rows.select("doc_id", F.expr(sequence_sql(False, True)).alias("sentences"), F.expr(sequence_sql(False, False)).alias("wrapped"))
-    both = F.expr(f"concat({_hits('sentences')}, {_hits('wrapped')})")
+    # without such a line the reading by paragraphs is the wrapped one
+    parted = f"if(lower(text) rlike '[\n][^a-z0-9\n]*[\n]', {sequence_sql(False, False, True)}, '')"
+    told = rows.select("doc_id", F.expr(sequence_sql(False, True)).alias("sentences"), F.expr(sequence_sql(False, False)).alias("wrapped"), F.expr(parted).alias("parted"))
+    both = F.expr(f"concat({_hits('sentences')}, {_hits('wrapped')}, {_hits('parted', True)})")
     names = told.withColumn("hits", both).withColumn("licenses", F.expr("array_join(array_sort(array_distinct(regexp_extract_all(hits, '=([^;]+);', 1))), ',')"))
     return names.select("doc_id", "licenses", *[F.replace(c, F.lit("|"), F.lit("")).alias(c) for c in ("sentences", "wrapped")])
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, less the reading by paragraphs: licenses found by that alone are not in its rows."""
     return f"""
         WITH told AS (SELECT doc_id, {sequence_sql(True, True)} AS sentences, {sequence_sql(True, False)} AS wrapped FROM documents),
         hits AS (SELECT *, concat({_hits("sentences")}, {_hits("wrapped")}) AS hits FROM told)

@@ -34,13 +34,99 @@ def test_license_sql(spark, sf, odd):
         assert sorted((norm(r) for r in want), key=key) == sorted((tuple(r) for r in licenses.scan(docs).collect()), key=key)
 
 
+HOLDER = "Copyright (c) 2020 Jane Doe\n"
+MIT_FILE = """MIT License
+
+{holder}
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+APACHE_NOTICE = """{holder}
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+APACHE_FILE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+GPL_NOTICE = """A program that does one thing
+{holder}
+This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{end} either version {n} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD_FILE = """BSD License
+
+Copyright (c) 2020, Jane Doe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{gap}{marks[0]} Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+{gap}{marks[1]} Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+BSD_THIRD = """{gap}{mark} Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+
+
+def test_license_files(spark):
+    """Usual files with title and copyright line, also behind comment marks."""
+    wanted = [(MIT_FILE.format(holder=HOLDER), "MIT"), (APACHE_NOTICE.format(holder=HOLDER), "Apache-2.0"), (APACHE_FILE, "Apache-2.0")]
+    wanted += [(GPL_NOTICE.format(holder=HOLDER, mark=m, end=e, n=n), f"GPL-{n}.0-or-later") for n, m, e in ((2, ";", ";"), (3, ":", ","))]
+    for gap in ("", "\n"):
+        for marks in (("1.", "2.", "3."), ("*", "*", "*")):
+            wanted += [(BSD_FILE.format(gap=gap, marks=marks, third=t), f"BSD-{n}-Clause") for n, t in ((3, BSD_THIRD.format(gap=gap, mark=marks[2])), (2, ""))]
+    wanted += [("".join(f" * {line}".rstrip() + "\n" for line in t.split("\n")), name) for t, name in wanted[:5]] + [(t.replace("\n", "\r\n"), name) for t, name in wanted]
+    rows = [(i, t) for i, (t, _) in enumerate(wanted)]
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(wanted))] == [name for _, name in wanted]
+
+
 def test_license_anchors_span_no_white_space(spark):
     documents = spark.createDataFrame([(1, "All rights\nreserved."), (2, "All rights  reserved."), (3, "All rights\treserved.")], "doc_id long, text string")
     found = sorted(tuple(r) for r in licenses.scan(documents).collect())
     assert [r[1] for r in found] == ["All-rights-reserved"] * 3
     documents = documents.toPandas()
     assert sorted(duckdb.sql(licenses.oracle_sql()).fetchall()) == found
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES.values()) and not any(" " in a for a in licenses.ANCHORS)
+    assert all(any(a in s for a in licenses.ANCHORS) for s in (licenses.SENTENCES | licenses.PARTS).values()) and not any(" " in a for a in licenses.ANCHORS)
 
 
 def plain_fewest(window, text):
