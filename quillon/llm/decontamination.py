@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A text that has a window with at most k edits shares at least
-w - q + 1 - k * q of its q-grams, all within k diagonals of each other. Shared q-grams are counted in
-diagonal bands that overlap by half, so one band holds them all; bands that reach the bound are verified by a
-bit-parallel alignment of the window inside the band.
+A window starts at every character of a benchmark item. A text that has a window with at most k edits shares at least
+w - q + 1 - k * q of its q-grams, all within k diagonals of each other. Shared q-grams are gathered in
+diagonal bands that overlap by half, so one band holds them all; windows whose q-grams reach the bound in a band are verified
+by a bit-parallel alignment inside the band, many at once. Windows are ranges of an item's q-grams, so the
+index holds each q-gram's place in an item once.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import joined_by_id, small_batches, written
 
-#: Length of q-grams, of windows and the step between them, edits for each window, all in characters of the canonical text.
-Q, WIDTH, STEP, EDITS = 8, 64, 32, 4
+#: Length of q-grams and of windows, edits for each window, all in characters of the canonical text.
+Q, WIDTH, EDITS = 8, 64, 4
 #: Characters of benchmark text in one index (some 40 bytes each); a larger benchmark is searched in blocks of so many.
 BLOCK_CHARS = 4_000_000
 #: Characters of texts that are searched together.
 BATCH_CHARS = 2_000_000
+#: Windows that are aligned together (some 500 bytes each).
+ALIGNED = 4096
+#: Codes that no canonical text has: past a window's end, past a text's end.
+_NO_ITEM, _NO_TEXT = 1, 2
 _FILTER_BITS = 22
 
 
@@ -71,10 +76,10 @@ class Window:
 
 
 class Index:
-    """Windows of some items, and where each q-gram stands in them."""
+    """Some items, and where each q-gram stands in them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[Window] = []
+        self.items, parts = [], []
         for item, text in items:
             codes, _ = canonical(text)
             while len(codes) and codes[0] == 32:
@@ -83,65 +88,98 @@ class Index:
                 codes = codes[:-1]
             if len(codes) < Q:
                 continue
-            last = max(len(codes) - WIDTH, 0)
-            for start in sorted({*range(0, last, STEP), last}):
-                part = codes[start : start + WIDTH]
-                self.windows.append(Window(item, start, part, EDITS * len(part) // WIDTH))
-        grams = [_hashes(w.codes) for w in self.windows]
+            self.items.append(item)
+            parts.append(codes)
+        self.size = np.array([len(c) for c in parts], np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.width = np.minimum(self.size, WIDTH)
+        self.edits = EDITS * self.width // WIDTH
+        #: q-grams that a window shares at least with a text that has it.
+        self.bound = self.width - Q + 1 - self.edits * Q
+        self.codes = np.concatenate([*parts, np.full(WIDTH, _NO_ITEM, np.uint32)])
+        grams = [_hashes(c) for c in parts]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         number = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else number
         order = np.argsort(h, kind="stable")
         self.gram, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.number, self.place = number[order], place[order]
-        self.bound = np.array([len(w.codes) - Q + 1 - w.edits * Q for w in self.windows], np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and bands (lowest diagonal) whose shared q-grams reach the bound."""
+    @property
+    def windows(self) -> Iterator[Window]:
+        """Some of the windows, one for each half of WIDTH and the last of each item, to look at; the search goes over all."""
+        for n, item in enumerate(self.items):
+            last = int(self.size[n] - self.width[n])
+            for start in sorted({*range(0, last, WIDTH // 2), last}):
+                at = int(self.base[n]) + start
+                yield Window(item, start, self.codes[at : at + int(self.width[n])], int(self.edits[n]))
+
+    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of items, starts of windows in them and bands (lowest diagonal of the window) whose shared q-grams reach the bound."""
         none = np.zeros(0, np.int64)
         h = _hashes(codes)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
-            return none, none
+            return none, none, none
         where = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
         same = self.gram[where] == h[at]
         at, where = at[same], where[same]
         n = self.count[where]
         if not len(n):
-            return none, none
+            return none, none, none
         entry = np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window, diagonal = self.number[entry], np.repeat(at, n) - self.place[entry]
-        half = EDITS + 1
-        band = (diagonal + WIDTH) // half  # a band is two halves; each diagonal lies in two bands
-        bands = np.concatenate([band, band - 1])
-        key = np.concatenate([window, window]) * (1 << 40) + bands + 1
-        keys, found = np.unique(key, return_counts=True)
-        numbers = keys >> 40
-        good = found >= self.bound[numbers]
-        return numbers[good], ((keys[good] & ((1 << 40) - 1)) - 1) * half - WIDTH
+        item, place = self.number[entry], self.place[entry]
+        half, lowest = EDITS + 1, int(self.size.max())
+        band = (np.repeat(at, n) - place + lowest) // half  # a band is two halves; each diagonal lies in two bands
+        key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + 1
+        place = np.concatenate([place, place])
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        item = key >> 40
+        # the bound-th next q-gram of the band must stand in the same window
+        last = np.arange(len(key)) + self.bound[item] - 1
+        ends = np.minimum(last, len(key) - 1)
+        good = np.flatnonzero((last < len(key)) & (key[ends] == key) & (place[ends] - place <= self.width[item] - Q))
+        item, key, ends = item[good], key[good], ends[good]
+        low = np.maximum(place[ends] - self.width[item] + Q, 0)
+        high = np.minimum(place[good], self.size[item] - self.width[item])
+        # ranges of starts grow with the place; what the range before has is not told again
+        low[1:] = np.where(key[1:] == key[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        n = np.maximum(high - low + 1, 0)
+        start = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(item, n), start, np.repeat(((key & ((1 << 40) - 1)) - 1) * half - lowest, n) + start
 
 
-def aligned(window: np.ndarray, codes: np.ndarray, edits: int) -> tuple[int, int] | None:
-    """Fewest edits that turn the window into a stretch of the codes, and where the first such stretch ends; None beyond ``edits``."""
-    m = len(window)
-    peq: dict[int, int] = {}
-    for i, c in enumerate(window.tolist()):
-        peq[c] = peq.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    vp, vn, score, best = full, 0, m, None
-    for j, c in enumerate(codes.tolist()):
-        x = peq.get(c, 0) | vn
+def _aligned(windows: np.ndarray, sizes: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of windows: the fewest edits that turn it into a stretch of its row of texts, and where the first such stretch ends."""
+    one = np.uint64(1)
+    top = sizes.astype(np.uint64) - one
+    full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - top)
+    vp, vn = full.copy(), np.zeros(len(full), np.uint64)
+    score = sizes.astype(np.int64)
+    best, end = score.copy(), np.zeros(len(score), np.int64)
+    for j in range(texts.shape[1]):
+        same = np.packbits(windows == texts[:, j, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        x = same | vn
         d0 = ((vp + (x & vp)) ^ vp) | x
         hn, hp = vp & d0, vn | full & ~(vp | d0)
-        score += 1 if hp & top else -1 if hn & top else 0
-        hp, hn = hp << 1 & full, hn << 1 & full  # a stretch may begin anywhere
+        score += (hp >> top & one).astype(np.int64) - (hn >> top & one).astype(np.int64)
+        hp, hn = hp << one & full, hn << one & full  # a stretch may begin anywhere
         vn = hp & d0
         vp = hn | full & ~(hp | d0)
-        if score <= edits and (best is None or score < best[0]):
-            best = (score, j + 1)
-    return best
+        less = (score < best) & (j < lengths)
+        best[less], end[less] = score[less], j + 1
+    return best, end
+
+
+def aligned(window: np.ndarray, codes: np.ndarray, edits: int) -> tuple[int, int] | None:
+    """Fewest edits that turn a window of up to 64 codes into a stretch of the codes, and where the first such stretch ends; None beyond ``edits``."""
+    wide = np.full((1, 64), -1, np.int64)
+    wide[0, : len(window)] = window
+    best, end = _aligned(wide, np.array([len(window)]), np.asarray(codes, np.int64)[None, :], np.array([len(codes)]))
+    return (int(best[0]), int(end[0])) if best[0] <= edits else None
 
 
 def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
@@ -151,29 +189,57 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int,
         codes, at = canonical(text)
         starts.append(total)
         parts += [codes, np.zeros(1, np.uint32)]  # no q-gram with a zero is in an index
-        places.append(at)
+        places += [at, np.zeros(1, at.dtype)]
         total += len(codes) + 1
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     begin = np.array([*starts, total], np.int64)
-    hits: dict[tuple[int, int], list[int]] = {}
-    done: set[tuple[int, int]] = set()
-    for number, low in zip(*(x.tolist() for x in index.candidates(codes)), strict=True):
-        w = index.windows[number]
-        middle = min(max(low + EDITS + len(w.codes) // 2, 0), total - 1)
-        # the band may reach over a text's edge, so both texts there are tried
-        for t in {int(np.searchsorted(begin, min(max(x, 0), total - 1), "right")) - 1 for x in (low, middle, low + 2 * EDITS + len(w.codes))}:
-            a, b = max(low - EDITS, int(begin[t])), min(low + 3 * EDITS + 2 + len(w.codes), int(begin[t + 1]) - 1)
-            if b <= a:
-                continue
-            got = aligned(w.codes, codes[a:b], w.edits)
-            if got is None or (number, a + got[1]) in done:
-                continue
-            done.add((number, a + got[1]))
-            end = a + got[1] - int(begin[t])
-            start = max(end - len(w.codes), 0)
-            hit = hits.setdefault((t, w.item), [1 << 60, 0, 0, 1 << 30])
-            hit[:] = [min(hit[0], int(places[t][start])), max(hit[1], int(places[t][end - 1]) + 1), hit[2] + 1, min(hit[3], got[0])]
-    return [(t, item, *hit) for (t, item), hit in sorted(hits.items())]
+    item, start, low = index.candidates(codes)
+    if not len(item):
+        return []
+    width = index.width[item]
+    # the band may reach over a text's edge, so both texts there are tried
+    told = []
+    for x in (low, low + EDITS + width // 2, low + 2 * EDITS + width):
+        t = np.searchsorted(begin, np.clip(x, 0, total - 1), "right") - 1
+        fresh = np.ones(len(t), bool)
+        for _, other in told:
+            fresh &= other != t
+        told.append((fresh, t))
+    which = np.concatenate([np.flatnonzero(fresh) for fresh, _ in told])
+    t = np.concatenate([t[fresh] for fresh, t in told])
+    item, start, low, width = item[which], start[which], low[which], width[which]
+    a = np.maximum(low - EDITS, begin[t])
+    b = np.minimum(low + 3 * EDITS + 2 + width, begin[t + 1] - 1)
+    some = np.flatnonzero(b > a)
+    found = []
+    step, along = np.arange(WIDTH), np.arange(WIDTH + 4 * EDITS + 2)
+    for at in range(0, len(some), ALIGNED):
+        own = some[at : at + ALIGNED]
+        window = np.where(step < width[own, None], index.codes[(index.base[item[own]] + start[own])[:, None] + step], np.uint32(_NO_ITEM))
+        spot = a[own, None] + along
+        text = np.where(spot < b[own, None], codes[np.minimum(spot, total - 1)], np.uint32(_NO_TEXT))
+        best, end = _aligned(window, width[own], text, b[own] - a[own])
+        good = best <= index.edits[item[own]]
+        own = own[good]
+        found.append(np.stack([t[own], item[own], start[own], a[own] + end[good], best[good]]))
+    if not found:
+        return []
+    # windows at the same end are one, whatever bands they were found in
+    t, item, start, end, best = np.unique(np.concatenate(found, axis=1), axis=1)
+    if not len(t):
+        return []
+    spots = np.concatenate(places)
+    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1])])
+    left = np.minimum.reduceat(spots[np.maximum(end - index.width[item], begin[t])], first)
+    right = np.maximum.reduceat(spots[end - 1], first) + 1
+    number, fewest = np.diff(np.r_[first, len(t)]), np.minimum.reduceat(best, first)
+    rows = zip(t[first].tolist(), [index.items[i] for i in item[first].tolist()], left.tolist(), right.tolist(), number.tolist(), fewest.tolist(), strict=True)
+    # items that repeat an id are one item
+    out: dict[tuple[int, int], list[int]] = {}
+    for text_number, own_item, *hit in rows:
+        old = out.get((text_number, own_item))
+        out[text_number, own_item] = [min(old[0], hit[0]), max(old[1], hit[1]), old[2] + hit[2], min(old[3], hit[3])] if old else hit
+    return [(*k, *hit) for k, hit in sorted(out.items())]
 
 
 def _search(shared):

@@ -175,6 +175,45 @@ def test_leaks_match_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 15
 
 
+def fewest_of_all_windows(item, text, width=64):
+    """Fewest edits of any window of the item, one starting at each character, by the plain table for all windows at once."""
+    windows = np.array([[ord(c) for c in item[i : i + width]] for i in range(len(item) - width + 1)])
+    places = np.arange(width + 1)
+    row = np.tile(places, (len(windows), 1))
+    best = row[:, -1].min()
+    for x in text:
+        new = np.zeros_like(row)
+        new[:, 1:] = np.minimum(row[:, :-1] + (windows != ord(x)), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - places, axis=1) + places
+        best = min(best, row[:, -1].min())
+    return int(best)
+
+
+def test_passages_from_every_place_of_an_item():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    items = [" ".join(word("etaoin") for _ in range(40)) for _ in range(2)]
+    index = decontamination.Index(list(enumerate(items)))
+    other = lambda: " ".join(word("xyzq") for _ in range(8))
+    places = range(len(items[0]) - 63)
+    texts = [f"{other()} {items[0][i : i + 64]} {other()}" for i in places]
+    found = {r[0]: r[1:] for r in decontamination.find(index, texts)}
+    assert set(found) == set(places) and {r[0] for r in found.values()} == {0} and {r[4] for r in found.values()} == {0}
+    assert all(items[0][i + 4 : i + 60] in texts[i][found[i][1] : found[i][2]] for i in places)
+    texts = []
+    for _ in range(100):
+        item = rng.choice(items)
+        at = rng.randrange(len(item) - 63)
+        passage = list(item[at : at + rng.randint(62, 80)])
+        for _ in range(rng.randint(0, 7)):
+            i, kind = rng.randrange(len(passage)), rng.random()
+            passage[i : i + (kind < 0.6)] = [] if kind < 0.3 else [rng.choice("xyzq")]
+        texts.append(f"{other()} {''.join(passage).strip()} {other()}")
+    texts = [" ".join(t.split()) for t in texts]
+    want = {(n, i): e for n, t in enumerate(texts) for i, item in enumerate(items) if (e := fewest_of_all_windows(item, t)) <= 4}
+    assert {(r[0], r[1]): r[5] for r in decontamination.find(index, texts)} == want and 40 < len(want) < 90
+
+
 def test_leak_places_and_blocks(spark, monkeypatch, odd, none):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
