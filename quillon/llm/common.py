@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as white space between words: the blank, and tab to carriage return.
@@ -13,12 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one if Spark runs in one process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -58,6 +60,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 #: Rows that are broadcast at most: a hash table of so many ids has some 64 MB.
 MAX_BROADCAST_IDS = 2_000_000
 
+#: Bits of a hash that a bitmap tells apart: 32 MB, in rows of 4 KB.
+BITMAP_BITS = 28
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(bucket, bits) of the values of the column ``h``, a fixed size however many there are; see in_bitmap."""
+    low = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    return hashes.select(low.alias("low")).groupBy(F.bitmap_bucket_number("low").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("bits"))
+
+
+def in_bitmap(rows: DataFrame, filled: DataFrame, h: Column, name: str) -> DataFrame:
+    """Rows with a boolean column: whether their hash may be in the bitmap; false is certain. The bitmap is broadcast."""
+    low = h.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    place = F.bitmap_bit_position(low).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits, _place div 8 + 1, 1)")), 16, 10).cast("int")
+    told = rows.withColumns({"bucket": F.bitmap_bucket_number(low), "_place": place}).join(F.broadcast(filled), "bucket", "left")
+    on = F.coalesce(F.expr("shiftright(_byte, _place % 8) & 1 = 1"), F.lit(False))
+    return told.withColumn("_byte", byte).withColumn(name, on).drop("bucket", "bits", "_byte", "_place")
+
 
 def joined_by_id(docs: DataFrame, other: DataFrame, how: str, weight: int = 1) -> DataFrame:
     """docs joined to a written table by doc_id: broadcast if the table is small, so texts stay where they are, else shuffled.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, written
+from .common import bitmap, drop_path, in_bitmap, new_path, written
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -50,23 +50,53 @@ def _record(kind: str) -> Column:
     return F.concat(F.lit(MAGIC), *lines, F.lit("\r\n"), block)
 
 
+#: Copies, and pages that a bitmap takes for copies, that are broadcast at most (some 200 bytes each).
+MAX_BROADCAST = 500_000
+
+
+def _row_key() -> Column:
+    return F.xxhash64("page_id", "payload_digest")
+
+
+def _not_copies(rows: DataFrame, digests: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows that are no copies; their payloads stay where they are read but beyond two checks of sizes.
+
+    Few copies are broadcast. Of many a bitmap is, and beside it the pages that it takes for copies wrongly. Where these are too many as well,
+    the pages that the bitmap names are joined, which moves them.
+    """
+    keys = ["page_id", "payload_digest"]
+    same = lambda a, b: a.page_id.eqNullSafe(b.page_id) & (a.payload_digest == b.payload_digest)
+    if copies.count() <= MAX_BROADCAST:
+        few = F.broadcast(copies.select(*keys))
+        return rows.join(few, same(rows, few), "left_anti")
+    filled = bitmap(copies.select(_row_key().alias("h")))
+    narrow = in_bitmap(digests.select(*keys), filled, _row_key(), "maybe").where("maybe")
+    wrong = written(narrow.join(copies, same(narrow, copies), "left_anti").select(*keys).distinct(), "warc-wrong")
+    told = in_bitmap(rows, filled, _row_key(), "maybe")
+    if wrong.count() <= MAX_BROADCAST:
+        wrong = F.broadcast(wrong)
+    return told.where(~F.col("maybe")).unionByName(told.where("maybe").join(wrong, same(told, wrong), "left_semi")).drop("maybe")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """A WARC record for each row of page_id, url, html; the payload is the html in UTF-8 (null: empty).
 
     Of records with equal payloads of at least MIN_REVISIT_BYTES bytes the one with the smallest page_id is the response, the others
     are revisits that refer to it. Rows that repeat a page_id: the row itself decides nothing, so equal rows with
     the smallest page_id are all responses. Rows without a page_id have the id ``null`` and are responses unless
-    a row with an id has their payload. Only digests move; pages are written where they are read.
+    a row with an id has their payload. Digests alone move; responses are written where they are read, and revisits, which
+    have no payload, from the digests.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": _bytes(F.col("payload")).cast("long"), "payload_digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    digests = written(rows.select("page_id", "payload_bytes", "payload_digest"), "warc-digests")
-    firsts = digests.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    copies = digests.join(firsts.select("payload_digest", "first"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", F.col("first").alias("refers_to"), F.col("payload_digest").alias("d")).distinct()
-    told = rows.join(copies, rows.page_id.eqNullSafe(copies.page_id) & (rows.payload_digest == copies.d), "left").drop(copies.page_id).drop("d")
-    told = told.withColumn("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    record = F.when(F.col("refers_to").isNull(), _record("response")).otherwise(_record("revisit"))
-    told.select(record.alias("value")).write.option("lineSep", END).text(path)
+    digests = written(rows.drop("payload"), "warc-digests")
+    firsts = digests.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    copies = written(digests.join(firsts, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "warc-copies")
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    responses = _not_copies(rows, digests, copies).withColumn("page_id", name).select(_record("response").alias("value"))
+    revisits = copies.withColumn("page_id", name).select(_record("revisit").alias("value"))
+    for records in (responses, revisits):
+        records.write.mode("append").option("lineSep", END).text(path)
 
 
 def _field(name: str) -> Column:
@@ -89,26 +119,31 @@ def _located(rows: DataFrame) -> DataFrame:
     within = Window.partitionBy("file", "block").orderBy("nth")
     local = rows.withColumn("local", F.sum(F.col("size") + sep).over(within) - F.col("size") - sep)
     at = F.col("base") + F.col("local")
-    return local.join(base, ["file", "block"]).withColumn("row_start", at).withColumn("start", F.when(at == 0, 0).otherwise(at - len(VERSION))).drop("base", "local", "nth", "block")
+    return local.join(base, ["file", "block"]).withColumn("row_start", at).withColumn("start", F.when(at == 0, 0).otherwise(at - len(VERSION))).drop("base", "local")
 
 
 def _reached(nodes: DataFrame) -> DataFrame:
     """(file, start) of the candidates that the chains from offset 0 reach, by pointer jumping."""
-    jump = nodes.select("file", "start", "next")
-    reached = written(nodes.where("start = 0").select("file", "start"), "warc-reached")
-    path = None
+    spark = nodes.sparkSession
+
+    def laid(rows: DataFrame, tag: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, tag)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), path
+
+    jump, jump_path = nodes.select("file", "start", "next"), None
+    reached, path = laid(nodes.where("start = 0").select("file", "start"), "warc-reached")
     while True:
         steps = reached.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
         steps = steps.join(nodes.select("file", "start"), ["file", "start"], "left_semi")
-        reached = written(reached.unionByName(steps).distinct(), "warc-reached")
-        far = jump.withColumnRenamed("next", "mid").join(jump.select("file", F.col("start").alias("mid"), "next"), ["file", "mid"]).select("file", "start", "next")
-        old, path = path, new_path(nodes.sparkSession, "warc-jumps")
-        far.write.parquet(path)
-        jump = nodes.sparkSession.read.schema(jump.schema).parquet(path)
-        if old:
-            drop_path(nodes.sparkSession, old)
+        wider, wider_path = laid(reached.unionByName(steps).distinct(), "warc-reached")
+        far, far_path = laid(jump.withColumnRenamed("next", "mid").join(jump.select("file", F.col("start").alias("mid"), "next"), ["file", "mid"]).select("file", "start", "next"), "warc-jumps")
+        for old in (path, jump_path):
+            if old:
+                drop_path(spark, old)
+        reached, path, jump, jump_path = wider, wider_path, far, far_path
         if jump.isEmpty():
-            drop_path(nodes.sparkSession, path)
+            drop_path(spark, jump_path)
             return reached
 
 
@@ -137,16 +172,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.when(complete & is_response, F.sha2(payload, 256)).alias("digest"),
     )
     at = _located(narrow).withColumn("next", F.col("row_start") + F.col("row_bytes"))
-    at = written(at.withColumn("record_bytes", F.col("next") - F.col("start")), "warc-candidates")
+    at = written(at, "warc-candidates")
     ends = at.groupBy("file").agg(F.max(F.col("row_start") + F.col("size")).alias("end"))
-    nodes = at.where("record_bytes is not null").select("file", "start", "next")
+    nodes = at.where("next is not null").select("file", "start", "next")
     reached = _reached(nodes)
     records = written(at.join(reached, ["file", "start"]), "warc-records")
     broken = records.groupBy("file").agg(F.max("next").alias("last")).join(ends, "file", "right").where(~F.col("last").eqNullSafe(F.col("end"))).select("file").take(1)
     if broken:
         raise ValueError(f"the chain of records breaks in {broken[0]['file']}")
-    split = records.where("not complete").select("file", "start", "next", "block_bytes")
-    joined = None if split.isEmpty() else _split_payloads(raw, split)
+    split = records.where("not complete").select("file", "start", "block_bytes")
+    joined = None if split.isEmpty() else _split_payloads(raw, at, records, split)
     if joined is not None:
         records = records.join(joined, ["file", "start"], "left").withColumns({"digest": F.coalesce("digest", "joined"), "http_bytes": F.coalesce("joined_http", "http_bytes")})
     wrong = records.where("record_type = 'response' and not (told_digest <=> concat('sha256:', digest) and told_bytes <=> block_bytes - http_bytes)").take(1)
@@ -156,18 +191,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), F.col("told_bytes").alias("payload_bytes"), F.regexp_replace("told_digest", "^sha256:", "").alias("payload_digest"), "record_type", page("refers").alias("refers_to"))
 
 
-def _split_payloads(raw: DataFrame, split: DataFrame) -> DataFrame:
-    """(file, start, joined, joined_http): digests of payloads that hold boundaries, from their stretches in order."""
-    stretch = _located(raw.select("file", "block", "nth", "size", "value"))
-    spans = split.select(F.col("file").alias("f"), F.col("start").alias("from"), "next", "block_bytes")
-    met = stretch.join(spans, (F.col("file") == F.col("f")) & (F.col("start") >= F.col("from")) & (F.col("start") < F.col("next")))
-    parts = met.groupBy("f", "from", "block_bytes").agg(F.array_sort(F.collect_list(F.struct("row_start", "value"))).alias("parts"))
+def _split_payloads(raw: DataFrame, at: DataFrame, records: DataFrame, split: DataFrame) -> DataFrame:
+    """(file, start, joined, joined_http): digests of payloads that hold boundaries, from their stretches in order.
+
+    A stretch belongs to the last record of its file that starts no later. Which stretches are asked for is found without their bytes.
+    """
+    files = split.select("file").distinct()
+    own = records.select("file", "start", F.col("start").alias("own"))
+    known = at.select("file", "block", "nth", "start", "row_start").join(files, "file", "left_semi").join(own, ["file", "start"], "left")
+    owned = known.withColumn("from", F.last("own", ignorenulls=True).over(Window.partitionBy("file").orderBy("start")))
+    asked = owned.join(split.select("file", F.col("start").alias("from"), "block_bytes"), ["file", "from"]).select("file", "block", "nth", "from", "row_start", "block_bytes")
+    asked = written(asked, "warc-stretches")
+    met = raw.select("file", "block", "nth", "value").join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked, ["file", "block", "nth"])
+    parts = met.groupBy("file", "from", "block_bytes").agg(F.array_sort(F.collect_list(F.struct("row_start", "value"))).alias("parts"))
     whole = parts.withColumn("text", F.array_join(F.transform("parts", lambda p: p["value"]), BOUNDARY)).withColumn("head", F.substring_index("text", END, 1))
     # the HTTP header too may end in a later stretch than it began
     http = F.substring_index(F.substring("text", F.length("head") + len(END) + 1, 2**31 - 1), END, 1)
     sized = whole.withColumn("http", _bytes(http) + len(END))
     payload = F.substring(F.col("text").cast("binary"), _bytes(F.col("head")) + len(END) + F.col("http") + 1, (F.col("block_bytes") - F.col("http")).cast("int"))
-    return sized.select(F.col("f").alias("file"), F.col("from").alias("start"), F.sha2(payload, 256).alias("joined"), F.col("http").alias("joined_http"))
+    return sized.select("file", F.col("from").alias("start"), F.sha2(payload, 256).alias("joined"), F.col("http").alias("joined_http"))
 
 
 def archived(pages: DataFrame) -> DataFrame:

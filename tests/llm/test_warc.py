@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -77,3 +78,30 @@ def test_empty_and_clashing(spark):
     pages = spark.createDataFrame([(1, "u", "y" * 120, "a", 2), (2, "u", "y" * 120, "b", 3)], SCHEMA + ", payload string, first long")
     assert sorted(map(tuple, warc.archived(pages).collect()), key=str) == expected([tuple(r)[:3] for r in pages.collect()])
     assert warc.archived(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit,bits", [(1, 28), (1, 15), (500_000, 28)])
+def test_many_copies_take_a_bitmap(spark, monkeypatch, limit, bits):
+    """Beyond the first check a bitmap stands for the copies, here also one so small that it takes other pages for copies."""
+    from quillon.llm import common
+
+    monkeypatch.setattr(warc, "MAX_BROADCAST", limit)
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
+    rows = [(i, "u", f"{'page' * 40} {i // 3}") for i in range(900)] + [(900 + i, "u", f"{'own' * 40} {i}") for i in range(5000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, warc.archived(frame).collect()), key=str) == expected(rows)
+
+
+def test_payloads_do_not_move(spark, sf, monkeypatch):
+    """In the plan of the responses no payload is under an exchange, copies many or few."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", "html as payload", "sha2(html, 256) as payload_digest")
+    digests = pages.drop("payload")
+    copies = digests.where("page_id % 3 = 0")
+    for limit in (500_000, 1):
+        monkeypatch.setattr(warc, "MAX_BROADCAST", limit)
+        if limit == 1:  # the bitmap's mistakes are few at any bound here
+            monkeypatch.setattr(warc, "MAX_BROADCAST", copies.count() - 1)
+        plan = warc._not_copies(pages, digests, copies).select(F.length("payload"), "page_id")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange (hash|range|round)[^\n]*\n[^\n]*payload#", plan) and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
