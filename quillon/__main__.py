@@ -12,7 +12,7 @@ from .operators import audit, temporal
 from .plans import decisions, evaluations
 from .plans.reports import write_report
 from .sources.artifacts import read_manifest
-from .sources.tables import EVENT_FILE, Dataset, read_csv, read_dataset, require_files, with_row_id
+from .sources.tables import EVENT_FILE, Dataset, file_profiles, read_csv, read_dataset, require_files
 
 
 def depths(least: int):
@@ -92,12 +92,12 @@ def report(spark: SparkSession, command: str, options: dict[str, Any]) -> dict[s
     if command == "audit":
         require_files(spark, options["dataset"])
         data = read_dataset(spark, options["dataset"])
-        return audit.dataset_audit(data.events, data.properties, data.tree, options["dataset"])
+        return audit.dataset_audit(data.events, data.properties, data.tree, options["dataset"], file_profiles(spark, options["dataset"]))
     if command in ("observation", "manifest"):
         source = options.pop("events")
         from .functions.guards import EVENTS
 
-        events = with_row_id(read_csv(spark, source, EVENTS, EVENT_FILE))
+        events = read_csv(spark, source, EVENTS, EVENT_FILE)
         return audit.observation_audit(events, source) if command == "observation" else temporal.build_manifest(events, source, **options)
     if command == "final":
         return decisions.final_selection(spark, options["artifacts"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,11 +51,22 @@ def nearest_index(n: int, fraction: float) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, read from the checkpoint folder that the session names, or from one of our own where it names none."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+    """The rows, as a Parquet table in the checkpoint folder that the session names; in one of our own where it names none and Spark runs in one process.
+
+    Of the table later plans read only the columns that they need.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        named = context._jsc.sc().getCheckpointDir().get()
+    path = f"{named.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:

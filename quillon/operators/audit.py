@@ -51,7 +51,8 @@ def has_cycle(tree: DataFrame) -> bool:
 
     Of rows that repeat a category the last counts.
     """
-    rest = normalized_tree(tree.withColumn("_row", F.monotonically_increasing_id()).groupBy("categoryid").agg(F.max_by("parentid", "_row").alias("parentid"))).where("parentid is not null").persist()
+    row = F.col("row_id") if "row_id" in tree.columns else F.monotonically_increasing_id()
+    rest = normalized_tree(tree.withColumn("_row", row).groupBy("categoryid").agg(F.max_by("parentid", "_row").alias("parentid"))).where("parentid is not null").persist()
     try:
         left = rest.count()
         while left:
@@ -129,11 +130,11 @@ def observation_audit(events: DataFrame, source: str) -> dict[str, Any]:
         pairs.unpersist()
 
 
-def dataset_audit(events: DataFrame, properties: DataFrame, tree: DataFrame, source: str) -> dict[str, Any]:
-    """All profiles of a dataset."""
+def dataset_audit(events: DataFrame, properties: DataFrame, tree: DataFrame, source: str, files: list[dict[str, Any]] | None = None) -> dict[str, Any]:
+    """All profiles of a dataset; ``files`` are those of the files that the tables were read from, else the tables stand for them."""
     return {
         "source_dir": source,
-        "files": [file_profile(events, "events.csv"), file_profile(properties, "item_properties"), file_profile(tree, "category_tree.csv")],
+        "files": files or [file_profile(events, "events.csv"), file_profile(properties, "item_properties"), file_profile(tree, "category_tree.csv")],
         "events": event_profile(events),
         "properties": property_profile(properties),
         "category_tree": tree_profile(tree),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +20,7 @@ EXPECTED_FILES = (EVENT_FILE, *PROPERTY_FILES, TREE_FILE)
 
 @dataclass(frozen=True)
 class Dataset:
-    """events (with row_id, in ingestion order), properties (with row_id) and tree."""
+    """events, properties and tree; row_id is the order of ingestion (the tree of the test tables has none)."""
 
     events: DataFrame
     properties: DataFrame
@@ -36,7 +39,7 @@ def require_files(spark: SparkSession, folder: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, name: str) -> DataFrame:
-    """A CSV table with a header, checked by the names it must have; other columns are not read.
+    """A CSV table with a header, checked by the names it must have; other columns are not read. row_id is the rows' order, see row_order.
 
     Values that are no numbers where numbers belong are an error, save a number with a fraction of zero.
     """
@@ -44,34 +47,66 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, n
     for p in paths:
         header = spark.read.text(p).limit(1).collect()
         require_columns([c.strip().strip('"') for c in header[0][0].split(",")] if header else [], schema.fieldNames(), p.rpartition("/")[2] or name)
-    raw = spark.read.option("header", True).csv(paths)
     typed = [F.col(f.name).cast("decimal(38,6)").cast("long").alias(f.name) if f.dataType == T.LongType() else F.col(f.name) for f in schema.fields]
-    return raw.select(*typed)
+    parts, first = [], 0
+    for p in paths:
+        raw = spark.read.option("header", True).csv(p)
+        order, first = row_order(raw, first, F.col("_metadata.file_block_start") + _place_in_task())
+        parts.append(raw.select(*typed, order.alias("row_id")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+#: Bits of a row_id for the place in a file; those above number the files.
+PLACE_BITS = 50
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Ingestion order: files and lines in order give ascending numbers."""
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+def _place_in_task() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def row_order(raw: DataFrame, first: int, place: Column) -> tuple[Column, int]:
+    """Ascending numbers for rows by file (in order of names within one path, from number ``first``) and ``place`` in the file; and the next file's number.
+
+    Spark deals splits out by size, so the number of a task tells nothing of order. A split's offset does: a row takes a byte or more,
+    so offset and place in the task stay under the next split's offset, as only a file's last split shares its task with others.
+    """
+    files = sorted(raw.inputFiles())
+    number: Column = F.lit(first)
+    if len(files) > 1:
+        # one writes file:///a where the other writes file:/a
+        known = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(re.sub(":/+", ":/", f, count=1)), F.lit(first + i))])
+        number = F.element_at(known, F.regexp_replace("_metadata.file_path", "^([a-zA-Z0-9]+):/+", "$1:/"))
+    return F.shiftleft(number.cast("long"), PLACE_BITS) + place, first + max(len(files), 1)
 
 
 def read_dataset(spark: SparkSession, folder: str) -> Dataset:
-    """The four-file layout; property files are one logical table."""
+    """The four-file layout; property files are one logical table, the rows of the second after those of the first."""
     properties = read_csv(spark, [f"{folder}/{n}" for n in PROPERTY_FILES], PROPERTIES, "item_properties")
-    return Dataset(with_row_id(read_csv(spark, f"{folder}/{EVENT_FILE}", EVENTS, EVENT_FILE)), with_row_id(properties), read_csv(spark, f"{folder}/{TREE_FILE}", TREE, TREE_FILE))
+    return Dataset(read_csv(spark, f"{folder}/{EVENT_FILE}", EVENTS, EVENT_FILE), properties, read_csv(spark, f"{folder}/{TREE_FILE}", TREE, TREE_FILE))
 
 
 def read_parquet_dataset(spark: SparkSession, events: str, properties: str, tree: str) -> Dataset:
-    """The same tables as Parquet; a row_id column is taken as it is."""
+    """The same tables as Parquet; a row_id column is taken as it is, else rows are numbered by file and place."""
 
     def table(path: str, schema: T.StructType) -> DataFrame:
         df = spark.read.parquet(path)
         require_columns(df.columns, schema.fieldNames(), path.rpartition("/")[2])
-        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *(["row_id"] if "row_id" in df.columns else []))
-        return typed if "row_id" in df.columns or schema == TREE else with_row_id(typed)
+        order = F.col("row_id") if "row_id" in df.columns else row_order(df, 0, F.col("_metadata.row_index"))[0]
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], order.alias("row_id"))
 
     return Dataset(table(events, EVENTS), table(properties, PROPERTIES), table(tree, TREE))
 
 
+def file_profiles(spark: SparkSession, folder: str) -> list[dict[str, Any]]:
+    """Rows, columns as the file has them, and nulls by column of each of the four files."""
+    out = []
+    for name in EXPECTED_FILES:
+        raw = spark.read.option("header", True).csv(f"{folder}/{name}")
+        row = raw.agg(F.count("*"), *[F.count_if(F.col(f"`{c}`").isNull()) for c in raw.columns]).first()
+        out.append({"name": name, "row_count": row[0], "columns": raw.columns, "null_counts": dict(zip(raw.columns, row[1:], strict=True))})
+    return out
+
+
 def deduplicated(events: DataFrame) -> DataFrame:
     """One row, the first, of rows that are equal in all columns but row_id; nulls are equal."""
     names = [c for c in events.columns if c != "row_id"]
