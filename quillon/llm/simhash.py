@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected, joined_by_id, small_batches, written
+from .common import MAX_BROADCAST_IDS, WORD, connected, joined_by_id, small_batches, written
 
 _WORDS = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -41,13 +41,19 @@ class Segment:
 #: 64 bits in two halves: (1 + 1) + 1 and (0 + 1) + 1 make 5, over a distance of 4.
 HALVES = (Segment(0, 32, 32, 1, 1), Segment(0, 0, 32, 0, 1))
 
-#: Six segments of 21 bits in two words. Of texts whose five-word shingles have a Jaccard similarity of 0.8, some 15 % of the
-#: bits differ; a segment then has at most two differing bits, as its two balls allow, with probability 0.37, one of six with 0.94
-#: (0.99 at a similarity of 0.85); 28 of 128 bits or fewer differ with 0.98. Unrelated texts differ in half of the bits, six standard deviations away.
-WIDE = tuple(Segment(i // 3, 21 * (i % 3), 21, 1, 1) for i in range(6))
-WIDE_LONGS, WIDE_WORDS, WIDE_DISTANCE = 2, 5, 28
+#: Eight segments of 21 bits, two in each of four words. Of texts whose five-word shingles have a Jaccard similarity of 0.8, some 15 % of
+#: the bits differ; a segment then has at most two differing bits, as its two balls allow, with probability 0.36, one of eight with
+#: 0.97; 49 of 256 bits or fewer differ with 0.97. Unrelated texts differ in half of the bits, nine standard deviations away.
+WIDE = tuple(Segment(i // 2, 21 * (i % 2), 21, 1, 1) for i in range(8))
+WIDE_LONGS, WIDE_WORDS, WIDE_DISTANCE = 4, 5, 49
 #: Buckets up to this size are compared at all places at once, larger ones from row to row.
 LAGS = 32
+#: Rows of a bucket that one task compares; a larger bucket is cut into blocks of about so many, and each two blocks meet in a task.
+BLOCK = 4096
+
+#: Bits of each byte, to count bits from counts of bytes.
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_BYTE_AT = 256 * np.arange(8, dtype=np.uint16)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -80,10 +86,11 @@ def fingerprint(text: str | None, words: int = 4, longs: int = 1) -> list[int]:
     h = shingle_hashes(text, words)
     out = []
     for n in range(longs):
-        x, ones = _mixed(h, n), np.zeros(64, np.int64)
+        x, seen = _mixed(h, n), np.zeros(8 * 256, np.int64)
         for at in range(0, len(x), 1 << 14):  # bounded memory however long the text
-            ones += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(ones * 2 > len(x), bitorder="little").tobytes(), "little"))
+            seen += np.bincount((x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=8 * 256)
+        ones = seen.reshape(8, 256) @ _BYTE_BITS  # whole numbers far below 2 ** 53
+        out.append(int.from_bytes(np.packbits((2 * ones > len(x)).ravel(), bitorder="little").tobytes(), "little"))
     return out
 
 
@@ -169,45 +176,96 @@ def _spanning(keys: np.ndarray, words: np.ndarray, distance: int) -> tuple[np.nd
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _bucket_links(longs: int, distance: int):
+def _bucket_links(longs: int, distance: int, limit: int | None):
+    """Links of sorted buckets; of a bucket of more than ``limit`` rows, which is never held, its key and size."""
     names = [f"{side}{i}" for side in "fg" for i in range(longs)]
 
+    def batch_of(words: np.ndarray, key: list[int | None], size: list[int | None]) -> pa.RecordBatch:
+        none = pa.nulls(len(key), pa.int64())
+        columns = [pa.array(np.ascontiguousarray(c)) for c in words.view(np.int64)] if len(words) else [none] * len(names)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(key, pa.int64()), pa.array(size, pa.int64())], names=[*names, "key", "size"])
+
     def edges(keys: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         a, b = _spanning(keys, words, distance)
-        both = np.concatenate([words[:, a], words[:, b]]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both], names=names)
+        return batch_of(np.concatenate([words[:, a], words[:, b]]), [None] * len(a), [None] * len(a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, np.int64), np.zeros((longs, 0), np.uint64)
-        for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            words = np.concatenate([held, np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(longs)])], axis=1)
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if whole and len(keys) >= 20_000:
+        keys, words = np.zeros(0, np.int64), np.zeros((longs, 0), np.uint64)
+        crowd: list[int] = []  # key and rows so far of a crowded bucket that may go on
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal keys, words, crowd
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(keys)])
+            if limit:
+                large = sizes > limit
+                told = [(int(keys[s]), int(n)) for s, n in zip(starts[large], sizes[large], strict=True)]
+                if told and large[-1] and not last:
+                    crowd = list(told.pop())
+                if told:
+                    yield batch_of(np.zeros((0, 0), np.uint64), *(list(x) for x in zip(*told, strict=True)))
+                small = np.repeat(~large, sizes)
+                keys, words = keys[small], words[:, small]
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            whole = len(keys) if last or crowd or not len(starts) else int(starts[-1])  # the last bucket may go on
+            if whole:
                 yield edges(keys[:whole], words[:, :whole])
-                held_keys, held = keys[whole:], words[:, whole:]
-            else:
-                held_keys, held = keys, words
-        if len(held_keys):
-            yield edges(held_keys, held)
-
-    return run, ", ".join(f"{n} long" for n in names)
+            keys, words = keys[whole:], words[:, whole:]
 
-
-def wide_links(prints: DataFrame, segments: tuple[Segment, ...], distance: int) -> DataFrame:
-    """(u, v) of fingerprints of several words within the distance that share a bucket: enough of them to connect all such.
-
-    Rows carry the complete fingerprint, so distances are verified where buckets stand; the two balls of a segment must be alike.
-    A dense group gives a link or so for each row, not all its pairs.
+        held_keys, held_words, held = [], [], 0
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            w = np.stack([batch.column(i + 1).to_numpy().view(np.uint64) for i in range(longs)])
+            if crowd and len(k):
+                more = int(np.searchsorted(k, crowd[0], "right"))
+                crowd[1] += more
+                k, w = k[more:], w[:, more:]
+                if not len(k):
+                    continue
+                yield batch_of(np.zeros((0, 0), np.uint64), [crowd[0]], [crowd[1]])
+                crowd = []
+            held_keys.append(k)
+            held_words.append(w)
+            held += len(k)
+            if held >= 20_000:
+                keys, words = np.concatenate([keys, *held_keys]), np.concatenate([words, *held_words], axis=1)
+                held_keys, held_words, held = [], [], 0
+                yield from done(False)
+        keys, words = np.concatenate([keys, *held_keys]), np.concatenate([words, *held_words], axis=1)
+        yield from done(True)
+        if crowd:
+            yield batch_of(np.zeros((0, 0), np.uint64), [crowd[0]], [crowd[1]])
+
+    return run, ", ".join(f"{n} long" for n in [*names, "key", "size"])
+
+
+def spanning_links(prints: DataFrame, segments: tuple[Segment, ...], distance: int) -> DataFrame:
+    """(u, v) of fingerprints within the distance that share a bucket: enough of them to connect all such.
+
+    Rows carry the complete fingerprint, so distances are verified where buckets stand; either side has the larger of a segment's two balls.
+    A dense group gives a link or so for each row, not all its pairs. No task holds a bucket of over BLOCK rows: those are cut into blocks,
+    and each two blocks of a bucket are compared by a task of their own.
     """
     names = [c for c in prints.columns if c != "node"]
-    if any(s.table_radius != s.query_radius for s in segments):
-        raise ValueError("both balls of a segment must have the same radius")
-    dealt = _keys(prints.select(*names), segments, "table").select("key", *names).repartition("key").sortWithinPartitions("key")
-    run, schema = _bucket_links(len(names), distance)
-    found = dealt.mapInArrow(run, schema)
-    node = lambda side: F.xxhash64(*[f"{side}{i}" for i in range(len(names))])
-    return found.select(node("f").alias("u"), node("g").alias("v")).distinct()
+    both = tuple(Segment(s.word, s.start, s.width, max(s.table_radius, s.query_radius), max(s.table_radius, s.query_radius)) for s in segments)
+    keyed = _keys(prints.select(*names), both, "table").select("key", *names)
+    node = lambda side: F.col(f"{side}0") if len(names) == 1 else F.xxhash64(*[f"{side}{i}" for i in range(len(names))])
+    ends = [node("f").alias("u"), node("g").alias("v")]
+
+    def met(rows: DataFrame, limit: int | None) -> DataFrame:
+        run, schema = _bucket_links(len(names), distance, limit)
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+    found = written(met(keyed, BLOCK).select(*ends, "key", "size").distinct(), "bucket-links")
+    links, crowded = found.where("key is null").select("u", "v"), found.where("key is not null").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    n = crowded.count()
+    if not n:
+        return links
+    own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int")
+    told = keyed.join(F.broadcast(crowded) if n <= MAX_BROADCAST_IDS // 2 else crowded, "key").withColumn("own", own)
+    other = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = other.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
+    return links.unionByName(met(blocks, None).select(*ends)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, longs: int = 1, segments: tuple[Segment, ...] = HALVES, distance: int = 4) -> DataFrame:
@@ -224,8 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, longs: int = 1, segments: t
     different = found.groupBy(*names).agg(F.min("doc_id").alias("first_doc"))
     node = F.col("f0") if longs == 1 else F.xxhash64(*names)
     nodes = written(different.withColumn("node", node), "fingerprint-nodes")
-    search = links if longs == 1 else wide_links
-    roots = connected(search(nodes.select("node", *names), segments, distance), "fingerprint-links")
+    roots = connected(spanning_links(nodes.select("node", *names), segments, distance), "fingerprint-links")
     first = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = roots.join(first, "root").select("node", "component_id")
     own = nodes.join(linked, "node", "left").select(*names, F.coalesce("component_id", "first_doc").alias("component_id"))

@@ -2,7 +2,7 @@
 
 A text is cut where the tokenizer's own pre-tokenizer is bound to cut it, each different
 piece is encoded once per worker by the ``tokenizers`` library, and the ids of the pieces are
-joined. Where a text has white space that could tie pieces together, the library encodes
+joined. Where a text has white space that could tie pieces together, or the string of an added token, the library encodes
 the whole text instead, so ids are the library's own in every case.
 """
 
@@ -39,15 +39,22 @@ def _lowered(text: str) -> str:
 
 
 class PieceEncoder:
-    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
+    """Ids of whole texts as little-endian unsigned integers of ``width`` bytes.
 
-    def __init__(self, path: str):
+    The string of an added token in a text has that token's id, as the library gives it; with ``special_as_text`` it is ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t for t in spec.get("added_tokens") or [] if t["content"]]
+        #: strings that the library looks for in a text before all else, or in its normalized form: pieces, which are cut and lowered, can't tell
+        self.marks = tuple(t["content"].lower() for t in added if not (special_as_text and t.get("special")))
+        self.first_marks = {c for m in self.marks for c in (m[0], m[0].upper())}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         kinds = [n.get("type") for n in ((spec.get("normalizer") or {}).get("normalizers") or [])]
@@ -64,6 +71,12 @@ class PieceEncoder:
         self.tails = dict(zip(tails, self._library(tails), strict=True))
         self.break_ids = self._library(["\n"])[0] if self.mode == "spaced" else b""
 
+    def _marked(self, text: str) -> bool:
+        if not any(c in text for c in self.first_marks):
+            return False
+        low = text.lower()
+        return any(m in low for m in self.marks)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -132,15 +145,17 @@ class PieceEncoder:
                 out.append(b"")
                 continue
             try:
+                if self._marked(text):
+                    raise TypeError
                 if spaced and (not first or first[0].isspace() or first[-1].isspace()):
                     raise TypeError
                 out.append(head + b"".join(map(get, cut)))
-            except TypeError:  # a piece is tied: the library takes the whole text
+            except TypeError:  # a piece is tied or an added token's string is there: the library takes the whole text
                 out.append(self._library([text])[0])
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """The encoder of a file, one for each worker process."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special_as_text)
