@@ -89,6 +89,25 @@ def joined_by_id(docs: DataFrame, other: DataFrame, how: str, weight: int = 1) -
     return docs.join(F.broadcast(other) if small else other, "doc_id", how)
 
 
+#: Rows with one key beyond which the key is hot: its row of the other table is broadcast, so these rows are not brought together.
+HOT_ROWS = 100_000
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to a written table with a row for each key, with no regard to how many rows a key has.
+
+    A small table is broadcast. Of a larger one the rows of hot keys are, whose number is that of all rows over HOT_ROWS at most; the rest is shuffled.
+    """
+    if table.count() <= MAX_BROADCAST_IDS // 2:
+        return rows.join(F.broadcast(table), key, "left")
+    hot = written(rows.groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key, "left")
+    few = F.broadcast(hot)
+    told = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, "left")
+    return told.unionByName(rows.join(few, key, "left_anti").join(table, key, "left"))
+
+
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 

@@ -85,3 +85,43 @@ def test_without_repeats(spark, odd, none):
 def test_parameters():
     with pytest.raises(ValueError):
         line_dedup.links(None, 0)
+
+
+@pytest.mark.parametrize("members,probes", [(64, 4096), (3, 5)])
+def test_short_lines_have_edits_in_proportion(spark, monkeypatch, members, probes):
+    """Brute force over lines of all lengths: an edit for each twelve characters of the shorter line, two at most; parts of crowded buckets change nothing."""
+    monkeypatch.setattr(line_dedup, "MEMBERS", members)
+    monkeypatch.setattr(line_dedup, "PROBES", probes)
+    rng = random.Random(77)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(6, 34))) for _ in range(14)]
+    lines = sorted({edited(rng, b, rng.randint(0, 3)) for b in base for _ in range(24)} | {"", "a", "ab", "abc"})
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::20])) for i in range(20)], "doc_id long, text string")
+    allowed = lambda a, b: min(2, min(len(a), len(b)) // 12)
+    want = {x: 0 for x in lines}
+    for i, b in enumerate(lines):
+        for a in lines[:i]:
+            if abs(len(a) - len(b)) <= 2 and allowed(a, b) and distance(a, b) <= allowed(a, b):
+                want[a] += 1
+                want[b] += 1
+    text = {(i, n): x for i in range(20) for n, x in enumerate(lines[i::20])}
+    found = line_dedup.line_classes(docs).collect()
+    assert {text[r.doc_id, r.line_no]: r.n_links for r in found} == want
+    assert any(n and 12 <= len(x) < 24 for x, n in want.items())
+
+
+def test_hot_lines_are_not_brought_together(spark, monkeypatch):
+    from quillon.llm import common
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7L, id) as k")
+    table = spark.range(3000).selectExpr("id as k", "id * 2 as v")
+    want = sorted(map(tuple, rows.join(table, "k", "left").select("id", "k", "v").collect()), key=str)
+    for ids, hot in ((1 << 20, 100), (10, 100), (10, 10**6)):
+        monkeypatch.setattr(common, "MAX_BROADCAST_IDS", ids)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert sorted(map(tuple, common.joined_by_key(rows, table, "k").select("id", "k", "v").collect()), key=str) == want
+
+
+def test_repeats_of_lines_of_twelve_characters_go(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\nshort"), (2, "words of its own stand here\nAll rights reserved!\nshort")], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
+    assert found == {1: "All rights reserved.\nshort", 2: "words of its own stand here\nshort"}
