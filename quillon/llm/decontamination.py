@@ -5,6 +5,9 @@ w - q + 1 - k * q of its q-grams, all within k diagonals of each other. Shared q
 diagonal bands that overlap by half, so one band holds them all; windows whose q-grams reach the bound in a band are verified
 by a bit-parallel alignment inside the band, many at once. Windows are ranges of an item's q-grams, so the
 index holds each q-gram's place in an item once.
+
+Texts and items that repeat a q-gram many times meet in very many places. Places are looked at in blocks of a bounded
+number of such meetings, which overlap by a window, and stretches that are alike are aligned once.
 """
 
 from __future__ import annotations
@@ -28,9 +31,17 @@ BLOCK_CHARS = 4_000_000
 BATCH_CHARS = 2_000_000
 #: Windows that are aligned together (some 500 bytes each).
 ALIGNED = 4096
+#: Meetings of a q-gram's places that are laid out together (some 100 bytes each).
+MEETINGS = 500_000
+#: Places that the q-grams of a window in a text may span.
+SPAN = WIDTH + 4 * EDITS
 #: Codes that no canonical text has: past a window's end, past a text's end.
 _NO_ITEM, _NO_TEXT = 1, 2
 _FILTER_BITS = 22
+_PLACES = 1 << 32
+#: Multiplier of hashes of stretches, and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @lru_cache(maxsize=1)
@@ -104,6 +115,9 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.gram, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.number, self.place = number[order], place[order]
+        #: places in all items one after the other, beside the number of their q-gram: in ascending order
+        where = self.base[self.number] + self.place if len(h) else place
+        self.sorted = np.repeat(np.arange(len(self.gram)), self.count) * _PLACES + where
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -116,20 +130,36 @@ class Index:
                 at = int(self.base[n]) + start
                 yield Window(item, start, self.codes[at : at + int(self.width[n])], int(self.edits[n]))
 
-    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of items, starts of windows in them and bands (lowest diagonal of the window) whose shared q-grams reach the bound."""
-        none = np.zeros(0, np.int64)
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of items, starts of windows in them and bands (lowest diagonal of the window) whose shared q-grams reach the bound; block by block, some more than once."""
         h = _hashes(codes)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.gram):
-            return none, none, none
+            return
         where = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
         same = self.gram[where] == h[at]
         at, where = at[same], where[same]
-        n = self.count[where]
-        if not len(n):
-            return none, none, none
-        entry = np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        todo = [(0, len(at), 0, int(self.base[-1] + self.size[-1]))]
+        while todo:
+            i, j, a, b = todo.pop()
+            gram = where[i:j] * _PLACES
+            first = np.searchsorted(self.sorted, gram + a)
+            n = np.searchsorted(self.sorted, gram + b) - first
+            total = int(n.sum())
+            if not total:
+                continue
+            if total > MEETINGS:
+                if at[j - 1] - at[i] > 4 * SPAN:  # two parts of the text that overlap by a window
+                    middle = int(at[i] + at[j - 1]) // 2
+                    todo += [(i, int(np.searchsorted(at, middle + SPAN)), a, b), (int(np.searchsorted(at, middle)), j, a, b)]
+                    continue
+                if b - a > 4 * WIDTH:  # two parts of the items
+                    todo += [(i, j, a, (a + b) // 2 + WIDTH), (i, j, (a + b) // 2, b)]
+                    continue
+            yield self._bands(at[i:j], first, n)
+
+    def _bands(self, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         item, place = self.number[entry], self.place[entry]
         half, lowest = EDITS + 1, int(self.size.max())
         band = (np.repeat(at, n) - place + lowest) // half  # a band is two halves; each diagonal lies in two bands
@@ -152,6 +182,24 @@ class Index:
         return np.repeat(item, n), start, np.repeat(((key & ((1 << 40) - 1)) - 1) * half - lowest, n) + start
 
 
+class Stretches:
+    """Hashes of any stretch of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        with np.errstate(over="ignore"):
+            power = np.full(len(codes) + 1, _BASE, np.uint64)
+            power[0] = 1
+            back = np.full(len(codes) + 1, _INVERSE, np.uint64)
+            back[0] = 1
+            power, self.back = np.cumprod(power), np.cumprod(back)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        h = (self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(31)
+
+
 def _aligned(windows: np.ndarray, sizes: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of windows: the fewest edits that turn it into a stretch of its row of texts, and where the first such stretch ends."""
     one = np.uint64(1)
@@ -193,12 +241,37 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int,
         total += len(codes) + 1
     codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     begin = np.array([*starts, total], np.int64)
-    item, start, low = index.candidates(codes)
-    if not len(item):
-        return []
-    width = index.width[item]
+    spots: np.ndarray | None = None
+    stretches: tuple[Stretches, Stretches] | None = None
+    #: of each text and item: places around all windows, fewest edits, and the windows' starts
+    hits: dict[tuple[int, int], list] = {}
+    for found in index.candidates(codes):
+        if not len(found[0]):
+            continue
+        if spots is None or stretches is None:
+            spots, stretches = np.concatenate(places), (Stretches(index.codes), Stretches(codes))
+        t, item, start, end, best = _aligned_candidates(index, codes, begin, stretches, *found)
+        if not len(t):
+            continue
+        order = np.lexsort((start, item, t))
+        t, item, start, end, best = t[order], item[order], start[order], end[order], best[order]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1])])
+        left = np.minimum.reduceat(spots[np.maximum(end - index.width[item], begin[t])], first)
+        right = np.maximum.reduceat(spots[end - 1], first) + 1
+        fewest = np.minimum.reduceat(best, first)
+        for n, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True)):
+            key = int(t[a]), index.items[int(item[a])]  # items that repeat an id are one item
+            own = index.base[item[a]] + np.unique(start[a:b])
+            old = hits.get(key)
+            hits[key] = [min(old[0], left[n]), max(old[1], right[n]), np.union1d(old[2], own), min(old[3], fewest[n])] if old else [left[n], right[n], own, fewest[n]]
+    return [(*k, int(a), int(b), len(own), int(e)) for k, (a, b, own, e) in sorted(hits.items())]
+
+
+def _aligned_candidates(index: Index, codes: np.ndarray, begin: np.ndarray, stretches: tuple[Stretches, Stretches], item: np.ndarray, start: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text number, item, start, end and edits of those candidates that are within their edits."""
+    total, width = len(codes), index.width[item]
     # the band may reach over a text's edge, so both texts there are tried
-    told = []
+    told: list[tuple[np.ndarray, np.ndarray]] = []
     for x in (low, low + EDITS + width // 2, low + 2 * EDITS + width):
         t = np.searchsorted(begin, np.clip(x, 0, total - 1), "right") - 1
         fresh = np.ones(len(t), bool)
@@ -211,35 +284,22 @@ def find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int,
     a = np.maximum(low - EDITS, begin[t])
     b = np.minimum(low + 3 * EDITS + 2 + width, begin[t + 1] - 1)
     some = np.flatnonzero(b > a)
-    found = []
+    t, item, start, width, a, b = (x[some] for x in (t, item, start, width, a, b))
+    # stretches that are alike have one alignment
+    window_at = index.base[item] + start
+    alike = stretches[0].of(window_at, window_at + width) * np.uint64(_BASE) + stretches[1].of(a, b)
+    _, one, back = np.unique(alike, return_index=True, return_inverse=True)
+    best, end = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
     step, along = np.arange(WIDTH), np.arange(WIDTH + 4 * EDITS + 2)
-    for at in range(0, len(some), ALIGNED):
-        own = some[at : at + ALIGNED]
-        window = np.where(step < width[own, None], index.codes[(index.base[item[own]] + start[own])[:, None] + step], np.uint32(_NO_ITEM))
+    for n in range(0, len(one), ALIGNED):
+        own = one[n : n + ALIGNED]
+        window = np.where(step < width[own, None], index.codes[window_at[own, None] + step], np.uint32(_NO_ITEM))
         spot = a[own, None] + along
         text = np.where(spot < b[own, None], codes[np.minimum(spot, total - 1)], np.uint32(_NO_TEXT))
-        best, end = _aligned(window, width[own], text, b[own] - a[own])
-        good = best <= index.edits[item[own]]
-        own = own[good]
-        found.append(np.stack([t[own], item[own], start[own], a[own] + end[good], best[good]]))
-    if not found:
-        return []
-    # windows at the same end are one, whatever bands they were found in
-    t, item, start, end, best = np.unique(np.concatenate(found, axis=1), axis=1)
-    if not len(t):
-        return []
-    spots = np.concatenate(places)
-    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1])])
-    left = np.minimum.reduceat(spots[np.maximum(end - index.width[item], begin[t])], first)
-    right = np.maximum.reduceat(spots[end - 1], first) + 1
-    number, fewest = np.diff(np.r_[first, len(t)]), np.minimum.reduceat(best, first)
-    rows = zip(t[first].tolist(), [index.items[i] for i in item[first].tolist()], left.tolist(), right.tolist(), number.tolist(), fewest.tolist(), strict=True)
-    # items that repeat an id are one item
-    out: dict[tuple[int, int], list[int]] = {}
-    for text_number, own_item, *hit in rows:
-        old = out.get((text_number, own_item))
-        out[text_number, own_item] = [min(old[0], hit[0]), max(old[1], hit[1]), old[2] + hit[2], min(old[3], hit[3])] if old else hit
-    return [(*k, *hit) for k, hit in sorted(out.items())]
+        best[n : n + ALIGNED], end[n : n + ALIGNED] = _aligned(window, width[own], text, b[own] - a[own])
+    best, end = best[back], a + end[back]
+    good = best <= index.edits[item]
+    return t[good], item[good], start[good], end[good], best[good]
 
 
 def _search(shared):
@@ -265,7 +325,7 @@ def _search(shared):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, windows, edits: each item of which a text has at least one window with at most its edits.
 
-    start and end are places (code points) in the text around all matched windows of the item, windows their number, edits the fewest of
+    start and end are places (code points) in the text around all matched windows of the item, windows the number of the item's windows found, edits the fewest of
     one. Case, punctuation and white space make no difference. An item shorter than WIDTH is one window with edits
     in proportion; one under Q canonical characters is no evidence and never matches, nor do null or empty texts. Items without
     an id are left out; items that repeat an id count as one item; repeated documents are found each. The
