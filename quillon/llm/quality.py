@@ -1,9 +1,10 @@
 """Quality rules: base counts, then robust multivariate outliers.
 
 Each text gives a vector of transformed statistics. For every (language, source), every language and all rows
-a minimum-covariance-determinant estimate is made by concentration steps over all rows: take the
-share H of rows nearest by Mahalanobis distance, re-estimate mean and covariance, repeat. A row is judged
-by the narrowest of the three estimates that rests on enough rows.
+a minimum-covariance-determinant estimate is made over all rows: the mean and covariance of the share H of rows whose covariance has the smallest
+determinant. Four starts for each cell take two concentration steps (keep the share H of rows nearest by Mahalanobis
+distance, estimate anew), none of which raises the determinant; the start with the smallest one goes on until it falls no more. Covariances have
+a floor added, which leaves this true. A row is judged by the narrowest of the three estimates that rests on enough rows.
 
 Statistics are whole thousandths, so sums are exact and results do not depend on how rows are dealt out.
 """
@@ -32,14 +33,17 @@ P = len(STATS)
 FLOOR = (1500, 80, 100, 100, 100, 80)
 #: Words, of so many characters each, and lines that every text is taken to have besides: few words say little about a text.
 EXTRA_WORDS, EXTRA_SIZE, EXTRA_LINES = 50, 5.0, 5
-#: Share of rows that an estimate rests on, concentration steps, and rows that a (language, source) or language must have.
-H, STEPS, MIN_ROWS = 0.75, 4, 200
+#: Share of rows that an estimate rests on, steps of each start, and steps at most of the best one (it stops where nothing changes).
+H, FIRST_STEPS, MAX_STEPS = 0.75, 2, 100
+#: Rows that a (language, source), a language or the table must have for an estimate of its own, which has 27 numbers. A smaller cell is
+#: judged by the next wider one; a table with fewer rows has no estimate.
+MIN_ROWS = 200
 #: Chi-squared quantiles for six statistics: 0.5, which sets the scale, and 0.999999, beyond which a row is rejected.
 CHI2_MEDIAN, CHI2_CUT = 5.348, 38.258
 #: Estimates that may be broadcast (some 400 bytes each); beyond it they are joined, salted.
 MAX_BROADCAST, SALTS = 20_000, 64
 
-_UPPER = np.array([chr(c).isupper() for c in range(256)])
+_UPPER = np.array([chr(c).isupper() for c in range(0x110000)])
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 
 
@@ -83,7 +87,8 @@ def counts(text: str | None) -> tuple:
                 dup += bool(_WORDS.search(line))
             seen.add(line)
     again = repeated_words(words)
-    capitals = int(_UPPER[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].sum())
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    capitals = int(_UPPER[codes].sum())
     more, size = n + EXTRA_WORDS, chars + EXTRA_WORDS * EXTRA_SIZE
     stats = (math.log(more), math.log(size / more), math.sqrt(symbols / more), dup / (len(lines) + EXTRA_LINES), again / more, capitals / size)
     return (n, chars, symbols, dup, again, *(round(1000 * x) for x in stats))
@@ -115,25 +120,52 @@ def _distance() -> Column:
     return total
 
 
+PAIRS = list(combinations_with_replacement(range(P), 2))
+#: The four starts: medians and their deviations; all rows; statistics squashed by the hyperbolic tangent; statistics clipped at two deviations.
+STARTS = ("median", "all", "tanh", "clipped")
+
+
+def _told(key: str, start: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    """A row of an estimate; ``cov`` without its floor."""
+    full = cov + np.diag(np.square(np.array(FLOOR, float)))
+    inverse = np.linalg.inv(full)
+    return key, start, mean.round(6).tolist(), [float(f"{inverse[i, j]:.9e}") for i, j in PAIRS], round(float(np.linalg.slogdet(full)[1]), 9)
+
+
+ESTIMATE = "key string, start int, mean array<double>, inverse array<double>, logdet double"
+
+
+def _moments(row, prefix: str = "s") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from exact sums."""
+    n = float(row.n)
+    mean = np.array([getattr(row, f"{prefix}{i}") for i in range(P)], float) / n
+    cov = np.zeros((P, P))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = float(getattr(row, f"{prefix}{i}_{j}")) / n - mean[i] * mean[j]
+    return mean, cov
+
+
 def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pairs = list(combinations_with_replacement(range(P), 2))
+    for frame in batches:
+        yield pd.DataFrame([_told(row.key, row.start, *_moments(row)) for row in frame.itertuples(index=False)], columns=["key", "start", "mean", "inverse", "logdet"])
+
+
+def _started(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         out = []
         for row in frame.itertuples(index=False):
-            n = float(row.n)
-            mean = np.array([getattr(row, f"s{i}") for i in range(P)], float) / n
-            cov = np.zeros((P, P))
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = float(getattr(row, f"s{i}_{j}")) / n - mean[i] * mean[j]
-            inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-            out.append((row.key, mean.round(6).tolist(), [float(f"{inverse[i, j]:.9e}") for i, j in pairs]))
-        yield pd.DataFrame(out, columns=["key", "mean", "inverse"])
+            middle = np.array([getattr(row, f"m{i}") for i in range(P)], float)
+            scale = np.array([getattr(row, f"d{i}") for i in range(P)], float)
+            out += [_told(row.key, 0, middle, np.diag(scale**2)), _told(row.key, 1, *_moments(row))]
+            for start, prefix in ((2, "t"), (3, "c")):
+                mean, cov = _moments(row, prefix)
+                spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+                out.append(_told(row.key, start, middle + mean / 1000 * scale, cov / np.outer(spread, spread) * np.outer(scale, scale)))
+        yield pd.DataFrame(out, columns=["key", "start", "mean", "inverse", "logdet"])
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
-    sums = [F.count("*").alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)]]
-    sums += [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}_{j}") for i, j in combinations_with_replacement(range(P), 2)]
-    return rows.groupBy("key").agg(*sums).mapInPandas(_estimated, "key string, mean array<double>, inverse array<double>")
+def _sums(columns: list[Column], prefix: str) -> list[Column]:
+    return [*[F.sum(c).alias(f"{prefix}{i}") for i, c in enumerate(columns)], *[F.sum(columns[i] * columns[j]).alias(f"{prefix}{i}_{j}") for i, j in PAIRS]]
 
 
 def _bin() -> Column:
@@ -141,22 +173,47 @@ def _bin() -> Column:
     return F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 1000).cast("int")
 
 
+def _beside(rows: DataFrame, table: DataFrame, few: bool, by: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(table) if few else table, by)
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """The estimates that each cell starts from."""
+    middle = rows.groupBy("key").agg(*[(10 * F.percentile((F.col(s) / 10).cast("int"), F.lit(0.5))).alias(f"m{i}") for i, s in enumerate(STATS)])
+    off = _beside(rows, middle, few, ["key"]).groupBy("key").agg(*[(14.826 * F.percentile(F.abs(F.col(s) - F.col(f"m{i}")).cast("int") / 10, F.lit(0.5))).alias(f"d{i}") for i, s in enumerate(STATS)])
+    base = written(middle.join(off, "key"), "mcd-middles")
+    beside = _beside(rows, base, few, ["key"])
+    z = [(F.col(s) - F.col(f"m{i}")) / F.sqrt(F.col(f"d{i}") * F.col(f"d{i}") + FLOOR[i] ** 2) for i, s in enumerate(STATS)]
+    whole = lambda c: F.round(1000 * c).cast("long")
+    sums = [F.count("*").alias("n"), *_sums([F.col(s) for s in STATS], "s"), *_sums([whole(F.tanh(c)) for c in z], "t"), *_sums([whole(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), c))) for c in z], "c")]
+    return beside.groupBy("key").agg(*sums).join(base, "key").mapInPandas(_started, ESTIMATE)
+
+
+def _step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """A concentration step of every (cell, start): estimates from the share H of rows that are nearest by the present ones. Rows that tie at the limit all count."""
+    near = _near(rows, now, few).where("start is not null").select("key", "start", *STATS, _bin().alias("bin"))
+    limit = near.groupBy("key", "start").agg(F.percentile("bin", F.lit(H)).alias("limit"))
+    kept = _beside(near, limit, few, ["key", "start"]).where("bin <= limit")
+    return kept.groupBy("key", "start").agg(F.count("*").alias("n"), *_sums([F.col(s) for s in STATS], "s")).mapInPandas(_estimated, ESTIMATE)
+
+
 def robust_estimates(rows: DataFrame, few: bool) -> DataFrame:
-    """key, mean, inverse, scale of each key; ``rows`` has key and the statistics."""
-    middle = rows.groupBy("key").agg(*[F.percentile((F.col(s) / 10).cast("int"), F.lit(0.5)).alias(s) for s in STATS])
-    start = rows.select("key", *STATS).join(F.broadcast(middle.select("key", *[F.col(s).alias(f"m_{s}") for s in STATS])) if few else middle.select("key", *[F.col(s).alias(f"m_{s}") for s in STATS]), "key")
-    spread = start.groupBy("key").agg(*[F.percentile(F.abs((F.col(s) / 10).cast("int") - F.col(f"m_{s}")), F.lit(0.5)).alias(f"d_{s}") for s in STATS])
-    first = middle.join(spread, "key")
-    inverse = [F.lit(0.0) if i != j else 1 / (F.pow(14.826 * F.col(f"d_{STATS[i]}"), 2) + FLOOR[i] ** 2) for i, j in combinations_with_replacement(range(P), 2)]
-    now = written(first.select("key", F.array(*[10 * F.col(s) for s in STATS]).alias("mean"), F.array(*inverse).alias("inverse")), "mcd")
-    for _ in range(STEPS):
-        near = _near(rows, now, few).select("key", *STATS, _bin().alias("bin"))
-        limit = near.groupBy("key").agg(F.percentile("bin", F.lit(H)).alias("limit"))
-        kept = near.join(F.broadcast(limit) if few else limit, "key").where("bin <= limit")
-        now = written(_estimates(kept), "mcd")
+    """key, mean, inverse, logdet, scale of each key; ``rows`` has key and the statistics."""
+    now = written(_starts(rows, few), "mcd")
+    for _ in range(FIRST_STEPS):
+        now = written(_step(rows, now, few), "mcd")
+    best = now.groupBy("key").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best"))
+    now = written(best.select("key", "best.*"), "mcd")
+    for _ in range(MAX_STEPS):
+        after = written(_step(rows, now, few), "mcd")
+        # a cell whose determinant falls no more is done and stays as it is
+        moved = after.join(now.select("key", F.col("logdet").alias("before")), "key").where("logdet < before")
+        if moved.isEmpty():
+            break
+        now = after
     near = _near(rows, now, few).select("key", _bin().alias("bin"))
     scale = near.groupBy("key").agg((F.expm1((F.percentile("bin", F.lit(0.5)) + 0.5) / 1000) / CHI2_MEDIAN).alias("scale"))
-    return written(now.join(scale, "key"), "mcd")
+    return written(now.join(scale, "key").select("key", "mean", "inverse", "logdet", "scale"), "mcd")
 
 
 def _key(level: int) -> Column:
@@ -185,9 +242,13 @@ def estimated(stats: DataFrame) -> tuple[DataFrame, bool]:
 
 def _verdict(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Rows with distance and kept; they have lang, source and the statistics."""
-    for n in range(3):
+    estimates = estimates.drop("logdet")
+    for n in range(2):
         own = _near(rows.withColumn("key", _key(n)), estimates, few)
         rows = own.withColumn(f"d{n}", _distance() / F.greatest(F.col("scale"), F.lit(1e-9))).drop("key", "mean", "inverse", "scale")
+    # the estimate of all rows is one row, of nulls where there is none
+    whole = estimates.where(F.col("key") == _key(2)).agg(*[F.max(c).alias(c) for c in ("mean", "inverse", "scale")])
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("d2", _distance() / F.greatest(F.col("scale"), F.lit(1e-9))).drop("mean", "inverse", "scale")
     rows = rows.withColumn("distance", F.round(F.coalesce("d0", "d1", "d2"), 6)).drop("d0", "d1", "d2")
     return rows.withColumn("kept", F.coalesce(F.col("distance") <= CHI2_CUT, F.lit(True)))
 
@@ -218,11 +279,9 @@ def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -
 
 
 def kept_rows(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """The rows that judged() keeps, with their own columns. Texts are counted twice and never move."""
-    stats = _statistics(docs).where(~_rules(min_words, max_repeat_percent))
-    estimates, few = estimated(written(stats, "quality-stats"))
+    """The rows that judged() keeps, with their own columns. Texts are counted once, and rows that pass the base rules are written beside their statistics."""
     names = docs.columns
-    whole = docs.select(*[F.col(c).alias(f"{OWN}{i}") for i, c in enumerate(names)], F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    whole = small_batches(docs).select(*[F.col(c).alias(f"{OWN}{i}") for i, c in enumerate(names)], F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     own = [f for f in whole.schema.fields if f.name.startswith(OWN)]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own), "lang string, source string", *(f"{c} long" for c in (*BASE, *STATS))])
 
@@ -231,5 +290,6 @@ def kept_rows(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30
             cols = np.array([counts(t.as_py()) for t in batch.column(len(own) + 2)], np.int64).reshape(len(batch), -1).T
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own) + 2)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=[*batch.schema.names[: len(own) + 2], *BASE, *STATS])
 
-    told = _verdict(whole.mapInArrow(run, schema).where(~_rules(min_words, max_repeat_percent)), estimates, few)
-    return told.where("kept").select(*[F.col(f"{OWN}{i}").alias(c) for i, c in enumerate(names)])
+    rows = written(whole.mapInArrow(run, schema).where(~_rules(min_words, max_repeat_percent)), "quality-rows")
+    estimates, few = estimated(rows)
+    return _verdict(rows, estimates, few).where("kept").select(*[F.col(f"{OWN}{i}").alias(c) for i, c in enumerate(names)])
