@@ -2,7 +2,8 @@
 
 A slot of the filter holds a mask of languages. The masks of an n-gram's slots, joined by AND, name all languages that
 contain it; a text's n-grams are counted for each language, counts are corrected for each language's rate of
-false positives, and the largest wins. Only text and language of training rows are learned from.
+false positives, and the largest wins. An n-gram counts the less the more languages its mask names. Only text and language
+of training rows are learned from.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -24,8 +25,8 @@ UNKNOWN = "und"
 N, SLOTS, HASHES = 4, 1 << 21, 2
 #: The classifier's sample: so many different training texts of each language on average at most, those with the smallest hashes.
 SAMPLE_ROWS = 4000
-#: A language contains an n-gram that it has so often in its sample, if its share is at least this part of all languages' shares.
-MIN_COUNT, MIN_PART = 3, 0.25
+#: A language contains an n-gram that it has so often in its sample; once or twice may be a name or a slip.
+MIN_COUNT = 3
 #: Languages in one mask; more languages take more masks.
 MASK_BITS = 63
 #: n-grams hashed together.
@@ -71,31 +72,52 @@ class Model:
         self.default = int(np.argmax(self.rows)) if self.rows else -1
         self.size = size
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """n-grams that each language contains, false positives among them."""
-        out = np.zeros(self.size, np.int64)
+    def tallied(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """n-grams that each language contains, false positives among them; the same by weight; and the weight of all n-grams.
+
+        Of L languages an n-gram that m contain weighs the logarithm of (L + 1) / m.
+        """
+        out, weighted, whole = np.zeros(self.size, np.int64), np.zeros(self.size), 0.0
+        weights = np.log((self.size + 1) / np.maximum(np.arange(self.size + 1), 1))
         for at in range(0, len(h), BLOCK):
             part = h[at : at + BLOCK]
-            for w, table in enumerate(self.filters):
+            masks = []
+            for table in self.filters:
                 mask = table[slots(part, 0)]
                 for k in range(1, HASHES):
                     mask &= table[slots(part, k)]
-                some = min(MASK_BITS, len(self.languages) - w * MASK_BITS)
-                if some <= 8:
-                    seen = np.bincount(mask, minlength=1 << some)
-                    out[w * MASK_BITS : w * MASK_BITS + some] += [int(seen[np.arange(len(seen)) >> i & 1 == 1].sum()) for i in range(some)]
-                else:
-                    out[w * MASK_BITS : w * MASK_BITS + some] += [int(np.count_nonzero(mask >> i & 1)) for i in range(some)]
-        return out
+                masks.append(mask)
+            if len(masks) == 1 and self.size <= 8:
+                seen = np.bincount(masks[0], minlength=1 << self.size)
+                value = np.arange(len(seen))
+                heavy = seen * weights[np.bitwise_count(value)]
+                on = value >> np.arange(self.size)[:, None] & 1 == 1
+                out += (seen * on).sum(1)
+                weighted += (heavy * on).sum(1)
+                whole += float(heavy.sum())
+                continue
+            weight = weights[sum(np.bitwise_count(m).astype(np.int64) for m in masks)]
+            whole += float(weight.sum())
+            for i in range(len(self.languages)):
+                on = masks[i // MASK_BITS] >> i % MASK_BITS & 1 == 1
+                out[i] += np.count_nonzero(on)
+                weighted[i] += weight[on].sum()
+        return out, weighted, whole
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """n-grams that each language contains, false positives among them."""
+        return self.tallied(h)[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and the corrected share of the text's n-grams that it contains."""
         found = letters(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
         h = gram_hashes(found)
-        total = max(len(h), 1)
-        share = np.clip((self.counts(h) / total - self.false_rate) / (1 - self.false_rate), 0, 1)
-        best = int(np.argmax(share))  # a tie goes to the first by name
+        counts, weighted, whole = self.tallied(h)
+        share = np.clip((counts / max(len(h), 1) - self.false_rate) / (1 - self.false_rate), 0, 1)
+        evidence = np.where(share > 0, (weighted - self.false_rate * whole) / (1 - self.false_rate), -np.inf).round(9)
+        best = int(np.argmax(evidence))  # a tie goes to the first by name
         if share[best] == 0:
             return self.languages[self.default], 0.0
         return self.languages[best], round(float(share[best]), 6)
@@ -115,21 +137,20 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame) -> Model:
     """The model of rows with lang and text; rows with a null language or text teach nothing."""
     known = rows.where("lang is not null and text is not null").select("lang", "text")
-    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    # rows and different texts of each language: a row for each language
+    sizes = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy("lang").collect()
     names = [r["lang"] for r in sizes]
     if not names:
         return Model([], [], [])
     spark = rows.sparkSession
-    number = spark.createDataFrame([(n, i, min(1.0, SAMPLE_ROWS / c)) for i, (n, c) in enumerate((r["lang"], r["count"]) for r in sizes)], "lang string, number int, part double")
+    number = spark.createDataFrame([(r["lang"], i, min(1.0, SAMPLE_ROWS / r["texts"])) for i, r in enumerate(sizes)], "lang string, number int, part double")
     # the hash of a text is even over different texts, and copies count once
     low = F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53) < F.col("part")
-    chosen = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(number), "lang").where(low)
+    chosen = hashed.join(F.broadcast(number), "lang").where(low)
     sample = chosen.groupBy("number", "h").agg(F.max("text").alias("text")).select("number", "text")
     counted = sample.mapInArrow(_grams, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("number").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(totals), "number").withColumn("share", F.col("n") / F.col("total"))
-    part = F.col("share") / F.sum("share").over(Window.partitionBy("gram"))
-    own = shares.withColumn("part", part).where((F.col("n") >= MIN_COUNT) & (F.col("part") >= MIN_PART))
+    own = counted.where(F.col("n") >= MIN_COUNT)
     wide = F.col("gram")
     places = [F.pmod(F.shiftrightunsigned(wide, 24 * k), F.lit(SLOTS)) for k in range(HASHES)]
     filled = own.select((F.col("number") / MASK_BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, number % {MASK_BITS})").alias("bit"), F.explode(F.array(*places)).alias("slot"))
@@ -138,7 +159,7 @@ def fit(rows: DataFrame) -> Model:
     words, at, masks = (table.column(i).to_numpy() for i in range(3))
     for w, f in enumerate(filters):
         f[at[words == w]] = masks[words == w]
-    return Model(names, [r["count"] for r in sizes], filters)
+    return Model(names, [r["n"] for r in sizes], filters)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
