@@ -2,13 +2,16 @@
 
 A text is cut into sentences, each is normalised and mapped to the identifier of a known license sentence; the
 sequence of identifiers is matched against ordered rules, longer rules first, so that a part of a license that a
-longer rule has used is not reported again. Texts are read three times: with line ends as sentence ends (short notices on lines
-of their own), without (license texts wrapped over lines), and with blank lines alone as ends (license files under a title and
+longer rule has used is not reported again. An unknown sentence ends a rule: what stands in the middle of a license may change it. Names of
+holders are put in a common form, and numbers and bullets of clauses are no sentences. Texts are read three times: with line ends as sentence ends
+(short notices on lines of their own), without (license texts wrapped over lines), and with blank lines alone as ends (license files under a title and
 a copyright line). Everything is one projection: no row moves.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +70,86 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-SA-4.0", ["cc-by-sa-4-deed"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-deed"]),
     ("All-rights-reserved", ["reserved"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("ISC", ["isc-grant"]),
+    ("MPL-2.0", ["mpl-2-grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("Zlib", ["zlib-as-is"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("CC0-1.0", ["cc0-dedicated"]),
 ]
+SENTENCES |= {
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "mpl-2-grant": "this source code form is subject to the terms of the mozilla public license v",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "boost-grant": "distributed under the boost software license version 1 0",
+    "cc0-dedicated": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+}
+# License identifiers, and names that notices give them (normalised like sentences).
+NAMES: dict[str, list[str]] = {
+    "MIT": ["mit license", "mit licence", "expat license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "2 clause bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "3 clause bsd license", "modified bsd license"],
+    "ISC": ["isc license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0 license"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu gpl version 2", "gnu general public license v2"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu gpl version 3", "gnu general public license v3"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "gnu lesser general public license v3"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "gnu affero general public license v3"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0"],
+    "Zlib": ["zlib license"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "Unlicense": ["unlicense license"],
+    "CC-BY-4.0": ["creative commons attribution 4 0 international license", "cc by 4 0 license"],
+    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international license", "cc by sa 4 0 license"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 international license", "cc by nc 4 0 license"],
+    "CC-BY-ND-4.0": ["creative commons attribution noderivatives 4 0 international license", "cc by nd 4 0 license"],
+}
+NOTICES = ("licensed under the {}", "released under the {}", "distributed under the {}", "available under the {}", "provided under the {}", "this project is licensed under the {}", "this software is licensed under the {}", "this work is licensed under the {}", "this file is licensed under the {}", "this program is licensed under the {}", "this library is licensed under the {}", "this code is released under the {}", "this software is released under the {}", "this project is released under the {}", "use of this source code is governed by the {}")
+SPDX = (
+    "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC MPL-1.1 MPL-2.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
+    "AGPL-3.0-only AGPL-3.0-or-later EPL-1.0 EPL-2.0 Zlib BSL-1.0 Unlicense 0BSD CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CDDL-1.0 Artistic-2.0 WTFPL EUPL-1.2 OFL-1.1 PostgreSQL Python-2.0 Ruby"
+).split()
+_FAMILIES = {"general": "GPL", "lesser general": "LGPL", "library general": "LGPL", "affero general": "AGPL"}
+
+
+def _normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _derived() -> None:
+    """Sentences that follow from the tables: notices by name, identifiers, and grants of the GNU family."""
+    known = set(SENTENCES.values())
+
+    def add(name: str, identifier: str, sentence: str) -> None:
+        if sentence not in known:
+            known.add(sentence)
+            SENTENCES[identifier] = sentence
+            RULES.append((name, [identifier]))
+
+    for name, aliases in NAMES.items():
+        for n, alias in enumerate(aliases):
+            for m, notice in enumerate(NOTICES):
+                add(name, f"{name.lower()}-notice-{n}-{m}", notice.format(alias))
+    for name in SPDX:
+        add(name, f"{name.lower()}-spdx", f"spdx license identifier {_normal(name)}")
+    for family, name in _FAMILIES.items():
+        for version in ("2", "2 1", "3"):
+            spdx = f"{name}-{version.replace(' ', '.') if ' ' in version else version + '.0'}"
+            for subject in ("program", "library", "software", "file"):
+                head = f"this {subject} is free software you can redistribute it and or modify it under the terms of the gnu {family} public license"
+                add(f"{spdx}-or-later", f"{name.lower()}-{version.replace(' ', '.')}-{family.split()[0]}-later-{subject}", f"{head} as published by the free software foundation either version {version} of the license or at your option any later version")
+                add(f"{spdx}-only", f"{name.lower()}-{version.replace(' ', '.')}-{family.split()[0]}-only-{subject}", f"{head} version {version} as published by the free software foundation")
+
+
+_derived()
 #: Every known sentence has one of these, which hold no white space that a text may have otherwise; other texts need no second look.
-ANCHORS = ("licen", "copyright", "permission", "warrant", "reserved", "redistribut", "software")
-#: Sentences and rules of the reading by paragraphs alone, which sees a text in the pieces that blank lines leave.
+ANCHORS = ("licen", "copyright", "permission", "warrant", "reserved", "redistribut", "software", "gpl")
+#: Pieces that blank lines and bullets leave of the above, and titles.
 PARTS: dict[str, str] = {
     "mit-permission": SENTENCES["mit-grant"].partition(" the above copyright notice")[0],
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -78,6 +157,12 @@ PARTS: dict[str, str] = {
     "apache-2-title-s": "apache license version 2 0 january 2004 https www apache org licenses",
     "bsd-met": SENTENCES["bsd-redistribution"].removesuffix(" 1"),
     "bsd-met-source": SENTENCES["bsd-redistribution"].removesuffix("1") + SENTENCES["bsd-source"],
+    "gpl-3-title": "gnu general public license version 3 29 june 2007",
+    "gpl-2-title": "gnu general public license version 2 june 1991",
+    "lgpl-3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl-2.1-title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl-3-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl-2-title": "mozilla public license version 2 0",
 }
 _BSD = [["bsd-met", "bsd-source"], ["bsd-met-source"]]
 PART_RULES: list[tuple[str, list[str]]] = [
@@ -86,41 +171,64 @@ PART_RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-permission", "mit-notice"]),
     ("Apache-2.0", ["apache-2-title"]),
     ("Apache-2.0", ["apache-2-title-s"]),
+    ("GPL-3.0-only", ["gpl-3-title"]),
+    ("GPL-2.0-only", ["gpl-2-title"]),
+    ("LGPL-3.0-only", ["lgpl-3-title"]),
+    ("LGPL-2.1-only", ["lgpl-2.1-title"]),
+    ("AGPL-3.0-only", ["agpl-3-title"]),
+    ("MPL-2.0", ["mpl-2-title"]),
 ]
-#: Unknown sentences that may stand between two sentences of a rule.
-MAX_GAP = 2
+#: Common forms of sentences that name a holder, and of what numbers a clause. Stretches stay within a sentence.
+HOLDERS = (
+    ("neither the names? of [^\x01]{1,160}? nor the names? of (its|their|the|any)( other)? contributors? may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("this software is provided by [^\x01]{1,160}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+)
+NUMBER = "[0-9]{1,3}|[a-z]|[ivx]{1,5}"
 
 
 def sequence_sql(duckdb: bool, lines: bool, paragraphs: bool = False) -> str:
-    """SQL of a text's sequence of known sentences: <id> for each, | for more unknown ones than MAX_GAP.
+    """SQL of a text's sequence of known sentences: <id> for each, | for unknown ones between.
 
-    Of ``paragraphs``, lines without a letter or digit (blank ones, or of comment marks) end sentences too, and PARTS are known.
+    Of ``paragraphs``, lines without a letter or digit (blank ones, or of comment marks) end sentences too.
     """
     every = ", 'g'" if duckdb else ""
     low = "lower(coalesce(text, ''))"
     ends = "[.!?]+[ \t\r\n]" + ("|[\n]" if lines else "") + ("|[\n][^a-z0-9\n]*[\n]" if paragraphs else "")
     cut = f"regexp_replace({low} || chr(10), '{ends}', chr(1){every})"
-    sentences = SENTENCES | PARTS if paragraphs else SENTENCES
     plain = f"regexp_replace({cut}, '[^a-z0-9' || chr(1) || ']+', ' '{every})"
+    for pattern, form in HOLDERS:
+        plain = f"regexp_replace({plain}, '{pattern}', '{form}'{every})"
+    known = SENTENCES | PARTS
     if duckdb:
-        cases = " ".join(f"WHEN '{s}' THEN '<{i}>'" for i, s in sentences.items())
-        marks = f"array_to_string(list_transform(string_split({plain}, chr(1)), lambda s: CASE trim(s) {cases} WHEN '' THEN '' ELSE '.' END), '')"
+        cases = " ".join(f"WHEN '{s}' THEN '<{i}>'" for i, s in known.items())
+        marks = f"array_to_string(list_transform(string_split({plain}, chr(1)), lambda s: CASE WHEN regexp_full_match(trim(s), '{NUMBER}') OR trim(s) = '' THEN '' ELSE CASE trim(s) {cases} ELSE '|' END END), '')"
     else:
-        known = ", ".join(f"'{s}', '<{i}>'" for i, s in sentences.items())
-        marks = f"array_join(transform(split({plain}, chr(1)), s -> if(trim(s) = '', '', coalesce(try_element_at(map({known}), trim(s)), '.'))), '')"
-    gap = f"regexp_replace({marks}, '[.]{{{MAX_GAP + 1},}}', '|'{every})"
-    return f"replace({gap}, '.', '')"
+        table = ", ".join(f"'{s}', '<{i}>'" for i, s in known.items())
+        marks = f"array_join(transform(split({plain}, chr(1)), s -> if(trim(s) rlike '^({NUMBER})?$', '', coalesce(try_element_at(map({table}), trim(s)), '|'))), '')"
+    return f"regexp_replace({marks}, '[|]+', '|'{every})"
+
 
+def _long_rules() -> list[tuple[str, str]]:
+    """Name and sequence of the rules of several sentences, longer ones first."""
+    rules = [(name, ids) for name, ids in PART_RULES + RULES if len(ids) > 1]
+    return [(name, "".join(f"<{i}>" for i in ids)) for name, ids in sorted(rules, key=lambda r: -len(r[1]))]
 
-def _hits(sequence: str, paragraphs: bool = False) -> str:
+
+def _hits(sequence: str) -> str:
+    """The sequence with rules of several sentences in place of these."""
     out = sequence
-    for name, ids in (PART_RULES + RULES if paragraphs else RULES):
-        out = f"replace({out}, '{''.join(f'<{i}>' for i in ids)}', '={name};')"
+    for name, ids in _long_rules():
+        out = f"replace({out}, '{ids}', '<={name}>')"
     return out
 
 
+def _single() -> dict[str, str]:
+    """What a sentence, or a rule that stands in place of several, says by itself."""
+    return {ids[0]: name for name, ids in PART_RULES + RULES if len(ids) == 1} | {f"={name}": name for name, _ in _long_rules()}
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licenses (names in order, comma between), sentences (known identifiers of the reading by lines) and wrapped (of the other) of every document.
+    """doc_id, licenses (different names in alphabetic order, comma between), sentences (known identifiers of the reading by lines) and wrapped (of that without) of every document.
 
     Empty strings where nothing is known: null and empty texts too. Repeated rows are scanned each; other
     columns are left out. Text of any length is one row's expression. licenses has those of the reading by paragraphs too, which has no column.
@@ -133,14 +241,18 @@ def scan(docs: DataFrame) -> DataFrame:
     # without such a line the reading by paragraphs is the wrapped one
     parted = f"if(lower(text) rlike '[\n][^a-z0-9\n]*[\n]', {sequence_sql(False, False, True)}, '')"
     told = rows.select("doc_id", F.expr(sequence_sql(False, True)).alias("sentences"), F.expr(sequence_sql(False, False)).alias("wrapped"), F.expr(parted).alias("parted"))
-    both = F.expr(f"concat({_hits('sentences')}, {_hits('wrapped')}, {_hits('parted', True)})")
-    names = told.withColumn("hits", both).withColumn("licenses", F.expr("array_join(array_sort(array_distinct(regexp_extract_all(hits, '=([^;]+);', 1))), ',')"))
-    return names.select("doc_id", "licenses", *[F.replace(c, F.lit("|"), F.lit("")).alias(c) for c in ("sentences", "wrapped")])
+    both = f"concat({_hits('sentences')}, {_hits('wrapped')}, {_hits('parted')})"
+    names = ", ".join(f"'{i}', '{name}'" for i, name in _single().items())
+    each = f"transform(regexp_extract_all({both}, '<([^>]+)>', 1), i -> try_element_at(map({names}), i))"
+    out = told.withColumn("licenses", F.expr(f"array_join(array_sort(array_distinct(array_compact({each}))), ',')"))
+    return out.select("doc_id", "licenses", *[F.replace(c, F.lit("|"), F.lit("")).alias(c) for c in ("sentences", "wrapped")])
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB's SQL, less the reading by paragraphs: licenses found by that alone are not in its rows."""
+    """The same in DuckDB's SQL."""
+    cases = " ".join(f"WHEN '{i}' THEN '{name}'" for i, name in _single().items())
+    each = f"list_transform(regexp_extract_all(hits, '<([^>]+)>', 1), lambda i: CASE i {cases} END)"
     return f"""
-        WITH told AS (SELECT doc_id, {sequence_sql(True, True)} AS sentences, {sequence_sql(True, False)} AS wrapped FROM documents),
-        hits AS (SELECT *, concat({_hits("sentences")}, {_hits("wrapped")}) AS hits FROM told)
-        SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(hits, '=([^;]+);', 1))), ','), '') AS licenses, replace(sentences, '|', '') AS sentences, replace(wrapped, '|', '') AS wrapped FROM hits"""
+        WITH told AS (SELECT doc_id, {sequence_sql(True, True)} AS sentences, {sequence_sql(True, False)} AS wrapped, {sequence_sql(True, False, True)} AS parted FROM documents),
+        hits AS (SELECT *, concat({_hits("sentences")}, {_hits("wrapped")}, {_hits("parted")}) AS hits FROM told)
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter({each}, lambda x: x IS NOT NULL))), ','), '') AS licenses, replace(sentences, '|', '') AS sentences, replace(wrapped, '|', '') AS wrapped FROM hits"""
