@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Buckets of one pass of the search for order statistics: what the driver receives at most.
@@ -50,12 +50,8 @@ def nearest_index(n: int, fraction: float) -> int:
     return round((n - 1) * fraction)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, as a Parquet table in the checkpoint folder that the session names; in one of our own where it names none and Spark runs in one process.
-
-    Of the table later plans read only the columns that they need.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path that nothing else uses, in the checkpoint folder that the session names; in one of our own where it names none and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
@@ -64,9 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         named = context._jsc.sc().getCheckpointDir().get()
-    path = f"{named.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, read from a Parquet table in the shared folder: lineage ends here, and later plans read only the columns that they need."""
+    path = new_path(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:

@@ -82,9 +82,9 @@ def fit(rows: DataFrame) -> tuple[Model, int, int]:
         rows.unpersist()
 
 
-def ranked(features: DataFrame, models: dict[str, Model], k: int) -> DataFrame:
-    """query keys, task, itemid, score, rank: the first k candidates of each task by its model, then item."""
+def ranked(features: DataFrame, models: dict[str, Model], k: int, decimals: int | None = None) -> DataFrame:
+    """query keys, task, itemid, score, rank: the first k candidates of each task by its model, then item. With ``decimals``, scores that agree so far tie."""
     keys: Sequence[str] = [c for c in ("split", "query_id", "stage") if c in features.columns]
-    scores = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), m.score().alias("score")) for t, m in models.items()]))
+    scores = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), (m.score() if decimals is None else F.round(m.score(), decimals)).alias("score")) for t, m in models.items()]))
     each = features.select(*keys, "itemid", scores.alias("at")).select(*keys, "itemid", "at.task", "at.score")
     return first_n(each, [*keys, "task"], [F.desc("score"), F.asc("itemid")], k)

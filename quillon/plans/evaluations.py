@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -22,11 +22,38 @@ BASELINES = ("most_view", "most_addtocart", "most_transaction", "time_decayed_po
 HYBRIDS = {f"{c}_only": [c] for c in COMPONENTS} | {"hybrid_full": list(COMPONENTS)} | {f"hybrid_minus_{c}": [x for x in COMPONENTS if x != c] for c in COMPONENTS}
 #: Variants of retrieval: category depth, behavioral depth, parent list; base or expanded.
 RETRIEVALS = {"base_union": ("base", "base", None), "deep_category": ("expanded", "base", None), "deep_behavioral": ("base", "expanded", None), "parent_category": ("base", "base", "expanded"), "expanded_union": ("expanded", "expanded", "expanded")}
+# Where queries stand, as reports name it.
 POINT = "after_first_event_of_each_multi_event_split_bounded_session"
 SPLITS = ("validation", "test")
 VISITOR_COHORTS, ITEM_COHORTS = ("new", "sparse", "repeat"), ("head", "mid_tail", "long_tail", "unseen")
 
 
+#: Frames that the evaluation in progress has persisted.
+_HELD: list[list[DataFrame]] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The frame, persisted until the evaluation ends."""
+    if _HELD:
+        _HELD[-1].append(df.persist())
+    return df
+
+
+def releasing(f: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]:
+    """An evaluation that gives back what it has persisted, however it ends."""
+
+    @wraps(f)
+    def run(*args: Any, **parameters: Any) -> dict[str, Any]:
+        _HELD.append([])
+        try:
+            return f(*args, **parameters)
+        finally:
+            for df in _HELD.pop():
+                df.unpersist()
+
+    return run
+
+
 @dataclass(frozen=True)
 class Protocol:
     """A dataset under a manifest: labelled events, the training part, queries of validation and test."""
@@ -38,11 +65,11 @@ class Protocol:
 
 
 def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False) -> Protocol:
-    events = temporal.with_split(deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]).persist()
+    events = keep(temporal.with_split(deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]))
     ask = sessions.stage_queries if stages else sessions.session_queries
     each = {s: ask(events, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
     both = each["validation"].union(each["test"])
-    both = sessions.Queries(both.queries.persist(), both.positives.persist(), both.eligible)
+    both = sessions.Queries(keep(both.queries), keep(both.positives), both.eligible)
     evaluated = {r["split"]: r["count"] for r in both.queries.groupBy("split").count().collect()}
     return Protocol(events, events.where("split = 'train'"), both, {s: (each[s].eligible, evaluated.get(s, 0)) for s in SPLITS})
 
@@ -94,13 +121,14 @@ def baseline_rankings(p: Protocol, sources: fusion.Sources, k: int, half_life_da
     return for_all.unionByName(fusion.completed(own, asked, sources.fallback, k, ["variant"]).select("split", "query_id", "variant", "itemid", "rank"))
 
 
+@releasing
 def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, half_life_days: float = 7.0, neighbor_top_n: int = 50, max_sessions_per_split: int | None = 50_000, seed: int = 365) -> dict[str, Any]:
     """Recall and NDCG of the baselines, over all queries, by the visitor's history, and by the popularity of positives."""
     require_positive(k=k, half_life_days=half_life_days)
     p = protocol(data, manifest, max_sessions_per_split, seed)
     sources = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], max(k, neighbor_top_n), half_life_days, p.asked.queries, k)
-    ranked = baseline_rankings(p, sources, k, half_life_days).persist()
-    scored = metrics.query_metrics(ranked, p.asked.positives, BASELINES, k).persist()
+    ranked = keep(baseline_rankings(p, sources, k, half_life_days))
+    scored = keep(metrics.query_metrics(ranked, p.asked.positives, BASELINES, k))
     visitors = p.asked.queries.join(rankings.history_counts(p.train), "visitorid", "left").select("split", "query_id", rankings.visitor_cohort(F.col("history")).alias("cohort"))
     by_visitor = metrics.averaged(scored.join(visitors, ["split", "query_id"]), ["split", "cohort", "variant", "task"])
     parts = p.asked.positives.join(rankings.item_cohorts(p.train), "itemid", "left").withColumn("cohort", F.coalesce("cohort", F.lit("unseen")))
@@ -125,13 +153,14 @@ def fused_rankings(candidates: DataFrame, queries: DataFrame, fallback: DataFram
     return fusion.completed(ranked, asked, fallback, k, ["variant"])
 
 
+@releasing
 def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, source_depth: int = 100, rrf_offset: float = 60.0, half_life_days: float = 7.0, max_sessions_per_split: int | None = 50_000, seed: int = 365) -> dict[str, Any]:
     """Fusion of the four sources, each alone, and all but each; whether validation retains the whole."""
     require_positive(k=k)
     require_at_least(k, "k", source_depth=source_depth)
     p = protocol(data, manifest, max_sessions_per_split, seed)
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], source_depth, half_life_days, p.asked.queries, k)
-    found = fusion.looked_up(p.asked.queries, s, COMPONENTS, source_depth).persist()
+    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, source_depth))
     ranked = fused_rankings(found, p.asked.queries, s.fallback, HYBRIDS, source_depth, rrf_offset, k)
     scored = metrics.query_metrics(ranked, p.asked.positives, list(HYBRIDS), k)
     cells = nested(metrics.averaged(scored, ["split", "variant", "task"]), ["split", "variant", "task"], [SPLITS, list(HYBRIDS), EVENT_TYPES])
@@ -150,6 +179,7 @@ def _internal(train: DataFrame, fraction: float) -> tuple[int, DataFrame, DataFr
     return end, train.where(F.col("timestamp") <= end), train.where(F.col("timestamp") > end).withColumn("split", F.lit("ranker_train"))
 
 
+@releasing
 def evaluate_reranker(
     data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, category_depth: int = 300, behavioral_depth: int = 100, parent_depth: int = 0, rrf_offset: float = 60.0, half_life_days: float = 7.0, internal_fit_fraction: float = 0.80,
     max_internal_ranker_sessions: int | None = 20_000, max_sessions_per_split: int | None = 50_000, max_nonrelevant_per_query: int = 50, seed: int = 365, rrf_name: str = "efficient_rrf",
@@ -170,13 +200,13 @@ def evaluate_reranker(
     end, early, late = _internal(p.train, internal_fit_fraction)
     inner = sessions.session_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
     inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k)
-    inner_features = fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset).persist()
+    inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
     fitted = {t: learning.fit(learning.training_rows(inner_features, inner.positives, t, max_nonrelevant_per_query)) for t in EVENT_TYPES}
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k)
-    found = fusion.looked_up(p.asked.queries, s, COMPONENTS, depths).persist()
+    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
     fixed = {"category_only": ["category"], rrf_name: list(COMPONENTS)}
     plain = fused_rankings(found, p.asked.queries, s.fallback, fixed, category_depth, rrf_offset, k)
-    table = fusion.features(found, depths, rrf_offset).persist()
+    table = keep(fusion.features(found, depths, rrf_offset))
     scored_items = learning.ranked(table, {t: m for t, (m, _, _) in fitted.items()}, k)
     tasks = p.asked.queries.select("*", F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("task"))
     learned = fusion.completed(scored_items, tasks, s.fallback, k, ["task"])
@@ -199,6 +229,7 @@ def evaluate_reranker(
     }
 
 
+@releasing
 def evaluate_learned(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, source_depth: int = 100, **parameters: Any) -> dict[str, Any]:
     """Logistic rankers with one depth for all sources, judged against category order alone."""
     require_at_least(k, "k", source_depth=source_depth)
@@ -218,6 +249,7 @@ def _variant_candidates(found: DataFrame, depths: dict[str, int]) -> DataFrame:
     return found.withColumn("variant", F.explode(F.array_compact(F.array(*reached))))
 
 
+@releasing
 def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, base_depth: int = 100, expanded_depth: int = 300, half_life_days: float = 7.0, max_sessions_per_split: int | None = 50_000, seed: int = 365) -> dict[str, Any]:
     """Candidate recall, size and fused ranking of five retrieval variants; whether validation retains the largest."""
     require_positive(k=k)
@@ -228,7 +260,7 @@ def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = ""
     s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], expanded_depth, half_life_days, p.asked.queries, k)
     order = ("category", "parent", *COMPONENTS[1:])
     found = fusion.looked_up(p.asked.queries, s, order, expanded_depth)
-    varied = _variant_candidates(found, {"base": base_depth, "expanded": expanded_depth}).persist()
+    varied = keep(_variant_candidates(found, {"base": base_depth, "expanded": expanded_depth}))
     sets = varied.select("split", "query_id", "variant", "itemid").distinct()
     names = list(RETRIEVALS)
     asked = p.asked.queries.select("*", F.explode(F.array(*[F.lit(v) for v in names])).alias("variant"))
@@ -244,6 +276,7 @@ def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = ""
     }
 
 
+@releasing
 def evaluate_efficiency(
     data: Dataset, manifest: dict[str, Any], source: str = "", category_depths: Sequence[int] = (100, 200, 300), behavioral_depths: Sequence[int] = (100, 300), parent_depths: Sequence[int] = (0, 100, 300), retention_threshold: float = 0.95,
     half_life_days: float = 7.0, max_sessions_per_split: int | None = 50_000, seed: int = 365,
@@ -259,7 +292,7 @@ def evaluate_efficiency(
     deepest = max(*category_depths, *behavioral_depths, *parent_depths)
     s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], deepest, half_life_days, p.asked.queries, 1)
     found = fusion.looked_up(p.asked.queries, s, (*COMPONENTS, "parent"), {"category": max(category_depths), "parent": max(parent_depths)} | {c: max(behavioral_depths) for c in COMPONENTS[1:]})
-    hits = fusion.budget_hits(found, p.asked.positives, budgets).withColumnRenamed("budget", "variant").persist()
+    hits = keep(fusion.budget_hits(found, p.asked.positives, budgets).withColumnRenamed("budget", "variant"))
     names = [b.key for b in budgets]
     recall = _recalls(hits.where("task is not null").withColumn("recall", F.col("found") / F.col("positives")), names)
     sizes = p.asked.queries.select("split", "query_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("variant")).join(hits.where("task is null").select("split", "query_id", "variant", "found"), ["split", "query_id", "variant"], "left")
@@ -267,7 +300,10 @@ def evaluate_efficiency(
     size = _sizes(sizes.groupBy("split", "variant").agg(F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.95)).alias("p95")), names)
     means = {sp: {v: decisions.mean(list(recall[sp][v].values())) for v in names} for sp in SPLITS}
     by_size = {v: size["validation"][v]["mean"] for v in names}
-    chosen = decisions.efficient_choice(recall["validation"], by_size, reference, retention_threshold)
+    points = hits.where("split = 'validation' and task is not null").groupBy(F.col("variant").alias("budget"), "task").agg(F.avg(F.col("found") / F.col("positives")).alias("recall"))
+    measured = data.events.sparkSession.createDataFrame([(v, float(n)) for v, n in by_size.items()], "budget string, size double")
+    chosen = decisions.efficient_choice(points.join(F.broadcast(measured), "budget"), reference, retention_threshold).first()
+    chosen = chosen["budget"] if chosen else reference
     return _head(manifest, source, p, seed) | {
         "retention_threshold": retention_threshold, "budgets": {b.key: {"category_depth": b.category, "behavioral_depth": b.behavioral, "parent_depth": b.parent} for b in budgets},
         "candidate_recall": recall, "candidate_size": size, "mean_candidate_recall": means, "validation_pareto_frontier": decisions.pareto_frontier(means["validation"], by_size), "expanded_reference": reference,
@@ -276,6 +312,7 @@ def evaluate_efficiency(
     }
 
 
+@releasing
 def evaluate_stages(
     data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, category_depth: int = 300, behavioral_depth: int = 100, parent_depth: int = 0, rrf_offset: float = 60.0, half_life_days: float = 7.0, internal_fit_fraction: float = 0.80,
     max_internal_ranker_sessions: int | None = 20_000, max_sessions_per_split: int | None = 50_000, max_nonrelevant_per_query: int = 50, seed: int = 365,
@@ -293,13 +330,13 @@ def evaluate_stages(
     end, early, late = _internal(p.train, internal_fit_fraction)
     inner = sessions.stage_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
     inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k)
-    inner_features = fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset).persist()
+    inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
     rows = lambda task, stage=None: learning.training_rows(inner_features, inner.positives, task, max_nonrelevant_per_query, stage)
     staged = {(st, t): learning.fit(rows(t, st)) for st, ts in tasks_of.items() for t in ts}
     pooled = {t: learning.fit(rows(t))[0] for t in EVENT_TYPES}
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k)
-    found = fusion.looked_up(p.asked.queries, s, COMPONENTS, depths).persist()
-    table = fusion.features(found, depths, rrf_offset).persist()
+    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
+    table = keep(fusion.features(found, depths, rrf_offset))
     parts = []
     for st, ts in tasks_of.items():
         own = table.where(F.col("stage") == st)

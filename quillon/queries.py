@@ -7,17 +7,17 @@ catalogue of a hundred items, so that lists end and fallback is reached. Doubles
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.guards import EVENT_TYPES
-from .functions.ranks import cut, nearest_index, values_at
+from .functions.ranks import cut, nearest_index, new_path, values_at
 from .operators import audit, fusion, learning, metrics, rankings, sessions, temporal
 from .operators.fusion import COMPONENTS
 from .plans import decisions, evaluations
-from .sources.tables import Dataset, deduplicated, star_dataset
+from .sources.tables import EXPECTED_FILES, Dataset, deduplicated, read_dataset, star_dataset
 
 GAP, K, DEPTH, HALF_LIFE, OFFSET = 1440, 5, 8, 7.0, 60.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,14 +138,19 @@ class _Base:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.data: Dataset = star_dataset(spark, folder)
+        # read by every list and by the queries: laid down once, and read by the columns and times that are asked for
         self.events = cut(deduplicated(self.data.events))
         self.train_end, self.validation_end = temporal.temporal_cutoffs(self.events)
-        # read by every list and by the queries: laid down once
-        self.split = cut(temporal.with_split(self.events, self.train_end, self.validation_end))
-        self.train = self.split.where("split = 'train'")
+        self.split = temporal.with_split(self.events, self.train_end, self.validation_end)
+        self.train = self.split.where(F.col("timestamp") <= self.train_end)
+
+    @cached_property
+    def _asked(self) -> sessions.Queries:
+        both = sessions.session_queries(self.split, "validation", GAP).union(sessions.session_queries(self.split, "test", GAP))
+        return sessions.Queries(cut(both.queries), cut(both.positives), both.eligible)
 
     def asked(self) -> sessions.Queries:
-        return sessions.session_queries(self.split, "validation", GAP).union(sessions.session_queries(self.split, "test", GAP))
+        return self._asked
 
     def sources(self, queries: DataFrame, depth: int = DEPTH) -> fusion.Sources:
         return fusion.fit_sources(self.train, self.data.properties, self.data.tree, self.train_end, GAP, depth, HALF_LIFE, queries, K)
@@ -262,13 +267,73 @@ def property_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([found], ", ".join(f"{k} long" for k in found))
 
 
+def _tree_sql(tree: str) -> str:
+    """Profile of a tree: a cycle is a path of parents that is longer than there are categories. The walk is guarded by that length."""
+    return f"""WITH RECURSIVE {tree}, up AS (SELECT categoryid AS start, parentid AS node, 1 AS depth FROM tree WHERE parentid IS NOT NULL
+  UNION ALL SELECT up.start, tree.parentid, up.depth + 1 FROM up JOIN tree ON tree.categoryid = up.node WHERE tree.parentid IS NOT NULL AND up.depth <= (SELECT count(DISTINCT categoryid) FROM tree))
+SELECT (SELECT count(*) FROM tree) AS row_count, (SELECT count(DISTINCT categoryid) FROM tree) AS unique_categories, (SELECT count(*) FROM tree WHERE parentid IS NULL) AS root_categories, (SELECT count(*) FROM tree WHERE parentid = categoryid) AS self_parent_rows,
+  (SELECT count(DISTINCT parentid) FROM tree WHERE parentid NOT IN (SELECT categoryid FROM tree)) AS missing_parent_references, (SELECT coalesce(max(depth), 0) > (SELECT count(DISTINCT categoryid) FROM tree) FROM up) AS has_cycle"""
+
+
+def _tree_row(spark: SparkSession, tree: DataFrame) -> DataFrame:
+    found = audit.tree_profile(tree)
+    return spark.createDataFrame([found], ", ".join(f"{k} {'boolean' if k == 'has_cycle' else 'long'}" for k in found))
+
+
+@query(_tree_sql("tree AS (SELECT DISTINCT p_type || '/' || p_brand AS categoryid, p_type AS parentid FROM part UNION SELECT DISTINCT p_type, NULL FROM part)"))
+def tree_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree_row(spark, star_dataset(spark, sf_dir).tree)
+
+
+@query(_tree_sql("tree AS (SELECT CAST(n_nationkey AS VARCHAR) AS categoryid, CASE WHEN n_nationkey % 5 = 4 THEN CAST(100 + n_regionkey AS VARCHAR) WHEN n_nationkey % 5 = 3 THEN NULL ELSE CAST((7 * n_nationkey + 3) % 25 AS VARCHAR) END AS parentid FROM nation)"))
+def tree_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of nations that has parents of themselves, circles, roots and missing parents."""
+    n = F.col("n_nationkey")
+    parent = F.when(n % 5 == 4, (100 + F.col("n_regionkey")).cast("string")).when(n % 5 != 3, ((7 * n + 3) % 25).cast("string"))
+    return _tree_row(spark, spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.cast("string").alias("categoryid"), parent.alias("parentid")))
+
+
+@query(f"WITH {_EV} SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("timestamp", "visitorid", "event", "itemid", "transactionid")) + ", count(*) AS row_count FROM ev")
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.file_profile(star_dataset(spark, sf_dir).events, "events")
+    row = found["null_counts"] | {"row_count": found["row_count"]}
+    return spark.createDataFrame([row], ", ".join(f"{c} long" for c in row))
+
+
 @query(
-    f"WITH {_EV} SELECT (SELECT count(*) FROM tree) AS row_count, (SELECT count(DISTINCT categoryid) FROM tree) AS unique_categories, (SELECT count(*) FROM tree WHERE parentid IS NULL) AS root_categories, CAST(0 AS BIGINT) AS self_parent_rows, "
-    "(SELECT count(DISTINCT parentid) FROM tree WHERE parentid NOT IN (SELECT categoryid FROM tree)) AS missing_parent_references, false AS has_cycle"
+    f"WITH {_EV}, {_PROPS}, items AS (SELECT DISTINCT itemid FROM ev WHERE itemid IS NOT NULL AND itemid % 3 <> 0 UNION SELECT 1000000 + r_regionkey FROM region) SELECT round(avg(CASE WHEN itemid IN (SELECT itemid FROM props) THEN 1.0 ELSE 0.0 END), 6) AS any_part, "
+    "round(avg(CASE WHEN itemid IN (SELECT itemid FROM props WHERE property = 'available') THEN 1.0 ELSE 0.0 END), 6) AS available_part FROM items"
 )
-def tree_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.tree_profile(star_dataset(spark, sf_dir).tree)
-    return spark.createDataFrame([found], ", ".join(f"{k} {'boolean' if k == 'has_cycle' else 'long'}" for k in found))
+def coverage_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of items with properties where some items have none."""
+    data = star_dataset(spark, sf_dir)
+    strange = spark.read.parquet(f"{sf_dir}/region.parquet").select((1_000_000 + F.col("r_regionkey")).cast("long").alias("itemid"))
+    found = audit.coverage(data.events.where("itemid % 3 <> 0").select("itemid").unionByName(strange), data.properties)
+    return spark.createDataFrame([(round(found["event_item_property_coverage"], 6), round(found["event_item_available_coverage"], 6))], "any_part double, available_part double")
+
+
+def _written_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    """The test tables as CSV files in the shared folder, read back. The first property file has an older category of each item at the same time as the second's."""
+    data = star_dataset(spark, sf_dir)
+    folder = new_path(spark, "csv")
+    named = data.properties.drop("row_id")
+    older = named.where("property = 'categoryid'").withColumn("value", F.concat("value", F.lit("/old")))
+    tables = zip(EXPECTED_FILES, (data.events.drop("row_id"), older, named, data.tree), strict=True)
+    for name, table in tables:
+        table.write.option("header", True).csv(f"{folder}/{name}")
+    return read_dataset(spark, folder)
+
+
+@query(f"WITH {_EV} SELECT itemid, category FROM cats")
+def csv_latest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows with equal times the later file's counts."""
+    return rankings.latest_category(_written_dataset(spark, sf_dir).properties, 10**15)
+
+
+@query(f"WITH {_EV} SELECT event, count(*) AS events, count(DISTINCT itemid) AS items, count(transactionid) AS ids, min(timestamp) AS first_ms, max(timestamp) AS last_ms FROM ev GROUP BY 1")
+def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _written_dataset(spark, sf_dir).events
+    return events.groupBy("event").agg(F.count("*").alias("events"), F.count_distinct("itemid").alias("items"), F.count("transactionid").alias("ids"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
 
 
 @query(
@@ -612,7 +677,7 @@ def learned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored, "score")
 
 
-@query()
+@query(f"WITH {_EV}, placed AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp, row_id) - 1 AS place, count(*) OVER () AS n FROM train) SELECT timestamp AS internal_fit_end_ms FROM placed WHERE place = round_even((n - 1) * 0.8, 0)")
 def internal_fit_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _Base(spark, sf_dir).train
     end = values_at(train, "timestamp", [nearest_index(train.count(), 0.8)])[0]
@@ -640,8 +705,101 @@ def stage_aware_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, _LONG)
 
 
-@query()
+#: Places that the sampler draws from the 98 items that are no positives: the same draw as the query's.
+_DRAWN = temporal.draw(98, 10, 42)
+
+
+@query(
+    f"WITH {_EV}, others AS (SELECT itemid, row_number() OVER (ORDER BY itemid) - 1 AS place FROM (SELECT itemid FROM ev WHERE itemid IS NOT NULL AND itemid NOT IN (5, 9) GROUP BY itemid HAVING min(timestamp) <= (SELECT train_end FROM cut))) "
+    f"SELECT itemid FROM others WHERE place IN ({', '.join(map(str, _DRAWN))}) UNION SELECT unnest([5, 9])"
+)
 def sampled_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
     catalog = temporal.time_valid_items(temporal.first_seen(b.events), b.train_end)
     return spark.createDataFrame([(i,) for i in temporal.sampled_candidates(catalog, [5, 9], 10, 42)], "itemid long")
+
+
+#: Coefficients of a ranker for every task, to look at scoring apart from fitting.
+_MODELS = {t: learning.Model((0.01, 0.005, 0.008, 0.002, 0.5, 0.4, 0.3, 0.2), (0.004, 0.003, 0.005, 0.001, 0.5, 0.5, 0.4, 0.4), tuple(0.1 * (i + 1) * (-1) ** (i * n) for i in range(8)), 0.25 * n) for n, t in enumerate(EVENT_TYPES)}
+_NAMED = [f"{c}_rr" for c in COMPONENTS] + [f"{c}_present" for c in COMPONENTS]
+
+
+def _score_sql(m: learning.Model) -> str:
+    terms = " + ".join(f"({c!r}) * (({f}) - {a!r}) / {d!r}" for f, a, d, c in zip(fusion.FEATURES, m.mean, m.deviation, m.coefficients, strict=True))
+    return f"1 / (1 + exp(-({m.intercept!r} + {terms})))"
+
+
+_RAW = ", ".join(f"coalesce(1.0::DOUBLE / ({OFFSET}::DOUBLE + min(CASE WHEN source = '{c}' THEN rank END)), 0) AS {c}_rr" for c in COMPONENTS) + ", " + ", ".join(f"CAST(max(CASE WHEN source = '{c}' THEN 1 ELSE 0 END) AS DOUBLE) AS {c}_present" for c in COMPONENTS)
+
+
+@query(
+    f"WITH {_Q}{_CAND}, f AS (SELECT split, query_id, itemid, {_RAW} FROM cand WHERE source IN ({', '.join(repr(c) for c in COMPONENTS)}) GROUP BY ALL), "
+    "scored AS (" + " UNION ALL ".join(f"SELECT split, query_id, '{t}' AS task, itemid, round({_score_sql(m)}, 9) AS score FROM f" for t, m in _MODELS.items()) + ") "
+    f"SELECT split, query_id, task, itemid, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY split, query_id, task ORDER BY score DESC, itemid) AS rank FROM scored) WHERE rank <= {K}"
+)
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates scored and ranked by given models. Scores are compared to nine decimals, on which both engines agree."""
+    b = _Base(spark, sf_dir)
+    asked = b.asked().queries
+    found = fusion.features(fusion.looked_up(asked, b.sources(asked), COMPONENTS, DEPTH), dict.fromkeys(COMPONENTS, DEPTH), OFFSET)
+    return _rounded(learning.ranked(found, _MODELS, K, decimals=9), "score")
+
+
+_THRESHOLD = 0.9
+
+
+@query(
+    f"WITH {_SWEEP}, j AS (SELECT x.budget, count(*) FILTER (x.recall >= {_THRESHOLD} * f.recall) = 3 AS enough, avg(x.recall) AS recall FROM rec x LEFT JOIN (SELECT * FROM rec WHERE budget = '{_REFERENCE}') f USING (split, task) WHERE x.split = 'validation' GROUP BY 1) "
+    f"SELECT budget, round(recall, 6) AS recall, round(size, 6) AS size FROM j JOIN (SELECT budget, size FROM siz WHERE split = 'validation') USING (budget) WHERE enough OR budget = '{_REFERENCE}' ORDER BY enough DESC, size, recall DESC, budget LIMIT 1"
+)
+def efficient_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recall, size = _sweep(spark, sf_dir)
+    points = recall.join(size, ["budget", "split"]).where("split = 'validation'")
+    return _rounded(decisions.efficient_choice(points, _REFERENCE, _THRESHOLD), "recall", "size")
+
+
+_SINGLES = [f"{c}_only" for c in COMPONENTS]
+
+
+@query(
+    f"WITH {_HYBRIDS}, a AS (SELECT variant, task, avg(ndcg) AS ndcg FROM m WHERE split = 'validation' GROUP BY ALL), means AS (SELECT variant, avg(ndcg) AS mean FROM a GROUP BY 1), singles AS (SELECT unnest([{', '.join(repr(x) for x in _SINGLES)}]) AS variant), "
+    "best AS (SELECT task, max(ndcg) AS best FROM a JOIN singles USING (variant) GROUP BY 1) SELECT round((SELECT mean FROM means WHERE variant = 'hybrid_full'), 6) AS mean_full, round((SELECT max(mean) FROM means JOIN singles USING (variant)), 6) AS mean_single, "
+    "(SELECT count(*) FROM a JOIN best USING (task) WHERE variant = 'hybrid_full' AND ndcg >= best) AS wins, (SELECT mean FROM means WHERE variant = 'hybrid_full') > (SELECT max(mean) FROM means JOIN singles USING (variant)) AND (SELECT count(*) FROM a JOIN best USING (task) WHERE variant = 'hybrid_full' AND ndcg >= best) >= 2 AS retained"
+)
+def hybrid_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule on fusion, from the same numbers as the report."""
+    rows = metrics.averaged(_hybrid_scores(spark, sf_dir).where("split = 'validation'"), ["variant", "task"]).collect()
+    cells: dict[str, dict] = {}
+    for r in rows:
+        cells.setdefault(r["variant"], {})[r["task"]] = {"ndcg_at_k": r["ndcg"]}
+    means = decisions.mean_ndcg(cells)
+    row = (round(means["hybrid_full"], 6), round(max(means[x] for x in _SINGLES), 6), decisions.wins(cells, "hybrid_full", _SINGLES, ties=True), decisions.retain_hybrid(cells, "hybrid_full", _SINGLES))
+    return spark.createDataFrame([row], "mean_full double, mean_single double, wins long, retained boolean")
+
+
+@query(
+    f"WITH {_VARIED}, r AS (SELECT variant, task, avg(coalesce(found, 0) / positives) AS recall FROM (SELECT split, query_id, task, count(*) AS positives FROM pos WHERE split = 'validation' GROUP BY ALL) CROSS JOIN (SELECT DISTINCT variant FROM sets) "
+    "LEFT JOIN (SELECT split, query_id, task, variant, count(*) AS found FROM pos JOIN sets USING (split, query_id, itemid) GROUP BY ALL) USING (split, query_id, task, variant) GROUP BY ALL), "
+    "b AS (SELECT task, recall AS base FROM r WHERE variant = 'base_union'), e AS (SELECT task, recall AS expanded FROM r WHERE variant = 'expanded_union') SELECT round(avg(expanded) - avg(base), 6) AS gain, round(avg(expanded) - avg(base), 9) >= 0.03 AND bool_and(expanded >= base) AS retained FROM b JOIN e USING (task)"
+)
+def retrieval_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule on expanded retrieval."""
+    asked, varied = _varied(spark, sf_dir)
+    scored = metrics.candidate_recall(fusion.candidate_sets(varied), asked.positives).where("split = 'validation'")
+    cells: dict[str, dict[str, float]] = {}
+    for r in scored.groupBy("variant", "task").agg(F.avg("recall").alias("recall")).collect():
+        cells.setdefault(r["variant"], {})[r["task"]] = r["recall"]
+    gain = decisions.mean(list(cells["expanded_union"].values())) - decisions.mean(list(cells["base_union"].values()))
+    return spark.createDataFrame([(round(gain, 6), decisions.retain_retrieval(cells, "base_union", "expanded_union"))], "gain double, retained boolean")
+
+
+@query()
+def sampled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of a drawn sample of the eligible sessions; compared with the same draw in the tests."""
+    return sessions.session_queries(_Base(spark, sf_dir).split, "test", GAP, max_sessions=20, seed=365).queries
+
+
+@query()
+def learned_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _Base(spark, sf_dir)
+    return spark.createDataFrame(_long(evaluations.evaluate_learned(b.data, b.manifest(), k=K, source_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
