@@ -3,7 +3,7 @@
 Each text gives a vector of transformed statistics. For every (language, source), every language and all rows
 a minimum-covariance-determinant estimate is made over all rows: the mean and covariance of the share H of rows whose covariance has the smallest
 determinant. Four starts for each cell take two concentration steps (keep the share H of rows nearest by Mahalanobis
-distance, estimate anew), none of which raises the determinant; the start with the smallest one goes on until it falls no more. Covariances have
+distance, estimate anew), none of which raises the determinant; the start with the smallest one goes on until it hardly falls. Covariances have
 a floor added, which leaves this true. A row is judged by the narrowest of the three estimates that rests on enough rows.
 
 Statistics are whole thousandths, so sums are exact and results do not depend on how rows are dealt out.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -33,8 +34,8 @@ P = len(STATS)
 FLOOR = (1500, 80, 100, 100, 100, 80)
 #: Words, of so many characters each, and lines that every text is taken to have besides: few words say little about a text.
 EXTRA_WORDS, EXTRA_SIZE, EXTRA_LINES = 50, 5.0, 5
-#: Share of rows that an estimate rests on, steps of each start, and steps at most of the best one (it stops where nothing changes).
-H, FIRST_STEPS, MAX_STEPS = 0.75, 2, 100
+#: Share of rows that an estimate rests on, and steps of each start. The best one goes on until a step lowers its determinant by under a TOLERANCE-th part.
+H, FIRST_STEPS, TOLERANCE = 0.75, 2, 1e-3
 #: Rows that a (language, source), a language or the table must have for an estimate of its own, which has 27 numbers. A smaller cell is
 #: judged by the next wider one; a table with fewer rows has no estimate.
 MIN_ROWS = 200
@@ -191,7 +192,7 @@ def _starts(rows: DataFrame, few: bool) -> DataFrame:
 
 def _step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """A concentration step of every (cell, start): estimates from the share H of rows that are nearest by the present ones. Rows that tie at the limit all count."""
-    near = _near(rows, now, few).where("start is not null").select("key", "start", *STATS, _bin().alias("bin"))
+    near = _beside(rows, now, few, ["key"]).select("key", "start", *STATS, _bin().alias("bin"))
     limit = near.groupBy("key", "start").agg(F.percentile("bin", F.lit(H)).alias("limit"))
     kept = _beside(near, limit, few, ["key", "start"]).where("bin <= limit")
     return kept.groupBy("key", "start").agg(F.count("*").alias("n"), *_sums([F.col(s) for s in STATS], "s")).mapInPandas(_estimated, ESTIMATE)
@@ -199,18 +200,20 @@ def _step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
 
 def robust_estimates(rows: DataFrame, few: bool) -> DataFrame:
     """key, mean, inverse, logdet, scale of each key; ``rows`` has key and the statistics."""
+    rows = written(rows.select("key", *STATS), "mcd-rows")
     now = written(_starts(rows, few), "mcd")
     for _ in range(FIRST_STEPS):
         now = written(_step(rows, now, few), "mcd")
     best = now.groupBy("key").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best"))
-    now = written(best.select("key", "best.*"), "mcd")
-    for _ in range(MAX_STEPS):
-        after = written(_step(rows, now, few), "mcd")
-        # a cell whose determinant falls no more is done and stays as it is
-        moved = after.join(now.select("key", F.col("logdet").alias("before")), "key").where("logdet < before")
-        if moved.isEmpty():
-            break
-        now = after
+    moving = written(best.select("key", "best.*"), "mcd")
+    done = []
+    while not moving.isEmpty():
+        # a step never raises the determinant, and each step that counts lowers it by TOLERANCE: the loop ends
+        after = _step(rows, moving, few).join(moving.select("key", F.col("logdet").alias("before")), "key")
+        after = written(after.withColumn("fell", F.col("before") - F.col("logdet")), "mcd")
+        done.append(after.where(F.col("fell") < TOLERANCE).select("key", "start", "mean", "inverse", "logdet"))
+        moving = after.where(F.col("fell") >= TOLERANCE).select("key", "start", "mean", "inverse", "logdet")
+    now = written(reduce(DataFrame.unionAll, done, best.select("key", "best.*").limit(0)), "mcd")
     near = _near(rows, now, few).select("key", _bin().alias("bin"))
     scale = near.groupBy("key").agg((F.expm1((F.percentile("bin", F.lit(0.5)) + 0.5) / 1000) / CHI2_MEDIAN).alias("scale"))
     return written(now.join(scale, "key").select("key", "mean", "inverse", "logdet", "scale"), "mcd")
