@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, licenses, line_dedup, packing, quality, simhash, token_files, warc
+from . import decontamination, html_text, language, licenses, line_dedup, packing, quality, repeats, simhash, token_files, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -58,6 +58,10 @@ def op10_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_documents(spark, sf_dir), length=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_qgram_leaks,
         op9_simhash_components,
         op10_template_slots,
+        op11_bucket_refinement,
     )
 }
 
