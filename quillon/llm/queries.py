@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, licenses, line_dedup, packing, quality, repeats, simhash, token_files, warc
+from . import decontamination, html_text, language, licenses, line_dedup, negatives, packing, quality, repeats, simhash, spelling, token_files, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -62,6 +62,14 @@ def op11_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_documents(spark, sf_dir), length=400)
 
 
+def op12_trie_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+def op13_ball_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_components,
         op10_template_slots,
         op11_bucket_refinement,
+        op12_trie_automata,
+        op13_ball_trees,
     )
 }
 
 #: DuckDB SQL by query; the others' results can't be expressed there and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_sentence_rules": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_sentence_rules": licenses.oracle_sql(), "op13_ball_trees": negatives.oracle_sql()}
