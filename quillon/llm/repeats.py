@@ -242,9 +242,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = tables.keep(asked, "repeat-asked")
     windows = tables.keep(_beside(texts, asked, F.size("places"), "inner").select("doc_id", "v", "raw", "places").mapInArrow(partial(_windows, length=length), WINDOWS), "repeat-windows")
     again = tables.keep(windows.groupBy("h", "w").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("k > 1 or n > 1").select("h", "w"), "repeat-again")
+    # rows by byte are dealt out alike at every size
     whole = _among(members, tables.keep(parts.where("n > 1").select("h", "c"), "repeat-whole"), ["h", "c"])
     begin = F.col("pos") - F.col("before")
-    covered = whole.select("doc_id", "v", begin.alias("low"), (begin + F.col("run") - 1 + length).alias("high")).unionAll(_among(windows.where("n = 1"), again, ["h", "w"]).select("doc_id", "v", F.col("p").alias("low"), (F.col("p") + length).alias("high")))
+    covered = whole.select("doc_id", "v", begin.alias("low"), (begin + F.col("run") - 1 + length).alias("high")).unionAll(windows.where("n = 1").join(again.hint("merge"), ["h", "w"], "left_semi").select("doc_id", "v", F.col("p").alias("low"), (F.col("p") + length).alias("high")))
     # a span begins where no earlier string reaches
     before = Window.partitionBy("doc_id", "v").orderBy("low", "high")
     reached = F.max("high").over(before.rowsBetween(Window.unboundedPreceding, -1))
