@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a table that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of one key beyond which they are dealt out over segments of time, and slices of a key's time from which segments are made.
+SEGMENT_ROWS, SLICES = 1_000_000, 4096
+
+
+def hot_segments(rows: DataFrame, keys: Sequence[str], at: str, segment_rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """Rows of keys with over ``segment_rows`` rows, with their _segment, and the rest; None if no key has so many.
+
+    Segments follow each other in time and rows of equal times share one. A key's time is cut into slices of equal length, which are counted; neighbouring slices
+    make a segment until they have ``segment_rows`` rows. Counts and bounds are exact, so a task that runs again deals its rows as before. Null keys are one key.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high")).where(F.col("_n") > segment_rows)
+    hot = cut(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_low", "_high"))
+    if hot.isEmpty():
+        return None
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    names = [f"_k{i}" for i in range(len(keys))]
+    # rows without a time, and times of one instant, are in the first slice
+    width = F.expr(f"(_high - _low) div {SLICES} + 1")
+    sliced = rows.join(hot, same).withColumn("_slice", F.coalesce(((F.col(at) - F.col("_low")) / width).cast("int"), F.lit(-1))).drop("_low", "_high")
+    counts = sliced.groupBy(*names, "_slice").agg(F.count("*").alias("_n"))  # some thousand rows for a hot key
+    before = F.sum("_n").over(Window.partitionBy(*names).orderBy("_slice")) - F.col("_n")
+    dealt = cut(counts.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("_slice").alias("_s"), F.floor(before / segment_rows).cast("int").alias("_segment")))
+    on = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]) & (F.col("_slice") == F.col("_s"))
+    split = sliced.join(dealt, on).drop(*names, *[f"_{n}" for n in names], "_slice", "_s")
+    return split, rows.join(hot, same, "left_anti")
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """Rows with their 0-based place in a total order: range-sorted, numbered in each partition, shifted by those before.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES, EVENTS, PROPERTIES, TREE, require_table
+from ..functions.ranks import drop_path, new_path
 from .rankings import normalized_tree
 
 
@@ -47,26 +48,31 @@ def property_profile(properties: DataFrame) -> dict[str, Any]:
 
 
 def has_cycle(tree: DataFrame) -> bool:
-    """Whether some category is its own ancestor. Categories without a parent are peeled off, level by level; a rest without one is a cycle.
+    """Whether some category is its own ancestor, by pointer doubling. Of rows that repeat a category the last counts.
 
-    Of rows that repeat a category the last counts.
+    After k rounds a category points to its ancestor at distance 2^k, and those that have none are gone. Once that is further than there are
+    categories, whoever is left goes round. Each round is one join of a written table with itself, and replaces it.
     """
+    spark = tree.sparkSession
     row = F.col("row_id") if "row_id" in tree.columns else F.monotonically_increasing_id()
-    rest = normalized_tree(tree.withColumn("_row", row).groupBy("categoryid").agg(F.max_by("parentid", "_row").alias("parentid"))).where("parentid is not null").persist()
+    pointers = normalized_tree(tree.withColumn("_row", row).groupBy("categoryid").agg(F.max_by("parentid", "_row").alias("parentid"))).where("parentid is not null")
+    path = new_path(spark, "ancestors")
+    pointers.select(F.col("categoryid").alias("node"), F.col("parentid").alias("up")).write.parquet(path)
+    read = lambda: spark.read.schema("node string, up string").parquet(path)
+    left = total = read().count()
+    distance = 1
     try:
-        left = rest.count()
-        while left:
-            parents = rest.select(F.col("categoryid").alias("parentid"))
-            smaller = rest.join(parents, "parentid", "left_semi").select("categoryid", "parentid").persist()
-            n = smaller.count()
-            rest.unpersist()
-            rest = smaller
-            if n == left:
+        while left and distance <= total:
+            if not read().where("node = up").isEmpty():
                 return True
-            left = n
-        return False
+            further = new_path(spark, "ancestors")
+            read().join(read().select(F.col("node").alias("up"), F.col("up").alias("further")), "up").select("node", F.col("further").alias("up")).write.parquet(further)
+            drop_path(spark, path)
+            path, distance = further, 2 * distance
+            left = read().count()
+        return left > 0
     finally:
-        rest.unpersist()
+        drop_path(spark, path)
 
 
 def tree_profile(tree: DataFrame) -> dict[str, Any]:

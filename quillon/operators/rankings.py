@@ -84,21 +84,25 @@ def _category_key(column: str) -> Column:
 
 
 def normalized_tree(tree: DataFrame) -> DataFrame:
-    return tree.select(_category_key("categoryid").alias("categoryid"), _category_key("parentid").alias("parentid")).where("categoryid is not null")
+    """Keys of categories and parents; a column _row is kept."""
+    return tree.select(_category_key("categoryid").alias("categoryid"), _category_key("parentid").alias("parentid"), *[c for c in tree.columns if c == "_row"]).where("categoryid is not null")
 
 
 def sibling_items(tree: DataFrame, popular: DataFrame, n: int) -> DataFrame:
     """category, itemid, rank: items of all categories under the same parent (its own too), one from each in turn, up to n.
 
     Categories take turns in the order of their numbers; a repeated item counts at its first turn.
+    The list depends on the parent alone: it is made once for each parent, and its children look it up. Of rows that repeat a category the
+    last with a parent names its parent; it counts as a child of all of them.
     """
-    known = normalized_tree(tree)
-    family = known.join(known.select(F.col("categoryid").alias("sibling"), F.col("parentid").alias("p")), F.col("parentid") == F.col("p")).select("categoryid", "sibling").distinct()
-    turn = F.row_number().over(Window.partitionBy("categoryid").orderBy(F.expr("try_cast(sibling as decimal(38,0))").asc_nulls_last(), "sibling"))
-    turns = family.withColumn("turn", turn)
-    lists = popular.where(F.col("rank") <= n).select(F.col("category").alias("sibling"), "itemid", "rank")
-    first = turns.join(lists, "sibling").groupBy("categoryid", "itemid").agg(F.min(F.struct("rank", "turn")).alias("at"))
-    return first_n(first, ["categoryid"], [F.asc("at.rank"), F.asc("at.turn")], n).select(F.col("categoryid").alias("category"), "itemid", "rank")
+    known = normalized_tree(tree.withColumn("_row", F.col("row_id") if "row_id" in tree.columns else F.lit(0))).where("parentid is not null")
+    turn = F.row_number().over(Window.partitionBy("parentid").orderBy(F.expr("try_cast(categoryid as decimal(38,0))").asc_nulls_last(), "categoryid"))
+    turns = known.select("parentid", "categoryid").distinct().withColumn("turn", turn)
+    lists = popular.where(F.col("rank") <= n).select(F.col("category").alias("categoryid"), "itemid", "rank")
+    first = turns.join(lists, "categoryid").groupBy("parentid", "itemid").agg(F.min(F.struct("rank", "turn")).alias("at"))
+    merged = first_n(first, ["parentid"], [F.asc("at.rank"), F.asc("at.turn")], n).select("parentid", "itemid", "rank")
+    parents = known.groupBy(F.col("categoryid").alias("category")).agg(F.max_by("parentid", F.struct("_row", "parentid")).alias("parentid"))
+    return parents.join(merged, "parentid").select("category", "itemid", "rank")
 
 
 def item_cohorts(train: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import require_columns, require_fractions, require_positive
-from ..functions.ranks import nearest_rank, numbered, values_at
+from ..functions.ranks import SEGMENT_ROWS, hot_segments, nearest_rank, numbered, values_at
 from ..sources.artifacts import HORIZON, SESSION_POLICY
 from ..sources.tables import deduplicated
 
@@ -38,31 +39,71 @@ def with_split(events: DataFrame, train_end_ms: int, validation_end_ms: int) ->
     return events.withColumn("split", split_label(train_end_ms, validation_end_ms))
 
 
-def sessionize(events: DataFrame, gap_minutes: float = 30, split_col: str | None = None) -> DataFrame:
+def _carried(ends: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """A value for each segment from a row for each segment before it, under names that clash with nothing: _c0, ..., _cs, _carried."""
+    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col("_segment").alias("_cs"), value.over(before).alias("_carried"))
+
+
+def _beside(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of segments with what is carried to theirs."""
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)])
+    return rows.join(carried, same & (F.col("_segment") == F.col("_cs"))).drop(*[f"_c{i}" for i in range(len(keys))], "_cs")
+
+
+def sessionize(events: DataFrame, gap_minutes: float = 30, split_col: str | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Events with session_index (from 0 for each visitor), session_id, split_boundary_break and split_boundary_forced_break.
 
     A session ends where more than the gap passes before the visitor's next event, or where the split changes; that a
     change alone ended it makes a forced break. Order is timestamp, then row_id where there is one.
+
+    Visitors of over ``segment_rows`` events are dealt out over segments of time: a break needs only the event before, the last one of an earlier segment for a
+    segment's first, and an index is the breaks in a segment up to the event and those in the segments before.
     """
     require_positive(gap_minutes=gap_minutes)
     require_columns(events.columns, ["visitorid", "timestamp", *([split_col] if split_col else [])], "events")
+    dealt = hot_segments(events, ["visitorid"], "timestamp", segment_rows)
+    if dealt is None:
+        return _sessions(events, ["visitorid"], gap_minutes, split_col)
+    hot, rest = dealt
     order = ["timestamp", *(["row_id"] if "row_id" in events.columns else [])]
-    by = Window.partitionBy("visitorid").orderBy(*order)
-    before = F.lag("timestamp").over(by)
-    gap = before.isNotNull() & (F.col("timestamp") - before > gap_minutes * MINUTE_MS)
-    change = F.lag(split_col).over(by).isNotNull() & (F.lag(split_col).over(by) != F.col(split_col)) if split_col else F.lit(False)
+    ends = hot.groupBy("visitorid", "_segment").agg(F.max(F.struct(*order, *([split_col] if split_col else []))).alias("_end"))
+    placed = _beside(hot, _carried(ends, ["visitorid"], F.last("_end", ignorenulls=True)), ["visitorid"])
+    local = _sessions(placed, ["visitorid", "_segment"], gap_minutes, split_col, F.col("_carried")).drop("_carried")
+    # breaks of a segment: the index of its last event
+    breaks = local.groupBy("visitorid", "_segment").agg(F.max("session_index").alias("_breaks"))
+    whole = _beside(local, _carried(breaks, ["visitorid"], F.sum("_breaks")), ["visitorid"])
+    index = F.col("session_index") + F.coalesce("_carried", F.lit(0))
+    return _named(whole.withColumn("session_index", index)).drop("_segment", "_carried").unionByName(_sessions(rest, ["visitorid"], gap_minutes, split_col))
+
+
+def _named(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumn("session_id", F.concat_ws(":", F.col("visitorid").cast("string"), F.col("session_index").cast("string")))
+
+
+def _sessions(events: DataFrame, keys: Sequence[str], gap_minutes: float, split_col: str | None, carried: Column | None = None) -> DataFrame:
+    """Sessions where all rows of ``keys`` come together. ``carried`` is what stood before the first of them: timestamp, row_id where there is one, and split."""
+    by = Window.partitionBy(*keys).orderBy("timestamp", *(["row_id"] if "row_id" in events.columns else []))
+
+    def before(column: str) -> Column:
+        last = F.lag(column).over(by)
+        return last if carried is None else F.when(F.row_number().over(by) == 1, carried[column]).otherwise(last)
+
+    gap = F.coalesce(F.col("timestamp") - before("timestamp") > gap_minutes * MINUTE_MS, F.lit(False))
+    change = F.coalesce(before(split_col) != F.col(split_col), F.lit(False)) if split_col else F.lit(False)
     flagged = events.withColumns({"_gap": gap, "split_boundary_break": change})
     index = F.sum((F.col("_gap") | F.col("split_boundary_break")).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    indexed = flagged.withColumns({"session_index": index, "split_boundary_forced_break": F.col("split_boundary_break") & ~F.col("_gap")}).drop("_gap")
-    return indexed.withColumn("session_id", F.concat_ws(":", F.col("visitorid").cast("string"), F.col("session_index").cast("string")))
+    return _named(flagged.withColumns({"session_index": index, "split_boundary_forced_break": F.col("split_boundary_break") & ~F.col("_gap")}).drop("_gap"))
 
 
-def point_in_time_join(events: DataFrame, properties: DataFrame, by: str | Sequence[str] = "itemid", event_time: str = "timestamp", property_time: str = "timestamp") -> DataFrame:
+def point_in_time_join(events: DataFrame, properties: DataFrame, by: str | Sequence[str] = "itemid", event_time: str = "timestamp", property_time: str = "timestamp", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Each event with the latest property row of its key at or before its time; nulls if there is none.
 
     The property's time and other columns whose names clash get the suffix _property. Of property rows with equal key and
     time the last one counts, by row_id where there is one. Both sides are laid out once by key and time; nothing is
     compared pair by pair. To join the state of one property, filter to it first.
+
+    Keys of over ``segment_rows`` rows are dealt out over segments of time, each of which is given the last state of the segments before it.
     """
     keys = [by] if isinstance(by, str) else list(by)
     require_columns(events.columns, [*keys, event_time], "events")
@@ -74,9 +115,19 @@ def point_in_time_join(events: DataFrame, properties: DataFrame, by: str | Seque
     state = F.struct(*[F.col(c).alias(names[c]) for c in given])
     right = properties.select(*keys, F.col(property_time).alias("_at"), F.lit(0).alias("_side"), tie.cast("long").alias("_tie"), state.alias("_state"), F.lit(None).cast(events.schema).alias("_event"))
     left = events.select(*keys, F.col(event_time).alias("_at"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(right.schema["_state"].dataType).alias("_state"), F.struct(*events.columns).alias("_event"))
-    upto = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_state", F.last("_state", ignorenulls=True).over(upto))
-    return both.where("_side = 1").select("_event.*", "_state.*")
+    both = left.unionByName(right)
+
+    def latest(*within: str) -> Column:
+        return F.last("_state", ignorenulls=True).over(Window.partitionBy(*within).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+
+    dealt = hot_segments(both, keys, "_at", segment_rows)
+    hot, rest = dealt or (None, both)
+    told = rest.withColumn("_state", latest(*keys))
+    if hot is not None:
+        ends = hot.groupBy(*keys, "_segment").agg(F.max_by("_state", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"))
+        placed = _beside(hot, _carried(ends, keys, F.last("_end", ignorenulls=True)), keys)
+        told = placed.withColumn("_state", F.coalesce(latest(*keys, "_segment"), "_carried")).drop("_carried", "_segment").unionByName(told)
+    return told.where("_side = 1").select("_event.*", "_state.*")
 
 
 def first_seen(events: DataFrame) -> DataFrame:
