@@ -35,11 +35,14 @@ class Sources:
     fallback: DataFrame
 
 
-def fit_sources(train: DataFrame, properties: DataFrame, tree: DataFrame | None, cutoff_ms: int, gap_minutes: float, depth: int, half_life_days: float, queries: DataFrame, fallback_depth: int) -> Sources:
-    """All lists of a training period; look-up tables are kept for the visitors and contexts of the queries alone."""
-    categories = rankings.latest_category(properties, cutoff_ms)
+def fit_sources(train: DataFrame, properties: DataFrame, tree: DataFrame | None, cutoff_ms: int, gap_minutes: float, depth: int, half_life_days: float, queries: DataFrame, fallback_depth: int, categories: DataFrame | None = None, pairs: DataFrame | None = None) -> Sources:
+    """All lists of a training period; look-up tables are kept for the visitors and contexts of the queries alone.
+
+    ``categories`` (itemid, category) stands for those of the properties at the cutoff, ``pairs`` (source, target) for those of the period's sessions, where they are known.
+    """
+    categories = rankings.latest_category(properties, cutoff_ms) if categories is None else categories
     category = rankings.category_popularity(train, categories, depth)
-    pairs = rankings.adjacent_pairs(train, gap_minutes)
+    pairs = rankings.adjacent_pairs(train, gap_minutes) if pairs is None else pairs
     contexts = queries.select(F.col("last_item").alias("itemid")).distinct()
     return Sources(
         categories, category, rankings.neighbors(pairs, depth, symmetric=True, sources=contexts), rankings.neighbors(pairs, depth, sources=contexts), rankings.decayed_popularity(train, half_life_days, depth),

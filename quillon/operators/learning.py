@@ -82,6 +82,19 @@ def fit(rows: DataFrame) -> tuple[Model, int, int]:
         rows.unpersist()
 
 
+def certificate(rows: DataFrame, model: Model) -> DataFrame:
+    """One row: n, positives and gradient, the largest component of the objective's gradient at the model's coefficients, by row.
+
+    The objective is strictly convex but for the intercept, on which both classes pull, so a gradient of nothing is that of the optimum alone: the sums judge a fit however it was found.
+    """
+    counts = rows.agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+    z = {f: (F.col(f) - m) / d for f, m, d in zip(FEATURES, model.mean, model.deviation, strict=True)}
+    weight = F.when(F.col("label") == 1, F.col("n") / (2 * F.col("positives"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("positives"))))
+    pull = rows.select("label", *FEATURES).crossJoin(F.broadcast(counts)).withColumn("pull", weight * (model.score() - F.col("label")))  # counts are one row
+    sums = pull.agg(F.first("n").alias("n"), F.first("positives").alias("positives"), F.sum("pull").alias("g"), *[(F.sum(F.col("pull") * c) + b).alias(f"g_{f}") for (f, c), b in zip(z.items(), model.coefficients, strict=True)])
+    return sums.select("n", "positives", (F.greatest(F.abs("g"), *[F.abs(f"g_{f}") for f in FEATURES]) / F.col("n")).alias("gradient"))
+
+
 def ranked(features: DataFrame, models: dict[str, Model], k: int, decimals: int | None = None) -> DataFrame:
     """query keys, task, itemid, score, rank: the first k candidates of each task by its model, then item. With ``decimals``, scores that agree so far tie."""
     keys: Sequence[str] = [c for c in ("split", "query_id", "stage") if c in features.columns]

@@ -33,6 +33,27 @@ def query_metrics(ranked: DataFrame, positives: DataFrame, variants: Sequence[st
     return scored.select(*keys, *label, "variant", (F.coalesce("hits", F.lit(0)) / F.col("positives")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / _ideal(F.col("positives"), k)).alias("ndcg"))
 
 
+def cohort_metrics(ranked: DataFrame, positives: DataFrame, visitors: DataFrame, variants: Sequence[str], k: int) -> DataFrame:
+    """split, scope, cohort, variant, task, queries, recall, ndcg: overall, by cohort of the visitor and by cohort of the positive items, from one scoring of all rankings.
+
+    ``positives`` have the cohort of their item; ``visitors`` (query keys, cohort) has a row for each query. Hits are counted once, by query and item cohort; grouping sets
+    give them whole as well, and a query without a cohort's positives has no part in it. scope is overall (cohort null), visitor or item.
+    """
+    keys = [c for c in ("split", "query_id", "stage") if c in positives.columns]
+    by = [*keys, "task", "variant", "cohort"]
+    on = [*keys, "itemid", *(["task"] if "task" in ranked.columns else [])]
+    each = positives.groupBy(*keys, "task", "cohort").agg(F.count("*").alias("positives")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    hits = ranked.where(F.col("rank") <= k).join(positives, on).groupBy(*by).agg(F.count("*").alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
+    found = each.join(hits, by, "left")
+    sums = found.groupingSets([by, by[:-1]], *by).agg(F.grouping("cohort").alias("whole"), *[F.sum(c).alias(c) for c in ("positives", "hits", "gain")])
+    scored = sums.select(*by, "whole", (F.coalesce("hits", F.lit(0)) / F.col("positives")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / _ideal(F.col("positives"), k)).alias("ndcg"))
+    told = scored.join(visitors.select(*keys, F.col("cohort").alias("visitor")), keys, "left")
+    place = lambda scope, cohort: F.struct(F.lit(scope).alias("scope"), cohort.cast("string").alias("cohort"))
+    places = F.when(F.col("whole") == 1, F.array(place("overall", F.lit(None)), place("visitor", F.col("visitor")))).otherwise(F.array(place("item", F.col("cohort"))))
+    rows = told.select("split", "variant", "task", "recall", "ndcg", F.explode(places).alias("at")).select("*", "at.*").drop("at")
+    return averaged(rows, ["split", "scope", "cohort", "variant", "task"])
+
+
 def averaged(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,24 @@ def latest_category(properties: DataFrame, cutoff_ms: int) -> DataFrame:
     return rows.groupBy("itemid").agg(F.max_by("value", F.struct("timestamp", "row_id")).alias("category"))
 
 
+def states_at(properties: DataFrame, name: str, cutoffs: Mapping[str, int]) -> DataFrame:
+    """itemid and a column for each cutoff: the last value of one property at or before it. All cutoffs are met in one scan by one conditional aggregate."""
+    order = F.struct("timestamp", "row_id")
+    last = [F.max_by("value", F.when(F.col("timestamp") <= at, order)).alias(column) for column, at in cutoffs.items()]
+    return properties.where((F.col("property") == name) & (F.col("timestamp") <= max(cutoffs.values()))).groupBy("itemid").agg(*last)
+
+
+def state_intervals(properties: DataFrame, name: str) -> DataFrame:
+    """itemid, value, valid_from, valid_to of one property; a state holds from its time until before the next one's, the last without an end.
+
+    Of rows of equal times the last counts. A state at any time t is the row with valid_from <= t < valid_to.
+    """
+    known = properties.where((F.col("property") == name) & F.col("itemid").isNotNull())
+    states = known.groupBy("itemid", "timestamp").agg(F.max_by("value", "row_id").alias("value"))
+    until = F.lead("timestamp").over(Window.partitionBy("itemid").orderBy("timestamp"))
+    return states.select("itemid", "value", F.col("timestamp").alias("valid_from"), until.alias("valid_to"))
+
+
 def category_popularity(train: DataFrame, categories: DataFrame, n: int) -> DataFrame:
     """category, itemid, score, rank: items of each category by events of all types, then item."""
     counts = train.groupBy("itemid").agg(F.count("*").alias("score")).join(categories.where("category is not null"), "itemid")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES
 from ..functions.ranks import numbered
-from .temporal import draw, sessionize
+from .temporal import draw, keyed, sessionize
 
 STAGE_TASKS = {"view_stage": ("view", "addtocart", "transaction"), "cart_stage": ("transaction",)}
 
@@ -29,22 +29,44 @@ class Queries:
         return Queries(self.queries.unionByName(other.queries), self.positives.unionByName(other.positives), self.eligible + other.eligible)
 
 
-def _placed(events: DataFrame, split: str, gap_minutes: float) -> DataFrame:
-    """Events of the split with their place in the session and its size."""
-    sessions = sessionize(events.where(F.col("split") == split).select("visitorid", "timestamp", "event", "itemid", "split", "row_id"), gap_minutes, "split")
-    whole = Window.partitionBy("visitorid", "session_index")
-    return sessions.withColumns({"place": F.row_number().over(whole.orderBy("timestamp", "row_id")) - 1, "events": F.count("*").over(whole)})
+def laid_out(events: DataFrame, gap_minutes: float) -> DataFrame:
+    """Events with their session: session_index and session_id in the visitor's split, place in it, events (its size) and next_item.
+
+    One layout by visitor serves all that asks for sessions: queries of every split, positives, and pairs of items that follow each other.
+    """
+    sessions = sessionize(events.select("visitorid", "timestamp", "event", "itemid", "split", "row_id"), gap_minutes, by=["visitorid", "split"]).drop("split_boundary_break", "split_boundary_forced_break")
+    whole = Window.partitionBy("visitorid", "split", "session_index")
+    order = whole.orderBy("timestamp", "row_id")
+    return sessions.withColumns({"place": F.row_number().over(order) - 1, "next_item": F.lead("itemid").over(order), "events": F.count("*").over(whole)})
+
+
+def following_pairs(laid: DataFrame) -> DataFrame:
+    """source, target of events that follow each other in a session."""
+    return laid.where("itemid is not null and next_item is not null").select(F.col("itemid").alias("source"), F.col("next_item").alias("target"))
+
+
+def _of_split(events: DataFrame, split: str, gap_minutes: float) -> DataFrame:
+    """The split's events, laid out unless they are."""
+    own = events.where(F.col("split") == split)
+    return own if "next_item" in events.columns else laid_out(own, gap_minutes)
 
 
-def _sampled(rows: DataFrame, max_sessions: int | None, seed: int) -> tuple[DataFrame, int]:
-    """Rows of multi-event sessions; of a drawn sample of those, in the order of visitor and session, if there are more."""
+def _sampled(rows: DataFrame, max_sessions: int | None, seed: int, how: str) -> tuple[DataFrame, int]:
+    """Rows of multi-event sessions; of a drawn sample of those if there are more.
+
+    ``numpy`` draws places in the order of visitor and session by NumPy's generator, which passes the places through the driver;
+    ``keyed`` takes the sessions with the smallest keyed numbers, whoever computes them.
+    """
     long = rows.where("events >= 2")
     heads = long.where("place = 0").select("visitorid", "session_index")
     total = heads.count()
     if not max_sessions or total <= max_sessions:
         return long, total
-    at = rows.sparkSession.createDataFrame([(p,) for p in draw(total, max_sessions, seed)], "position long")
-    chosen = numbered(heads, [F.col("visitorid"), F.col("session_index")]).join(F.broadcast(at), "position", "left_semi")
+    if how == "keyed":
+        chosen = heads.orderBy(keyed(seed, F.col("visitorid").cast("string"), F.col("session_index").cast("string")), "visitorid", "session_index").limit(max_sessions)
+    else:
+        at = rows.sparkSession.createDataFrame([(p,) for p in draw(total, max_sessions, seed)], "position long")
+        chosen = numbered(heads, [F.col("visitorid"), F.col("session_index")]).join(F.broadcast(at), "position", "left_semi")
     return long.join(chosen.select("visitorid", "session_index"), ["visitorid", "session_index"], "left_semi"), total
 
 
@@ -52,20 +74,27 @@ def _query_columns() -> list[Column]:
     return [F.col("split"), F.col("session_id").alias("query_id")]
 
 
-def session_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_sessions: int | None = None, seed: int = 365) -> Queries:
-    """One query for each session of at least two events: the first is the context, items of later ones are positives by event type."""
-    rows, total = _sampled(_placed(events, split, gap_minutes), max_sessions, seed)
+def asked(rows: DataFrame, eligible: int) -> Queries:
+    """Queries and positives of laid out rows of multi-event sessions, of one split or more."""
     queries = rows.where("place = 0").select(*_query_columns(), "visitorid", "timestamp", F.col("itemid").alias("last_item"))
     later = rows.where((F.col("place") > 0) & F.col("event").isin(*EVENT_TYPES) & F.col("itemid").isNotNull())
-    return Queries(queries, later.select(*_query_columns(), F.col("event").alias("task"), "itemid").distinct(), total)
+    return Queries(queries, later.select(*_query_columns(), F.col("event").alias("task"), "itemid").distinct(), eligible)
+
+
+def session_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_sessions: int | None = None, seed: int = 365, how: str = "numpy") -> Queries:
+    """One query for each session of at least two events: the first is the context, items of later ones are positives by event type.
+
+    ``events`` may be laid out already; ``how`` is the draw of a sample, see _sampled.
+    """
+    return asked(*_sampled(_of_split(events, split, gap_minutes), max_sessions, seed, how))
 
 
-def stage_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_sessions: int | None = None, seed: int = 365) -> Queries:
+def stage_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_sessions: int | None = None, seed: int = 365, how: str = "numpy") -> Queries:
     """view_stage queries where a session begins with a view; cart_stage queries after the first add-to-cart that is not a session's last event.
 
     A cart_stage query has later transactions as positives; it may have none.
     """
-    rows, total = _sampled(_placed(events, split, gap_minutes), max_sessions, seed)
+    rows, total = _sampled(_of_split(events, split, gap_minutes), max_sessions, seed, how)
     whole = Window.partitionBy("visitorid", "session_index")
     marked = rows.withColumns({
         "cart": F.min(F.when(F.col("event") == "addtocart", F.col("place"))).over(whole),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import require_columns, require_fractions, require_positive
-from ..functions.ranks import SEGMENT_ROWS, hot_segments, nearest_rank, numbered, values_at
+from ..functions.ranks import SEGMENT_ROWS, cut, first_n, hot_segments, nearest_rank, numbered, values_at
 from ..sources.artifacts import HORIZON, SESSION_POLICY
 from ..sources.tables import deduplicated
 
@@ -51,30 +52,32 @@ def _beside(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFra
     return rows.join(carried, same & (F.col("_segment") == F.col("_cs"))).drop(*[f"_c{i}" for i in range(len(keys))], "_cs")
 
 
-def sessionize(events: DataFrame, gap_minutes: float = 30, split_col: str | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def sessionize(events: DataFrame, gap_minutes: float = 30, split_col: str | None = None, segment_rows: int = SEGMENT_ROWS, by: Sequence[str] = ("visitorid",)) -> DataFrame:
     """Events with session_index (from 0 for each visitor), session_id, split_boundary_break and split_boundary_forced_break.
 
     A session ends where more than the gap passes before the visitor's next event, or where the split changes; that a
-    change alone ended it makes a forced break. Order is timestamp, then row_id where there is one.
+    change alone ended it makes a forced break. Order is timestamp, then row_id where there is one. ``by`` may name more than the visitor: each
+    combination then has sessions of its own, from 0.
 
     Visitors of over ``segment_rows`` events are dealt out over segments of time: a break needs only the event before, the last one of an earlier segment for a
     segment's first, and an index is the breaks in a segment up to the event and those in the segments before.
     """
     require_positive(gap_minutes=gap_minutes)
     require_columns(events.columns, ["visitorid", "timestamp", *([split_col] if split_col else [])], "events")
-    dealt = hot_segments(events, ["visitorid"], "timestamp", segment_rows)
+    keys = list(by)
+    dealt = hot_segments(events, keys, "timestamp", segment_rows)
     if dealt is None:
-        return _sessions(events, ["visitorid"], gap_minutes, split_col)
+        return _sessions(events, keys, gap_minutes, split_col)
     hot, rest = dealt
     order = ["timestamp", *(["row_id"] if "row_id" in events.columns else [])]
-    ends = hot.groupBy("visitorid", "_segment").agg(F.max(F.struct(*order, *([split_col] if split_col else []))).alias("_end"))
-    placed = _beside(hot, _carried(ends, ["visitorid"], F.last("_end", ignorenulls=True)), ["visitorid"])
-    local = _sessions(placed, ["visitorid", "_segment"], gap_minutes, split_col, F.col("_carried")).drop("_carried")
+    ends = hot.groupBy(*keys, "_segment").agg(F.max(F.struct(*order, *([split_col] if split_col else []))).alias("_end"))
+    placed = _beside(hot, _carried(ends, keys, F.last("_end", ignorenulls=True)), keys)
+    local = _sessions(placed, [*keys, "_segment"], gap_minutes, split_col, F.col("_carried")).drop("_carried")
     # breaks of a segment: the index of its last event
-    breaks = local.groupBy("visitorid", "_segment").agg(F.max("session_index").alias("_breaks"))
-    whole = _beside(local, _carried(breaks, ["visitorid"], F.sum("_breaks")), ["visitorid"])
+    breaks = local.groupBy(*keys, "_segment").agg(F.max("session_index").alias("_breaks"))
+    whole = _beside(local, _carried(breaks, keys, F.sum("_breaks")), keys)
     index = F.col("session_index") + F.coalesce("_carried", F.lit(0))
-    return _named(whole.withColumn("session_index", index)).drop("_segment", "_carried").unionByName(_sessions(rest, ["visitorid"], gap_minutes, split_col))
+    return _named(whole.withColumn("session_index", index)).drop("_segment", "_carried").unionByName(_sessions(rest, keys, gap_minutes, split_col))
 
 
 def _named(sessions: DataFrame) -> DataFrame:
@@ -157,6 +160,41 @@ def sampled_candidates(catalog: DataFrame, positives: Sequence[int], n_negatives
     return sorted({int(p) for p in positives} | set(drawn))
 
 
+def keyed(seed: int, *parts: Column | str) -> Column:
+    """A number under 2^32 from the digest of the seed and of values: the same wherever and however often it is computed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+
+
+def next_prime(n: int) -> int:
+    """The smallest prime of at least ``n`` and 2."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def drawn_negatives(queries: DataFrame, positives: DataFrame, catalog: DataFrame, keys: Sequence[str], n_negatives: int, seed: int) -> DataFrame:
+    """keys, itemid, draw: for each query up to ``n_negatives`` items of the catalog that are none of its positives, all drawn at once.
+
+    Items stand at dense positions in order of their numbers. A query walks them by steps of its own from a start of its own, modulo the smallest prime that is no smaller than the
+    catalog: no position comes twice, and as many steps as there are negatives, positives and numbers between the catalog and the prime are always enough. draw numbers the
+    taken ones from 1. Queries are rows of different ``keys``; work is in proportion to what is drawn, and neither lists nor the catalog pass the driver.
+    """
+    if n_negatives < 0:
+        raise ValueError("n_negatives must be non-negative")
+    placed = cut(numbered(catalog.select(F.col("itemid").cast("long").alias("itemid")).where("itemid is not null").distinct(), [F.col("itemid")]))
+    total = placed.count()
+    prime = next_prime(total)
+    own = positives.select(*keys, F.col("itemid").cast("long").alias("itemid")).distinct()
+    asked = queries.select(*keys).distinct().join(own.groupBy(*keys).agg(F.count("*").alias("_own")), list(keys), "left")
+    name = [F.col(k).cast("string") for k in keys]
+    steps = F.least(F.lit(n_negatives) + F.coalesce("_own", F.lit(0)) + (prime - total), F.lit(prime))
+    walked = asked.where(F.lit(min(total, n_negatives) > 0)).select(*keys, (keyed(seed, F.lit("step"), *name) % max(prime - 1, 1) + 1).alias("_step"), (keyed(seed, F.lit("start"), *name) % prime).alias("_start"), F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("_at"))
+    stood = walked.select(*keys, "_at", ((F.col("_start") + F.col("_at") * F.col("_step")) % prime).alias("position"))
+    found = stood.join(placed, "position").join(own, [*keys, "itemid"], "left_anti")
+    return first_n(found.select(*keys, "itemid", "_at"), list(keys), [F.asc("_at")], n_negatives, "draw").drop("_at")
+
+
 def build_manifest(events: DataFrame, source: str, train_fraction: float = 0.70, validation_fraction: float = 0.15, session_gap_minutes: int = 30, deduplicate_exact_rows: bool = True) -> dict[str, Any]:
     """The frozen temporal protocol of an event table: cutoffs, counts by split and event, sessions."""
     test_fraction = require_fractions(train_fraction, validation_fraction)

@@ -62,25 +62,27 @@ class Protocol:
     train: DataFrame
     asked: sessions.Queries
     counts: dict[str, tuple[int, int]]
+    pairs: DataFrame | None = None
 
 
 def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False) -> Protocol:
     events = keep(temporal.with_split(deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]))
     ask = sessions.stage_queries if stages else sessions.session_queries
-    each = {s: ask(events, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
+    laid = keep(sessions.laid_out(events, manifest["session_gap_minutes"]))
+    each = {s: ask(laid, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
     both = each["validation"].union(each["test"])
     both = sessions.Queries(keep(both.queries), keep(both.positives), both.eligible)
     evaluated = {r["split"]: r["count"] for r in both.queries.groupBy("split").count().collect()}
-    return Protocol(events, events.where("split = 'train'"), both, {s: (each[s].eligible, evaluated.get(s, 0)) for s in SPLITS})
+    return Protocol(events, events.where("split = 'train'"), both, {s: (each[s].eligible, evaluated.get(s, 0)) for s in SPLITS}, sessions.following_pairs(laid.where("split = 'train'")))
 
 
 def _cell(row: Any) -> dict[str, Any]:
     return {"queries": row["queries"], "recall_at_k": row["recall"], "ndcg_at_k": row["ndcg"]} if row else {"queries": 0, "recall_at_k": math.nan, "ndcg_at_k": math.nan}
 
 
-def nested(table: DataFrame, by: Sequence[str], levels: Sequence[Sequence[str]]) -> dict[str, Any]:
+def nested(table: DataFrame | list[Any], by: Sequence[str], levels: Sequence[Sequence[str]]) -> dict[str, Any]:
     """A report's nesting of an aggregated table; absent cells have no queries and NaN."""
-    rows = {tuple(r[c] for c in by): r for r in table.collect()}  # splits, variants, tasks and cohorts
+    rows = {tuple(r[c] for c in by): r for r in (table if isinstance(table, list) else table.collect())}  # splits, variants, tasks and cohorts
 
     def build(prefix: tuple, left: Sequence[Sequence[str]]) -> Any:
         return {v: build((*prefix, v), left[1:]) for v in left[0]} if left else _cell(rows.get(prefix))
@@ -126,22 +128,20 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
     """Recall and NDCG of the baselines, over all queries, by the visitor's history, and by the popularity of positives."""
     require_positive(k=k, half_life_days=half_life_days)
     p = protocol(data, manifest, max_sessions_per_split, seed)
-    sources = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], max(k, neighbor_top_n), half_life_days, p.asked.queries, k)
-    ranked = keep(baseline_rankings(p, sources, k, half_life_days))
-    scored = keep(metrics.query_metrics(ranked, p.asked.positives, BASELINES, k))
+    sources = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], max(k, neighbor_top_n), half_life_days, p.asked.queries, k, pairs=p.pairs)
     visitors = p.asked.queries.join(rankings.history_counts(p.train), "visitorid", "left").select("split", "query_id", rankings.visitor_cohort(F.col("history")).alias("cohort"))
-    by_visitor = metrics.averaged(scored.join(visitors, ["split", "query_id"]), ["split", "cohort", "variant", "task"])
     parts = p.asked.positives.join(rankings.item_cohorts(p.train), "itemid", "left").withColumn("cohort", F.coalesce("cohort", F.lit("unseen")))
-    by_item = metrics.averaged(metrics.query_metrics(ranked, parts, BASELINES, k), ["split", "cohort", "variant", "task"])
+    rows = metrics.cohort_metrics(baseline_rankings(p, sources, k, half_life_days), parts, visitors, BASELINES, k).collect()  # splits, cohorts, variants and tasks
+    of = {scope: [r for r in rows if r["scope"] == scope] for scope in ("overall", "visitor", "item")}
     keys = ["split", "cohort", "variant", "task"]
     return _head(manifest, source, p, seed, k=k) | {
         "training_rows": p.train.count(), "validation_sessions": p.counts["validation"][0], "test_sessions": p.counts["test"][0],
         "visitor_cohort_definition": {"new": "no training event", "sparse": "1 to 4 training events", "repeat": "5 or more training events"},
         "item_cohort_definition": {"head": "most popular tenth of training items", "mid_tail": "next four tenths", "long_tail": "the rest", "unseen": "not in training"},
         "baselines": list(BASELINES),
-        "metrics": nested(metrics.averaged(scored, ["split", "variant", "task"]), ["split", "variant", "task"], [SPLITS, BASELINES, EVENT_TYPES]),
-        "visitor_cohorts": nested(by_visitor, keys, [SPLITS, VISITOR_COHORTS, BASELINES, EVENT_TYPES]),
-        "item_cohorts": nested(by_item, keys, [SPLITS, ITEM_COHORTS, BASELINES, EVENT_TYPES]),
+        "metrics": nested(of["overall"], ["split", "variant", "task"], [SPLITS, BASELINES, EVENT_TYPES]),
+        "visitor_cohorts": nested(of["visitor"], keys, [SPLITS, VISITOR_COHORTS, BASELINES, EVENT_TYPES]),
+        "item_cohorts": nested(of["item"], keys, [SPLITS, ITEM_COHORTS, BASELINES, EVENT_TYPES]),
         "notes": [],
     }
 
@@ -159,7 +159,7 @@ def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k
     require_positive(k=k)
     require_at_least(k, "k", source_depth=source_depth)
     p = protocol(data, manifest, max_sessions_per_split, seed)
-    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], source_depth, half_life_days, p.asked.queries, k)
+    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], source_depth, half_life_days, p.asked.queries, k, pairs=p.pairs)
     found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, source_depth))
     ranked = fused_rankings(found, p.asked.queries, s.fallback, HYBRIDS, source_depth, rrf_offset, k)
     scored = metrics.query_metrics(ranked, p.asked.positives, list(HYBRIDS), k)
@@ -179,15 +179,21 @@ def _internal(train: DataFrame, fraction: float) -> tuple[int, DataFrame, DataFr
     return end, train.where(F.col("timestamp") <= end), train.where(F.col("timestamp") > end).withColumn("split", F.lit("ranker_train"))
 
 
+def _category(states: DataFrame, name: str) -> DataFrame:
+    """itemid, category of one of several cutoffs, see rankings.states_at."""
+    return states.where(F.col(name).isNotNull()).select("itemid", F.col(name).alias("category"))
+
+
 @releasing
 def evaluate_reranker(
     data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, category_depth: int = 300, behavioral_depth: int = 100, parent_depth: int = 0, rrf_offset: float = 60.0, half_life_days: float = 7.0, internal_fit_fraction: float = 0.80,
     max_internal_ranker_sessions: int | None = 20_000, max_sessions_per_split: int | None = 50_000, max_nonrelevant_per_query: int = 50, seed: int = 365, rrf_name: str = "efficient_rrf",
+    models: dict[str, learning.Model] | None = None,
 ) -> dict[str, Any]:
     """Logistic rerankers by task on the union of sources, against category order and fusion on the same candidates.
 
     Coefficients come from the later part of the training period, with lists fitted on its earlier part; lists are fitted anew on the
-    whole period for evaluation. Fusion takes every list to the category depth at most.
+    whole period for evaluation. Fusion takes every list to the category depth at most. With ``models``, rankers by task, nothing is fitted.
     """
     require_positive(k=k)
     require_at_least(k, "k", category_depth=category_depth, behavioral_depth=behavioral_depth)
@@ -198,11 +204,15 @@ def evaluate_reranker(
     gap, deepest = manifest["session_gap_minutes"], max(category_depth, behavioral_depth)
     depths = {c: category_depth if c == "category" else behavioral_depth for c in COMPONENTS}
     end, early, late = _internal(p.train, internal_fit_fraction)
-    inner = sessions.session_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
-    inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k)
-    inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
-    fitted = {t: learning.fit(learning.training_rows(inner_features, inner.positives, t, max_nonrelevant_per_query)) for t in EVENT_TYPES}
-    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k)
+    states = keep(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
+    if models is None:
+        inner = sessions.session_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
+        inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
+        inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
+        fitted = {t: learning.fit(learning.training_rows(inner_features, inner.positives, t, max_nonrelevant_per_query)) for t in EVENT_TYPES}
+    else:
+        inner, fitted = None, {t: (m, 0, 0) for t, m in models.items()}
+    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k, _category(states, "whole"), p.pairs)
     found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
     fixed = {"category_only": ["category"], rrf_name: list(COMPONENTS)}
     plain = fused_rankings(found, p.asked.queries, s.fallback, fixed, category_depth, rrf_offset, k)
@@ -220,7 +230,7 @@ def evaluate_reranker(
     means = decisions.mean_ndcg(cells["validation"])
     best = decisions.best_of(means, list(fixed))
     return _head(manifest, source, p, seed, k=k, category_depth=category_depth, behavioral_depth=behavioral_depth, parent_depth=0, rrf_offset=rrf_offset) | {
-        "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end, "internal_ranker_sessions": inner.queries.count(),
+        "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end, "internal_ranker_sessions": inner.queries.count() if inner else 0,
         "training_examples": {t: n for t, (_, n, _) in fitted.items()}, "training_positive_examples": {t: n for t, (_, _, n) in fitted.items()},
         "feature_names": list(fusion.FEATURES), "standardized_coefficients": {t: m.named() for t, (m, _, _) in fitted.items()},
         "candidate_recall": _recalls(metrics.candidate_recall(union, p.asked.positives), None), "candidate_size": _sizes(metrics.candidate_size(union, p.asked.queries, ["split"]), None),
@@ -257,7 +267,7 @@ def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = ""
     if expanded_depth <= base_depth:
         raise ValueError("expanded_depth must be greater than base_depth")
     p = protocol(data, manifest, max_sessions_per_split, seed)
-    s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], expanded_depth, half_life_days, p.asked.queries, k)
+    s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], expanded_depth, half_life_days, p.asked.queries, k, pairs=p.pairs)
     order = ("category", "parent", *COMPONENTS[1:])
     found = fusion.looked_up(p.asked.queries, s, order, expanded_depth)
     varied = keep(_variant_candidates(found, {"base": base_depth, "expanded": expanded_depth}))
@@ -290,7 +300,7 @@ def evaluate_efficiency(
     reference = fusion.Budget(max(category_depths), max(behavioral_depths), max(parent_depths)).key
     p = protocol(data, manifest, max_sessions_per_split, seed)
     deepest = max(*category_depths, *behavioral_depths, *parent_depths)
-    s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], deepest, half_life_days, p.asked.queries, 1)
+    s = fusion.fit_sources(p.train, data.properties, data.tree, manifest["train_end_ms"], manifest["session_gap_minutes"], deepest, half_life_days, p.asked.queries, 1, pairs=p.pairs)
     found = fusion.looked_up(p.asked.queries, s, (*COMPONENTS, "parent"), {"category": max(category_depths), "parent": max(parent_depths)} | {c: max(behavioral_depths) for c in COMPONENTS[1:]})
     hits = keep(fusion.budget_hits(found, p.asked.positives, budgets).withColumnRenamed("budget", "variant"))
     names = [b.key for b in budgets]
@@ -316,8 +326,12 @@ def evaluate_efficiency(
 def evaluate_stages(
     data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, category_depth: int = 300, behavioral_depth: int = 100, parent_depth: int = 0, rrf_offset: float = 60.0, half_life_days: float = 7.0, internal_fit_fraction: float = 0.80,
     max_internal_ranker_sessions: int | None = 20_000, max_sessions_per_split: int | None = 50_000, max_nonrelevant_per_query: int = 50, seed: int = 365,
+    models: dict[str, learning.Model] | None = None, stage_models: dict[tuple[str, str], learning.Model] | None = None,
 ) -> dict[str, Any]:
-    """Rankers by stage and task against rankers by task pooled over stages and category order."""
+    """Rankers by stage and task against rankers by task pooled over stages and category order.
+
+    With ``models`` by task and ``stage_models`` by stage and task nothing is fitted.
+    """
     require_positive(k=k)
     require_at_least(k, "k", category_depth=category_depth, behavioral_depth=behavioral_depth)
     if parent_depth:
@@ -328,13 +342,17 @@ def evaluate_stages(
     depths = {c: category_depth if c == "category" else behavioral_depth for c in COMPONENTS}
     tasks_of = sessions.STAGE_TASKS
     end, early, late = _internal(p.train, internal_fit_fraction)
-    inner = sessions.stage_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
-    inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k)
-    inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
-    rows = lambda task, stage=None: learning.training_rows(inner_features, inner.positives, task, max_nonrelevant_per_query, stage)
-    staged = {(st, t): learning.fit(rows(t, st)) for st, ts in tasks_of.items() for t in ts}
-    pooled = {t: learning.fit(rows(t))[0] for t in EVENT_TYPES}
-    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k)
+    states = keep(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
+    if models is None or stage_models is None:
+        inner = sessions.stage_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
+        inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
+        inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
+        rows = lambda task, stage=None: learning.training_rows(inner_features, inner.positives, task, max_nonrelevant_per_query, stage)
+        staged = {(st, t): learning.fit(rows(t, st)) for st, ts in tasks_of.items() for t in ts}
+        pooled = {t: learning.fit(rows(t))[0] for t in EVENT_TYPES}
+    else:
+        inner, staged, pooled = None, {c: (m, 0, 0) for c, m in stage_models.items()}, models
+    s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k, _category(states, "whole"), p.pairs)
     found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
     table = keep(fusion.features(found, depths, rrf_offset))
     parts = []
@@ -361,7 +379,7 @@ def evaluate_stages(
     best = decisions.best_of(means, names[:2])
     return {
         "source": source, "manifest": manifest.get("source", ""), "k": k, "category_depth": category_depth, "behavioral_depth": behavioral_depth, "parent_depth": 0, "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end,
-        "internal_ranker_sessions": inner.queries.count(), "prediction_points": {"view_stage": "after_first_event_only_when_first_event_is_view", "cart_stage": "immediately_after_first_observed_addtocart_with_later_session_events"},
+        "internal_ranker_sessions": inner.queries.count() if inner else 0, "prediction_points": {"view_stage": "after_first_event_only_when_first_event_is_view", "cart_stage": "immediately_after_first_observed_addtocart_with_later_session_events"},
         "stage_tasks": {st: list(ts) for st, ts in tasks_of.items()}, "training_examples": {st: {t: staged[st, t][1] for t in ts} for st, ts in tasks_of.items()}, "training_positive_examples": {st: {t: staged[st, t][2] for t in ts} for st, ts in tasks_of.items()},
         "validation_queries": {st: counts.get(("validation", st), 0) for st in tasks_of}, "test_queries": {st: counts.get(("test", st), 0) for st in tasks_of},
         "candidate_recall": {sp: {st: {t: recall.get((sp, st, t), math.nan) for t in ts} for st, ts in tasks_of.items()} for sp in SPLITS}, "candidate_size": {sp: {st: sizes.get((sp, st), 0.0) for st in tasks_of} for sp in SPLITS},

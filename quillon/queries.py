@@ -144,16 +144,24 @@ class _Base:
         self.split = temporal.with_split(self.events, self.train_end, self.validation_end)
         self.train = self.split.where(F.col("timestamp") <= self.train_end)
 
+    @cached_property
+    def laid(self) -> DataFrame:
+        """Events by visitor with their sessions, written once for queries, positives and pairs."""
+        return cut(sessions.laid_out(self.split, GAP))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return sessions.following_pairs(self.laid.where("split = 'train'"))
+
     @cached_property
     def _asked(self) -> sessions.Queries:
-        both = sessions.session_queries(self.split, "validation", GAP).union(sessions.session_queries(self.split, "test", GAP))
-        return sessions.Queries(cut(both.queries), cut(both.positives), both.eligible)
+        return sessions.asked(self.laid.where("split <> 'train' and events >= 2"), 0)
 
     def asked(self) -> sessions.Queries:
         return self._asked
 
     def sources(self, queries: DataFrame, depth: int = DEPTH) -> fusion.Sources:
-        return fusion.fit_sources(self.train, self.data.properties, self.data.tree, self.train_end, GAP, depth, HALF_LIFE, queries, K)
+        return fusion.fit_sources(self.train, self.data.properties, self.data.tree, self.train_end, GAP, depth, HALF_LIFE, queries, K, pairs=self.pairs)
 
     def manifest(self) -> dict:
         return temporal.build_manifest(self.data.events, "events", session_gap_minutes=GAP)
