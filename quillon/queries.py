@@ -12,12 +12,12 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.guards import EVENT_TYPES
-from .functions.ranks import cut, nearest_index, new_path, values_at
+from .functions.guards import EVENT_TYPES, TREE
+from .functions.ranks import cut, first_n, nearest_index, new_path, values_at
 from .operators import audit, fusion, learning, metrics, rankings, sessions, temporal
 from .operators.fusion import COMPONENTS
 from .plans import decisions, evaluations
-from .sources.tables import EXPECTED_FILES, Dataset, deduplicated, read_dataset, star_dataset
+from .sources.tables import EXPECTED_FILES, Dataset, deduplicated, read_csv, read_dataset, star_dataset
 
 GAP, K, DEPTH, HALF_LIFE, OFFSET = 1440, 5, 8, 7.0, 60.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,15 @@ def _sessions_sql(name: str, table: str, by: str, gap: int, split: bool) -> str:
 {name} AS (SELECT *, CAST(sum(CASE WHEN gap OR change THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY timestamp, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_index FROM {name}_1)"""
 
 
-_Q = (
+_PLACED = (
     _EV
     + _sessions_sql("qs", "sp", "visitorid, split", GAP, False)
     + """,
-placed AS (SELECT *, visitorid || ':' || session_index AS query_id, row_number() OVER (PARTITION BY split, visitorid, session_index ORDER BY timestamp, row_id) - 1 AS place, count(*) OVER (PARTITION BY split, visitorid, session_index) AS n FROM qs),
+placed AS (SELECT *, visitorid || ':' || session_index AS query_id, row_number() OVER (PARTITION BY split, visitorid, session_index ORDER BY timestamp, row_id) - 1 AS place, count(*) OVER (PARTITION BY split, visitorid, session_index) AS n FROM qs)"""
+)
+_Q = (
+    _PLACED
+    + """,
 q AS (SELECT split, query_id, visitorid, timestamp, itemid AS last_item FROM placed WHERE place = 0 AND n >= 2 AND split <> 'train'),
 pos AS (SELECT DISTINCT split, query_id, event AS task, itemid FROM placed WHERE place > 0 AND n >= 2 AND split <> 'train' AND event IN ('view', 'addtocart', 'transaction'))"""
 )
@@ -96,11 +100,11 @@ cand AS (
 )
 
 
-def _completed_sql(ranked: str, labels: str = "variant") -> str:
+def _completed_sql(ranked: str, labels: str = "variant", asked: str = "asked") -> str:
     """Rankings filled up with the fallback: ``ranked`` names a table with split, query_id, labels, itemid, rank; asked has its keys."""
     keys = f"split, query_id, {labels}"
     return f"""SELECT * FROM (SELECT {keys}, itemid, row_number() OVER (PARTITION BY {keys} ORDER BY spot, itemid) AS rank FROM (SELECT {keys}, itemid, min(spot) AS spot FROM (
-  SELECT {keys}, itemid, rank AS spot FROM {ranked} WHERE rank <= {K} UNION ALL SELECT {keys}, itemid, 1000000 + rank FROM asked, fallback) GROUP BY ALL)) WHERE rank <= {K}"""
+  SELECT {keys}, itemid, rank AS spot FROM {ranked} WHERE rank <= {K} UNION ALL SELECT {keys}, itemid, 1000000 + rank FROM {asked}, fallback) GROUP BY ALL)) WHERE rank <= {K}"""
 
 
 def _rrf_sql(components: list[str]) -> str:
@@ -109,14 +113,14 @@ def _rrf_sql(components: list[str]) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, query_id ORDER BY score DESC, best, itemid) AS rank FROM (SELECT split, query_id, itemid, {shares} AS score, min(rank) AS best FROM cand WHERE source IN ({names}) GROUP BY 1, 2, 3)) WHERE rank <= {K}"
 
 
-def _metrics_sql(ranked: str, positives: str = "pos", extra: str = "") -> str:
-    """Recall and NDCG of each query with a positive; ``extra`` names a further key of the positives."""
+def _metrics_sql(ranked: str, positives: str = "pos", extra: str = "", by_task: bool = False) -> str:
+    """Recall and NDCG of each query with a positive; ``extra`` names a further key of the positives; ``by_task``: a ranking is for one task."""
     e = f", {extra}" if extra else ""
     pe = f", p.{extra}" if extra else ""
     gains = " ".join(f"WHEN {n} THEN {sum(1 / __import__('math').log2(i + 2) for i in range(n))!r}" for n in range(1, K + 1))
     return f"""SELECT split, query_id, task{e}, variant, coalesce(hits, 0) / positives AS recall, coalesce(gain, 0) / CASE least(positives, {K}) {gains} END AS ndcg
 FROM (SELECT split, query_id, task{e}, count(*) AS positives FROM {positives} GROUP BY ALL) CROSS JOIN (SELECT DISTINCT variant FROM {ranked})
-LEFT JOIN (SELECT p.split, p.query_id, p.task{pe}, r.variant, count(*) AS hits, sum(1 / log2(r.rank + 1)) AS gain FROM {positives} p JOIN {ranked} r ON r.split = p.split AND r.query_id = p.query_id AND r.itemid = p.itemid GROUP BY ALL)
+LEFT JOIN (SELECT p.split, p.query_id, p.task{pe}, r.variant, count(*) AS hits, sum(1 / log2(r.rank + 1)) AS gain FROM {positives} p JOIN {ranked} r ON r.split = p.split AND r.query_id = p.query_id AND r.itemid = p.itemid{' AND r.task = p.task' if by_task else ''} GROUP BY ALL)
 USING (split, query_id, task{e}, variant)"""
 
 
@@ -224,6 +228,38 @@ def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.point_in_time_join(bought, state)
 
 
+#: Rows of a key beyond which the queries on hot keys deal it out: all of their keys have more.
+_SEGMENT = 500
+
+
+@query(
+    "WITH state AS (SELECT l_returnflag AS flag, epoch_us(l_shipdate) // 1000 AS timestamp, min(l_linestatus) || count(*) AS value FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2), "
+    "received AS (SELECT l_orderkey, l_partkey, l_returnflag AS flag, epoch_us(l_shipdate) // 1000 AS timestamp FROM lineitem) "
+    "SELECT r.l_orderkey, r.l_partkey, r.flag, r.timestamp, s.timestamp AS timestamp_property, s.value FROM received r ASOF LEFT JOIN state s ON r.flag = s.flag AND r.timestamp >= s.timestamp"
+)
+def asof_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by their flag, three keys in all: each is dealt out over segments of time."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    millis = lambda c: F.expr(f"unix_micros(cast({c} as timestamp)) div 1000").alias("timestamp")
+    flag = F.col("l_returnflag").alias("flag")
+    state = lines.where("l_quantity >= 50").groupBy(flag, millis("l_shipdate")).agg(F.concat(F.min("l_linestatus"), F.count("*").cast("string")).alias("value"))
+    return temporal.point_in_time_join(lines.select("l_orderkey", "l_partkey", flag, millis("l_shipdate")), state, "flag", segment_rows=_SEGMENT)
+
+
+_HOT = (
+    _EV
+    + ", hot AS (SELECT row_id, length(event) AS visitorid, timestamp, split FROM sp)"
+    + _sessions_sql("ses", "hot", "visitorid", 1, True)
+)
+
+
+@query(f"WITH {_HOT} SELECT row_id, visitorid, session_index, visitorid || ':' || session_index AS session_id, change AS split_boundary_break, change AND NOT gap AS split_boundary_forced_break FROM ses")
+def sessions_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a few visitors who have all events, dealt out over segments of time."""
+    hot = _Base(spark, sf_dir).split.select("row_id", F.length("event").cast("long").alias("visitorid"), "timestamp", "split")
+    return temporal.sessionize(hot, 1, "split", segment_rows=_SEGMENT).drop("timestamp", "split")
+
+
 @query(f"WITH {_EV} SELECT itemid FROM ev, cut WHERE itemid IS NOT NULL GROUP BY itemid HAVING min(timestamp) <= (SELECT train_end FROM cut)")
 def catalog_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
@@ -301,6 +337,29 @@ def tree_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree_row(spark, spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.cast("string").alias("categoryid"), parent.alias("parentid")))
 
 
+#: A chain of all parts by number, and the same closed to a ring.
+_CHAIN = "tree AS (SELECT CAST(p_partkey AS VARCHAR) AS categoryid, CASE WHEN p_partkey > (SELECT min(p_partkey) FROM part) THEN CAST(p_partkey - 1 AS VARCHAR) {} END AS parentid FROM part)"
+
+
+def _chain(spark: SparkSession, sf_dir: str, closed: bool) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    ends = part.agg(F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))  # one row
+    parent = F.when(F.col("p_partkey") > F.col("low"), F.col("p_partkey") - 1).otherwise(F.col("high") if closed else F.lit(None))
+    return _tree_row(spark, part.crossJoin(F.broadcast(ends)).select(F.col("p_partkey").cast("string").alias("categoryid"), parent.cast("string").alias("parentid")))
+
+
+@query(_tree_sql(_CHAIN.format("")))
+def deep_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree as deep as there are parts."""
+    return _chain(spark, sf_dir, False)
+
+
+@query(_tree_sql(_CHAIN.format("ELSE (SELECT CAST(max(p_partkey) AS VARCHAR) FROM part)")))
+def deep_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, closed to one circle."""
+    return _chain(spark, sf_dir, True)
+
+
 @query(f"WITH {_EV} SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("timestamp", "visitorid", "event", "itemid", "transactionid")) + ", count(*) AS row_count FROM ev")
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.file_profile(star_dataset(spark, sf_dir).events, "events")
@@ -309,14 +368,14 @@ def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_EV}, {_PROPS}, items AS (SELECT DISTINCT itemid FROM ev WHERE itemid IS NOT NULL AND itemid % 3 <> 0 UNION SELECT 1000000 + r_regionkey FROM region) SELECT round(avg(CASE WHEN itemid IN (SELECT itemid FROM props) THEN 1.0 ELSE 0.0 END), 6) AS any_part, "
+    f"WITH {_EV}, {_PROPS}, items AS (SELECT DISTINCT itemid FROM ev WHERE itemid IS NOT NULL UNION SELECT 1000000 + r_regionkey FROM region) SELECT round(avg(CASE WHEN itemid IN (SELECT itemid FROM props) THEN 1.0 ELSE 0.0 END), 6) AS any_part, "
     "round(avg(CASE WHEN itemid IN (SELECT itemid FROM props WHERE property = 'available') THEN 1.0 ELSE 0.0 END), 6) AS available_part FROM items"
 )
 def coverage_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of items with properties where some items have none."""
     data = star_dataset(spark, sf_dir)
     strange = spark.read.parquet(f"{sf_dir}/region.parquet").select((1_000_000 + F.col("r_regionkey")).cast("long").alias("itemid"))
-    found = audit.coverage(data.events.where("itemid % 3 <> 0").select("itemid").unionByName(strange), data.properties)
+    found = audit.coverage(data.events.select("itemid").unionByName(strange), data.properties)
     return spark.createDataFrame([(round(found["event_item_property_coverage"], 6), round(found["event_item_available_coverage"], 6))], "any_part double, available_part double")
 
 
@@ -332,6 +391,23 @@ def _written_dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     return read_dataset(spark, folder)
 
 
+@query(
+    "WITH lists AS (SELECT s_nationkey AS nation, s_suppkey AS itemid, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier), "
+    "turns AS (SELECT n_regionkey, itemid, r, row_number() OVER (PARTITION BY n_regionkey, r ORDER BY n_nationkey) AS turn FROM nation JOIN lists ON nation = n_nationkey), "
+    f"merged AS (SELECT n_regionkey, itemid, row_number() OVER (PARTITION BY n_regionkey ORDER BY r, turn) AS rank FROM turns WHERE r <= {DEPTH}) "
+    f"SELECT CAST(n_nationkey AS VARCHAR) AS category, itemid, rank FROM nation JOIN merged USING (n_regionkey) WHERE rank <= {DEPTH}"
+)
+def csv_tree_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of nations under regions, from a tree file whose numbers are in no order and have a fraction of zero: 9 comes before 10."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    path = f"{new_path(spark, 'csv')}/{EXPECTED_FILES[3]}"
+    tree = nation.select(F.col("n_nationkey").alias("categoryid"), F.concat((1000 + F.col("n_regionkey")).cast("string"), F.lit(".0")).alias("parentid"))
+    tree.orderBy(F.desc("categoryid")).write.option("header", True).csv(path)
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").cast("string").alias("category"), F.col("s_suppkey").alias("itemid"), "s_acctbal")
+    popular = first_n(supplier, ["category"], [F.desc("s_acctbal"), F.asc("itemid")], DEPTH)
+    return rankings.sibling_items(read_csv(spark, path, TREE, "category_tree.csv"), popular, DEPTH)
+
+
 @query(f"WITH {_EV} SELECT itemid, category FROM cats")
 def csv_latest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of rows with equal times the later file's counts."""
@@ -393,6 +469,22 @@ def latest_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankings.latest_category(b.data.properties, b.train_end)
 
 
+_STATE = "state AS (SELECT epoch_us(l_shipdate) // 1000 AS timestamp, l_partkey AS itemid, CASE WHEN max(l_linestatus) = 'O' THEN '1' ELSE '0' END AS value FROM lineitem GROUP BY 1, 2)"
+#: Three cutoffs: 1995-01-01, 1996-01-01, 1998-01-01.
+_CUTOFFS = {"early": 788918400000, "middle": 820454400000, "late": 883612800000}
+
+
+@query(f"WITH {_STATE} SELECT itemid, " + ", ".join(f"max_by(value, timestamp) FILTER (timestamp <= {at}) AS {name}" for name, at in _CUTOFFS.items()) + f" FROM state WHERE timestamp <= {max(_CUTOFFS.values())} GROUP BY 1")
+def states_at_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The availability of parts at three cutoffs, from one scan."""
+    return rankings.states_at(star_dataset(spark, sf_dir).properties, "available", _CUTOFFS)
+
+
+@query(f"WITH {_STATE} SELECT itemid, value, timestamp AS valid_from, lead(timestamp) OVER (PARTITION BY itemid ORDER BY timestamp) AS valid_to FROM state")
+def state_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankings.state_intervals(star_dataset(spark, sf_dir).properties, "available")
+
+
 @query(f"WITH {_LISTS} SELECT category, itemid, score, rank FROM catpop")
 def category_popularity_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
@@ -505,6 +597,18 @@ def item_cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _averaged(metrics.query_metrics(ranked, parts, evaluations.BASELINES, K), ["split", "cohort", "variant", "task"])
 
 
+@query(
+    f"WITH {_BASELINES}, {_VISITORS}, {_COHORTS}, parts AS (SELECT pos.*, coalesce(cohort, 'unseen') AS cohort FROM pos LEFT JOIN cohorts USING (itemid)), m AS ({_metrics_sql('ranked')}), mi AS ({_metrics_sql('ranked', 'parts', 'cohort')}) "
+    f"SELECT split, 'overall' AS scope, NULL AS cohort, variant, task, {_AVG} FROM m GROUP BY ALL UNION ALL SELECT split, 'visitor', cohort, variant, task, {_AVG} FROM m JOIN visitors USING (split, query_id) GROUP BY ALL UNION ALL SELECT split, 'item', cohort, variant, task, {_AVG} FROM mi GROUP BY ALL"
+)
+def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of the baselines' metrics, overall and by both kinds of cohorts, from one scoring."""
+    b, asked, ranked = _ranked_baselines(spark, sf_dir)
+    visitors = asked.queries.join(rankings.history_counts(b.train), "visitorid", "left").select("split", "query_id", rankings.visitor_cohort(F.col("history")).alias("cohort"))
+    parts = asked.positives.join(rankings.item_cohorts(b.train), "itemid", "left").withColumn("cohort", F.coalesce("cohort", F.lit("unseen")))
+    return _rounded(metrics.cohort_metrics(ranked, parts, visitors, evaluations.BASELINES, K), "recall", "ndcg")
+
+
 # -- fusion ------------------------------------------------------------------------------------------------------------
 
 
@@ -617,6 +721,31 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+_TRAINING = (
+    f"u AS (SELECT split, query_id, itemid, {{}} FROM cand WHERE source IN ({', '.join(repr(c) for c in COMPONENTS)}) GROUP BY ALL), l AS (SELECT u.*, task, CASE WHEN p.itemid IS NULL THEN 0 ELSE 1 END AS label FROM u CROSS JOIN (SELECT unnest(['view', 'addtocart', 'transaction']) AS task) t LEFT JOIN pos p USING (split, query_id, task, itemid)), "
+    "o AS (SELECT *, max(label) OVER (PARTITION BY split, query_id, task) AS found, row_number() OVER (PARTITION BY split, query_id, task, label ORDER BY itemid) AS nth FROM l), chosen AS (SELECT * FROM o WHERE found = 1 AND (label = 1 OR nth <= 5))"
+)
+
+
+@query(
+    f"WITH {_Q}{_CAND}, {_TRAINING.format(_FEATURES)} SELECT task, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS optimal, "
+    + ", ".join(f"round(avg({c}_present), 4) AS {c}_mean" for c in COMPONENTS)
+    + " FROM chosen GROUP BY task"
+)
+def fit_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit of each task, its rows, and whether the objective's gradient at its coefficients, as sums of SQL, is nothing: then no other coefficients are better."""
+    b = _Base(spark, sf_dir)
+    asked = b.asked()
+    found = cut(fusion.features(fusion.looked_up(asked.queries, b.sources(asked.queries), COMPONENTS, DEPTH), dict.fromkeys(COMPONENTS, DEPTH), OFFSET))
+    each = []
+    for t in EVENT_TYPES:
+        rows = cut(learning.training_rows(found, asked.positives, t, 5))
+        judged = learning.certificate(rows, learning.fit(rows)[0]).select("n", "positives", (F.col("gradient") < 1e-8).alias("optimal"))
+        means = rows.agg(*[F.round(F.avg(f"{c}_present"), 4).alias(f"{c}_mean") for c in COMPONENTS])
+        each.append(judged.crossJoin(F.broadcast(means)).select(F.lit(t).alias("task"), "*"))  # one row each
+    return reduce(DataFrame.unionByName, each)
+
+
 _BUDGETS = fusion.budget_grid((_HALF, DEPTH), (2, DEPTH), (0, _HALF, DEPTH))
 _SWEEP = (
     _Q
@@ -801,6 +930,39 @@ def retrieval_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(gain, 6), decisions.retain_retrieval(cells, "base_union", "expanded_union"))], "gain double, retained boolean")
 
 
+_SEED = 365
+
+
+def _keyed_sql(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{_SEED}', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+@query(f"WITH {_Q}, picked AS (SELECT split, query_id FROM placed WHERE split = 'test' AND place = 0 AND n >= 2 ORDER BY {_keyed_sql('visitorid', 'session_index')}, visitorid, session_index LIMIT 20) SELECT q.* FROM q JOIN picked USING (split, query_id)")
+def keyed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of twenty sessions, those with the smallest keyed numbers."""
+    return sessions.session_queries(_Base(spark, sf_dir).laid, "test", GAP, max_sessions=20, seed=_SEED, how="keyed").queries
+
+
+_DRAWS = 7
+
+
+@query(
+    f"WITH {_Q}, cat AS (SELECT itemid, row_number() OVER (ORDER BY itemid) - 1 AS position FROM (SELECT itemid FROM ev WHERE itemid IS NOT NULL GROUP BY 1 HAVING min(timestamp) <= (SELECT train_end FROM cut))), "
+    # primes under 1,000; the catalogue has a hundred items
+    "composite AS (SELECT DISTINCT a.x * b.x AS p FROM range(2, 500) a(x), range(2, 500) b(x) WHERE a.x * b.x < 1000), dims AS (SELECT n, (SELECT min(p) FROM range(2, 1000) r(p) WHERE p >= n AND p NOT IN (SELECT p FROM composite)) AS prime FROM (SELECT count(*) AS n FROM cat)), "
+    "own AS (SELECT DISTINCT split, query_id, itemid FROM pos), "
+    f"starts AS (SELECT split, query_id, {_keyed_sql(chr(39) + 'step' + chr(39), 'split', 'query_id')} % (prime - 1) + 1 AS step, {_keyed_sql(chr(39) + 'start' + chr(39), 'split', 'query_id')} % prime AS start, prime FROM q, dims), "
+    "stood AS (SELECT split, query_id, pace, (start + pace * step) % prime AS position FROM starts, range(0, 1000) r(pace) WHERE pace < prime) "
+    f"SELECT split, query_id, itemid, draw FROM (SELECT split, query_id, itemid, row_number() OVER (PARTITION BY split, query_id ORDER BY pace) AS draw FROM stood JOIN cat USING (position) ANTI JOIN own USING (split, query_id, itemid)) WHERE draw <= {_DRAWS}"
+)
+def drawn_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven negatives of every query, drawn at once from the items that are eligible at the end of training."""
+    b = _Base(spark, sf_dir)
+    asked = b.asked()
+    catalog = temporal.time_valid_items(temporal.first_seen(b.events), b.train_end)
+    return temporal.drawn_negatives(asked.queries, asked.positives, catalog, ["split", "query_id"], _DRAWS, _SEED)
+
+
 @query()
 def sampled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries of a drawn sample of the eligible sessions; compared with the same draw in the tests."""
@@ -811,3 +973,82 @@ def sampled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learned_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
     return spark.createDataFrame(_long(evaluations.evaluate_learned(b.data, b.manifest(), k=K, source_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
+
+
+_PLAIN = {"category_only": ["category"], "efficient_rrf": list(COMPONENTS)}
+_MODEL_CELLS = (
+    _Q
+    + _CAND
+    + f", f AS (SELECT split, query_id, itemid, {_RAW} FROM cand WHERE source IN ({', '.join(repr(c) for c in COMPONENTS)}) GROUP BY ALL), scored AS ("
+    + " UNION ALL ".join(f"SELECT split, query_id, '{t}' AS task, itemid, {_score_sql(m)} AS score FROM f" for t, m in _MODELS.items())
+    + "), learned AS (SELECT split, query_id, task, itemid, row_number() OVER (PARTITION BY split, query_id, task ORDER BY score DESC, itemid) AS rank FROM scored), tasks AS (SELECT split, query_id, task FROM q, (SELECT unnest(['view', 'addtocart', 'transaction']) AS task)), own AS ("
+    + " UNION ALL ".join(f"SELECT split, query_id, '{v}' AS variant, itemid, rank FROM ({_rrf_sql(c)})" for v, c in _PLAIN.items())
+    + f"), asked AS (SELECT split, query_id, variant FROM q, (SELECT unnest([{', '.join(repr(v) for v in _PLAIN)}]) AS variant)), plain AS ({_completed_sql('own')}), trained AS (SELECT *, 'learned_task_specific' AS variant FROM ({_completed_sql('learned', 'task', 'tasks')})), "
+    + f"m AS ({_metrics_sql('plain')} UNION ALL {_metrics_sql('trained', by_task=True)}), cells AS (SELECT split, variant, task, count(*) AS queries, avg(recall) AS recall, avg(ndcg) AS ndcg FROM m GROUP BY ALL)"
+)
+
+
+def _given_report(spark: SparkSession, sf_dir: str) -> dict:
+    b = _Base(spark, sf_dir)
+    return evaluations.evaluate_reranker(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS)
+
+
+@query(f"WITH {_MODEL_CELLS} SELECT split, variant, task, queries, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM cells")
+def given_rankers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation of rerankers, with given models in place of fitted ones."""
+    return _rounded(spark.createDataFrame(_long(_given_report(spark, sf_dir)), _LONG), "recall", "ndcg")
+
+
+@query(
+    f"WITH {_MODEL_CELLS}, means AS (SELECT variant, avg(ndcg) AS mean FROM cells WHERE split = 'validation' GROUP BY 1), best AS (SELECT variant FROM means WHERE variant <> 'learned_task_specific' ORDER BY mean DESC, variant DESC LIMIT 1), "
+    "mine AS (SELECT task, ndcg FROM cells WHERE split = 'validation' AND variant = 'learned_task_specific'), other AS (SELECT task, ndcg AS bar FROM cells WHERE split = 'validation' AND variant = (SELECT variant FROM best)) "
+    "SELECT (SELECT variant FROM best) AS comparator, avg(ndcg) > avg(bar) AND count(*) FILTER (ndcg > bar) >= 2 AS retained FROM mine JOIN other USING (task)"
+)
+def learned_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule on learned rankers, from the same report."""
+    found = _given_report(spark, sf_dir)
+    return spark.createDataFrame([(found["best_deterministic_validation_baseline"], found["validation_retain_learned_ranker"])], "comparator string, retained boolean")
+
+
+#: Rankers by stage and task: the given ones with the signs of their coefficients turned where the stage is the cart's.
+_STAGE_MODELS = {(st, t): learning.Model(m.mean, m.deviation, tuple((-1) ** (st == "cart_stage") * c for c in m.coefficients[::-1]), m.intercept) for st, ts in sessions.STAGE_TASKS.items() for t, m in _MODELS.items() if t in ts}
+_STAGE_CELLS = (
+    _PLACED
+    + """,
+marked AS (SELECT *, min(CASE WHEN event = 'addtocart' THEN place END) OVER w AS cart, max(CASE WHEN place = 0 THEN event END) OVER w AS opens FROM placed WHERE n >= 2 AND split <> 'train' WINDOW w AS (PARTITION BY split, query_id)),
+q AS (SELECT split, 'view_stage/' || query_id AS query_id, visitorid, timestamp, itemid AS last_item FROM marked WHERE place = 0 AND event = 'view' UNION ALL SELECT split, 'cart_stage/' || query_id, visitorid, timestamp, itemid FROM marked WHERE place = cart AND cart < n - 1),
+pos AS (SELECT DISTINCT split, 'view_stage/' || query_id AS query_id, event AS task, itemid FROM marked WHERE place > 0 AND opens = 'view' AND event IN ('view', 'addtocart', 'transaction')
+  UNION ALL SELECT DISTINCT split, 'cart_stage/' || query_id, event, itemid FROM marked WHERE place > cart AND cart < n - 1 AND event = 'transaction')"""
+    + _CAND
+    + f", f AS (SELECT split, query_id, itemid, {_RAW} FROM cand WHERE source IN ({', '.join(repr(c) for c in COMPONENTS)}) GROUP BY ALL), scored AS ("
+    + " UNION ALL ".join(f"SELECT split, query_id, '{t}' AS task, 'pooled_task_specific' AS variant, itemid, {_score_sql(m)} AS score FROM f" for t, m in _MODELS.items())
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT split, query_id, '{t}', 'stage_conditioned', itemid, {_score_sql(m)} FROM f WHERE query_id LIKE '{st}/%'" for (st, t), m in _STAGE_MODELS.items())
+    + "), own AS (SELECT split, query_id, task, variant, itemid, row_number() OVER (PARTITION BY split, query_id, task, variant ORDER BY score DESC, itemid) AS rank FROM scored UNION ALL SELECT split, query_id, task, 'category_only', itemid, rank FROM cand, (SELECT unnest(['view', 'addtocart', 'transaction']) AS task) WHERE source = 'category'), "
+    + f"asked AS (SELECT split, query_id, task, variant FROM q, (SELECT unnest(['view', 'addtocart', 'transaction']) AS task), (SELECT unnest(['category_only', 'pooled_task_specific', 'stage_conditioned']) AS variant)), ranked AS ({_completed_sql('own', 'task, variant')}), "
+    + f"m AS ({_metrics_sql('ranked', by_task=True)}), cells AS (SELECT split, variant || '/' || split_part(query_id, '/', 1) AS variant, task, count(*) AS queries, avg(recall) AS recall, avg(ndcg) AS ndcg FROM m GROUP BY ALL)"
+)
+
+
+def _stage_report(spark: SparkSession, sf_dir: str) -> dict:
+    b = _Base(spark, sf_dir)
+    return evaluations.evaluate_stages(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS, stage_models=_STAGE_MODELS)
+
+
+@query(f"WITH {_STAGE_CELLS} SELECT split, variant, task, queries, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM cells")
+def given_stage_rankers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation by stages, with given models in place of fitted ones."""
+    found = _stage_report(spark, sf_dir)
+    rows = [(s, f"{v}/{st}", t, c["queries"], float(c["recall_at_k"]), float(c["ndcg_at_k"])) for s, vs in found["metrics"].items() for v, sts in vs.items() for st, ts in sts.items() for t, c in ts.items()]
+    return _rounded(spark.createDataFrame(rows, _LONG), "recall", "ndcg")
+
+
+@query(
+    f"WITH {_STAGE_CELLS}, v AS (SELECT split_part(variant, '/', 1) AS variant, split_part(variant, '/', 2) || task AS cell, ndcg FROM cells WHERE split = 'validation'), means AS (SELECT variant, avg(ndcg) AS mean FROM v GROUP BY 1), best AS (SELECT variant FROM means WHERE variant <> 'stage_conditioned' ORDER BY mean DESC, variant DESC LIMIT 1), "
+    "mine AS (SELECT cell, ndcg FROM v WHERE variant = 'stage_conditioned'), other AS (SELECT cell, ndcg AS bar FROM v WHERE variant = (SELECT variant FROM best)) "
+    "SELECT (SELECT variant FROM best) AS comparator, avg(ndcg) > avg(bar) AND count(*) FILTER (ndcg > bar) >= 2 AS retained FROM mine JOIN other USING (cell)"
+)
+def stages_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule on rankers by stage, from the same report; half of the four cells are two."""
+    found = _stage_report(spark, sf_dir)
+    return spark.createDataFrame([(found["best_validation_comparator"], found["validation_retain_stage_conditioning"])], "comparator string, retained boolean")
