@@ -17,6 +17,7 @@ from ..operators import fusion, learning, metrics, rankings, sessions, temporal
 from ..operators.fusion import COMPONENTS
 from ..sources.tables import Dataset, deduplicated
 from . import decisions
+from .reports import NOTES
 
 BASELINES = ("most_view", "most_addtocart", "most_transaction", "time_decayed_popularity", "visitor_history_repeat", "last_item_covisitation", "last_item_transition", "category_conditioned_popularity")
 HYBRIDS = {f"{c}_only": [c] for c in COMPONENTS} | {"hybrid_full": list(COMPONENTS)} | {f"hybrid_minus_{c}": [x for x in COMPONENTS if x != c] for c in COMPONENTS}
@@ -142,7 +143,7 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
         "metrics": nested(of["overall"], ["split", "variant", "task"], [SPLITS, BASELINES, EVENT_TYPES]),
         "visitor_cohorts": nested(of["visitor"], keys, [SPLITS, VISITOR_COHORTS, BASELINES, EVENT_TYPES]),
         "item_cohorts": nested(of["item"], keys, [SPLITS, ITEM_COHORTS, BASELINES, EVENT_TYPES]),
-        "notes": [],
+        "notes": NOTES["baselines"],
     }
 
 
@@ -169,7 +170,7 @@ def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k
     return _head(manifest, source, p, seed, k=k, source_depth=source_depth, rrf_offset=rrf_offset) | {
         "components": list(COMPONENTS), "variants": HYBRIDS, "metrics": cells, "validation_ablation_delta_ndcg": delta, "validation_mean_ndcg": decisions.mean_ndcg(own),
         "validation_retain_full_hybrid": decisions.retain_hybrid(own, "hybrid_full", [f"{c}_only" for c in COMPONENTS]),
-        "retain_rule": "mean validation NDCG above that of every single component, and no task below the best of them on two of three tasks", "notes": [],
+        "retain_rule": "mean validation NDCG above that of every single component, and no task below the best of them on two of three tasks", "notes": NOTES["hybrid"],
     }
 
 
@@ -235,7 +236,7 @@ def evaluate_reranker(
         "feature_names": list(fusion.FEATURES), "standardized_coefficients": {t: m.named() for t, (m, _, _) in fitted.items()},
         "candidate_recall": _recalls(metrics.candidate_recall(union, p.asked.positives), None), "candidate_size": _sizes(metrics.candidate_size(union, p.asked.queries, ["split"]), None),
         "metrics": cells, "validation_mean_ndcg": means, "best_deterministic_validation_baseline": best, "validation_retain_learned_ranker": decisions.retain_learned(cells["validation"], name, best),
-        "retain_rule": "mean validation NDCG above the comparator's, and above it on two of three tasks", "notes": [],
+        "retain_rule": "mean validation NDCG above the comparator's, and above it on two of three tasks", "notes": NOTES["rerank"],
     }
 
 
@@ -246,7 +247,7 @@ def evaluate_learned(data: Dataset, manifest: dict[str, Any], source: str = "",
     out = evaluate_reranker(data, manifest, source, k, source_depth, source_depth, rrf_name="equal_rrf", **parameters)
     for extra in ("category_depth", "behavioral_depth", "parent_depth", "candidate_size", "best_deterministic_validation_baseline"):
         del out[extra]
-    return out | {"source_depth": source_depth, "validation_retain_learned_ranker": decisions.retain_learned(out["metrics"]["validation"], "learned_task_specific", "category_only")}
+    return out | {"notes": NOTES["learned"], "source_depth": source_depth, "validation_retain_learned_ranker": decisions.retain_learned(out["metrics"]["validation"], "learned_task_specific", "category_only")}
 
 
 def _variant_candidates(found: DataFrame, depths: dict[str, int]) -> DataFrame:
@@ -282,7 +283,7 @@ def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = ""
         "candidate_recall": recall, "candidate_size": _sizes(metrics.candidate_size(sets, p.asked.queries, ["split", "variant"]), names),
         "ranking_metrics": nested(metrics.averaged(metrics.query_metrics(ranked, p.asked.positives, names, k), by), by, [SPLITS, names, EVENT_TYPES]),
         "validation_mean_candidate_recall": {v: decisions.mean(list(recall["validation"][v].values())) for v in names},
-        "validation_retain_expanded_union": decisions.retain_retrieval(recall["validation"], "base_union", "expanded_union"), "retain_rule": "mean validation candidate recall 0.03 above the base union's, and no task below it", "notes": [],
+        "validation_retain_expanded_union": decisions.retain_retrieval(recall["validation"], "base_union", "expanded_union"), "retain_rule": "mean validation candidate recall 0.03 above the base union's, and no task below it", "notes": NOTES["retrieval"],
     }
 
 
@@ -318,7 +319,7 @@ def evaluate_efficiency(
         "retention_threshold": retention_threshold, "budgets": {b.key: {"category_depth": b.category, "behavioral_depth": b.behavioral, "parent_depth": b.parent} for b in budgets},
         "candidate_recall": recall, "candidate_size": size, "mean_candidate_recall": means, "validation_pareto_frontier": decisions.pareto_frontier(means["validation"], by_size), "expanded_reference": reference,
         "selected_efficient_configuration": chosen, "selection_rule": "smallest mean candidate set that keeps the threshold's share of the reference's recall on each validation task",
-        "selected_validation_retention": decisions.retention(recall["validation"], chosen, reference), "selected_test_retention": decisions.retention(recall["test"], chosen, reference), "notes": [],
+        "selected_validation_retention": decisions.retention(recall["validation"], chosen, reference), "selected_test_retention": decisions.retention(recall["test"], chosen, reference), "notes": NOTES["efficiency"],
     }
 
 
@@ -384,5 +385,5 @@ def evaluate_stages(
         "validation_queries": {st: counts.get(("validation", st), 0) for st in tasks_of}, "test_queries": {st: counts.get(("test", st), 0) for st in tasks_of},
         "candidate_recall": {sp: {st: {t: recall.get((sp, st, t), math.nan) for t in ts} for st, ts in tasks_of.items()} for sp in SPLITS}, "candidate_size": {sp: {st: sizes.get((sp, st), 0.0) for st in tasks_of} for sp in SPLITS},
         "metrics": cells, "validation_mean_ndcg": means, "best_validation_comparator": best, "validation_retain_stage_conditioning": decisions.retain_stages(ndcg, "stage_conditioned", best),
-        "retain_rule": "mean validation NDCG over stages and tasks above the comparator's, and above it in half of the cells", "notes": [],
+        "retain_rule": "mean validation NDCG over stages and tasks above the comparator's, and above it in half of the cells", "notes": NOTES["stage"],
     }
