@@ -125,3 +125,21 @@ def test_repeats_of_lines_of_twelve_characters_go(spark):
     docs = spark.createDataFrame([(1, "All rights reserved.\nshort"), (2, "words of its own stand here\nAll rights reserved!\nshort")], "doc_id long, text string")
     found = {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}
     assert found == {1: "All rights reserved.\nshort", 2: "words of its own stand here\nshort"}
+
+
+def test_a_hot_bucket_leaves_one_row_for_its_probes(spark):
+    """Lines that share a segment meet one row of it: no join tests all against all, and time follows the number of lines."""
+    import time
+
+    def lines(n):
+        return spark.range(n).selectExpr("concat('a common start', lpad(conv(id * 7919 % 1000003, 10, 36), 16, '-'), lpad(id, 12, 'x')) as line").selectExpr("xxhash64(line) as id", "0L as counts", "line")
+
+    plan = line_dedup.candidates(lines(100))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("nth" in line for line in plan.splitlines() if "Join" in line) and "WindowGroupLimit" in plan
+    took = {}
+    for n in (2000, 16_000, 64_000):
+        began = time.monotonic()
+        found = line_dedup.candidates(lines(n)).where("id is not null and own").select("key", "id").distinct().groupBy("key").count().agg({"count": "max"}).first()[0]
+        took[n] = time.monotonic() - began
+        assert found == n
+    assert took[64_000] < 8 * took[16_000] + 5
