@@ -2,9 +2,9 @@
 
 A token is a structural tag in its context (name, classes and place below its parent, from the root) or a block of text in its
 context. Over the pages of a host each token has an occurrence vector, its count on each page. Tokens with equal vectors form an
-equivalence class; classes that are large and frequent enough, and whose tags nest, make up the host's template. What stands
-between template tags are slots. Text that is itself a template token is the same on nearly all pages and goes; slots made of links go; the container
-is the deepest template tag whose slots hold nearly all that is left, and its slots are extracted.
+equivalence class; classes that are large and frequent enough make up the host's template. A tag token names its whole path, so classes nest as
+the elements do. What stands between template tags are slots. Text that is itself a template token is the same on nearly all pages and goes, save headings of the
+article; slots made of links go; the container is the deepest template tag whose slots hold nearly all that is left, and its slots are extracted.
 
 Vectors are compared by an exclusive-or of hashes of (page, count), so no host's pages are ever brought together. Copies of a page
 count once, or an article that stands on a host many times would become its template.
@@ -50,6 +50,9 @@ P_SCOPE = frozenset("td th li article section div button".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Elements that name what follows: the same ones may stand in every article of a host.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th figcaption".split())
+
 #: A host has a template if so many different pages of it are known.
 MIN_PAGES = 4
 #: Shares of a host's pages that a template's tags and its constant texts stand on at least; tokens of a class at least.
@@ -280,16 +283,10 @@ def deduced(tokens: pd.DataFrame) -> tuple[int, str, list[list[str]], list[int],
     parent = dict(zip(tokens.token, tokens.parent, strict=True))
     step = dict(zip(tokens.token, tokens.step, strict=True))
     is_text = dict(zip(tokens.token, tokens.is_text, strict=True))
-    # tokens with one vector are a class; it is valid with enough tokens, and its tags nest if each stands below another of the class or below a class further out
+    # tokens with one vector are a class, which is valid with enough tokens; as tokens name their paths, what is inside a tag is below it
     classes = [sorted(g.token) for _, g in tokens.groupby(["vector", "pages", "times"], sort=True)]
     valid = [c for c in classes if len(c) >= CLASS_TOKENS]
-    number = {t: n for n, c in enumerate(valid) for t in c}
-    pages = dict(zip(tokens.token, tokens.pages, strict=True))
-    template = set()
-    for n, c in enumerate(valid):
-        for t in c:
-            if t == ROOT or number.get(parent[t]) == n or pages.get(parent[t], 0) >= pages[t]:
-                template.add(t)
+    template = {t for c in valid for t in c}
     tags = {t for t in template if not is_text[t]}
     constant = [t for t in template if is_text[t]]
     shown = [[step[t] or "text" for t in c if t in template] for c in valid]
@@ -334,11 +331,23 @@ def deduced(tokens: pd.DataFrame) -> tuple[int, str, list[list[str]], list[int],
         if best is None or not body[best] or body[best] < CONTAINER_SHARE * body[at]:
             break
         at = best
+    def names(t: int) -> bool:
+        """Whether a constant text is a heading of the article: it stands in a slot of the container that holds text of its own beside it."""
+        t = parent[t]
+        if re.split(r"[.\[]", step.get(t) or "")[0] not in HEADINGS:
+            return False
+        while t != ROOT and re.split(r"[.\[]", step.get(t) or "")[0] in TEXTUAL:
+            t = parent.get(t, ROOT)
+        t = holder = slot(t)
+        while t not in (at, ROOT) and t not in linky:
+            t = slot(parent[t])
+        return t == at and body[holder] > 0
+
     path, t = [], at
     while t != ROOT:
         path.append(step[t])
         t = parent[t]
-    return at, "/" + "/".join(reversed(path)), shown, sorted(linky), sorted(constant)
+    return at, "/" + "/".join(reversed(path)), shown, sorted(linky), sorted(t for t in constant if not names(t))
 
 
 def _template(frame: pd.DataFrame) -> pd.DataFrame:

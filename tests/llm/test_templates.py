@@ -135,3 +135,16 @@ def test_extraction_does_not_hang_on_partitions(sites):
     pages, _ = sites
     one, many = (sorted(map(tuple, html_text.main_text(pages.repartition(n)).collect())) for n in (1, 7))
     assert one == many
+
+
+def test_headings_of_the_article_stay(spark):
+    """Headings that stand in nearly all articles of a host are the article's; those of a share box, of a list of links and outside are not."""
+    rng = random.Random(12)
+    rows, want = [], []
+    for i in range(10):
+        a, b, c, d = (sentence(rng, 20) for _ in range(4))
+        article = f"<article><h1>T{i}</h1><p>{a}</p><h2>Ingredients</h2><p>{b}</p><section><h3>Method</h3><p>{c}</p></section><table><tr><th>Time</th><td>{d}</td></tr></table><div><h4>Share this</h4></div><div><h4>Also read</h4><a href='/a'>{sentence(rng, 6)}</a></div><p>Checked by our staff.</p></article>"
+        rows.append((i, f"https://food.example/{i}", f"<html><body><div><h2>Welcome</h2><p>{sentence(rng, 3)}</p></div>{article}</body></html>"))
+        want.append("\n".join([f"T{i}", a, "Ingredients", b, "Method", c, "Time", d]))
+    found = html_text.main_text(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id").collect()
+    assert [r.text for r in found] == want
