@@ -25,8 +25,10 @@ UNKNOWN = "und"
 N, SLOTS, HASHES = 4, 1 << 21, 2
 #: The classifier's sample: so many different training texts of each language on average at most, those with the smallest hashes.
 SAMPLE_ROWS = 4000
-#: A language contains an n-gram that it has so often in its sample; once or twice may be a name or a slip.
-MIN_COUNT = 3
+#: A language contains an n-gram that it has so often in its sample; once or twice may be a name or a slip. Of a small sample one or two must do: one more for each FEW_TEXTS.
+MIN_COUNT, FEW_TEXTS = 3, 5
+#: Languages at most: each mask word is a filter of 16 MB.
+MAX_LANGUAGES = 504
 #: Languages in one mask; more languages take more masks.
 MASK_BITS = 63
 #: n-grams hashed together.
@@ -139,7 +141,9 @@ def fit(rows: DataFrame) -> Model:
     known = rows.where("lang is not null and text is not null").select("lang", "text")
     hashed = known.withColumn("h", F.xxhash64("text"))
     # rows and different texts of each language: a row for each language
-    sizes = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy("lang").collect()
+    sizes = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     names = [r["lang"] for r in sizes]
     if not names:
         return Model([], [], [])
@@ -150,7 +154,8 @@ def fit(rows: DataFrame) -> Model:
     chosen = hashed.join(F.broadcast(number), "lang").where(low)
     sample = chosen.groupBy("number", "h").agg(F.max("text").alias("text")).select("number", "text")
     counted = sample.mapInArrow(_grams, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
-    own = counted.where(F.col("n") >= MIN_COUNT)
+    least = spark.createDataFrame([(i, min(MIN_COUNT, 1 + r["texts"] // FEW_TEXTS)) for i, r in enumerate(sizes)], "number int, least int")
+    own = counted.join(F.broadcast(least), "number").where(F.col("n") >= F.col("least"))  # a row for each language
     wide = F.col("gram")
     places = [F.pmod(F.shiftrightunsigned(wide, 24 * k), F.lit(SLOTS)) for k in range(HASHES)]
     filled = own.select((F.col("number") / MASK_BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, number % {MASK_BITS})").alias("bit"), F.explode(F.array(*places)).alias("slot"))

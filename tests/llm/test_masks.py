@@ -64,3 +64,18 @@ def test_many_languages_tally_like_few(spark):
     model.filters.append(np.zeros(language.SLOTS, np.int64))  # a second word takes the other way
     many = model.tallied(h)
     assert few[0].tolist() == many[0].tolist() and np.allclose(few[1], many[1]) and abs(few[2] - many[2]) < 1e-6
+
+
+def test_two_texts_tell_two_languages_apart(spark):
+    rows = [(1, "der Hund und die Katze schlafen auf dem Sofa", "de"), (3, "die Kinder spielen mit dem Ball im Garten", "de"), (6, "the dog and the cat sleep on the couch", "en"), (7, "the children play with the ball in the garden", "en"), (9, "die Katze und der Ball", None), (11, "the cat and the ball", None)]
+    found = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [found[i].lang_pred for i in (1, 3, 6, 7, 9, 11)] == ["de", "de", "en", "en", "de", "en"]
+    assert all(r.score > 0 for r in found.values())
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="2 languages"):
+        language.fit(spark.createDataFrame([(str(i), "some text") for i in range(3)], "lang string, text string"))
