@@ -93,6 +93,13 @@ def completed(ranked: DataFrame, queries: DataFrame, fallback: DataFrame, k: int
     return first_n(each, keys, [F.asc("at.tier"), F.asc("at.rank"), F.asc("itemid")], k).drop("at")
 
 
+def _fusion(name: str, parts: Sequence[str], offset: float) -> Column:
+    """variant, score and best rank of an item with a rank r_<source> for each source."""
+    shares = [F.coalesce(1.0 / (F.lit(float(offset)) + F.col(f"r_{c}")), F.lit(0.0)) for c in parts]
+    best = F.least(*[F.col(f"r_{c}") for c in parts]) if len(parts) > 1 else F.col(f"r_{parts[0]}")
+    return F.struct(F.lit(name).alias("variant"), reduce(lambda x, y: x + y, shares).alias("score"), best.alias("best"))
+
+
 def fused_variants(candidates: DataFrame, variants: dict[str, Sequence[str]], depth: int, offset: float, k: int, labels: Sequence[str] = ()) -> DataFrame:
     """Reciprocal-rank fusion by several sets of components in one pass: variant, itemid, score, rank.
 
@@ -104,14 +111,28 @@ def fused_variants(candidates: DataFrame, variants: dict[str, Sequence[str]], de
     every = list(dict.fromkeys(c for parts in variants.values() for c in parts))
     kept = candidates.where(F.col("source").isin(*every) & (F.col("rank") <= depth))
     ranks = kept.groupBy(*keys, "itemid").agg(*[F.min(F.when(F.col("source") == c, F.col("rank"))).alias(f"r_{c}") for c in every])
-    share = lambda c: F.coalesce(1.0 / (F.lit(float(offset)) + F.col(f"r_{c}")), F.lit(0.0))
+    each = ranks.select(*keys, "itemid", F.explode(F.array(*[_fusion(n, p, offset) for n, p in variants.items()])).alias("at")).select(*keys, "itemid", "at.*")
+    return first_n(each.where("best is not null"), [*keys, "variant"], [F.desc("score"), F.asc("best"), F.asc("itemid")], k).drop("best")
 
-    def one(name: str, parts: Sequence[str]) -> Column:
-        best = F.least(*[F.col(f"r_{c}") for c in parts]) if len(parts) > 1 else F.col(f"r_{parts[0]}")
-        return F.struct(F.lit(name).alias("variant"), reduce(lambda x, y: x + y, [share(c) for c in parts]).alias("score"), best.alias("best"))
 
-    each = ranks.select(*keys, "itemid", F.explode(F.array(*[one(n, p) for n, p in variants.items()])).alias("at")).select(*keys, "itemid", "at.*")
-    return first_n(each.where("best is not null"), [*keys, "variant"], [F.desc("score"), F.asc("best"), F.asc("itemid")], k).drop("best")
+def completed_variants(candidates: DataFrame, queries: DataFrame, fallback: DataFrame, variants: dict[str, Sequence[str]], depth: int, offset: float, k: int) -> DataFrame:
+    """query keys, variant, itemid, rank: fused_variants() of each query, filled up to k by the fallback list as completed() does.
+
+    Fallback items stand beside the candidates from the start, so one exchange by query serves the union of sources, all fusions and their completion. No query has more
+    than the depths of its sources together.
+    """
+    require_at_least(k, "k", source_depth=depth)
+    require_at_least(0, "0", rrf_offset=offset)
+    keys = keys_of(queries)
+    every = list(dict.fromkeys(c for parts in variants.values() for c in parts))
+    kept = candidates.where(F.col("source").isin(*every) & (F.col("rank") <= depth)).select(*keys, "source", "itemid", "rank")
+    filled = queries.select(*keys).crossJoin(F.broadcast(fallback.where(F.col("rank") <= k).select(F.lit("").alias("source"), "itemid", "rank")))  # k items
+    together = kept.unionByName(filled).repartition(*keys)
+    ranks = together.groupBy(*keys, "itemid").agg(*[F.min(F.when(F.col("source") == c, F.col("rank"))).alias(f"r_{c}") for c in ("", *every)])
+    each = ranks.select(*keys, "itemid", "r_", F.explode(F.array(*[_fusion(n, p, offset) for n, p in variants.items()])).alias("at")).select(*keys, "itemid", "r_", "at.*")
+    late = F.col("best").isNull()
+    order = [late.asc(), F.desc("score"), F.asc("best"), F.when(late, F.col("r_")).asc(), F.asc("itemid")]
+    return first_n(each.where("best is not null or r_ is not null"), [*keys, "variant"], order, k).select(*keys, "variant", "itemid", "rank")
 
 
 def fused(candidates: DataFrame, components: Sequence[str], depth: int, offset: float, k: int, labels: Sequence[str] = ()) -> DataFrame:

@@ -118,10 +118,9 @@ def baseline_rankings(p: Protocol, sources: fusion.Sources, k: int, half_life_da
     for_all = queries.select("split", "query_id").crossJoin(F.broadcast(lists))  # four lists of k items
     names = dict(zip(("visitor_history", "covisitation", "transition", "category"), BASELINES[4:], strict=True))
     found = fusion.looked_up(queries, sources, list(names), k)
-    label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("source")]
-    own = found.select("split", "query_id", label.alias("variant"), "itemid", "rank")
-    asked = queries.select("*", F.explode(F.array(*[F.lit(v) for v in names.values()])).alias("variant"))
-    return for_all.unionByName(fusion.completed(own, asked, sources.fallback, k, ["variant"]).select("split", "query_id", "variant", "itemid", "rank"))
+    # a list alone is its own fusion
+    own = fusion.completed_variants(found, queries, sources.fallback, {v: [c] for c, v in names.items()}, k, 60.0, k)
+    return for_all.unionByName(own.select("split", "query_id", "variant", "itemid", "rank"))
 
 
 @releasing
@@ -149,9 +148,7 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
 
 def fused_rankings(candidates: DataFrame, queries: DataFrame, fallback: DataFrame, variants: dict[str, list[str]], depth: int, offset: float, k: int) -> DataFrame:
     """Completed fusions of several sets of components."""
-    ranked = fusion.fused_variants(candidates, variants, depth, offset, k)
-    asked = queries.select("*", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"))
-    return fusion.completed(ranked, asked, fallback, k, ["variant"])
+    return fusion.completed_variants(candidates, queries, fallback, variants, depth, offset, k)
 
 
 @releasing
