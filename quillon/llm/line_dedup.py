@@ -118,10 +118,10 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     at = long.select(F.col("id").alias("p_id"), "counts", F.posexplode(_keys([key for key, _ in probes])).alias("at", "key"))
     own = F.when(F.col("at").isin([i for i, (_, own) in enumerate(probes) if own]), F.lit(OWN)).otherwise(F.lit(0)).cast("long")
     probe = at.select("p_id", F.col("counts").bitwiseOR(own).alias("p_counts"), "key")
-    # a few rows of a bucket tell whether it is crowded, so of a hot one no task sorts more; a crowded one leaves one row for its probes
     bucket = Window.partitionBy("key")
-    few = index.withColumn("nth", F.row_number().over(bucket.orderBy("id"))).where(F.col("nth") <= CROWD + 1)
-    kept = few.withColumn("crowd", F.max("nth").over(bucket) > CROWD).where(~F.col("crowd") | (F.col("nth") == 1))
+    sized = index.withColumns({"crowd": F.count("*").over(bucket) > CROWD, "nth": F.row_number().over(bucket.orderBy("id"))})
+    # a crowded bucket leaves one row for its probes
+    kept = sized.where(~F.col("crowd") | (F.col("nth") == 1)).drop("nth")
     near = (F.col("id") != F.col("p_id")) & (_counts_apart() <= 2 * threshold)
     met = probe.join(kept, (probe.key == kept.key) & (F.col("crowd") | near))
     pair = lambda c: F.when(~F.col("crowd"), c("id", "p_id"))
