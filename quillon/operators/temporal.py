@@ -17,6 +17,8 @@ from ..sources.artifacts import HORIZON, SESSION_POLICY
 from ..sources.tables import deduplicated
 
 MINUTE_MS, DAY_MS = 60_000, 86_400_000
+# Fixed value: what the manifest says of candidates.
+CANDIDATE_RULE = "candidate_item_must_have_observed_catalog_evidence_at_or_before_prediction_time"
 
 
 def temporal_cutoffs(events: DataFrame, train_fraction: float = 0.70, validation_fraction: float = 0.15, column: str = "timestamp") -> tuple[int, int]:
@@ -222,7 +224,7 @@ def build_manifest(events: DataFrame, source: str, train_fraction: float = 0.70,
         "session_gap_minutes": session_gap_minutes,
         "session_boundary_policy": SESSION_POLICY,
         "prediction_horizon": HORIZON,
-        "candidate_time_rule": "candidate_item_must_have_observed_catalog_evidence_at_or_before_prediction_time",
+        "candidate_time_rule": CANDIDATE_RULE,
         "session_count": total,
         "singleton_session_count": single,
         "split_boundary_forced_sessions": forced,

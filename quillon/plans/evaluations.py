@@ -25,6 +25,7 @@ HYBRIDS = {f"{c}_only": [c] for c in COMPONENTS} | {"hybrid_full": list(COMPONEN
 RETRIEVALS = {"base_union": ("base", "base", None), "deep_category": ("expanded", "base", None), "deep_behavioral": ("base", "expanded", None), "parent_category": ("base", "base", "expanded"), "expanded_union": ("expanded", "expanded", "expanded")}
 # Where queries stand, as reports name it.
 POINT = "after_first_event_of_each_multi_event_split_bounded_session"
+STAGE_POINTS = {"view_stage": "after_first_event_only_when_first_event_is_view", "cart_stage": "immediately_after_first_observed_addtocart_with_later_session_events"}
 SPLITS = ("validation", "test")
 VISITOR_COHORTS, ITEM_COHORTS = ("new", "sparse", "repeat"), ("head", "mid_tail", "long_tail", "unseen")
 
@@ -377,7 +378,7 @@ def evaluate_stages(
     best = decisions.best_of(means, names[:2])
     return {
         "source": source, "manifest": manifest.get("source", ""), "k": k, "category_depth": category_depth, "behavioral_depth": behavioral_depth, "parent_depth": 0, "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end,
-        "internal_ranker_sessions": inner.queries.count() if inner else 0, "prediction_points": {"view_stage": "after_first_event_only_when_first_event_is_view", "cart_stage": "immediately_after_first_observed_addtocart_with_later_session_events"},
+        "internal_ranker_sessions": inner.queries.count() if inner else 0, "prediction_points": STAGE_POINTS,
         "stage_tasks": {st: list(ts) for st, ts in tasks_of.items()}, "training_examples": {st: {t: staged[st, t][1] for t in ts} for st, ts in tasks_of.items()}, "training_positive_examples": {st: {t: staged[st, t][2] for t in ts} for st, ts in tasks_of.items()},
         "validation_queries": {st: counts.get(("validation", st), 0) for st in tasks_of}, "test_queries": {st: counts.get(("test", st), 0) for st in tasks_of},
         "candidate_recall": {sp: {st: {t: recall.get((sp, st, t), math.nan) for t in ts} for st, ts in tasks_of.items()} for sp in SPLITS}, "candidate_size": {sp: {st: sizes.get((sp, st), 0.0) for st in tasks_of} for sp in SPLITS},

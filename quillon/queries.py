@@ -905,13 +905,8 @@ _SINGLES = [f"{c}_only" for c in COMPONENTS]
 )
 def hybrid_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule on fusion, from the same numbers as the report."""
-    rows = metrics.averaged(_hybrid_scores(spark, sf_dir).where("split = 'validation'"), ["variant", "task"]).collect()
-    cells: dict[str, dict] = {}
-    for r in rows:
-        cells.setdefault(r["variant"], {})[r["task"]] = {"ndcg_at_k": r["ndcg"]}
-    means = decisions.mean_ndcg(cells)
-    row = (round(means["hybrid_full"], 6), round(max(means[x] for x in _SINGLES), 6), decisions.wins(cells, "hybrid_full", _SINGLES, ties=True), decisions.retain_hybrid(cells, "hybrid_full", _SINGLES))
-    return spark.createDataFrame([row], "mean_full double, mean_single double, wins long, retained boolean")
+    cells = metrics.averaged(_hybrid_scores(spark, sf_dir).where("split = 'validation'"), ["variant", "task"])
+    return _rounded(decisions.hybrid_rule(cells, "hybrid_full", _SINGLES), "mean_full", "mean_single").select("mean_full", "mean_single", "wins", "retained")
 
 
 @query(
@@ -923,11 +918,8 @@ def retrieval_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule on expanded retrieval."""
     asked, varied = _varied(spark, sf_dir)
     scored = metrics.candidate_recall(fusion.candidate_sets(varied), asked.positives).where("split = 'validation'")
-    cells: dict[str, dict[str, float]] = {}
-    for r in scored.groupBy("variant", "task").agg(F.avg("recall").alias("recall")).collect():
-        cells.setdefault(r["variant"], {})[r["task"]] = r["recall"]
-    gain = decisions.mean(list(cells["expanded_union"].values())) - decisions.mean(list(cells["base_union"].values()))
-    return spark.createDataFrame([(round(gain, 6), decisions.retain_retrieval(cells, "base_union", "expanded_union"))], "gain double, retained boolean")
+    cells = scored.groupBy("variant", "task").agg(F.avg("recall").alias("recall"))
+    return _rounded(decisions.retrieval_rule(cells, "base_union", "expanded_union"), "gain")
 
 
 _SEED = 365

@@ -51,8 +51,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, n
     parts, first = [], 0
     for p in paths:
         raw = spark.read.option("header", True).csv(p)
-        order, first = row_order(raw, first, F.col("_metadata.file_block_start") + _place_in_task())
-        parts.append(raw.select(*typed, order.alias("row_id")))
+        ordered, first = row_order(raw, typed, first, F.col("_metadata.file_block_start") + _place_in_task())
+        parts.append(ordered)
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -64,19 +64,22 @@ def _place_in_task() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def row_order(raw: DataFrame, first: int, place: Column) -> tuple[Column, int]:
-    """Ascending numbers for rows by file (in order of names within one path, from number ``first``) and ``place`` in the file; and the next file's number.
+def row_order(raw: DataFrame, columns: list[Column], first: int, place: Column) -> tuple[DataFrame, int]:
+    """The columns and row_id: ascending numbers for rows by file (in order of names within one path, from number ``first``) and ``place`` in the file; and the next file's number.
 
     Spark deals splits out by size, so the number of a task tells nothing of order. A split's offset does: a row takes a byte or more,
     so offset and place in the task stay under the next split's offset, as only a file's last split shares its task with others.
+    Files are numbered by a small table, a row for each file, that is broadcast.
     """
     files = sorted(raw.inputFiles())
-    number: Column = F.lit(first)
-    if len(files) > 1:
-        # one writes file:///a where the other writes file:/a
-        known = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(re.sub(":/+", ":/", f, count=1)), F.lit(first + i))])
-        number = F.element_at(known, F.regexp_replace("_metadata.file_path", "^([a-zA-Z0-9]+):/+", "$1:/"))
-    return F.shiftleft(number.cast("long"), PLACE_BITS) + place, first + max(len(files), 1)
+    after = first + max(len(files), 1)
+    if len(files) < 2:
+        return raw.select(*columns, (F.shiftleft(F.lit(first).cast("long"), PLACE_BITS) + place).alias("row_id")), after
+    # one writes file:///a where the other writes file:/a
+    numbers = raw.sparkSession.createDataFrame([(re.sub(":/+", ":/", f, count=1), first + i) for i, f in enumerate(files)], "_path string, _number long")
+    placed = raw.select(*columns, F.regexp_replace("_metadata.file_path", "^([a-zA-Z0-9]+):/+", "$1:/").alias("_path"), place.alias("_place"))
+    row = F.shiftleft(F.col("_number"), PLACE_BITS) + F.col("_place")
+    return placed.join(F.broadcast(numbers), "_path").withColumn("row_id", row).drop("_path", "_place", "_number"), after
 
 
 def read_dataset(spark: SparkSession, folder: str) -> Dataset:
@@ -91,8 +94,8 @@ def read_parquet_dataset(spark: SparkSession, events: str, properties: str, tree
     def table(path: str, schema: T.StructType) -> DataFrame:
         df = spark.read.parquet(path)
         require_columns(df.columns, schema.fieldNames(), path.rpartition("/")[2])
-        order = F.col("row_id") if "row_id" in df.columns else row_order(df, 0, F.col("_metadata.row_index"))[0]
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], order.alias("row_id"))
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        return df.select(*typed, "row_id") if "row_id" in df.columns else row_order(df, typed, 0, F.col("_metadata.row_index"))[0]
 
     return Dataset(table(events, EVENTS), table(properties, PROPERTIES), table(tree, TREE))
 
