@@ -46,12 +46,8 @@ def _packed_counts(letters: str = COUNTED) -> Column:
 
 
 def different_lines(rows: DataFrame) -> DataFrame:
-    """id, counts and line of each different line; equal lines are brought together before and after the shuffle by id.
-
-    Of lines with equal ids and counts the first and the last by text are kept, which are one but for a collision.
-    """
-    each = rows.select("id", _packed_counts().alias("counts"), "line").groupBy("id", "counts").agg(F.min("line").alias("low"), F.max("line").alias("high"))
-    return each.select("id", "counts", F.explode(F.array_distinct(F.array("low", "high"))).alias("line"))
+    """id, counts and line of each different line; equal lines are brought together before and after the shuffle, by hashing."""
+    return rows.select("id", _packed_counts().alias("counts"), "line").distinct()
 
 
 def tiers(threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> list[tuple[int, int, int | None]]:
