@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import require_at_least
-from ..functions.ranks import first_n
+from ..functions.ranks import cut, first_n
 from . import rankings
 
 #: Sources in the order in which their shares are added up; the parent list, where there is one, comes second.
@@ -25,6 +25,7 @@ FEATURES = tuple(f"{c}_{kind}" for kind in ("rr", "present") for c in COMPONENTS
 class Sources:
     """Lists fitted on one training period, to a depth, and the fallback list."""
 
+    items: DataFrame
     categories: DataFrame
     category: DataFrame
     covisitation: DataFrame
@@ -41,12 +42,13 @@ def fit_sources(train: DataFrame, properties: DataFrame, tree: DataFrame | None,
     ``categories`` (itemid, category) stands for those of the properties at the cutoff, ``pairs`` (source, target) for those of the period's sessions, where they are known.
     """
     categories = rankings.latest_category(properties, cutoff_ms) if categories is None else categories
-    category = rankings.category_popularity(train, categories, depth)
+    items = cut(rankings.item_statistics(train, half_life_days))  # a row for each item, read by every list of counts
+    category = rankings.category_lists(items, categories, depth)
     pairs = rankings.adjacent_pairs(train, gap_minutes) if pairs is None else pairs
     contexts = queries.select(F.col("last_item").alias("itemid")).distinct()
     return Sources(
-        categories, category, rankings.neighbors(pairs, depth, symmetric=True, sources=contexts), rankings.neighbors(pairs, depth, sources=contexts), rankings.decayed_popularity(train, half_life_days, depth),
-        rankings.visitor_history(train, depth, queries.select("visitorid")), rankings.sibling_items(tree, category, depth) if tree is not None else None, rankings.event_popularity(train, "view", fallback_depth),
+        items, categories, category, rankings.neighbors(pairs, depth, symmetric=True, sources=contexts), rankings.neighbors(pairs, depth, sources=contexts), rankings.listed(items, None, depth),
+        rankings.visitor_history(train, depth, queries.select("visitorid")), rankings.sibling_items(tree, category, depth) if tree is not None else None, rankings.listed(items, "view", fallback_depth),
     )
 
 

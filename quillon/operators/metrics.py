@@ -18,19 +18,43 @@ def _ideal(n: Column, k: int) -> Column:
     return F.get(F.array(*[F.lit(t) for t in totals]), F.least(n, F.lit(k)).cast("int") - 1)
 
 
+def _met(ranked: DataFrame, positives: DataFrame, variants: Sequence[str], label: Sequence[str]) -> DataFrame:
+    """query keys, label, variant, rank: each positive by each variant, with its rank there or null.
+
+    Rankings and positives are dealt out by query once, beside each other, and meet by grouping: all that follows is by query too and needs no further exchange.
+    """
+    keys = _keys(positives)
+    on = [*keys, "itemid", *(["task"] if "task" in ranked.columns else [])]
+    sides = ranked.select(*on, "variant", "rank", F.lit(None).cast(positives.select(F.struct(*label)).schema[0].dataType).alias("_wanted"))
+    wanted = positives.select(*on, F.lit(None).cast("string").alias("variant"), F.lit(None).cast("long").alias("rank"), F.struct(*label).alias("_wanted"))
+    ranks = [F.min(F.when(F.col("variant") == v, F.col("rank"))).alias(f"_r{i}") for i, v in enumerate(variants)]
+    items = sides.unionByName(wanted).repartition(*keys).groupBy(*on).agg(*ranks, F.collect_list("_wanted").alias("_wanted"))
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_r{i}").alias("rank")) for i, v in enumerate(variants)])
+    asked = items.where(F.size("_wanted") > 0).select(*keys, F.explode("_wanted").alias("_wanted"), each.alias("_each"))
+    return asked.select(*keys, "_wanted.*", F.inline("_each"))
+
+
+def _keys(table: DataFrame) -> list[str]:
+    return [c for c in ("split", "query_id", "stage") if c in table.columns]
+
+
+def _sums() -> tuple[Column, Column, Column]:
+    """Of rows of _met(): positives, hits, and the gain of these."""
+    return F.count("*").alias("positives"), F.count("rank").alias("hits"), F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("gain")
+
+
+def _scores(k: int) -> tuple[Column, Column]:
+    return (F.col("hits") / F.col("positives")).alias("recall"), (F.col("gain") / _ideal(F.col("positives"), k)).alias("ndcg")
+
+
 def query_metrics(ranked: DataFrame, positives: DataFrame, variants: Sequence[str], k: int) -> DataFrame:
     """Recall and NDCG at k of each query, variant and task with a positive.
 
     ``ranked`` has the query's keys, variant, itemid and rank, and task where a ranking is for one task; ``positives`` may have a cohort.
     """
-    keys = [c for c in ("split", "query_id", "stage") if c in positives.columns]
-    label = ["task", *(["cohort"] if "cohort" in positives.columns else [])]
-    asked = positives.groupBy(*keys, *label).agg(F.count("*").alias("positives"))
-    each = asked.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    on = [*keys, "itemid", *(["task"] if "task" in ranked.columns else [])]
-    hits = ranked.where(F.col("rank") <= k).join(positives, on).groupBy(*keys, *label, "variant").agg(F.count("*").alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
-    scored = each.join(hits, [*keys, *label, "variant"], "left")
-    return scored.select(*keys, *label, "variant", (F.coalesce("hits", F.lit(0)) / F.col("positives")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / _ideal(F.col("positives"), k)).alias("ndcg"))
+    keys, label = _keys(positives), ["task", *(["cohort"] if "cohort" in positives.columns else [])]
+    met = _met(ranked.where(F.col("rank") <= k), positives, variants, label)
+    return met.groupBy(*keys, *label, "variant").agg(*_sums()).select(*keys, *label, "variant", *_scores(k))
 
 
 def cohort_metrics(ranked: DataFrame, positives: DataFrame, visitors: DataFrame, variants: Sequence[str], k: int) -> DataFrame:
@@ -39,14 +63,11 @@ def cohort_metrics(ranked: DataFrame, positives: DataFrame, visitors: DataFrame,
     ``positives`` have the cohort of their item; ``visitors`` (query keys, cohort) has a row for each query. Hits are counted once, by query and item cohort; grouping sets
     give them whole as well, and a query without a cohort's positives has no part in it. scope is overall (cohort null), visitor or item.
     """
-    keys = [c for c in ("split", "query_id", "stage") if c in positives.columns]
+    keys = _keys(positives)
     by = [*keys, "task", "variant", "cohort"]
-    on = [*keys, "itemid", *(["task"] if "task" in ranked.columns else [])]
-    each = positives.groupBy(*keys, "task", "cohort").agg(F.count("*").alias("positives")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    hits = ranked.where(F.col("rank") <= k).join(positives, on).groupBy(*by).agg(F.count("*").alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("gain"))
-    found = each.join(hits, by, "left")
+    found = _met(ranked.where(F.col("rank") <= k), positives, variants, ["task", "cohort"]).groupBy(*by).agg(*_sums())
     sums = found.groupingSets([by, by[:-1]], *by).agg(F.grouping("cohort").alias("whole"), *[F.sum(c).alias(c) for c in ("positives", "hits", "gain")])
-    scored = sums.select(*by, "whole", (F.coalesce("hits", F.lit(0)) / F.col("positives")).alias("recall"), (F.coalesce("gain", F.lit(0.0)) / _ideal(F.col("positives"), k)).alias("ndcg"))
+    scored = sums.select(*by, "whole", *_scores(k))
     told = scored.join(visitors.select(*keys, F.col("cohort").alias("visitor")), keys, "left")
     place = lambda scope, cohort: F.struct(F.lit(scope).alias("scope"), cohort.cast("string").alias("cohort"))
     places = F.when(F.col("whole") == 1, F.array(place("overall", F.lit(None)), place("visitor", F.col("visitor")))).otherwise(F.array(place("item", F.col("cohort"))))
@@ -58,24 +79,25 @@ def averaged(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))
 
 
-def candidate_recall(candidates: DataFrame, positives: DataFrame) -> DataFrame:
-    """query keys, task, recall: the share of a query's positives among its candidates (query keys, itemid, [variant])."""
-    keys = [c for c in ("split", "query_id", "stage") if c in positives.columns]
-    variants = ["variant"] if "variant" in candidates.columns else []
-    asked = positives.groupBy(*keys, "task").agg(F.count("*").alias("positives"))
-    found = positives.join(candidates, [*keys, "itemid"]).groupBy(*keys, "task", *variants).agg(F.count("*").alias("found"))
-    if variants:
-        asked = asked.crossJoin(F.broadcast(candidates.select("variant").distinct()))
-    return asked.join(found, [*keys, "task", *variants], "left").withColumn("recall", F.coalesce("found", F.lit(0)) / F.col("positives"))
-
-
-def candidate_size(candidates: DataFrame, queries: DataFrame, by: Sequence[str]) -> DataFrame:
-    """mean, median and 95th percentile of the number of candidates; queries without any count as zero."""
-    keys = [c for c in ("split", "query_id", "stage") if c in queries.columns]
-    variants = [c for c in by if c not in queries.columns]
-    asked = queries.select(*keys)
-    if variants:
-        asked = asked.crossJoin(F.broadcast(candidates.select(*variants).distinct()))
-    counted = candidates.groupBy(*keys, *variants).agg(F.count("*").alias("n"))
-    sizes = asked.join(counted, [*keys, *variants], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def candidate_recall(candidates: DataFrame, positives: DataFrame, variants: Sequence[str] = ()) -> DataFrame:
+    """query keys, task, [variant,] recall: the share of a query's positives among its candidates (query keys, itemid, [variant]), which may repeat.
+
+    ``variants`` are those of the candidates, where these have any.
+    """
+    keys, names = _keys(positives), list(variants) or [""]
+    by = [*keys, "task", *(["variant"] if variants else [])]
+    known = candidates.select(*keys, "itemid", "variant" if variants else F.lit("").alias("variant"), F.lit(1).cast("long").alias("rank"))
+    return _met(known, positives, names, ["task"]).groupBy(*by).agg(F.count("rank").alias("found"), F.count("*").alias("positives")).select(*by, "positives", "found", (F.col("found") / F.col("positives")).alias("recall"))
+
+
+def candidate_size(candidates: DataFrame, queries: DataFrame, by: Sequence[str], variants: Sequence[str] = ()) -> DataFrame:
+    """mean, median and 95th percentile of the number of different candidates; queries without any count as zero. ``variants`` as in candidate_recall."""
+    keys, names = _keys(queries), list(variants) or [""]
+    known = candidates.select(*keys, "itemid", "variant" if variants else F.lit("").alias("variant"))
+    asked = queries.select(*keys, F.lit(None).cast(candidates.schema["itemid"].dataType).alias("itemid"), F.lit(None).cast("string").alias("variant"))
+    inside = [F.count_if(F.col("variant") == v).cast("boolean").cast("int").alias(f"_n{i}") for i, v in enumerate(names)]
+    items = known.unionByName(asked).repartition(*keys).groupBy(*keys, "itemid").agg(*inside, F.count_if(F.col("variant").isNull()).alias("_asked"))
+    whole = items.groupBy(*keys).agg(F.sum("_asked").alias("_asked"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(names))]).where(F.col("_asked") > 0)
+    each = F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_n{i}").alias("n")) for i, v in enumerate(names)]))
+    sizes = whole.select(*keys, each)
     return sizes.groupBy(*by).agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"))

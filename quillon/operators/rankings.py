@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import require_positive
+from ..functions.guards import EVENT_TYPES, require_positive
 from ..functions.ranks import first_n, numbered
 from .temporal import DAY_MS, sessionize
 
@@ -22,19 +22,39 @@ def event_popularity(train: DataFrame, event: str, n: int | None = None) -> Data
     return first_n(counts, [], [F.desc("score"), F.asc("first_row")], n).select("itemid", "score", "rank")
 
 
+def _aged(train: DataFrame, half_life_days: float) -> tuple[DataFrame, Column]:
+    """The events beside the time of the last one, and each one's weight: halved with every half-life of age then."""
+    require_positive(half_life_days=half_life_days)
+    last = train.agg(F.max("timestamp").alias("last"))
+    return train.join(F.broadcast(last)), F.pow(F.lit(2.0), -(F.col("last") - F.col("timestamp")) / F.lit(half_life_days * DAY_MS))  # one row
+
+
 def decayed_popularity(train: DataFrame, half_life_days: float = 7.0, n: int | None = None) -> DataFrame:
     """itemid, score, rank: items by events of all types, each halved with every half-life of age at the last event.
 
     Weights are compared to nine decimals, then by first appearance.
     """
-    require_positive(half_life_days=half_life_days)
-    last = train.agg(F.max("timestamp").alias("last"))
-    aged = train.join(F.broadcast(last))  # one row
-    weight = F.pow(F.lit(2.0), -(F.col("last") - F.col("timestamp")) / F.lit(half_life_days * DAY_MS))
+    aged, weight = _aged(train, half_life_days)
     scored = aged.groupBy("itemid").agg(F.round(F.sum(weight), 9).alias("score"), _appearance())
     return first_n(scored, [], [F.desc("score"), F.asc("first_row")], n).select("itemid", "score", "rank")
 
 
+def item_statistics(train: DataFrame, half_life_days: float) -> DataFrame:
+    """A row for each item: events, weight (as decayed_popularity has it) and first_row; of each event type <type>_events and <type>_first.
+
+    One scan and one exchange of the events; written once, it serves all lists that rest on counts of items.
+    """
+    aged, weight = _aged(train, half_life_days)
+    own = [c for e in EVENT_TYPES for of in (F.col("event") == e,) for c in (F.count_if(of).alias(f"{e}_events"), F.min(F.when(of, F.col("row_id"))).alias(f"{e}_first"))]
+    return aged.groupBy("itemid").agg(F.count("*").alias("events"), F.round(F.sum(weight), 9).alias("weight"), _appearance(), *own)
+
+
+def listed(items: DataFrame, event: str | None, n: int) -> DataFrame:
+    """itemid, score, rank from item_statistics(): the rows of event_popularity() for an event type, those of decayed_popularity() for none."""
+    score, first = ("weight", "first_row") if event is None else (f"{event}_events", f"{event}_first")
+    return first_n(items.where(F.col(score) > 0).select("itemid", F.col(score).alias("score"), F.col(first).alias("_first")), [], [F.desc("score"), F.asc("_first")], n).select("itemid", "score", "rank")
+
+
 def adjacent_pairs(train: DataFrame, gap_minutes: float) -> DataFrame:
     """source, target of events that follow each other in a session, equal items among them."""
     sessions = sessionize(train.select("visitorid", "timestamp", "itemid", "row_id"), gap_minutes)
@@ -49,7 +69,8 @@ def neighbors(pairs: DataFrame, n: int, symmetric: bool = False, sources: DataFr
     """
     kept = pairs.where(F.col("source") != F.col("target"))
     if symmetric:
-        kept = kept.union(kept.select("target", "source"))
+        both = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
+        kept = kept.select(F.inline(both))
     if sources is not None:
         kept = kept.join(sources.select(F.col("itemid").alias("source")).distinct(), "source", "left_semi")
     counts = kept.groupBy("source", F.col("target").alias("itemid")).agg(F.count("*").alias("score"))
@@ -93,7 +114,12 @@ def state_intervals(properties: DataFrame, name: str) -> DataFrame:
 
 def category_popularity(train: DataFrame, categories: DataFrame, n: int) -> DataFrame:
     """category, itemid, score, rank: items of each category by events of all types, then item."""
-    counts = train.groupBy("itemid").agg(F.count("*").alias("score")).join(categories.where("category is not null"), "itemid")
+    return category_lists(train.groupBy("itemid").agg(F.count("*").alias("events")), categories, n)
+
+
+def category_lists(items: DataFrame, categories: DataFrame, n: int) -> DataFrame:
+    """category_popularity() from events by item, see item_statistics."""
+    counts = items.select("itemid", F.col("events").alias("score")).join(categories.where("category is not null"), "itemid")
     return first_n(counts.select("category", "itemid", "score"), ["category"], [F.desc("score"), F.asc("itemid")], n)
 
 

@@ -111,10 +111,10 @@ def _head(manifest: dict[str, Any], source: str, p: Protocol, seed: int, **param
     return {"source": source, "manifest": manifest.get("source", ""), **parameters, "prediction_point": POINT, "prediction_horizon": manifest["prediction_horizon"], "validation_evaluated_sessions": p.counts["validation"][1], "test_evaluated_sessions": p.counts["test"][1], "evaluation_sample_seed": seed}
 
 
-def baseline_rankings(p: Protocol, sources: fusion.Sources, k: int, half_life_days: float) -> DataFrame:
+def baseline_rankings(p: Protocol, sources: fusion.Sources, k: int) -> DataFrame:
     """Rankings of the eight baselines for each query; those by key are completed with the most viewed items."""
     queries = p.asked.queries
-    same = [(name, rankings.event_popularity(p.train, name.removeprefix("most_"), k)) for name in BASELINES[:3]] + [(BASELINES[3], rankings.decayed_popularity(p.train, half_life_days, k))]
+    same = [(name, rankings.listed(sources.items, name.removeprefix("most_"), k)) for name in BASELINES[:3]] + [(BASELINES[3], rankings.listed(sources.items, None, k))]
     lists = reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("variant"), "itemid", "rank") for name, t in same])
     for_all = queries.select("split", "query_id").crossJoin(F.broadcast(lists))  # four lists of k items
     names = dict(zip(("visitor_history", "covisitation", "transition", "category"), BASELINES[4:], strict=True))
@@ -132,7 +132,7 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
     sources = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], max(k, neighbor_top_n), half_life_days, p.asked.queries, k, pairs=p.pairs)
     visitors = p.asked.queries.join(rankings.history_counts(p.train), "visitorid", "left").select("split", "query_id", rankings.visitor_cohort(F.col("history")).alias("cohort"))
     parts = p.asked.positives.join(rankings.item_cohorts(p.train), "itemid", "left").withColumn("cohort", F.coalesce("cohort", F.lit("unseen")))
-    rows = metrics.cohort_metrics(baseline_rankings(p, sources, k, half_life_days), parts, visitors, BASELINES, k).collect()  # splits, cohorts, variants and tasks
+    rows = metrics.cohort_metrics(baseline_rankings(p, sources, k), parts, visitors, BASELINES, k).collect()  # splits, cohorts, variants and tasks
     of = {scope: [r for r in rows if r["scope"] == scope] for scope in ("overall", "visitor", "item")}
     keys = ["split", "cohort", "variant", "task"]
     return _head(manifest, source, p, seed, k=k) | {
@@ -270,15 +270,14 @@ def evaluate_retrieval(data: Dataset, manifest: dict[str, Any], source: str = ""
     order = ("category", "parent", *COMPONENTS[1:])
     found = fusion.looked_up(p.asked.queries, s, order, expanded_depth)
     varied = keep(_variant_candidates(found, {"base": base_depth, "expanded": expanded_depth}))
-    sets = varied.select("split", "query_id", "variant", "itemid").distinct()
     names = list(RETRIEVALS)
     asked = p.asked.queries.select("*", F.explode(F.array(*[F.lit(v) for v in names])).alias("variant"))
     ranked = fusion.completed(fusion.fused(varied, order, expanded_depth, 60.0, k, ["variant"]), asked, s.fallback, k, ["variant"])
-    recall = _recalls(metrics.candidate_recall(sets, p.asked.positives), names)
+    recall = _recalls(metrics.candidate_recall(varied, p.asked.positives, names), names)
     by = ["split", "variant", "task"]
     return _head(manifest, source, p, seed, k=k, base_depth=base_depth, expanded_depth=expanded_depth) | {
         "variants": {n: f"category to {c}, behavior to {b}, parent list {'to ' + q if q else 'absent'}" for n, (c, b, q) in RETRIEVALS.items()},
-        "candidate_recall": recall, "candidate_size": _sizes(metrics.candidate_size(sets, p.asked.queries, ["split", "variant"]), names),
+        "candidate_recall": recall, "candidate_size": _sizes(metrics.candidate_size(varied, p.asked.queries, ["split", "variant"], names), names),
         "ranking_metrics": nested(metrics.averaged(metrics.query_metrics(ranked, p.asked.positives, names, k), by), by, [SPLITS, names, EVENT_TYPES]),
         "validation_mean_candidate_recall": {v: decisions.mean(list(recall["validation"][v].values())) for v in names},
         "validation_retain_expanded_union": decisions.retain_retrieval(recall["validation"], "base_union", "expanded_union"), "retain_rule": "mean validation candidate recall 0.03 above the base union's, and no task below it", "notes": NOTES["retrieval"],

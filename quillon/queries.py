@@ -572,7 +572,7 @@ def _ranked_baselines(spark: SparkSession, sf_dir: str) -> tuple[_Base, sessions
     b = _Base(spark, sf_dir)
     asked = b.asked()
     p = evaluations.Protocol(b.split, b.train, asked, {})
-    return b, asked, evaluations.baseline_rankings(p, b.sources(asked.queries), K, HALF_LIFE)
+    return b, asked, evaluations.baseline_rankings(p, b.sources(asked.queries), K)
 
 
 @query(f"WITH {_BASELINES}, m AS ({_metrics_sql('ranked')}) SELECT split, variant, task, {_AVG} FROM m GROUP BY ALL")
@@ -685,7 +685,7 @@ def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, varied = _varied(spark, sf_dir)
-    scored = metrics.candidate_recall(fusion.candidate_sets(varied), asked.positives)
+    scored = metrics.candidate_recall(varied, asked.positives, list(evaluations.RETRIEVALS))
     return scored.groupBy("split", "variant", "task").agg(F.round(F.avg("recall"), 6).alias("recall"))
 
 
@@ -695,7 +695,7 @@ def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, varied = _varied(spark, sf_dir)
-    return _rounded(metrics.candidate_size(fusion.candidate_sets(varied), asked.queries, ["split", "variant"]), "mean", "median", "p95")
+    return _rounded(metrics.candidate_size(varied, asked.queries, ["split", "variant"], list(evaluations.RETRIEVALS)), "mean", "median", "p95")
 
 
 _FEATURES = ", ".join(f"round(coalesce(1.0 / ({OFFSET} + min(CASE WHEN source = '{c}' THEN rank END)), 0), 6) AS {c}_rr" for c in COMPONENTS) + ", " + ", ".join(f"CAST(max(CASE WHEN source = '{c}' THEN 1 ELSE 0 END) AS DOUBLE) AS {c}_present" for c in COMPONENTS)
@@ -917,7 +917,7 @@ def hybrid_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule on expanded retrieval."""
     asked, varied = _varied(spark, sf_dir)
-    scored = metrics.candidate_recall(fusion.candidate_sets(varied), asked.positives).where("split = 'validation'")
+    scored = metrics.candidate_recall(varied, asked.positives, list(evaluations.RETRIEVALS)).where("split = 'validation'")
     cells = scored.groupBy("variant", "task").agg(F.avg("recall").alias("recall"))
     return _rounded(decisions.retrieval_rule(cells, "base_union", "expanded_union"), "gain")
 
