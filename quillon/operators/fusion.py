@@ -5,7 +5,7 @@ A candidate table is long: the query's keys, source, itemid, rank.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -77,6 +77,77 @@ def looked_up(queries: DataFrame, sources: Sources, names: Sequence[str], depths
     return reduce(DataFrame.unionByName, parts)
 
 
+def _in_order(lists: DataFrame, key: str | None, depth: int, name: str) -> DataFrame:
+    """A row for each key: l_<name>, its items to the depth in the order of their ranks, which count from 1 without gaps."""
+    kept = lists.where(F.col("rank") <= depth)
+    items = F.transform(F.sort_array(F.collect_list(F.struct("rank", "itemid"))), lambda x: x["itemid"]).alias(f"l_{name}")
+    return kept.groupBy(key).agg(items) if key else kept.agg(items)
+
+
+def gathered(queries: DataFrame, sources: Sources, names: Sequence[str], depths: dict[str, int] | int, k: int) -> DataFrame:
+    """keys and, for each named source, l_<source>: the items that looked_up() has as rows, in their order; null where a source lacks the query's key. l_ are the first k of the fallback list.
+
+    A query stays one row: lists are laid down once for a key, and what follows needs neither rows nor an exchange for each candidate. A row is no longer than the depths together.
+    """
+    deep = {n: depths if isinstance(depths, int) else depths[n] for n in names}
+    contexts = queries.select("last_item").where("last_item is not null").distinct()
+    if "category" in deep:
+        placed = contexts.join(sources.categories.withColumnRenamed("itemid", "last_item"), "last_item", "left")
+        contexts = placed.join(_in_order(sources.category, "category", deep["category"], "category"), "category", "left").drop("category")
+    for name in ("covisitation", "transition"):
+        if name in deep:
+            contexts = contexts.join(_in_order(getattr(sources, name).withColumnRenamed("source", "last_item"), "last_item", deep[name], name), "last_item", "left")
+    found = queries.select(*keys_of(queries), "visitorid", "last_item").join(contexts, "last_item", "left")
+    if "visitor_history" in deep:
+        found = found.join(_in_order(sources.visitor_history, "visitorid", deep["visitor_history"], "visitor_history"), "visitorid", "left")
+    if "recency" in deep:
+        found = found.crossJoin(F.broadcast(_in_order(sources.recency, None, deep["recency"], "recency")))  # one row
+    found = found.crossJoin(F.broadcast(_in_order(sources.fallback, None, k, "")))  # one row
+    return found.select(*keys_of(queries), *[f"l_{n}" for n in names], "l_")
+
+
+def _position(items: Column, item: Column) -> Column:
+    """The item's place in an array from 1, or null; an item may be null."""
+    return F.nullif(F.when(item.isNull(), F.array_position(F.transform(items, lambda x: x.isNull()), True)).otherwise(F.array_position(items, item)), F.lit(0))
+
+
+def union_of(names: Sequence[str]) -> Column:
+    """Of a row of gathered(): the different items of the named lists, in an array."""
+    return F.array_distinct(F.concat(*[F.coalesce(F.col(f"l_{n}"), F.array().cast("array<bigint>")) for n in names]))
+
+
+def items_of(names: Sequence[str], offset: float, depth: int | None = None, fallback: bool = True) -> Column:
+    """Of a row of gathered(): each item once, as structs of itemid, its rank r_<source> and share s_<source> by source, and r_, that of the fallback list. ``depth`` shortens all sources."""
+    require_at_least(0, "0", rrf_offset=offset)
+    lists = {n: F.col(f"l_{n}") if depth is None or not n else F.slice(f"l_{n}", 1, depth) for n in (*names, *([""] if fallback else []))}
+    every = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<bigint>")) for c in lists.values()]))
+    ranks = F.transform(every, lambda i: F.struct(i.alias("itemid"), *[_position(c, i).alias(f"r_{n}") for n, c in lists.items()]))
+    share = lambda r: F.coalesce(1.0 / (F.lit(float(offset)) + r), F.lit(0.0))
+    return F.transform(ranks, lambda x: F.struct(x["itemid"].alias("itemid"), *[x[f"r_{n}"].alias(f"r_{n}") for n in lists], *[share(x[f"r_{n}"]).alias(f"s_{n}") for n in names]))
+
+
+def best_items(items: Column, places: Callable[[Column], Sequence[Column]], present: Callable[[Column], Column], k: int) -> Column:
+    """The first k items of items_of() that are present or in the fallback list: those present by ``places``, the rest by the fallback list; ties go by item."""
+    late = lambda x: ~present(x)
+    order = lambda x: F.struct(late(x).alias("late"), *[F.when(present(x), c).alias(f"o{i}") for i, c in enumerate(places(x))], F.when(late(x), x["r_"]).alias("rest"), x["itemid"].alias("itemid"))
+    return F.transform(F.slice(F.sort_array(F.transform(F.filter(items, lambda x: present(x) | x["r_"].isNotNull()), order)), 1, k), lambda x: x["itemid"])
+
+
+def any_of(names: Sequence[str]) -> Callable[[Column], Column]:
+    """Whether an item of items_of() is in any of the sources."""
+    return lambda x: reduce(Column.__or__, [x[f"r_{n}"].isNotNull() for n in names])
+
+
+def fused_items(items: Column, parts: Sequence[str], k: int) -> Column:
+    """The first k items of completed_variants() for one set of components."""
+
+    def places(x: Column) -> list[Column]:
+        best = F.least(*[x[f"r_{c}"] for c in parts]) if len(parts) > 1 else x[f"r_{parts[0]}"]
+        return [-reduce(lambda a, b: a + b, [x[f"s_{c}"] for c in parts]), best]
+
+    return best_items(items, places, any_of(parts), k)
+
+
 def candidate_sets(candidates: DataFrame) -> DataFrame:
     """The union of sources: each item of a query once."""
     return candidates.drop("source", "rank").distinct()

@@ -57,6 +57,41 @@ def query_metrics(ranked: DataFrame, positives: DataFrame, variants: Sequence[st
     return met.groupBy(*keys, *label, "variant").agg(*_sums()).select(*keys, *label, "variant", *_scores(k))
 
 
+def wanted_of(positives: DataFrame) -> DataFrame:
+    """query keys and wanted: the array of a query's positives (task, itemid), for those that have any."""
+    return positives.groupBy(*_keys(positives)).agg(F.collect_list(F.struct("task", "itemid")).alias("wanted"))
+
+
+def place_of(items: Column) -> Column:
+    """The rank of a positive's itemid in a ranked array of items, or null."""
+    return F.nullif(F.array_position(items, F.col("itemid")), F.lit(0))
+
+
+def row_metrics(rows: DataFrame, ranks: dict[str, Column], k: int) -> DataFrame:
+    """query_metrics() where each query is a row that has its rankings in arrays, cut at k, and wanted: ``ranks`` are by variant the rank of a positive's task and itemid in that row."""
+    keys = _keys(rows)
+    names = [f"_p{i}" for i in range(len(ranks))]
+    told = rows.select("*", F.inline("wanted")).select(*keys, "task", *[c.alias(n) for n, c in zip(names, ranks.values(), strict=True)])
+    # a query and task is a row from here on: its positives, and for each variant its hits and gain
+    sums = [c for n in names for c in (F.count(n).alias(f"{n}h"), F.coalesce(F.sum(1 / F.log2(F.col(n) + 1)), F.lit(0.0)).alias(f"{n}g"))]
+    found = told.groupBy(*keys, "task").agg(F.count("*").alias("positives"), *sums)
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"{n}h").alias("hits"), F.col(f"{n}g").alias("gain")) for v, n in zip(ranks, names, strict=True)])
+    return found.select(*keys, "task", "positives", F.inline(each)).select(*keys, "task", "variant", *_scores(k))
+
+
+def row_recall(rows: DataFrame, items: Column) -> DataFrame:
+    """candidate_recall() where each query is a row that has its candidates in an array, and wanted."""
+    keys = _keys(rows)
+    told = rows.select(*keys, items.alias("_items"), F.inline("wanted")).select(*keys, "task", place_of(F.col("_items")).alias("place"))
+    return told.groupBy(*keys, "task").agg(F.count("place").alias("found"), F.count("*").alias("positives")).select(*keys, "task", "positives", "found", (F.col("found") / F.col("positives")).alias("recall"))
+
+
+def row_size(rows: DataFrame, items: Column, by: Sequence[str]) -> DataFrame:
+    """candidate_size() where each query is a row that has its candidates in an array."""
+    sizes = rows.select(*by, F.size(items).alias("n"))
+    return sizes.groupBy(*by).agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"))
+
+
 def cohort_metrics(ranked: DataFrame, positives: DataFrame, visitors: DataFrame, variants: Sequence[str], k: int) -> DataFrame:
     """split, scope, cohort, variant, task, queries, recall, ndcg: overall, by cohort of the visitor and by cohort of the positive items, from one scoring of all rankings.
 

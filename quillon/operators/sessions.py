@@ -78,7 +78,8 @@ def asked(rows: DataFrame, eligible: int) -> Queries:
     """Queries and positives of laid out rows of multi-event sessions, of one split or more."""
     queries = rows.where("place = 0").select(*_query_columns(), "visitorid", "timestamp", F.col("itemid").alias("last_item"))
     later = rows.where((F.col("place") > 0) & F.col("event").isin(*EVENT_TYPES) & F.col("itemid").isNotNull())
-    return Queries(queries, later.select(*_query_columns(), F.col("event").alias("task"), "itemid").distinct(), eligible)
+    # dealt out by query, so that what gathers a query's positives needs no further exchange
+    return Queries(queries, later.select(*_query_columns(), F.col("event").alias("task"), "itemid").repartition("split", "query_id").distinct(), eligible)
 
 
 def session_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_sessions: int | None = None, seed: int = 365, how: str = "numpy") -> Queries:
@@ -109,4 +110,4 @@ def stage_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_se
     label = [F.col("event").alias("task"), "itemid"]
     after_view = known.where("place > 0 and opens = 'view'").select(*_query_columns(), view, *label)
     after_cart = known.where((F.col("place") > F.col("cart")) & has_cart & (F.col("event") == "transaction")).select(*_query_columns(), cart, *label)
-    return Queries(queries, after_view.unionByName(after_cart).distinct(), total)
+    return Queries(queries, after_view.unionByName(after_cart).repartition("split", "query_id", "stage").distinct(), total)

@@ -197,10 +197,10 @@ def drawn_negatives(queries: DataFrame, positives: DataFrame, catalog: DataFrame
     return first_n(found.select(*keys, "itemid", "_at"), list(keys), [F.asc("_at")], n_negatives, "draw").drop("_at")
 
 
-def build_manifest(events: DataFrame, source: str, train_fraction: float = 0.70, validation_fraction: float = 0.15, session_gap_minutes: int = 30, deduplicate_exact_rows: bool = True) -> dict[str, Any]:
-    """The frozen temporal protocol of an event table: cutoffs, counts by split and event, sessions."""
+def build_manifest(events: DataFrame, source: str, train_fraction: float = 0.70, validation_fraction: float = 0.15, session_gap_minutes: int = 30, deduplicate_exact_rows: bool = True, distinct: bool = False) -> dict[str, Any]:
+    """The frozen temporal protocol of an event table: cutoffs, counts by split and event, sessions. Each is a pass over the events, which are deduplicated once, or not at all where they are ``distinct``."""
     test_fraction = require_fractions(train_fraction, validation_fraction)
-    events = deduplicated(events) if deduplicate_exact_rows else events
+    events = cut(deduplicated(events)) if deduplicate_exact_rows and not distinct else events
     train_end, validation_end = temporal_cutoffs(events, train_fraction, validation_fraction)
     labelled = with_split(events, train_end, validation_end)
     by_event = labelled.groupBy("split", "event").count().collect()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce, wraps
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES, require_at_least, require_positive, require_share
@@ -68,7 +68,7 @@ class Protocol:
 
 
 def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False) -> Protocol:
-    events = keep(temporal.with_split(deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]))
+    events = keep(temporal.with_split(data.events if data.distinct else deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]))
     ask = sessions.stage_queries if stages else sessions.session_queries
     laid = keep(sessions.laid_out(events, manifest["session_gap_minutes"]))
     each = {s: ask(laid, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
@@ -147,6 +147,19 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
     }
 
 
+def gathered_rows(p: Protocol, s: fusion.Sources, depths: dict[str, int] | int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The queries with their lists, a row each (see fusion.gathered), and those with positives beside these, which alone are scored."""
+    rows = keep(fusion.gathered(p.asked.queries, s, COMPONENTS, depths, k))
+    return rows, rows.join(metrics.wanted_of(p.asked.positives), fusion.keys_of(rows))
+
+
+def hybrid_metrics(rows: DataFrame, offset: float, k: int) -> DataFrame:
+    """Recall and NDCG of each query with a positive, by HYBRIDS; ``rows`` as of gathered_rows()."""
+    held = rows.select("split", "query_id", "wanted", fusion.items_of(COMPONENTS, offset).alias("items"))
+    ranked = held.select("split", "query_id", "wanted", *[fusion.fused_items(F.col("items"), parts, k).alias(v) for v, parts in HYBRIDS.items()])
+    return metrics.row_metrics(ranked, {v: metrics.place_of(F.col(v)) for v in HYBRIDS}, k)
+
+
 def fused_rankings(candidates: DataFrame, queries: DataFrame, fallback: DataFrame, variants: dict[str, list[str]], depth: int, offset: float, k: int) -> DataFrame:
     """Completed fusions of several sets of components."""
     return fusion.completed_variants(candidates, queries, fallback, variants, depth, offset, k)
@@ -159,9 +172,7 @@ def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k
     require_at_least(k, "k", source_depth=source_depth)
     p = protocol(data, manifest, max_sessions_per_split, seed)
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], manifest["session_gap_minutes"], source_depth, half_life_days, p.asked.queries, k, pairs=p.pairs)
-    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, source_depth))
-    ranked = fused_rankings(found, p.asked.queries, s.fallback, HYBRIDS, source_depth, rrf_offset, k)
-    scored = metrics.query_metrics(ranked, p.asked.positives, list(HYBRIDS), k)
+    scored = hybrid_metrics(gathered_rows(p, s, source_depth, k)[1], rrf_offset, k)
     cells = nested(metrics.averaged(scored, ["split", "variant", "task"]), ["split", "variant", "task"], [SPLITS, list(HYBRIDS), EVENT_TYPES])
     own = cells["validation"]
     delta = {c: {t: own["hybrid_full"][t]["ndcg_at_k"] - own[f"hybrid_minus_{c}"][t]["ndcg_at_k"] for t in EVENT_TYPES} for c in COMPONENTS}
@@ -183,6 +194,21 @@ def _category(states: DataFrame, name: str) -> DataFrame:
     return states.where(F.col(name).isNotNull()).select("itemid", F.col(name).alias("category"))
 
 
+def _counted(inner: sessions.Queries, sources: fusion.Sources, depths: dict[str, int], offset: float, max_nonrelevant: int) -> DataFrame:
+    """Training rows of all tasks, counted by their features."""
+    rows = fusion.gathered(inner.queries, sources, COMPONENTS, depths, 1).join(metrics.wanted_of(inner.positives), fusion.keys_of(inner.queries))
+    return learning.counted_rows(rows.select(*fusion.keys_of(rows), "wanted", fusion.items_of(COMPONENTS, offset, fallback=False).alias("items")), max_nonrelevant)
+
+
+def _asks(task: str) -> Column:
+    """Whether a row's query has a positive of the task."""
+    return F.exists("wanted", lambda w: w["task"] == task)
+
+
+def _by_task(ranks: dict[str, Column]) -> Column:
+    return reduce(lambda a, x: F.when(F.col("task") == x[0], x[1]) if a is None else a.when(F.col("task") == x[0], x[1]), ranks.items(), None)
+
+
 @releasing
 def evaluate_reranker(
     data: Dataset, manifest: dict[str, Any], source: str = "", k: int = 20, category_depth: int = 300, behavioral_depth: int = 100, parent_depth: int = 0, rrf_offset: float = 60.0, half_life_days: float = 7.0, internal_fit_fraction: float = 0.80,
@@ -207,32 +233,30 @@ def evaluate_reranker(
     if models is None:
         inner = sessions.session_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
         inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
-        inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
-        fitted = {t: learning.fit(learning.training_rows(inner_features, inner.positives, t, max_nonrelevant_per_query)) for t in EVENT_TYPES}
+        counted = _counted(inner, inner_sources, depths, rrf_offset, max_nonrelevant_per_query)
+        fitted = learning.fits(counted.withColumnRenamed("task", "model"), EVENT_TYPES)
     else:
         inner, fitted = None, {t: (m, 0, 0) for t, m in models.items()}
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k, _category(states, "whole"), p.pairs)
-    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
+    rows, held = gathered_rows(p, s, depths, k)
     fixed = {"category_only": ["category"], rrf_name: list(COMPONENTS)}
-    plain = fused_rankings(found, p.asked.queries, s.fallback, fixed, category_depth, rrf_offset, k)
-    table = keep(fusion.features(found, depths, rrf_offset))
-    scored_items = learning.ranked(table, {t: m for t, (m, _, _) in fitted.items()}, k)
-    tasks = p.asked.queries.select("*", F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("task"))
-    learned = fusion.completed(scored_items, tasks, s.fallback, k, ["task"])
     name = "learned_task_specific"
     by = ["split", "variant", "task"]
-    cells = nested(
-        metrics.averaged(metrics.query_metrics(plain, p.asked.positives, list(fixed), k), by).unionByName(metrics.averaged(metrics.query_metrics(learned.withColumn("variant", F.lit(name)), p.asked.positives, [name], k), by)),
-        by, [SPLITS, [*fixed, name], EVENT_TYPES],
-    )
-    union = table.select("split", "query_id", "itemid")
+    alike = category_depth >= behavioral_depth
+    items = held.select("split", "query_id", "wanted", fusion.items_of(COMPONENTS, rrf_offset).alias("items"), *([] if alike else [fusion.items_of(COMPONENTS, rrf_offset, category_depth).alias("short")]))
+    plain = [fusion.fused_items(F.col("items" if alike else "short"), parts, k).alias(v) for v, parts in fixed.items()]
+    learned = [F.when(_asks(t), learning.ranked_items(F.col("items"), m, k)).alias(f"by_{t}") for t, (m, _, _) in fitted.items()]
+    ranked = items.select("split", "query_id", "wanted", *plain, *learned)
+    ranks = {v: metrics.place_of(F.col(v)) for v in fixed} | {name: _by_task({t: metrics.place_of(F.col(f"by_{t}")) for t in fitted})}
+    cells = nested(metrics.averaged(metrics.row_metrics(ranked, ranks, k), by), by, [SPLITS, [*fixed, name], EVENT_TYPES])
+    union = fusion.union_of(COMPONENTS)
     means = decisions.mean_ndcg(cells["validation"])
     best = decisions.best_of(means, list(fixed))
     return _head(manifest, source, p, seed, k=k, category_depth=category_depth, behavioral_depth=behavioral_depth, parent_depth=0, rrf_offset=rrf_offset) | {
         "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end, "internal_ranker_sessions": inner.queries.count() if inner else 0,
         "training_examples": {t: n for t, (_, n, _) in fitted.items()}, "training_positive_examples": {t: n for t, (_, _, n) in fitted.items()},
         "feature_names": list(fusion.FEATURES), "standardized_coefficients": {t: m.named() for t, (m, _, _) in fitted.items()},
-        "candidate_recall": _recalls(metrics.candidate_recall(union, p.asked.positives), None), "candidate_size": _sizes(metrics.candidate_size(union, p.asked.queries, ["split"]), None),
+        "candidate_recall": _recalls(metrics.row_recall(held, union), None), "candidate_size": _sizes(metrics.row_size(rows, union, ["split"]), None),
         "metrics": cells, "validation_mean_ndcg": means, "best_deterministic_validation_baseline": best, "validation_retain_learned_ranker": decisions.retain_learned(cells["validation"], name, best),
         "retain_rule": "mean validation NDCG above the comparator's, and above it on two of three tasks", "notes": NOTES["rerank"],
     }
@@ -344,33 +368,29 @@ def evaluate_stages(
     if models is None or stage_models is None:
         inner = sessions.stage_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
         inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
-        inner_features = keep(fusion.features(fusion.looked_up(inner.queries, inner_sources, COMPONENTS, depths), depths, rrf_offset))
-        rows = lambda task, stage=None: learning.training_rows(inner_features, inner.positives, task, max_nonrelevant_per_query, stage)
-        staged = {(st, t): learning.fit(rows(t, st)) for st, ts in tasks_of.items() for t in ts}
-        pooled = {t: learning.fit(rows(t))[0] for t in EVENT_TYPES}
+        counted = keep(_counted(inner, inner_sources, depths, rrf_offset, max_nonrelevant_per_query))
+        cell = F.concat_ws("/", "stage", "task")
+        every = counted.withColumn("model", cell).unionByName(counted.withColumn("model", F.col("task"))).drop("stage", "task")
+        found = learning.fits(every, [*[f"{st}/{t}" for st, ts in tasks_of.items() for t in ts], *EVENT_TYPES])
+        staged, pooled = {(st, t): found[f"{st}/{t}"] for st, ts in tasks_of.items() for t in ts}, {t: found[t][0] for t in EVENT_TYPES}
     else:
         inner, staged, pooled = None, {c: (m, 0, 0) for c, m in stage_models.items()}, models
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k, _category(states, "whole"), p.pairs)
-    found = keep(fusion.looked_up(p.asked.queries, s, COMPONENTS, depths))
-    table = keep(fusion.features(found, depths, rrf_offset))
-    parts = []
-    for st, ts in tasks_of.items():
-        own = table.where(F.col("stage") == st)
-        parts += [learning.ranked(own, {t: pooled[t] for t in ts}, k).withColumn("variant", F.lit("pooled_task_specific")), learning.ranked(own, {t: staged[st, t][0] for t in ts}, k).withColumn("variant", F.lit("stage_conditioned"))]
-    order = first_n(found.where("source = 'category'").withColumn("place", F.col("rank")).drop("rank"), ["split", "query_id", "stage"], [F.asc("place")], k).select("split", "query_id", "stage", "itemid", "rank")
-    all_tasks = F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES]))
-    parts.append(order.select("*", all_tasks.alias("task"), F.lit("category_only").alias("variant")))
+    rows, held = gathered_rows(p, s, depths, k)
+    keys = fusion.keys_of(rows)
     names = ("category_only", "pooled_task_specific", "stage_conditioned")
-    ranked = reduce(DataFrame.unionByName, [x.select("split", "query_id", "stage", "task", "variant", "itemid", "rank") for x in parts])
-    asked = p.asked.queries.select("*", F.explode(F.array(*[F.lit(v) for v in names])).alias("variant")).select("*", all_tasks.alias("task"))
-    done = fusion.completed(ranked, asked, s.fallback, k, ["variant", "task"])
+    items = held.select(*keys, "wanted", fusion.items_of(COMPONENTS, rrf_offset).alias("items"))
+    # a cell is a stage and task; a query's row is ranked for the cells in which it has a positive
+    tops = {f"{v}/{st}/{t}": F.when((F.col("stage") == st) & _asks(t), learning.ranked_items(F.col("items"), m, k)) for st, ts in tasks_of.items() for t in ts for v, m in ((names[1], pooled[t]), (names[2], staged[st, t][0]))}
+    ranked = items.select(*keys, "wanted", fusion.fused_items(F.col("items"), ["category"], k).alias(names[0]), *[c.alias(n) for n, c in tops.items()])
+    ranks = {names[0]: metrics.place_of(F.col(names[0]))} | {v: _by_task({t: F.coalesce(*[metrics.place_of(F.col(f"{v}/{st}/{t}")) for st, ts in tasks_of.items() if t in ts]) for t in EVENT_TYPES}) for v in names[1:]}
     by = ["split", "variant", "stage", "task"]
-    flat = {tuple(r[c] for c in by): r for r in metrics.averaged(metrics.query_metrics(done, p.asked.positives, names, k), by).collect()}
+    flat = {tuple(r[c] for c in by): r for r in metrics.averaged(metrics.row_metrics(ranked, ranks, k), by).collect()}
     cells = {sp: {v: {st: {t: _cell(flat.get((sp, v, st, t))) for t in ts} for st, ts in tasks_of.items()} for v in names} for sp in SPLITS}
-    union = table.select("split", "query_id", "stage", "itemid")
-    recall = {tuple(r): r["recall"] for r in metrics.candidate_recall(union, p.asked.positives).groupBy("split", "stage", "task").agg(F.avg("recall").alias("recall")).collect()}
+    union = fusion.union_of(COMPONENTS)
+    recall = {tuple(r): r["recall"] for r in metrics.row_recall(held, union).groupBy("split", "stage", "task").agg(F.avg("recall").alias("recall")).collect()}
     recall = {k_[:3]: v for k_, v in recall.items()}
-    sizes = {(r["split"], r["stage"]): float(r["mean"]) for r in metrics.candidate_size(union, p.asked.queries, ["split", "stage"]).collect()}
+    sizes = {(r["split"], r["stage"]): float(r["mean"]) for r in metrics.row_size(rows, union, ["split", "stage"]).collect()}
     counts = {(r["split"], r["stage"]): r["count"] for r in p.asked.queries.groupBy("split", "stage").count().collect()}
     ndcg = {v: {(st, t): cells["validation"][v][st][t]["ndcg_at_k"] for st, ts in tasks_of.items() for t in ts} for v in names}
     means = {v: decisions.mean(list(c.values())) for v, c in ndcg.items()}

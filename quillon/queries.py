@@ -7,6 +7,7 @@ catalogue of a hundred items, so that lists end and fallback is reached. Doubles
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,9 +142,10 @@ class _Base:
     """What most queries share: the dataset, its cutoffs, split events, the training part, queries and positives."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.data: Dataset = star_dataset(spark, folder)
-        # read by every list and by the queries: laid down once, and read by the columns and times that are asked for
-        self.events = cut(deduplicated(self.data.events))
+        found = star_dataset(spark, folder)
+        # read by every list, by the queries and by manifests: laid down once, and read by the columns and times that are asked for
+        self.events = cut(deduplicated(found.events))
+        self.data: Dataset = replace(found, events=self.events, distinct=True)
         self.train_end, self.validation_end = temporal.temporal_cutoffs(self.events)
         self.split = temporal.with_split(self.events, self.train_end, self.validation_end)
         self.train = self.split.where(F.col("timestamp") <= self.train_end)
@@ -168,7 +170,7 @@ class _Base:
         return fusion.fit_sources(self.train, self.data.properties, self.data.tree, self.train_end, GAP, depth, HALF_LIFE, queries, K, pairs=self.pairs)
 
     def manifest(self) -> dict:
-        return temporal.build_manifest(self.data.events, "events", session_gap_minutes=GAP)
+        return temporal.build_manifest(self.events, "events", session_gap_minutes=GAP, distinct=True)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

@@ -20,11 +20,12 @@ EXPECTED_FILES = (EVENT_FILE, *PROPERTY_FILES, TREE_FILE)
 
 @dataclass(frozen=True)
 class Dataset:
-    """events, properties and tree; row_id is the order of ingestion (the tree of the test tables has none)."""
+    """events, properties and tree; row_id is the order of ingestion (the tree of the test tables has none). ``distinct``: no two events are equal in all but row_id."""
 
     events: DataFrame
     properties: DataFrame
     tree: DataFrame
+    distinct: bool = False
 
 
 def exists(spark: SparkSession, path: str) -> bool:
