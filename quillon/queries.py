@@ -635,9 +635,8 @@ def _hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
     asked = b.asked()
     s = b.sources(asked.queries)
-    found = fusion.looked_up(asked.queries, s, COMPONENTS, DEPTH)
-    ranked = evaluations.fused_rankings(found, asked.queries, s.fallback, evaluations.HYBRIDS, DEPTH, OFFSET, K)
-    return metrics.query_metrics(ranked, asked.positives, list(evaluations.HYBRIDS), K)
+    rows = evaluations.gathered_rows(evaluations.Protocol(b.split, b.train, asked, {}), s, DEPTH, K)[1]
+    return evaluations.hybrid_metrics(rows, OFFSET, K)
 
 
 @query(f"WITH {_HYBRIDS} SELECT split, variant, task, {_AVG} FROM m GROUP BY ALL")
