@@ -164,4 +164,4 @@ def ranked_rows(rows: DataFrame, models: dict[str, Model], k: int, decimals: int
 
     tasks = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), best(m).alias("best")) for t, m in models.items()])).alias("at")
     placed = rows.select(*keys, tasks).select(*keys, "at.task", F.posexplode("at.best").alias("_pos", "_best"))
-    return placed.select(*keys, "task", "_best.itemid", (-F.col("_best.minus")).alias("score"), (F.col("_pos") + 1).cast("long").alias("rank"))
+    return placed.select(*keys, "_best.itemid", "task", (-F.col("_best.minus")).alias("score"), (F.col("_pos") + 1).cast("long").alias("rank"))

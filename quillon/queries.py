@@ -800,6 +800,13 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- learned rankers and whole evaluations: no SQL ---------------------------------------------------------------------
 
 
+def _scored(b: _Base, models: dict[str, learning.Model], decimals: int | None = None) -> DataFrame:
+    """Ranked candidates of all queries by each task's model."""
+    asked = b.asked().queries
+    rows = fusion.gathered(asked, b.sources(asked), COMPONENTS, DEPTH, K)
+    return learning.ranked_rows(rows.select("split", "query_id", fusion.items_of(COMPONENTS, OFFSET, fallback=False).alias("items")), models, K, decimals)
+
+
 @query()
 def learned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked candidates of test queries by a model of each task, fitted on the later fifth of the training period."""
@@ -808,11 +815,9 @@ def learned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = sessions.session_queries(late, "ranker_train", GAP)
     depths = dict.fromkeys(COMPONENTS, DEPTH)
     lists = fusion.fit_sources(early, b.data.properties, None, end, GAP, DEPTH, HALF_LIFE, inner.queries, K)
-    table = fusion.features(fusion.looked_up(inner.queries, lists, COMPONENTS, DEPTH), depths, OFFSET)
-    models = {t: learning.fit(learning.training_rows(table, inner.positives, t, 50))[0] for t in EVENT_TYPES}
-    asked = b.asked().queries
-    scored = learning.ranked(fusion.features(fusion.looked_up(asked, b.sources(asked), COMPONENTS, DEPTH), depths, OFFSET), models, K)
-    return _rounded(scored, "score")
+    counted = evaluations._counted(inner, lists, depths, OFFSET, 50)
+    models = {t: m for t, (m, _, _) in learning.fits(counted.withColumnRenamed("task", "model"), EVENT_TYPES).items()}
+    return _rounded(_scored(b, models), "score")
 
 
 @query(f"WITH {_EV}, placed AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp, row_id) - 1 AS place, count(*) OVER () AS n FROM train) SELECT timestamp AS internal_fit_end_ms FROM placed WHERE place = round_even((n - 1) * 0.8, 0)")
@@ -877,10 +882,7 @@ _RAW = ", ".join(f"coalesce(1.0::DOUBLE / ({OFFSET}::DOUBLE + min(CASE WHEN sour
 )
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates scored and ranked by given models. Scores are compared to nine decimals, on which both engines agree."""
-    b = _Base(spark, sf_dir)
-    asked = b.asked().queries
-    found = fusion.features(fusion.looked_up(asked, b.sources(asked), COMPONENTS, DEPTH), dict.fromkeys(COMPONENTS, DEPTH), OFFSET)
-    return _rounded(learning.ranked(found, _MODELS, K, decimals=9), "score")
+    return _rounded(_scored(_Base(spark, sf_dir), _MODELS, decimals=9), "score")
 
 
 _THRESHOLD = 0.9

@@ -54,6 +54,7 @@ def test_rankings_and_scores(made):
     models = dict(queries._MODELS)
     items = gathered.select("split", "query_id", fusion.items_of(COMPONENTS, 60.0, fallback=False).alias("items"))
     place = lambda f: sorted(((r.query_id, r.task, r["rank"], str(r.itemid), round(r.score, 9)) for r in f.collect()))
+    assert learning.ranked_rows(items, models, K).columns == learning.ranked(features, models, K).columns
     assert place(learning.ranked_rows(items, models, K)) == place(learning.ranked(features, models, K))
 
 
