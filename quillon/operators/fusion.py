@@ -116,6 +116,46 @@ def union_of(names: Sequence[str]) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(F.col(f"l_{n}"), F.array().cast("array<bigint>")) for n in names]))
 
 
+#: The rank of one item by source, null where that lacks it; "" is the fallback list.
+Ranks = Callable[[str], Column]
+
+
+@dataclass(frozen=True)
+class Order:
+    """A ranking of a query's candidates: which are present, and by what these are placed, told by their ranks and shares (see share_of); the rest of the fallback list follows in its order. Ties go by item. ``asked``: the positives' rows that it is for."""
+
+    present: Callable[[Ranks], Column]
+    places: Callable[[Ranks, Ranks], Sequence[Column]]
+    asked: Column | None = None
+
+
+def null_places(names: Sequence[str]) -> list[Column]:
+    """Of a row of gathered(): n_<source>, where a null item stands in each named list. Made once for a query, these leave position_columns() without functions that keep a plan from being compiled whole."""
+    return [F.nullif(F.array_position(F.transform(f"l_{n}", lambda x: x.isNull()), True), F.lit(0)).alias(f"n_{n}") for n in names]
+
+
+def position_columns(names: Sequence[str], item: str, prefix: str) -> list[Column]:
+    """Of a row of gathered() with null_places(): the ranks of an item in the named lists, as <prefix>_<source>."""
+    return [F.when(F.col(item).isNull(), F.col(f"n_{n}")).otherwise(F.nullif(F.array_position(f"l_{n}", F.col(item)), F.lit(0))).alias(f"{prefix}_{n}") for n in names]
+
+
+def share_of(rank: Column, offset: float) -> Column:
+    """What a rank adds to a fused score; nothing where there is none."""
+    return F.coalesce(1.0 / (F.lit(float(offset)) + rank), F.lit(0.0))
+
+
+def fused_order(parts: Sequence[str], offset: float, depth: int | None = None) -> Order:
+    """The order of fused_items(); ``depth`` shortens all sources."""
+    rank = lambda of, n: of(n) if depth is None else F.when(of(n) <= depth, of(n))
+    own = lambda of, share, n: share(n) if depth is None else F.when(of(n) <= depth, share(n)).otherwise(0.0)
+
+    def places(of: Ranks, share: Ranks) -> list[Column]:
+        best = F.least(*[rank(of, n) for n in parts]) if len(parts) > 1 else rank(of, parts[0])
+        return [-reduce(lambda a, b: a + b, [own(of, share, n) for n in parts]), best]
+
+    return Order(lambda of: reduce(Column.__or__, [rank(of, n).isNotNull() for n in parts]), places)
+
+
 def items_of(names: Sequence[str], offset: float, depth: int | None = None, fallback: bool = True) -> Column:
     """Of a row of gathered(): each item once, as structs of itemid, its rank r_<source> and share s_<source> by source, and r_, that of the fallback list. ``depth`` shortens all sources."""
     require_at_least(0, "0", rrf_offset=offset)

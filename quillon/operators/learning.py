@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES
 from ..functions.ranks import cut, first_n
-from .fusion import COMPONENTS, FEATURES, any_of, best_items
+from .fusion import COMPONENTS, FEATURES, Order, Ranks, any_of, best_items, null_places, position_columns, share_of, union_of
 
 #: Newton steps at most, and the gradient below which they end.
 MAX_STEPS, TOLERANCE = 100, 1e-9
@@ -41,6 +41,21 @@ def feature_of(item: Column) -> Callable[[str], Column]:
     return lambda f: item[f"s_{f.removesuffix('_rr')}"] if f.endswith("_rr") else item[f"r_{f.removesuffix('_present')}"].isNotNull().cast("double")
 
 
+def feature_at(of: Ranks, share: Ranks) -> Callable[[str], Column]:
+    """The features of an item by name, from its ranks and shares."""
+    return lambda f: share(f.removesuffix("_rr")) if f.endswith("_rr") else of(f.removesuffix("_present")).isNotNull().cast("double")
+
+
+def learned_order(cells: Sequence[tuple[Column, Model]]) -> Order:
+    """The order of ranked_items() by the model of the first cell whose condition a positive's row meets."""
+
+    def places(of: Ranks, share: Ranks) -> list[Column]:
+        first, *rest = [(on, -m.score(feature_at(of, share))) for on, m in cells]
+        return [reduce(lambda a, x: a.when(*x), rest, F.when(*first))]
+
+    return Order(lambda of: reduce(Column.__or__, [of(n).isNotNull() for n in COMPONENTS]), places, reduce(Column.__or__, [on for on, _ in cells]))
+
+
 def ranked_items(items: Column, model: Model, k: int) -> Column:
     """The first k items by the model's score, filled up by the fallback list."""
     return best_items(items, lambda x: [-model.score(feature_of(x))], any_of(COMPONENTS), k)
@@ -77,6 +92,24 @@ def counted_rows(rows: DataFrame, max_nonrelevant: int) -> DataFrame:
     return rows.select(*stage, tasks).groupBy(*stage, "task", "label", *FEATURES).agg(F.count("*").alias("n"))
 
 
+def counted_candidates(rows: DataFrame, offset: float, max_nonrelevant: int) -> DataFrame:
+    """counted_rows() from rows of fusion.gathered() with wanted: the items that train become rows, so ranks, features and counts are compiled code and no item is made a structure in its query's row."""
+    stage = [c for c in ("stage",) if c in rows.columns]
+    known = rows.select(*stage, "wanted", *[f"l_{n}" for n in COMPONENTS], *null_places(COMPONENTS), union_of(COMPONENTS).alias("_every"))
+
+    def own(task: str) -> Column:
+        return F.transform(F.filter("wanted", lambda w: w["task"] == task), lambda w: w["itemid"])
+
+    known = known.select("*", *[own(t).alias(f"_own_{t}") for t in EVENT_TYPES])
+    sides = [F.struct(F.lit(t).alias("task"), F.lit(label).alias("label"), items.alias("_items")) for t in EVENT_TYPES for label, items in ((1, F.array_intersect("_every", f"_own_{t}")), (0, F.slice(F.array_except(F.sort_array("_every"), f"_own_{t}"), 1, max_nonrelevant)))]
+    asked = [F.when(F.arrays_overlap("_every", f"_own_{t}"), side) for t, side in zip([t for t in EVENT_TYPES for _ in range(2)], sides, strict=True)]
+    lists = [f"{c}_{n}" for c in "ln" for n in COMPONENTS]
+    each = known.select(*stage, *lists, F.inline(F.array_compact(F.array(*asked)))).select(*stage, "task", "label", *lists, F.explode("_items").alias("_item"))
+    placed = each.select(*stage, "task", "label", *position_columns(COMPONENTS, "_item", "q"))
+    feature = feature_at(lambda n: F.col(f"q_{n}"), lambda n: share_of(F.col(f"q_{n}"), offset))
+    return placed.select(*stage, "task", "label", *[feature(f).alias(f) for f in FEATURES]).groupBy(*stage, "task", "label", *FEATURES).agg(F.count("*").alias("n"))
+
+
 def fits(counted: DataFrame, names: Sequence[str]) -> dict[str, tuple[Model, int, int]]:
     """By name the model, its rows and its positives: L2 with C = 1, classes weighted to balance, by Newton steps whose sums are computed where the rows are.
 

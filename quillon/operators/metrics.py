@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fusion
+
 
 def _ideal(n: Column, k: int) -> Column:
     """Gain of the best ranking with n positives."""
@@ -72,11 +75,62 @@ def row_metrics(rows: DataFrame, ranks: dict[str, Column], k: int) -> DataFrame:
     keys = _keys(rows)
     names = [f"_p{i}" for i in range(len(ranks))]
     told = rows.select("*", F.inline("wanted")).select(*keys, "task", *[c.alias(n) for n, c in zip(names, ranks.values(), strict=True)])
-    # a query and task is a row from here on: its positives, and for each variant its hits and gain
-    sums = [c for n in names for c in (F.count(n).alias(f"{n}h"), F.coalesce(F.sum(1 / F.log2(F.col(n) + 1)), F.lit(0.0)).alias(f"{n}g"))]
-    found = told.groupBy(*keys, "task").agg(F.count("*").alias("positives"), *sums)
-    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"{n}h").alias("hits"), F.col(f"{n}g").alias("gain")) for v, n in zip(ranks, names, strict=True)])
-    return found.select(*keys, "task", "positives", F.inline(each)).select(*keys, "task", "variant", *_scores(k))
+    return place_scores(place_sums(told, len(ranks)), list(ranks), k)
+
+
+def place_sums(told: DataFrame, n: int) -> DataFrame:
+    """query keys, task, positives, and for the i-th of n variants _p<i>h and _p<i>g, its hits and gain: from a row for each positive with its ranks _p<i>. found counts positives that are ``_hit``, where these say so."""
+    sums = [c for p in (f"_p{i}" for i in range(n)) for c in (F.count(p).alias(f"{p}h"), F.coalesce(F.sum(1 / F.log2(F.col(p) + 1)), F.lit(0.0)).alias(f"{p}g"))]
+    return told.groupBy(*_keys(told), "task").agg(F.count("*").alias("positives"), *([F.count_if("_hit").alias("found")] if "_hit" in told.columns else []), *sums)
+
+
+def place_scores(sums: DataFrame, variants: Sequence[str], k: int) -> DataFrame:
+    """query_metrics() of place_sums()."""
+    keys = _keys(sums)
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"_p{i}h").alias("hits"), F.col(f"_p{i}g").alias("gain")) for i, v in enumerate(variants)])
+    return sums.select(*keys, "task", "positives", F.inline(each)).select(*keys, "task", "variant", *_scores(k))
+
+
+def _with_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: float, item: str, prefix: str) -> DataFrame:
+    """Rows with an item's ranks, shares and places in each order, as <prefix>_<source>, <prefix>s_<source> and <prefix><i>_<j>. Each stands on columns made before it, which keeps the compiled code short."""
+    of, share = (lambda n: F.col(f"{prefix}_{n}")), (lambda n: F.col(f"{prefix}s_{n}"))
+    ranked = rows.select("*", *fusion.position_columns((*fusion.COMPONENTS, ""), item, prefix))
+    shared = ranked.select("*", *[fusion.share_of(of(n), offset).alias(f"{prefix}s_{n}") for n in fusion.COMPONENTS])
+    return shared.select("*", *[c.alias(f"{prefix}{i}_{j}") for i, o in enumerate(orders) for j, c in enumerate(o.places(of, share))])
+
+
+def positive_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: float, k: int) -> DataFrame:
+    """query keys, task, itemid, _hit, _p<i>: each positive of rows of fusion.gathered() with wanted, whether any source has it, and its rank, if that is at most k, in each order.
+
+    A rank is one more than the candidates that come before, so nothing is sorted: where a positive is a candidate the query's other candidates become rows beside it and are counted,
+    in compiled code. A query's candidates are no more than the depths of its lists together.
+    """
+    keys, names = _keys(rows), (*fusion.COMPONENTS, "")
+    lists = [f"{c}_{n}" for c in "ln" for n in names]
+    own, other = (lambda n: F.col(f"p_{n}")), (lambda n: F.col(f"q_{n}"))
+    known = rows.select(*keys, "wanted", *[f"l_{n}" for n in names], *fusion.null_places(names))
+    wanted = _with_places(known.select(*keys, *lists, F.inline("wanted")), orders, offset, "itemid", "p")
+    # tier 0: present, 1: in the fallback list alone, null: not ranked
+    tier = [F.when(o.present(own), 0).when(own("").isNotNull(), 1) for o in orders]
+    tiers = [(t if o.asked is None else F.when(o.asked, t)).alias(f"_t{i}") for i, (o, t) in enumerate(zip(orders, tier, strict=True))]
+    sized = [c for c in wanted.columns if c[0] == "p" and c[1].isdigit()]
+    hit = reduce(Column.__or__, [own(n).isNotNull() for n in fusion.COMPONENTS]).alias("_hit")
+    # the others beside it; the filter also ends the code that is compiled as one: the JVM leaves methods of over 8,000 bytes interpreted
+    others = F.when(F.col("_hit") | F.col("p_").isNotNull(), F.filter(fusion.union_of(names), lambda i: ~i.eqNullSafe(F.col("itemid"))))
+    beside = wanted.select(*keys, "task", "itemid", *lists, "p_", hit, *tiers, *sized).select("*", F.explode_outer(others).alias("_item"))
+    placed = _with_places(beside, orders, offset, "_item", "q")
+
+    def before(i: int, o: fusion.Order) -> Column:
+        earlier = F.col("_item").isNull() | (F.col("_item") < F.col("itemid"))
+        for own_place in reversed([c for c in sized if c.startswith(f"p{i}_")]):
+            c = F.col(f"q{own_place[1:]}")
+            earlier = (c < F.col(own_place)) | ((c == F.col(own_place)) & earlier)
+        late = F.coalesce(F.col("q_") < F.col("p_"), F.lit(False))
+        return F.when(F.col(f"_t{i}") == 0, o.present(other) & earlier).when(F.col(f"_t{i}") == 1, o.present(other) | late).cast("int")
+
+    told = placed.select(*keys, "task", "itemid", "_hit", *[before(i, o).alias(f"_b{i}") for i, o in enumerate(orders)])
+    counted = told.groupBy(*keys, "task", "itemid").agg(F.max("_hit").alias("_hit"), *[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(orders))])
+    return counted.select(*keys, "task", "itemid", "_hit", *[F.when(F.col(f"_b{i}") < k, F.col(f"_b{i}") + 1).alias(f"_p{i}") for i in range(len(orders))])
 
 
 def row_recall(rows: DataFrame, items: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce, wraps
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES, require_at_least, require_positive, require_share
@@ -68,7 +68,7 @@ class Protocol:
 
 
 def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False) -> Protocol:
-    events = keep(temporal.with_split(data.events if data.distinct else deduplicated(data.events), manifest["train_end_ms"], manifest["validation_end_ms"]))
+    events = temporal.with_split(data.events if data.distinct else keep(deduplicated(data.events)), manifest["train_end_ms"], manifest["validation_end_ms"])
     ask = sessions.stage_queries if stages else sessions.session_queries
     laid = keep(sessions.laid_out(events, manifest["session_gap_minutes"]))
     each = {s: ask(laid, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
@@ -197,16 +197,7 @@ def _category(states: DataFrame, name: str) -> DataFrame:
 def _counted(inner: sessions.Queries, sources: fusion.Sources, depths: dict[str, int], offset: float, max_nonrelevant: int) -> DataFrame:
     """Training rows of all tasks, counted by their features."""
     rows = fusion.gathered(inner.queries, sources, COMPONENTS, depths, 1).join(metrics.wanted_of(inner.positives), fusion.keys_of(inner.queries))
-    return learning.counted_rows(rows.select(*fusion.keys_of(rows), "wanted", fusion.items_of(COMPONENTS, offset, fallback=False).alias("items")), max_nonrelevant)
-
-
-def _asks(task: str) -> Column:
-    """Whether a row's query has a positive of the task."""
-    return F.exists("wanted", lambda w: w["task"] == task)
-
-
-def _by_task(ranks: dict[str, Column]) -> Column:
-    return reduce(lambda a, x: F.when(F.col("task") == x[0], x[1]) if a is None else a.when(F.col("task") == x[0], x[1]), ranks.items(), None)
+    return learning.counted_candidates(rows, offset, max_nonrelevant)
 
 
 @releasing
@@ -242,13 +233,11 @@ def evaluate_reranker(
     fixed = {"category_only": ["category"], rrf_name: list(COMPONENTS)}
     name = "learned_task_specific"
     by = ["split", "variant", "task"]
-    alike = category_depth >= behavioral_depth
-    items = held.select("split", "query_id", "wanted", fusion.items_of(COMPONENTS, rrf_offset).alias("items"), *([] if alike else [fusion.items_of(COMPONENTS, rrf_offset, category_depth).alias("short")]))
-    plain = [fusion.fused_items(F.col("items" if alike else "short"), parts, k).alias(v) for v, parts in fixed.items()]
-    learned = [F.when(_asks(t), learning.ranked_items(F.col("items"), m, k)).alias(f"by_{t}") for t, (m, _, _) in fitted.items()]
-    ranked = items.select("split", "query_id", "wanted", *plain, *learned)
-    ranks = {v: metrics.place_of(F.col(v)) for v in fixed} | {name: _by_task({t: metrics.place_of(F.col(f"by_{t}")) for t in fitted})}
-    cells = nested(metrics.averaged(metrics.row_metrics(ranked, ranks, k), by), by, [SPLITS, [*fixed, name], EVENT_TYPES])
+    short = None if category_depth >= behavioral_depth else category_depth
+    orders = {v: fusion.fused_order(parts, rrf_offset, short) for v, parts in fixed.items()} | {name: learning.learned_order([(F.col("task") == t, m) for t, (m, _, _) in fitted.items()])}
+    sums = keep(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
+    cells = nested(metrics.averaged(metrics.place_scores(sums, list(orders), k), by), by, [SPLITS, [*fixed, name], EVENT_TYPES])
+    recalls = sums.withColumn("recall", F.col("found") / F.col("positives"))
     union = fusion.union_of(COMPONENTS)
     means = decisions.mean_ndcg(cells["validation"])
     best = decisions.best_of(means, list(fixed))
@@ -256,7 +245,7 @@ def evaluate_reranker(
         "internal_fit_fraction": internal_fit_fraction, "internal_fit_end_ms": end, "internal_ranker_sessions": inner.queries.count() if inner else 0,
         "training_examples": {t: n for t, (_, n, _) in fitted.items()}, "training_positive_examples": {t: n for t, (_, _, n) in fitted.items()},
         "feature_names": list(fusion.FEATURES), "standardized_coefficients": {t: m.named() for t, (m, _, _) in fitted.items()},
-        "candidate_recall": _recalls(metrics.row_recall(held, union), None), "candidate_size": _sizes(metrics.row_size(rows, union, ["split"]), None),
+        "candidate_recall": _recalls(recalls, None), "candidate_size": _sizes(metrics.row_size(rows, union, ["split"]), None),
         "metrics": cells, "validation_mean_ndcg": means, "best_deterministic_validation_baseline": best, "validation_retain_learned_ranker": decisions.retain_learned(cells["validation"], name, best),
         "retain_rule": "mean validation NDCG above the comparator's, and above it on two of three tasks", "notes": NOTES["rerank"],
     }
@@ -377,18 +366,16 @@ def evaluate_stages(
         inner, staged, pooled = None, {c: (m, 0, 0) for c, m in stage_models.items()}, models
     s = fusion.fit_sources(p.train, data.properties, None, manifest["train_end_ms"], gap, deepest, half_life_days, p.asked.queries, k, _category(states, "whole"), p.pairs)
     rows, held = gathered_rows(p, s, depths, k)
-    keys = fusion.keys_of(rows)
     names = ("category_only", "pooled_task_specific", "stage_conditioned")
-    items = held.select(*keys, "wanted", fusion.items_of(COMPONENTS, rrf_offset).alias("items"))
-    # a cell is a stage and task; a query's row is ranked for the cells in which it has a positive
-    tops = {f"{v}/{st}/{t}": F.when((F.col("stage") == st) & _asks(t), learning.ranked_items(F.col("items"), m, k)) for st, ts in tasks_of.items() for t in ts for v, m in ((names[1], pooled[t]), (names[2], staged[st, t][0]))}
-    ranked = items.select(*keys, "wanted", fusion.fused_items(F.col("items"), ["category"], k).alias(names[0]), *[c.alias(n) for n, c in tops.items()])
-    ranks = {names[0]: metrics.place_of(F.col(names[0]))} | {v: _by_task({t: F.coalesce(*[metrics.place_of(F.col(f"{v}/{st}/{t}")) for st, ts in tasks_of.items() if t in ts]) for t in EVENT_TYPES}) for v in names[1:]}
+    # a cell is a stage and task
+    models_of = {names[1]: lambda st, t: pooled[t], names[2]: lambda st, t: staged[st, t][0]}
+    orders = {names[0]: fusion.fused_order(["category"], rrf_offset)} | {v: learning.learned_order([((F.col("stage") == st) & (F.col("task") == t), of(st, t)) for st, ts in tasks_of.items() for t in ts]) for v, of in models_of.items()}
+    sums = keep(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
     by = ["split", "variant", "stage", "task"]
-    flat = {tuple(r[c] for c in by): r for r in metrics.averaged(metrics.row_metrics(ranked, ranks, k), by).collect()}
+    flat = {tuple(r[c] for c in by): r for r in metrics.averaged(metrics.place_scores(sums, list(orders), k), by).collect()}
     cells = {sp: {v: {st: {t: _cell(flat.get((sp, v, st, t))) for t in ts} for st, ts in tasks_of.items()} for v in names} for sp in SPLITS}
     union = fusion.union_of(COMPONENTS)
-    recall = {tuple(r): r["recall"] for r in metrics.row_recall(held, union).groupBy("split", "stage", "task").agg(F.avg("recall").alias("recall")).collect()}
+    recall = {tuple(r): r["recall"] for r in sums.groupBy("split", "stage", "task").agg(F.avg(F.col("found") / F.col("positives")).alias("recall")).collect()}
     recall = {k_[:3]: v for k_, v in recall.items()}
     sizes = {(r["split"], r["stage"]): float(r["mean"]) for r in metrics.row_size(rows, union, ["split", "stage"]).collect()}
     counts = {(r["split"], r["stage"]): r["count"] for r in p.asked.queries.groupBy("split", "stage").count().collect()}

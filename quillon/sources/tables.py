@@ -20,7 +20,7 @@ EXPECTED_FILES = (EVENT_FILE, *PROPERTY_FILES, TREE_FILE)
 
 @dataclass(frozen=True)
 class Dataset:
-    """events, properties and tree; row_id is the order of ingestion (the tree of the test tables has none). ``distinct``: no two events are equal in all but row_id."""
+    """events, properties and tree; row_id is the order of ingestion (the tree of the test tables has none). ``distinct``: the events are a written table, no two of them equal in all but row_id."""
 
     events: DataFrame
     properties: DataFrame
