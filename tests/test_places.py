@@ -54,7 +54,7 @@ def test_training_rows(made):  # noqa: F811
 
 
 def test_the_jvm_compiles_the_code(spark, made):  # noqa: F811
-    """Methods of 8,000 bytes or more stay interpreted, twenty times slower."""
+    """Methods of 8,000 bytes or more stay interpreted, which is much slower."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plain = [fusion.fused_order(["category"], 60.0), fusion.fused_order(COMPONENTS, 60.0)]
