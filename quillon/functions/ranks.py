@@ -19,20 +19,22 @@ def values_at(df: DataFrame, column: str, positions: Sequence[int]) -> list[int]
     """The values at 0-based positions of the sorted long column, nulls left out.
 
     Each pass counts rows in equal buckets of the range that holds a position; a few passes over one
-    column find the value, whatever the number of rows.
+    column find the value, whatever the number of rows. Positions share the passes over ranges that hold them all.
     """
     low, high, total = df.agg(F.min(column), F.max(column), F.count(column)).first()
     if not total:
         raise ValueError(f"no value of {column}")
-    out = []
+    out, known = [], {}
     for position in positions:
         if not 0 <= position < total:
             raise ValueError("position beyond the table")
         a, b, before = low, high, 0
         while a < b:
             width = -(-(b - a + 1) // BUCKETS)
-            inside = df.where(F.col(column).between(a, b)).groupBy(F.expr(f"cast(({column} - {a}) div {width} as int)").alias("bucket")).count()
-            for bucket, n in sorted((r["bucket"], r["count"]) for r in inside.collect()):
+            if (a, b) not in known:
+                inside = df.where(F.col(column).between(a, b)).groupBy(F.expr(f"cast(({column} - {a}) div {width} as int)").alias("bucket")).count()
+                known[a, b] = sorted((r["bucket"], r["count"]) for r in inside.collect())
+            for bucket, n in known[a, b]:
                 if before + n > position:
                     a, b = a + bucket * width, min(a + bucket * width + width - 1, b)
                     break

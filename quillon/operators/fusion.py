@@ -122,11 +122,12 @@ Ranks = Callable[[str], Column]
 
 @dataclass(frozen=True)
 class Order:
-    """A ranking of a query's candidates: which are present, and by what these are placed, told by their ranks and shares (see share_of); the rest of the fallback list follows in its order. Ties go by item. ``asked``: the positives' rows that it is for."""
+    """A ranking of a query's candidates: which are present, and by what these are placed, told by their ranks and shares (see share_of); the rest of the fallback list follows in its order. Ties go by item. ``asked``: the positives' rows that it is for. ``model``: what a positive's row holds for it, which places are told too."""
 
     present: Callable[[Ranks], Column]
-    places: Callable[[Ranks, Ranks], Sequence[Column]]
+    places: Callable[[Ranks, Ranks, Column | None], Sequence[Column]]
     asked: Column | None = None
+    model: Column | None = None
 
 
 def null_places(names: Sequence[str]) -> list[Column]:
@@ -149,7 +150,7 @@ def fused_order(parts: Sequence[str], offset: float, depth: int | None = None) -
     rank = lambda of, n: of(n) if depth is None else F.when(of(n) <= depth, of(n))
     own = lambda of, share, n: share(n) if depth is None else F.when(of(n) <= depth, share(n)).otherwise(0.0)
 
-    def places(of: Ranks, share: Ranks) -> list[Column]:
+    def places(of: Ranks, share: Ranks, _: Column | None) -> list[Column]:
         best = F.least(*[rank(of, n) for n in parts]) if len(parts) > 1 else rank(of, parts[0])
         return [-reduce(lambda a, b: a + b, [own(of, share, n) for n in parts]), best]
 

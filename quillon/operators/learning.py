@@ -19,6 +19,16 @@ from .fusion import COMPONENTS, FEATURES, Order, Ranks, any_of, best_items, null
 MAX_STEPS, TOLERANCE = 100, 1e-9
 
 
+def _chance(of: Callable[[str], Column], mean: Sequence[float | Column], deviation: Sequence[float | Column], coefficients: Sequence[float | Column], intercept: Column) -> Column:
+    terms = [c * (of(f) - m) / d for f, m, d, c in zip(FEATURES, mean, deviation, coefficients, strict=True)]
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, intercept)))
+
+
+def held_score(model: Column, of: Callable[[str], Column]) -> Column:
+    """Model.score() of a row's own model, see Model.held(): the same sum, in code that is as long for many models as for one."""
+    return _chance(of, *[[model[f"{n}{i}"] for i in range(len(FEATURES))] for n in "mdc"], model["b"])
+
+
 @dataclass(frozen=True)
 class Model:
     """Means and deviations of the features, and coefficients of the standardized ones."""
@@ -29,8 +39,12 @@ class Model:
     intercept: float
 
     def score(self, of: Callable[[str], Column] = F.col) -> Column:
-        terms = [c * (of(f) - m) / d for f, m, d, c in zip(FEATURES, self.mean, self.deviation, self.coefficients, strict=True)]
-        return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))))
+        return _chance(of, self.mean, self.deviation, self.coefficients, F.lit(self.intercept))
+
+    def held(self) -> Column:
+        """Its numbers as a structure, which held_score() reads."""
+        numbers = {"b": self.intercept} | {f"{n}{i}": v for n, of in (("m", self.mean), ("d", self.deviation), ("c", self.coefficients)) for i, v in enumerate(of)}
+        return F.struct(*[F.lit(float(v)).alias(n) for n, v in numbers.items()])
 
     def named(self) -> dict[str, float]:
         return dict(zip(FEATURES, self.coefficients, strict=True))
@@ -47,13 +61,11 @@ def feature_at(of: Ranks, share: Ranks) -> Callable[[str], Column]:
 
 
 def learned_order(cells: Sequence[tuple[Column, Model]]) -> Order:
-    """The order of ranked_items() by the model of the first cell whose condition a positive's row meets."""
-
-    def places(of: Ranks, share: Ranks) -> list[Column]:
-        first, *rest = [(on, -m.score(feature_at(of, share))) for on, m in cells]
-        return [reduce(lambda a, x: a.when(*x), rest, F.when(*first))]
-
-    return Order(lambda of: reduce(Column.__or__, [of(n).isNotNull() for n in COMPONENTS]), places, reduce(Column.__or__, [on for on, _ in cells]))
+    """The order of ranked_items() by the model of the first cell whose condition a positive's row meets. The model is picked once for a positive and stands in its row beside its candidates."""
+    (on, first), *rest = [(on, m.held()) for on, m in cells]
+    # rows that no cell asks for are given a model as well, so that none is null
+    model = reduce(lambda x, cell: x.when(*cell), rest, F.when(on, first)).otherwise(first)
+    return Order(lambda of: reduce(Column.__or__, [of(n).isNotNull() for n in COMPONENTS]), lambda of, share, held: [-held_score(held, feature_at(of, share))], reduce(Column.__or__, [on for on, _ in cells]), model)
 
 
 def ranked_items(items: Column, model: Model, k: int) -> Column:

@@ -96,7 +96,7 @@ def _with_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: float,
     of, share = (lambda n: F.col(f"{prefix}_{n}")), (lambda n: F.col(f"{prefix}s_{n}"))
     ranked = rows.select("*", *fusion.position_columns((*fusion.COMPONENTS, ""), item, prefix))
     shared = ranked.select("*", *[fusion.share_of(of(n), offset).alias(f"{prefix}s_{n}") for n in fusion.COMPONENTS])
-    return shared.select("*", *[c.alias(f"{prefix}{i}_{j}") for i, o in enumerate(orders) for j, c in enumerate(o.places(of, share))])
+    return shared.select("*", *[c.alias(f"{prefix}{i}_{j}") for i, o in enumerate(orders) for j, c in enumerate(o.places(of, share, None if o.model is None else F.col(f"_m{i}")))])
 
 
 def positive_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: float, k: int) -> DataFrame:
@@ -109,7 +109,9 @@ def positive_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: flo
     lists = [f"{c}_{n}" for c in "ln" for n in names]
     own, other = (lambda n: F.col(f"p_{n}")), (lambda n: F.col(f"q_{n}"))
     known = rows.select(*keys, "wanted", *[f"l_{n}" for n in names], *fusion.null_places(names))
-    wanted = _with_places(known.select(*keys, *lists, F.inline("wanted")), orders, offset, "itemid", "p")
+    held = [f"_m{i}" for i, o in enumerate(orders) if o.model is not None]
+    asked = known.select(*keys, *lists, F.inline("wanted")).select("*", *[orders[int(m[2:])].model.alias(m) for m in held])
+    wanted = _with_places(asked, orders, offset, "itemid", "p")
     # tier 0: present, 1: in the fallback list alone, null: not ranked
     tier = [F.when(o.present(own), 0).when(own("").isNotNull(), 1) for o in orders]
     tiers = [(t if o.asked is None else F.when(o.asked, t)).alias(f"_t{i}") for i, (o, t) in enumerate(zip(orders, tier, strict=True))]
@@ -117,7 +119,7 @@ def positive_places(rows: DataFrame, orders: Sequence[fusion.Order], offset: flo
     hit = reduce(Column.__or__, [own(n).isNotNull() for n in fusion.COMPONENTS]).alias("_hit")
     # the others beside it; the filter also ends the code that is compiled as one: the JVM leaves methods of over 8,000 bytes interpreted
     others = F.when(F.col("_hit") | F.col("p_").isNotNull(), F.filter(fusion.union_of(names), lambda i: ~i.eqNullSafe(F.col("itemid"))))
-    beside = wanted.select(*keys, "task", "itemid", *lists, "p_", hit, *tiers, *sized).select("*", F.explode_outer(others).alias("_item"))
+    beside = wanted.select(*keys, "task", "itemid", *lists, *held, "p_", hit, *tiers, *sized).select("*", F.explode_outer(others).alias("_item"))
     placed = _with_places(beside, orders, offset, "_item", "q")
 
     def before(i: int, o: fusion.Order) -> Column:

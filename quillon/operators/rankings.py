@@ -65,15 +65,15 @@ def adjacent_pairs(train: DataFrame, gap_minutes: float) -> DataFrame:
 def neighbors(pairs: DataFrame, n: int, symmetric: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """source, itemid, score, rank: targets of each source by count, then item. Self-pairs don't count; ``symmetric`` counts both ways.
 
-    ``sources`` (itemid) keeps those sources alone, after pairs have been turned round.
+    ``sources`` (itemid) keeps those sources alone, after pairs have been turned round and counted: there are fewer counts than pairs.
     """
     kept = pairs.where(F.col("source") != F.col("target"))
     if symmetric:
         both = F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))
         kept = kept.select(F.inline(both))
-    if sources is not None:
-        kept = kept.join(sources.select(F.col("itemid").alias("source")).distinct(), "source", "left_semi")
     counts = kept.groupBy("source", F.col("target").alias("itemid")).agg(F.count("*").alias("score"))
+    if sources is not None:
+        counts = counts.join(sources.select(F.col("itemid").alias("source")).distinct(), "source", "left_semi")
     return first_n(counts, ["source"], [F.desc("score"), F.asc("itemid")], n)
 
 

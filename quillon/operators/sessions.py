@@ -29,15 +29,44 @@ class Queries:
         return Queries(self.queries.unionByName(other.queries), self.positives.unionByName(other.positives), self.eligible + other.eligible)
 
 
-def laid_out(events: DataFrame, gap_minutes: float) -> DataFrame:
+def laid_out(events: DataFrame, gap_minutes: float, later_than: int | None = None, stages: bool = False) -> DataFrame:
     """Events with their session: session_index and session_id in the visitor's split, place in it, events (its size) and next_item.
 
-    One layout by visitor serves all that asks for sessions: queries of every split, positives, and pairs of items that follow each other.
+    One layout by visitor serves all that asks for sessions: queries of every split, positives, and pairs of items that follow each other. With ``later_than``, a time, it has what
+    later_part() and earlier_pairs() need besides: next_at, the time of the next event, and early, how many of the session's events are not later. ``stages`` adds what stage_queries() asks of a session.
     """
     sessions = sessionize(events.select("visitorid", "timestamp", "event", "itemid", "split", "row_id"), gap_minutes, by=["visitorid", "split"]).drop("split_boundary_break", "split_boundary_forced_break")
     whole = Window.partitionBy("visitorid", "split", "session_index")
     order = whole.orderBy("timestamp", "row_id")
-    return sessions.withColumns({"place": F.row_number().over(order) - 1, "next_item": F.lead("itemid").over(order), "events": F.count("*").over(whole)})
+    laid = sessions.withColumns({"place": F.row_number().over(order) - 1, "next_item": F.lead("itemid").over(order), "events": F.count("*").over(whole)})
+    if later_than is not None:
+        laid = laid.withColumns({"next_at": F.lead("timestamp").over(order), "early": F.count_if(F.col("timestamp") <= later_than).over(whole)})
+    return _marked(laid) if stages else laid
+
+
+def _marked(laid: DataFrame) -> DataFrame:
+    """Laid out events with their session's cart, the place of its first add-to-cart, and opens, the event it begins with; late_cart and late_opens are those of its part that is not early."""
+    whole = Window.partitionBy("visitorid", "split", "session_index")
+    at = F.when(F.col("event") == "addtocart", F.col("place"))
+    marks = {"cart": F.min(at).over(whole), "opens": F.max(F.when(F.col("place") == 0, F.col("event"))).over(whole)}
+    if "early" in laid.columns:
+        marks |= {"late_cart": F.min(F.when(F.col("place") >= F.col("early"), at)).over(whole), "late_opens": F.max(F.when(F.col("place") == F.col("early"), F.col("event"))).over(whole)}
+    return laid.withColumns(marks)
+
+
+def later_part(laid: DataFrame, later_than: int, split: str) -> DataFrame:
+    """The training events after a time, laid out as they would be by themselves under a split's name, from a layout that was made for that time.
+
+    A time cuts a session in two where nothing else does, so a later part keeps its order and loses its early events alone. Numbers of sessions go on from those before.
+    """
+    late = laid.where((F.col("split") == "train") & (F.col("timestamp") > later_than))
+    marks = {"cart": F.col("late_cart") - F.col("early"), "opens": F.col("late_opens")} if "late_cart" in laid.columns else {}
+    return late.withColumns({"split": F.lit(split), "place": F.col("place") - F.col("early"), "events": F.col("events") - F.col("early")} | marks)
+
+
+def earlier_pairs(laid: DataFrame, later_than: int) -> DataFrame:
+    """following_pairs() of the training events up to a time, from a layout that was made for that time."""
+    return following_pairs(laid.where((F.col("split") == "train") & (F.col("next_at") <= later_than)))
 
 
 def following_pairs(laid: DataFrame) -> DataFrame:
@@ -95,12 +124,12 @@ def stage_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_se
 
     A cart_stage query has later transactions as positives; it may have none.
     """
-    rows, total = _sampled(_of_split(events, split, gap_minutes), max_sessions, seed, how)
-    whole = Window.partitionBy("visitorid", "session_index")
-    marked = rows.withColumns({
-        "cart": F.min(F.when(F.col("event") == "addtocart", F.col("place"))).over(whole),
-        "opens": F.max(F.when(F.col("place") == 0, F.col("event"))).over(whole),
-    })
+    return staged(*_sampled(_of_split(events, split, gap_minutes), max_sessions, seed, how))
+
+
+def staged(rows: DataFrame, eligible: int) -> Queries:
+    """stage_queries() of laid out rows of multi-event sessions, of one split or more."""
+    marked = rows if "cart" in rows.columns else _marked(rows)
     view = F.lit("view_stage").alias("stage")
     cart = F.lit("cart_stage").alias("stage")
     at = ["visitorid", "timestamp", F.col("itemid").alias("last_item")]
@@ -110,4 +139,4 @@ def stage_queries(events: DataFrame, split: str, gap_minutes: float = 30, max_se
     label = [F.col("event").alias("task"), "itemid"]
     after_view = known.where("place > 0 and opens = 'view'").select(*_query_columns(), view, *label)
     after_cart = known.where((F.col("place") > F.col("cart")) & has_cart & (F.col("event") == "transaction")).select(*_query_columns(), cart, *label)
-    return Queries(queries, after_view.unionByName(after_cart).repartition("split", "query_id", "stage").distinct(), total)
+    return Queries(queries, after_view.unionByName(after_cart).repartition("split", "query_id", "stage").distinct(), eligible)

@@ -79,10 +79,11 @@ def sessionize(events: DataFrame, gap_minutes: float = 30, split_col: str | None
     breaks = local.groupBy(*keys, "_segment").agg(F.max("session_index").alias("_breaks"))
     whole = _beside(local, _carried(breaks, keys, F.sum("_breaks")), keys)
     index = F.col("session_index") + F.coalesce("_carried", F.lit(0))
-    return _named(whole.withColumn("session_index", index)).drop("_segment", "_carried").unionByName(_sessions(rest, keys, gap_minutes, split_col))
+    return named(whole.withColumn("session_index", index)).drop("_segment", "_carried").unionByName(_sessions(rest, keys, gap_minutes, split_col))
 
 
-def _named(sessions: DataFrame) -> DataFrame:
+def named(sessions: DataFrame) -> DataFrame:
+    """Sessions with session_id."""
     return sessions.withColumn("session_id", F.concat_ws(":", F.col("visitorid").cast("string"), F.col("session_index").cast("string")))
 
 
@@ -98,7 +99,7 @@ def _sessions(events: DataFrame, keys: Sequence[str], gap_minutes: float, split_
     change = F.coalesce(before(split_col) != F.col(split_col), F.lit(False)) if split_col else F.lit(False)
     flagged = events.withColumns({"_gap": gap, "split_boundary_break": change})
     index = F.sum((F.col("_gap") | F.col("split_boundary_break")).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return _named(flagged.withColumns({"session_index": index, "split_boundary_forced_break": F.col("split_boundary_break") & ~F.col("_gap")}).drop("_gap"))
+    return named(flagged.withColumns({"session_index": index, "split_boundary_forced_break": F.col("split_boundary_break") & ~F.col("_gap")}).drop("_gap"))
 
 
 def point_in_time_join(events: DataFrame, properties: DataFrame, by: str | Sequence[str] = "itemid", event_time: str = "timestamp", property_time: str = "timestamp", segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce, wraps
 from typing import Any
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import EVENT_TYPES, require_at_least, require_positive, require_share
-from ..functions.ranks import first_n, nearest_index, values_at
+from ..functions.ranks import drop_path, first_n, nearest_index, new_path, values_at
 from ..operators import fusion, learning, metrics, rankings, sessions, temporal
 from ..operators.fusion import COMPONENTS
 from ..sources.tables import Dataset, deduplicated
@@ -30,17 +30,26 @@ SPLITS = ("validation", "test")
 VISITOR_COHORTS, ITEM_COHORTS = ("new", "sparse", "repeat"), ("head", "mid_tail", "long_tail", "unseen")
 
 
-#: Frames that the evaluation in progress has persisted.
-_HELD: list[list[DataFrame]] = []
+#: What gives back the frames that the evaluation in progress has persisted or written.
+_HELD: list[list[Callable[[], object]]] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
     """The frame, persisted until the evaluation ends."""
     if _HELD:
-        _HELD[-1].append(df.persist())
+        _HELD[-1].append(df.persist().unpersist)
     return df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame, read from a table that is there until the evaluation ends. Unlike a persisted one its tasks are as many as its rows ask for, not as many as shuffles have partitions, each of which writes a file for each of the next."""
+    path = new_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    if _HELD:
+        _HELD[-1].append(lambda: drop_path(df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def releasing(f: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]:
     """An evaluation that gives back what it has persisted, however it ends."""
 
@@ -50,32 +59,47 @@ def releasing(f: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]
         try:
             return f(*args, **parameters)
         finally:
-            for df in _HELD.pop():
-                df.unpersist()
+            for give_back in _HELD.pop():
+                give_back()
 
     return run
 
 
 @dataclass(frozen=True)
 class Protocol:
-    """A dataset under a manifest: labelled events, the training part, queries of validation and test."""
+    """A dataset under a manifest: labelled events, the training part, queries of validation and test; the layout of all events by session, and the end of the internal fit window where there is one."""
 
     events: DataFrame
     train: DataFrame
     asked: sessions.Queries
     counts: dict[str, tuple[int, int]]
     pairs: DataFrame | None = None
+    laid: DataFrame | None = None
+    end: int | None = None
 
 
-def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False) -> Protocol:
+def protocol(data: Dataset, manifest: dict[str, Any], max_sessions: int | None, seed: int, stages: bool = False, fit_fraction: float | None = None) -> Protocol:
+    """Events are laid out by session once, for queries of all splits, positives, pairs and the internal parts of training, and written, so that each of these reads its own columns."""
     events = temporal.with_split(data.events if data.distinct else keep(deduplicated(data.events)), manifest["train_end_ms"], manifest["validation_end_ms"])
-    ask = sessions.stage_queries if stages else sessions.session_queries
-    laid = keep(sessions.laid_out(events, manifest["session_gap_minutes"]))
-    each = {s: ask(laid, s, manifest["session_gap_minutes"], max_sessions, seed + i) for i, s in enumerate(SPLITS)}
-    both = each["validation"].union(each["test"])
-    both = sessions.Queries(keep(both.queries), keep(both.positives), both.eligible)
-    evaluated = {r["split"]: r["count"] for r in both.queries.groupBy("split").count().collect()}
-    return Protocol(events, events.where("split = 'train'"), both, {s: (each[s].eligible, evaluated.get(s, 0)) for s in SPLITS}, sessions.following_pairs(laid.where("split = 'train'")))
+    train, gap = events.where("split = 'train'"), manifest["session_gap_minutes"]
+    end = None if fit_fraction is None else fit_end(train, fit_fraction)
+    laid = temporal.named(written(sessions.laid_out(events, gap, end, stages).drop("session_id", "row_id")))
+    if max_sessions is None:  # all sessions of both splits: one reading
+        rows = laid.where("split <> 'train' and events >= 2")
+        eligible = {r["split"]: r["count"] for r in rows.where("place = 0").groupBy("split").count().collect()}
+        both = (sessions.staged if stages else sessions.asked)(rows, sum(eligible.values()))
+        evaluated = None if stages else eligible
+    else:
+        ask = sessions.stage_queries if stages else sessions.session_queries
+        each = {s: ask(laid, s, gap, max_sessions, seed + i) for i, s in enumerate(SPLITS)}
+        eligible = {s: q.eligible for s, q in each.items()}
+        both = each["validation"].union(each["test"])
+        evaluated = None
+    # where rankers are fitted too, positives are read once
+    both = sessions.Queries(written(both.queries), both.positives if end is not None else written(both.positives), both.eligible)
+    if evaluated is None:
+        evaluated = {r["split"]: r["count"] for r in both.queries.groupBy("split").count().collect()}
+    return Protocol(events, train, both, {s: (eligible.get(s, 0), evaluated.get(s, 0)) for s in SPLITS}, sessions.following_pairs(laid.where("split = 'train'")), laid, end)
 
 
 def _cell(row: Any) -> dict[str, Any]:
@@ -149,8 +173,11 @@ def evaluate_baselines(data: Dataset, manifest: dict[str, Any], source: str = ""
 
 def gathered_rows(p: Protocol, s: fusion.Sources, depths: dict[str, int] | int, k: int) -> tuple[DataFrame, DataFrame]:
     """The queries with their lists, a row each (see fusion.gathered), and those with positives beside these, which alone are scored."""
-    rows = keep(fusion.gathered(p.asked.queries, s, COMPONENTS, depths, k))
-    return rows, rows.join(metrics.wanted_of(p.asked.positives), fusion.keys_of(rows))
+    rows = written(fusion.gathered(p.asked.queries, s, COMPONENTS, depths, k))
+    keys = fusion.keys_of(rows)
+    # few bytes and much work: as many tasks as shuffles have partitions, not as few as the bytes would fill
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows, dealt.join(metrics.wanted_of(p.asked.positives), keys)
 
 
 def hybrid_metrics(rows: DataFrame, offset: float, k: int) -> DataFrame:
@@ -183,12 +210,26 @@ def evaluate_hybrid(data: Dataset, manifest: dict[str, Any], source: str = "", k
     }
 
 
+def fit_end(train: DataFrame, fraction: float) -> int:
+    """The end of the internal fit window."""
+    return values_at(train, "timestamp", [nearest_index(train.count(), fraction)])[0]
+
+
 def _internal(train: DataFrame, fraction: float) -> tuple[int, DataFrame, DataFrame]:
     """The end of the internal fit window, events up to it, and later ones under the split name ranker_train."""
-    end = values_at(train, "timestamp", [nearest_index(train.count(), fraction)])[0]
+    end = fit_end(train, fraction)
     return end, train.where(F.col("timestamp") <= end), train.where(F.col("timestamp") > end).withColumn("split", F.lit("ranker_train"))
 
 
+def _inner(asked: sessions.Queries) -> sessions.Queries:
+    return replace(asked, queries=written(asked.queries))
+
+
+def _inner_sources(p: Protocol, data: Dataset, queries: DataFrame, gap: float, depth: int, half_life_days: float, k: int, states: DataFrame) -> fusion.Sources:
+    """Lists of the internal fit window for the queries after it."""
+    return fusion.fit_sources(p.train.where(F.col("timestamp") <= p.end), data.properties, None, p.end, gap, depth, half_life_days, queries, k, _category(states, "inner"), sessions.earlier_pairs(p.laid, p.end))
+
+
 def _category(states: DataFrame, name: str) -> DataFrame:
     """itemid, category of one of several cutoffs, see rankings.states_at."""
     return states.where(F.col(name).isNotNull()).select("itemid", F.col(name).alias("category"))
@@ -216,14 +257,14 @@ def evaluate_reranker(
     if parent_depth:
         raise ValueError("parent_depth must be 0")
     require_share("internal_fit_fraction", internal_fit_fraction)
-    p = protocol(data, manifest, max_sessions_per_split, seed)
+    p = protocol(data, manifest, max_sessions_per_split, seed, fit_fraction=internal_fit_fraction)
     gap, deepest = manifest["session_gap_minutes"], max(category_depth, behavioral_depth)
     depths = {c: category_depth if c == "category" else behavioral_depth for c in COMPONENTS}
-    end, early, late = _internal(p.train, internal_fit_fraction)
-    states = keep(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
+    end = p.end
+    states = written(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
     if models is None:
-        inner = sessions.session_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
-        inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
+        inner = _inner(sessions.session_queries(sessions.later_part(p.laid, end, "ranker_train"), "ranker_train", gap, max_internal_ranker_sessions, seed + 10))
+        inner_sources = _inner_sources(p, data, inner.queries, gap, deepest, half_life_days, k, states)
         counted = _counted(inner, inner_sources, depths, rrf_offset, max_nonrelevant_per_query)
         fitted = learning.fits(counted.withColumnRenamed("task", "model"), EVENT_TYPES)
     else:
@@ -235,7 +276,7 @@ def evaluate_reranker(
     by = ["split", "variant", "task"]
     short = None if category_depth >= behavioral_depth else category_depth
     orders = {v: fusion.fused_order(parts, rrf_offset, short) for v, parts in fixed.items()} | {name: learning.learned_order([(F.col("task") == t, m) for t, (m, _, _) in fitted.items()])}
-    sums = keep(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
+    sums = written(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
     cells = nested(metrics.averaged(metrics.place_scores(sums, list(orders), k), by), by, [SPLITS, [*fixed, name], EVENT_TYPES])
     recalls = sums.withColumn("recall", F.col("found") / F.col("positives"))
     union = fusion.union_of(COMPONENTS)
@@ -348,16 +389,16 @@ def evaluate_stages(
     if parent_depth:
         raise ValueError("parent_depth must be 0")
     require_share("internal_fit_fraction", internal_fit_fraction)
-    p = protocol(data, manifest, max_sessions_per_split, seed, stages=True)
+    p = protocol(data, manifest, max_sessions_per_split, seed, stages=True, fit_fraction=internal_fit_fraction)
     gap, deepest = manifest["session_gap_minutes"], max(category_depth, behavioral_depth)
     depths = {c: category_depth if c == "category" else behavioral_depth for c in COMPONENTS}
     tasks_of = sessions.STAGE_TASKS
-    end, early, late = _internal(p.train, internal_fit_fraction)
-    states = keep(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
+    end = p.end
+    states = written(rankings.states_at(data.properties, "categoryid", {"inner": end, "whole": manifest["train_end_ms"]}))
     if models is None or stage_models is None:
-        inner = sessions.stage_queries(late, "ranker_train", gap, max_internal_ranker_sessions, seed + 10)
-        inner_sources = fusion.fit_sources(early, data.properties, None, end, gap, deepest, half_life_days, inner.queries, k, _category(states, "inner"))
-        counted = keep(_counted(inner, inner_sources, depths, rrf_offset, max_nonrelevant_per_query))
+        inner = _inner(sessions.stage_queries(sessions.later_part(p.laid, end, "ranker_train"), "ranker_train", gap, max_internal_ranker_sessions, seed + 10))
+        inner_sources = _inner_sources(p, data, inner.queries, gap, deepest, half_life_days, k, states)
+        counted = written(_counted(inner, inner_sources, depths, rrf_offset, max_nonrelevant_per_query))
         cell = F.concat_ws("/", "stage", "task")
         every = counted.withColumn("model", cell).unionByName(counted.withColumn("model", F.col("task"))).drop("stage", "task")
         found = learning.fits(every, [*[f"{st}/{t}" for st, ts in tasks_of.items() for t in ts], *EVENT_TYPES])
@@ -370,7 +411,7 @@ def evaluate_stages(
     # a cell is a stage and task
     models_of = {names[1]: lambda st, t: pooled[t], names[2]: lambda st, t: staged[st, t][0]}
     orders = {names[0]: fusion.fused_order(["category"], rrf_offset)} | {v: learning.learned_order([((F.col("stage") == st) & (F.col("task") == t), of(st, t)) for st, ts in tasks_of.items() for t in ts]) for v, of in models_of.items()}
-    sums = keep(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
+    sums = written(metrics.place_sums(metrics.positive_places(held, list(orders.values()), rrf_offset, k), len(orders)))  # a row for each query and task
     by = ["split", "variant", "stage", "task"]
     flat = {tuple(r[c] for c in by): r for r in metrics.averaged(metrics.place_scores(sums, list(orders), k), by).collect()}
     cells = {sp: {v: {st: {t: _cell(flat.get((sp, v, st, t))) for t in ts} for st, ts in tasks_of.items()} for v in names} for sp in SPLITS}

@@ -18,6 +18,7 @@ from .functions.ranks import cut, first_n, nearest_index, new_path, values_at
 from .operators import audit, fusion, learning, metrics, rankings, sessions, temporal
 from .operators.fusion import COMPONENTS
 from .plans import decisions, evaluations
+from .sources.artifacts import HORIZON
 from .sources.tables import EXPECTED_FILES, Dataset, deduplicated, read_csv, read_dataset, star_dataset
 
 GAP, K, DEPTH, HALF_LIFE, OFFSET = 1440, 5, 8, 7.0, 60.0
@@ -172,6 +173,10 @@ class _Base:
     def manifest(self) -> dict:
         return temporal.build_manifest(self.events, "events", session_gap_minutes=GAP, distinct=True)
 
+    def frozen(self) -> dict:
+        """What evaluations read of manifest(): the cutoffs, which are known here, and its fixed values. Its counts are passes over the events that no report of a query has."""
+        return {"source": "events", "train_end_ms": self.train_end, "validation_end_ms": self.validation_end, "session_gap_minutes": GAP, "prediction_horizon": HORIZON}
+
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
@@ -837,13 +842,13 @@ _LONG = "split string, variant string, task string, queries long, recall double,
 @query()
 def efficient_reranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
-    return spark.createDataFrame(_long(evaluations.evaluate_reranker(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
+    return spark.createDataFrame(_long(evaluations.evaluate_reranker(b.data, b.frozen(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
 
 
 @query()
 def stage_aware_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
-    found = evaluations.evaluate_stages(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)
+    found = evaluations.evaluate_stages(b.data, b.frozen(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)
     rows = [(s, f"{v}/{st}", t, c["queries"], float(c["recall_at_k"]), float(c["ndcg_at_k"])) for s, vs in found["metrics"].items() for v, sts in vs.items() for st, ts in sts.items() for t, c in ts.items()]
     return spark.createDataFrame(rows, _LONG)
 
@@ -967,7 +972,7 @@ def sampled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learned_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _Base(spark, sf_dir)
-    return spark.createDataFrame(_long(evaluations.evaluate_learned(b.data, b.manifest(), k=K, source_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
+    return spark.createDataFrame(_long(evaluations.evaluate_learned(b.data, b.frozen(), k=K, source_depth=DEPTH, max_sessions_per_split=None, max_internal_ranker_sessions=None)), _LONG)
 
 
 _PLAIN = {"category_only": ["category"], "efficient_rrf": list(COMPONENTS)}
@@ -985,7 +990,7 @@ _MODEL_CELLS = (
 
 def _given_report(spark: SparkSession, sf_dir: str) -> dict:
     b = _Base(spark, sf_dir)
-    return evaluations.evaluate_reranker(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS)
+    return evaluations.evaluate_reranker(b.data, b.frozen(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS)
 
 
 @query(f"WITH {_MODEL_CELLS} SELECT split, variant, task, queries, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM cells")
@@ -1027,7 +1032,7 @@ pos AS (SELECT DISTINCT split, 'view_stage/' || query_id AS query_id, event AS t
 
 def _stage_report(spark: SparkSession, sf_dir: str) -> dict:
     b = _Base(spark, sf_dir)
-    return evaluations.evaluate_stages(b.data, b.manifest(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS, stage_models=_STAGE_MODELS)
+    return evaluations.evaluate_stages(b.data, b.frozen(), k=K, category_depth=DEPTH, behavioral_depth=DEPTH, max_sessions_per_split=None, models=_MODELS, stage_models=_STAGE_MODELS)
 
 
 @query(f"WITH {_STAGE_CELLS} SELECT split, variant, task, queries, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM cells")
